@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegrid.llm.op10_langid import fit_language_model, fold_of, identify_language
 from tidegrid.llm.op3_compression import compression_bands
 from tidegrid.llm.op6_simhash import simhash_groups
+from tidegrid.llm.op7_toxicity import fit_toxicity_model, score_toxicity
+from tidegrid.llm.op9_bpe_replay import byte_bpe
 from tidegrid.session import ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +29,27 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_toxicity_model(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
+    return score_toxicity(docs, model, fold_of("doc_id", 5) == 0)
+
+
+def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep_ids=False)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_language_model(docs, fold_of("doc_id", 4) != 2)
+    return identify_language(docs, model, fold_of("doc_id", 4) == 2)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_compression_bands, op6_simhash_groups)}
+    return {f.__name__: f for f in (op3_compression_bands, op6_simhash_groups, op7_toxicity, op9_bpe_replay, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
