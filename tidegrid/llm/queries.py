@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm.op10_langid import fit_language_model, fold_of, identify_language
+from tidegrid.llm.op1_multi_index import nearest_neighbours
+from tidegrid.llm.op2_hilbert_pack import pack_along_curve
 from tidegrid.llm.op3_compression import compression_bands
+from tidegrid.llm.op4_token_coder import read_token_shards, write_token_shards
+from tidegrid.llm.op5_html_lstm import extract_main_text, fit_labeller
 from tidegrid.llm.op6_simhash import simhash_groups
 from tidegrid.llm.op7_toxicity import fit_toxicity_model, score_toxicity
+from tidegrid.llm.op8_lm_difference import fit_losses, fit_vocabulary, score_difference
 from tidegrid.llm.op9_bpe_replay import byte_bpe
-from tidegrid.session import ship_package, table
+from tidegrid.llm.op10_langid import fit_language_model, fold_of, identify_language
+from tidegrid.session import shared_dir, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +28,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_along_curve(_documents(spark, sf_dir))
+
+
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(_documents(spark, sf_dir))
 
 
+def op4_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_token_shards(_documents(spark, sf_dir), path)
+    return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    pages = table(spark, sf_dir, "pages")
+    return extract_main_text(pages, fit_labeller(pages))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_documents(spark, sf_dir))
 
@@ -35,6 +63,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, fold_of("doc_id", 5) == 0)
 
 
+def op8_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality."""
+    docs = _documents(spark, sf_dir)
+    vocabulary = fit_vocabulary(docs)
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score_difference(docs, vocabulary, fit_losses(docs, target, vocabulary))
+
+
 def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +85,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_compression_bands, op6_simhash_groups, op7_toxicity, op9_bpe_replay, op10_language)}
+    every = (op1_multi_index, op2_hilbert_pack, op3_compression_bands, op4_token_coder, op5_html_lstm)
+    every += (op6_simhash_groups, op7_toxicity, op8_lm_difference, op9_bpe_replay, op10_language)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
