@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.rows import keep_rows
+
 #: Labelled texts learned from, over all languages; and landmarks among them.
 SAMPLE, LANDMARKS = 1_500, 192
 #: Buckets of the hashed n-grams for n = 1, 2, 3.
@@ -151,3 +153,16 @@ def identify_language(docs: DataFrame, model: KernelModel | None, held_out: Colu
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: KernelModel | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``; all columns stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts: list) -> list[bool]:
+        if sent.value is None:
+            return [False] * len(texts)
+        names, scores = sent.value.score(texts)
+        return [n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist())]
+
+    return keep_rows(docs, text_col, judge)

@@ -206,3 +206,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = member.join(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id. Rows with a null id stay."""
+    groups = written(simhash_groups(docs, id_col, text_col, words_per_shingle, radius).select("doc_id", "component_id"), "groups")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    null = F.col(id_col).isNull()
+    return kept.where(~null).dropDuplicates([id_col]).unionByName(kept.where(null))
