@@ -21,6 +21,22 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ratio(a: str | Column, b: str | Column) -> Column:
+    """a / b; NULL where b is 0."""
+    return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
+
+
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson r over the rows where both are given, as an aggregate; NULL where one of them doesn't vary."""
+    y, x = _c(y), _c(x)
+    return ratio(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
+def slope(y: str | Column, x: str | Column) -> Column:
+    """Slope of y on x, as an aggregate; NULL where x doesn't vary."""
+    return ratio(F.regr_sxy(_c(y), _c(x)), F.regr_sxx(_c(y), _c(x)))
+
+
 def sentinel_to_null(x: str | Column, sentinels: Sequence[float] = SENTINELS) -> Column:
     """NULL for a sentinel, NaN or an infinite value."""
     x = _c(x)
@@ -73,7 +89,7 @@ def minmax(x: str | Column, low: str | Column, high: str | Column) -> Column:
 
 
 def instability(norm_avg: str | Column, std: str | Column) -> Column:
-    return F.log(1 + _c(std) / (_c(norm_avg) + 0.05))
+    return F.log(1 + ratio(std, _c(norm_avg) + 0.05))
 
 
 def topographic_wetness(area: str | Column, slope_deg: str | Column) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions import columns as C
+
 #: The eleven quantile columns and their probabilities.
 QUANTILES = ("QMIN", "Q10", "Q20", "Q30", "Q40", "Q50", "Q60", "Q70", "Q80", "Q90", "QMAX")
 PROBS = tuple(i / 10 for i in range(11))
@@ -63,7 +65,7 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rho over all rows where both are given."""
     both = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    return average_ranks(average_ranks(both, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    return average_ranks(average_ranks(both, "x", "rx"), "y", "ry").agg(C.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def grouped_average_rank(group: Sequence[str], value: str) -> Column:
@@ -77,7 +79,7 @@ def grouped_spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> Dat
     """rho and n per group."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = both.withColumn("_rx", grouped_average_rank(group, x)).withColumn("_ry", grouped_average_rank(group, y))
-    return ranked.groupBy(*group).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*group).agg(C.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
 def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "variable", value: str = "value") -> DataFrame:
@@ -87,7 +89,7 @@ def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: st
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r) for every pair a < b in the order of ``cols``, from one pass."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[C.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))
     return one.select(rows.alias("s")).select("s.*")
 
@@ -96,7 +98,7 @@ def corr_above_deciles(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r of the rows at or above each of x's deciles 0..90 %, from one pass over the rows."""
     cut = df.agg(F.percentile(x, F.array(*map(F.lit, PROBS[:10]))).alias("cut"))
     tagged = df.select(F.col(x).alias("x"), F.col(y).alias("y")).crossJoin(F.broadcast(cut))  # one row
-    return tagged.select("x", "y", F.posexplode("cut").alias("decile", "limit")).where("x >= limit").groupBy("decile").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
+    return tagged.select("x", "y", F.posexplode("cut").alias("decile", "limit")).where("x >= limit").groupBy("decile").agg(C.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
 def difference_stats(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -113,7 +115,7 @@ def rank_sum(df: DataFrame, group: str, first: str, value: str) -> DataFrame:
     one = ranked.agg(F.sum(F.when(F.col("g"), F.col("r"))).alias("s"), F.sum(F.col("g").cast("long")).alias("n1"), F.sum((~F.col("g")).cast("long")).alias("n2"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     w = F.col("s") - n1 * (n1 + 1) / 2
-    return one.select(w.alias("w"), "n1", "n2", ((w - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
+    return one.select(w.alias("w"), "n1", "n2", C.ratio(w - n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
 
 
 def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -125,13 +127,13 @@ def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), q.alias("q"),
     )
-    return out.select("*", (F.col("std") / F.col("mean")).alias("cv"), F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90")).drop("q")
+    return out.select("*", C.ratio("std", "mean").alias("cv"), F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90")).drop("q")
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(variable, null_pct), from one pass."""
     one = df.agg(F.count("*").alias("_n"), *[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in cols])
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), (100.0 * F.col(c) / F.col("_n")).alias("null_pct")) for c in cols]))
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), C.ratio(100.0 * F.col(c), "_n").alias("null_pct")) for c in cols]))
     return one.select(rows.alias("s")).select("s.*")
 
 
@@ -161,7 +163,7 @@ def robust_cv(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     mid = means.groupBy("variable").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.avg("value").alias("a"), F.stddev_samp("value").alias("s"))
     off = means.join(F.broadcast(mid), "variable")  # one row per variable
     mad = off.groupBy("variable").agg(F.percentile(F.abs(F.col("value") - F.col("m")), F.lit(0.5)).alias("mad"))
-    return mid.join(mad, "variable").select("variable", (F.col("mad") / F.abs("m")).alias("mad_cv"), (F.col("s") / F.abs("a")).alias("std_cv"))
+    return mid.join(mad, "variable").select("variable", C.ratio("mad", F.abs("m")).alias("mad_cv"), C.ratio("s", F.abs("a")).alias("std_cv"))
 
 
 def dedup_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -180,4 +182,4 @@ def overlap_counts(shots: DataFrame, cell: Column, first_sensor: Column, value:
     """Agreement of two sensors: medians per cell of each, then n, r and slope over the cells that both saw. One shuffle."""
     med = lambda which: F.percentile(F.when(which, F.col(value)), F.lit(0.5))
     cells = shots.groupBy(cell.alias("cell")).agg(med(first_sensor).alias("a"), med(~first_sensor).alias("b")).where("a is not null and b is not null")
-    return cells.agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.regr_slope("b", "a"), 6).alias("slope"))
+    return cells.agg(F.count("*").alias("n"), F.round(C.corr("a", "b"), 6).alias("r"), F.round(C.slope("b", "a"), 6).alias("slope"))

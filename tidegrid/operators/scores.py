@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions import columns as C
 from tidegrid.operators.aggregates import long_form
 
 
@@ -17,11 +18,11 @@ def score_pack(df: DataFrame, group: Sequence[str], obs: str, pred: str) -> Data
     o, p = F.col(obs), F.col(pred)
     both = df.where(o.isNotNull() & p.isNotNull())
     agg = both.groupBy(*group).agg(
-        F.count("*").alias("n"), F.corr(obs, pred).alias("r"), F.avg(F.abs(p - o)).alias("mae"), F.avg((p - o) ** 2).alias("mse"),
+        F.count("*").alias("n"), C.corr(obs, pred).alias("r"), F.avg(F.abs(p - o)).alias("mae"), F.avg((p - o) ** 2).alias("mse"),
         F.var_pop(obs).alias("vo"), F.avg(obs).alias("mo"), F.avg(pred).alias("mp"), F.stddev_pop(obs).alias("so"), F.stddev_pop(pred).alias("sp"),
     )
     nse = 1 - F.col("mse") / F.nullif(F.col("vo"), F.lit(0.0))
-    kge = 1 - F.sqrt((F.col("r") - 1) ** 2 + (F.col("sp") / F.col("so") - 1) ** 2 + (F.col("mp") / F.col("mo") - 1) ** 2)
+    kge = 1 - F.sqrt((F.col("r") - 1) ** 2 + (C.ratio("sp", "so") - 1) ** 2 + (C.ratio("mp", "mo") - 1) ** 2)
     return agg.select(*group, "n", "r", "mae", F.sqrt("mse").alias("rmse"), (F.col("r") ** 2).alias("r2"), nse.alias("nse"), kge.alias("kge"), (F.col("mp") - F.col("mo")).alias("bias"))
 
 
@@ -123,7 +124,7 @@ def monotone_quantiles(df: DataFrame, array: str, out: str = "monotone") -> Data
 def station_best_predictor(df: DataFrame, station: str, target: str, predictors: Sequence[str], least: int = 3) -> DataFrame:
     """Per station: the predictor with the greatest |r| (ties: the first by name), from one pass."""
     n = F.count("*").alias("_n")
-    one = df.groupBy(station).agg(n, *[F.corr(p, target).alias(p) for p in predictors]).where(F.col("_n") >= least)
+    one = df.groupBy(station).agg(n, *[C.corr(p, target).alias(p) for p in predictors]).where(F.col("_n") >= least)
     rows = long_form(one.select(station, *predictors), [station], list(predictors), "predictor", "r").where("r is not null and not isnan(r)")
     best = rows.groupBy(station).agg(F.min_by(F.struct("predictor", "r"), F.struct(-F.round(F.abs("r"), 9), "predictor")).alias("s"))
     return best.select(station, "s.predictor", "s.r")

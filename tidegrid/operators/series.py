@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions import columns as C
 from tidegrid.operators.aggregates import grouped_spearman
 
 
@@ -32,7 +33,7 @@ def lag_autocorr(df: DataFrame, key: str, order: Sequence[str], value: str, lags
     w = Window.partitionBy(key).orderBy(*order)
     lagged = df.withColumns({f"_b{k}": F.lag(value, k).over(w) for k in lags})
     pairs = lagged.select(key, F.col(value).alias("_a"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_b{k}").alias("b")) for k in lags])).alias("s"))
-    out = pairs.select(key, "_a", "s.lag", "s.b").where("_a is not null and b is not null").groupBy(key, "lag").agg(F.corr("_a", "b").alias("r"), F.count("*").alias("n"))
+    out = pairs.select(key, "_a", "s.lag", "s.b").where("_a is not null and b is not null").groupBy(key, "lag").agg(C.corr("_a", "b").alias("r"), F.count("*").alias("n"))
     return out.where(F.col("n") >= least)
 
 
@@ -106,6 +107,6 @@ def pooled_rank(correlations: DataFrame, name: str, r: str, top: int = 30, share
     """Variables by |r|: place, cumulative share, whether among those that reach ``share``. A table of variables, not of rows."""
     w = Window.orderBy(F.desc(F.abs(r)), name)
     total = F.sum(F.abs(r)).over(Window.partitionBy())
-    run = F.sum(F.abs(r)).over(w.rowsBetween(Window.unboundedPreceding, 0)) / total
+    run = C.ratio(F.sum(F.abs(r)).over(w.rowsBetween(Window.unboundedPreceding, 0)), total)
     out = correlations.withColumn("place", F.row_number().over(w)).withColumn("cum_share", run)
-    return out.withColumn("needed", F.col("cum_share") - F.abs(r) / total < share).where(F.col("place") <= top)
+    return out.withColumn("needed", F.col("cum_share") - C.ratio(F.abs(r), total) < share).where(F.col("place") <= top)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
 from tidegrid.plans.registry import Tables, query, r6, rounded
 
@@ -39,13 +40,13 @@ def group_sum(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY ALL")
 def pairwise_corr(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_returnflag").agg(r6(F.corr("l_quantity", "l_extendedprice")).alias("r"))
+    return t.lineitem.groupBy("l_returnflag").agg(r6(C.corr("l_quantity", "l_extendedprice")).alias("r"))
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem GROUP BY ALL")
 def linear_regression(t: Tables) -> DataFrame:
     y, x = "l_extendedprice", "l_quantity"
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), r6(F.corr(y, x)).alias("r"))
+    return t.lineitem.groupBy("l_returnflag").agg(F.round(C.slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 3).alias("intercept"), r6(C.corr(y, x)).alias("r"))
 
 
 _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
@@ -234,7 +235,7 @@ def seasonal_stats(t: Tables) -> DataFrame:
 def annual_stats(t: Tables) -> DataFrame:
     v = "o_totalprice"
     return t.orders.groupBy(F.year("o_orderdate").alias("yyyy")).agg(
-        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.count("*").alias("n"), r6(F.stddev_samp(v) / F.avg(v)).alias("cv")
+        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.count("*").alias("n"), r6(C.ratio(F.stddev_samp(v), F.avg(v))).alias("cv")
     )
 
 
@@ -251,7 +252,7 @@ max(year(o_orderdate))::INT AS last_year, round(stddev_samp(o_totalprice) / avg(
 def station_summary(t: Tables) -> DataFrame:
     v, y = "o_totalprice", F.year("o_orderdate")
     out = t.orders.groupBy("o_custkey").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count("*").alias("n"), F.min(y).alias("first_year"), F.max(y).alias("last_year")).where("n > 10")
-    out = out.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").withColumn("cv", F.col("std") / F.col("mean"))
+    out = out.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").withColumn("cv", C.ratio("std", "mean"))
     return rounded(out, "mean", "std", "cv")
 
 
@@ -264,7 +265,7 @@ def cluster_characteristics(t: Tables) -> DataFrame:
         F.countDistinct("c_custkey").alias("n_stations"), F.count("*").alias("n_obs"), r6(F.avg("c_acctbal")).alias("centre"), r6(F.max("c_acctbal") - F.min("c_acctbal")).alias("spread"),
         r6(F.avg("o_totalprice")).alias("mean_q"), q.alias("q"),
     )
-    return out.withColumn("q90_q10", r6(F.col("q")[1] / F.col("q")[0])).drop("q")
+    return out.withColumn("q90_q10", r6(C.ratio(F.col("q")[1], F.col("q")[0]))).drop("q")
 
 
 @query("""WITH q AS (SELECT o_custkey, year(o_orderdate)::INT AS yyyy, month(o_orderdate)::INT AS mm, min(o_totalprice) AS a, max(o_totalprice) AS b, median(o_totalprice) AS m,
@@ -275,7 +276,7 @@ def quantile_spread(t: Tables) -> DataFrame:
     c = F.col
     return q.select(
         "o_custkey", "yyyy", "mm", r6(c("QMAX") - c("QMIN")).alias("spread"), r6(c("Q90") - c("Q10")).alias("inner_spread"), r6((c("QMIN") + c("QMAX")) / 2).alias("midrange"),
-        r6(c("QMAX") / c("Q50")).alias("max_ratio"), r6(c("Q50") / c("QMIN")).alias("min_ratio"),
+        r6(C.ratio("QMAX", "Q50")).alias("max_ratio"), r6(C.ratio("Q50", "QMIN")).alias("min_ratio"),
     )
 
 
@@ -285,14 +286,14 @@ def flow_regime_stats(t: Tables) -> DataFrame:
     q = t.orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
     v = F.col("o_totalprice")
     regime = F.when(v <= F.col("q")[0], "low").when(v <= F.col("q")[1], "mid").otherwise("high")
-    return t.orders.crossJoin(F.broadcast(q)).groupBy(regime.alias("regime")).agg(F.count("*").alias("n"), r6(F.stddev_samp(v) / F.avg(v)).alias("cv"))
+    return t.orders.crossJoin(F.broadcast(q)).groupBy(regime.alias("regime")).agg(F.count("*").alias("n"), r6(C.ratio(F.stddev_samp(v), F.avg(v))).alias("cv"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(l_extendedprice, 1.0/3) AS a, quantile_cont(l_extendedprice, 2.0/3) AS b FROM lineitem)
 SELECT (1 + (l_extendedprice > a)::INT + (l_extendedprice > b)::INT)::INT AS zone, round(corr(l_quantity, l_extendedprice), 6) AS r, count(*)::BIGINT AS n FROM lineitem, q GROUP BY ALL""")
 def equal_count_zones(t: Tables) -> DataFrame:
     z = A.equal_count_zones(t.lineitem.select("l_quantity", "l_extendedprice"), "l_extendedprice")
-    return z.groupBy("zone").agg(r6(F.corr("l_quantity", "l_extendedprice")).alias("r"), F.count("*").alias("n"))
+    return z.groupBy("zone").agg(r6(C.corr("l_quantity", "l_extendedprice")).alias("r"), F.count("*").alias("n"))
 
 
 @query("""SELECT 'c_acctbal' AS variable, round(100.0 * count(*) FILTER (c_acctbal < 0) / count(*), 6) AS null_pct FROM customer UNION ALL SELECT 'c_mktsegment', round(100.0 * count(*) FILTER (c_mktsegment IS NULL) / count(*), 6) FROM customer""")

@@ -154,5 +154,5 @@ def distance_band_pairs(t: Tables) -> DataFrame:
     pairs = binned.withColumnRenamed("s", "a").join(around, ["bx", "by"]).where("a < b").withColumn("d", d).where(F.col("d") < size).select("a", "b", F.floor(F.col("d") / 5).alias("band"))
     series = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), C.months("l_shipdate").alias("m")).agg(F.avg("l_extendedprice").alias("v"))
     one, two = series.select(F.col("s").alias("a"), "m", F.col("v").alias("va")), series.select(F.col("s").alias("b"), "m", F.col("v").alias("vb"))
-    c = pairs.join(one, "a").join(two, ["b", "m"]).groupBy("a", "b", "band").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n")).where("n >= 3")
+    c = pairs.join(one, "a").join(two, ["b", "m"]).groupBy("a", "b", "band").agg(C.corr("va", "vb").alias("r"), F.count("*").alias("n")).where("n >= 3")
     return c.groupBy("band").agg(F.count("*").alias("n_pairs"), r6(F.avg("r")).alias("mean_r"))

@@ -50,7 +50,7 @@ m AS (SELECT 'l_quantity' AS variable, avg(a) AS rho FROM c UNION ALL SELECT 'l_
 SELECT variable, round(rho, 6) AS rho FROM k WHERE good OR (NOT EXISTS (SELECT 1 FROM k WHERE good) AND place <= 5)""")
 def relevance_filter(t: Tables) -> DataFrame:
     names = ["l_quantity", "l_discount", "l_tax"]
-    each = t.lineitem.groupBy("l_suppkey").agg(*[F.abs(F.corr(c, "l_extendedprice")).alias(c) for c in names])
+    each = t.lineitem.groupBy("l_suppkey").agg(*[F.abs(C.corr(c, "l_extendedprice")).alias(c) for c in names])
     mean = A.long_form(each, ["l_suppkey"], names).groupBy("variable").agg(F.avg("value").alias("rho"))
     best = mean.agg(F.max("rho").alias("top"), F.sort_array(F.collect_list(F.struct("rho", "variable")), asc=False).alias("all"))  # one row per variable
     low = F.when(F.col("top") >= 0.5, 0.5).otherwise(F.element_at(F.slice(F.col("all"), 1, 5), -1)["rho"])
@@ -79,7 +79,7 @@ def cv_filter(t: Tables) -> DataFrame:
 @query(f"""WITH m AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, stddev_samp(l_quantity) / avg(l_quantity) AS q, stddev_samp(l_extendedprice) / avg(l_extendedprice) AS e FROM lineitem)
 SELECT variable FROM (SELECT 'l_quantity' AS variable, r <= 0.5 OR q >= e AS ok FROM m UNION ALL SELECT 'l_extendedprice', r <= 0.5 OR e > q FROM m UNION ALL SELECT 'l_discount', true FROM m UNION ALL SELECT 'l_tax', true FROM m) WHERE ok""")
 def collinearity_prune(t: Tables) -> DataFrame:
-    cv = t.lineitem.agg(*[(F.stddev_samp(c) / F.avg(c)).alias(c) for c in _V]).first().asDict()
+    cv = t.lineitem.agg(*[C.ratio(F.stddev_samp(c), F.avg(c)).alias(c) for c in _V]).first().asDict()
     return _names(t, S.collinearity_prune(A.corr_matrix(t.lineitem, _V), cv, 0.5)).select("variable")
 
 
@@ -132,7 +132,7 @@ def group_r2(t: Tables) -> DataFrame:
 SELECT l_suppkey, round(least(a, b, c), 6) AS lo, round(greatest(a, b, c), 6) AS hi, round((a + b + c) / 3, 6) AS mean, round(a + b + c - least(a, b, c) - greatest(a, b, c), 6) AS median FROM q""")
 def group_r2_over_quantiles(t: Tables) -> DataFrame:
     o = F.col("l_extendedprice")
-    each = t.lineitem.groupBy("l_suppkey").agg(*[(1 - F.avg((F.col("l_quantity") * k - o) ** 2) / F.var_pop(o)).alias(n) for n, k in (("a", 1400), ("b", 1500), ("c", 1600))])
+    each = t.lineitem.groupBy("l_suppkey").agg(*[(1 - C.ratio(F.avg((F.col("l_quantity") * k - o) ** 2), F.var_pop(o))).alias(n) for n, k in (("a", 1400), ("b", 1500), ("c", 1600))])
     return each.select("l_suppkey", r6(F.least("a", "b", "c")).alias("lo"), r6(F.greatest("a", "b", "c")).alias("hi"), r6((F.col("a") + F.col("b") + F.col("c")) / 3).alias("mean"), r6(C.row_median(["a", "b", "c"])).alias("median"))
 
 
@@ -167,7 +167,7 @@ def station_best_predictor(t: Tables) -> DataFrame:
 SELECT round(prod, 6) AS r_both, round(a, 6) AS r_a, round(b, 6) AS r_b, prod > 0.5 * greatest(a, b) AS keep FROM m""")
 def interaction_corr(t: Tables) -> DataFrame:
     y = "l_extendedprice"
-    m = t.lineitem.agg(F.abs(F.corr(F.col("l_quantity") * F.col("l_tax"), y)).alias("both"), F.abs(F.corr("l_quantity", y)).alias("a"), F.abs(F.corr("l_tax", y)).alias("b"))
+    m = t.lineitem.agg(F.abs(C.corr(F.col("l_quantity") * F.col("l_tax"), y)).alias("both"), F.abs(C.corr("l_quantity", y)).alias("a"), F.abs(C.corr("l_tax", y)).alias("b"))
     return m.select(r6("both").alias("r_both"), r6("a").alias("r_a"), r6("b").alias("r_b"), (F.col("both") > 0.5 * F.greatest("a", "b")).alias("keep"))
 
 

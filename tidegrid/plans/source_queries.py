@@ -12,7 +12,7 @@ from tidegrid.operators.aggregates import monthly_quantiles, overlap_counts
 from tidegrid.plans.registry import Tables, query, r6, rounded
 from tidegrid.session import shared_dir
 from tidegrid.sources import text as X
-from tidegrid.streaming.incremental import current_quantiles, incremental_quantiles
+from tidegrid.streaming import incremental
 
 
 def _place(t: Tables, name: str) -> str:
@@ -82,14 +82,14 @@ _INC = """SELECT user_id AS station, year(ts)::INT AS yyyy, month(ts)::INT AS mm
 
 
 @query(_INC)
-def incremental_monthly_quantiles(t: Tables) -> DataFrame:
+def incremental_quantiles(t: Tables) -> DataFrame:
     """Two arrivals of files: the second brings only the months it touches up to date."""
     source, target, checkpoint = _place(t, "arrivals"), _place(t, "state"), _place(t, "progress")
     rows = t.events.select(F.col("user_id").alias("station"), F.col("ts").alias("date"), "value")
     for part in (0, 1):
         t.events.select(F.col("user_id").alias("station"), F.col("ts").alias("date"), "value", (F.col("event_id") % 2).alias("p")).where(F.col("p") == part).drop("p").write.mode("append").parquet(source)
-        incremental_quantiles(t.spark, source, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), target, checkpoint)
-    return current_quantiles(t.spark, target).select("station", "yyyy", "mm", "n_obs", r6("Q50").alias("q50"), r6("QMAX").alias("qmax"))
+        incremental.incremental_quantiles(t.spark, source, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), target, checkpoint)
+    return incremental.current_quantiles(t.spark, target).select("station", "yyyy", "mm", "n_obs", r6("Q50").alias("q50"), r6("QMAX").alias("qmax"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS k, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS m, median(o_totalprice) * 0.028316846592 AS q FROM orders GROUP BY ALL), e AS (SELECT user_id AS k, (year(ts) * 12 + month(ts))::INT AS m, median(value) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
@@ -100,7 +100,7 @@ def workload_series_comparison(t: Tables) -> DataFrame:
     b = monthly_quantiles(t.events, "user_id", "ts", "value")
     key = lambda d, k: [F.col(k).alias("k"), ((F.col("yyyy") * 12 + F.col("mm")) % 12).alias("m")]
     j = a.select(*key(a, "o_custkey"), F.col("Q50").alias("q")).join(b.select(*key(b, "user_id"), F.col("Q50").alias("v")), ["k", "m"])
-    out = j.join(t.customer.select(F.col("c_custkey").alias("k"), "c_nationkey"), "k").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.corr("q", "v").alias("r"), F.round(F.avg("q"), 4).alias("mean_q"))
+    out = j.join(t.customer.select(F.col("c_custkey").alias("k"), "c_nationkey"), "k").groupBy("c_nationkey").agg(F.count("*").alias("n"), C.corr("q", "v").alias("r"), F.round(F.avg("q"), 4).alias("mean_q"))
     return rounded(out.where("n > 2"), "r")
 
 
