@@ -37,62 +37,73 @@ from tidegrid.llm.word_tokens import default_path, encoder
 
 MAGIC = b"TGB1"
 #: Ids that a block is filled up to, and lanes in a full block.
-BLOCK_IDS, LANES = 1 << 19, 2048
+BLOCK_IDS, LANES = 1 << 20, 4096
 #: Slots of the order-2 table (hashed by two ids), steps between refreshes of the order-0 frequencies, and their gain.
 SLOTS, REFRESH, GAIN = 1 << 18, 4, 24
 CONFIDENT = 7  # confidence runs from 0 (never right) to this
+MIX = 12  # bits of the mix's probabilities
 _U = np.uint64
-_MASK48, _LOW, _DIGIT = _U((1 << 48) - 1), _U(1 << 32), _U(16)
+_MIX = _U(MIX)
+_LOW, _DOWN, _DIGIT = _U(1 << 48), _U(48), _U(16)  # spans run from 2**48 to 2**64 between ids
 
 
 class _Model:
-    """The predictors and the mix, shared by the lanes of a block."""
+    """The predictors and the mix, shared by the lanes of a block. A row of the mix always sums up to 2**MIX."""
 
     def __init__(self, vocabulary: int):
         self.n = vocabulary
-        self.one = np.zeros(vocabulary + 1, dtype=np.int32)  # context: predicted id * 8 + confidence
-        self.two = np.zeros(SLOTS, dtype=np.int32)
+        self.one = np.zeros(vocabulary + 1, dtype=np.int64)  # context: predicted id * 8 + confidence
+        self.two = np.zeros(SLOTS, dtype=np.int64)
         self.weight = np.ones(vocabulary, dtype=np.int64)
-        self.mix = np.tile(np.array([24, 8, 32], dtype=np.int64), ((CONFIDENT + 1) ** 2, 1))
-        self.age = 0
+        self.seen: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.tally = np.tile(np.array([24, 8, 32], dtype=np.int64), ((CONFIDENT + 1) ** 2, 1))
         self.refresh()
-        self.bounds()
 
-    def bounds(self) -> None:
+    def share(self) -> None:
         """The mix as interval ends: ``ends[3 * row + outcome]`` is where an outcome begins, ``sizes`` how long it is."""
-        self.sizes = self.mix.astype(np.uint64).ravel()
-        self.all = self.mix.sum(axis=1).astype(np.uint64)
-        self.ends = (np.cumsum(self.mix, axis=1) - self.mix).astype(np.uint64).ravel()
+        part = (1 << MIX) - 3
+        total = self.tally.sum(axis=1)
+        two, one = 1 + self.tally[:, 0] * part // total, 1 + self.tally[:, 1] * part // total
+        sizes = np.stack((two, one, (1 << MIX) - two - one), axis=1)
+        self.sizes = sizes.astype(np.uint64).ravel()
+        self.ends = (np.cumsum(sizes, axis=1) - sizes).astype(np.uint64).ravel()
 
     def refresh(self) -> None:
-        self.below = np.concatenate(([0], np.cumsum(self.weight)))
-        self.total = int(self.below[-1])
-        if self.total >= 1 << 24:
+        """Order-0 frequencies and mix, with what was seen since the last refresh."""
+        if self.seen:
+            self.weight += GAIN * np.bincount(np.concatenate(self.seen), minlength=self.n)
+            self.tally += 8 * np.bincount(np.concatenate(self.places), minlength=self.tally.size).reshape(self.tally.shape)
+            self.seen.clear()
+            self.places.clear()
+            while (large := self.tally.sum(axis=1) > 1 << 15).any():
+                self.tally[large] = (self.tally[large] + 1) >> 1
+        self.below = np.zeros(self.n + 1, dtype=np.int64)
+        np.cumsum(self.weight, out=self.below[1:])
+        while self.below[-1] >= 1 << 24:
             self.weight = (self.weight + 1) >> 1
-            self.below = np.concatenate(([0], np.cumsum(self.weight)))
-            self.total = int(self.below[-1])
-        self.starts, self.counts = self.below[:-1].astype(np.uint64), self.weight.astype(np.uint64)
+            np.cumsum(self.weight, out=self.below[1:])
+        self.total = int(self.below[-1])
+        self.starts, self.counts = self.below.view(np.uint64), self.weight.view(np.uint64)
+        self.share()
 
     def predict(self, a: np.ndarray, b: np.ndarray):
-        """For each lane's last two ids (b the later): table slots, both predictions, mix row."""
+        """For each lane's last two ids (b the later): table slots, both predictions, first place in the mix."""
         slot = (a * 40_503 ^ b * 1_013) & (SLOTS - 1)
         p2, p1 = self.two[slot], self.one[b]
-        return slot, p2 >> 3, p1 >> 3, (p2 & 7) << 3 | p1 & 7
+        return slot, p2, p1, ((p2 & 7) << 3 | p1 & 7) * 3
 
-    def learn(self, slot, b, p2, p1, row, outcome, ids) -> None:
+    def learn(self, slot, b, p2, p1, place, ids) -> None:
         """Later lanes win where several write one entry; the decoder sees the same order."""
-        c2, c1 = row >> 3, row & 7
-        for held, at, p, c in ((self.two, slot, p2, c2), (self.one, b, p1, c1)):
-            hit, down = p == ids, c >> 1
-            p = np.where(hit | (down > 0), p, ids)
-            held[at] = p << 3 | np.where(hit, np.minimum(c + 1, CONFIDENT), np.maximum(down, 1))
-        self.mix += 8 * np.bincount(row * 3 + outcome, minlength=self.mix.size).reshape(self.mix.shape)
-        while (large := self.mix.sum(axis=1) > 1 << 15).any():
-            self.mix[large] = (self.mix[large] + 1) >> 1
-        self.bounds()
-        np.add.at(self.weight, ids, GAIN)
-        self.age += 1
-        if self.age % REFRESH == 0:
+        coded = ids << 3
+        for held, at, p in ((self.two, slot, p2), (self.one, b, p1)):
+            c = p & 7
+            hit = p - c == coded
+            kept = np.where(hit, p + (c < CONFIDENT), p - c + (c >> 1))  # right: more confident; wrong: half as much
+            held[at] = np.where(hit | (c > 1), kept, coded + 1)
+        self.places.append(place)
+        self.seen.append(ids)
+        if len(self.seen) == REFRESH:
             self.refresh()
 
 
@@ -108,59 +119,53 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     if n == 0:
         return MAGIC + struct.pack("<5I", 0, 0, vocabulary, 0, 0)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, dtype=np.int32)
+    grid = np.zeros(lanes * steps, dtype=np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # past the last id: zeros, coded like ids and cut off again
     model = _Model(vocabulary)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-    digits = np.zeros((lanes, 4 * steps + 8), dtype=np.int64)  # a digit may overflow by a carry, which is resolved at the end
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
+    digits = np.zeros((lanes, 3 * steps + 8), dtype=np.int32)  # a digit may overflow by a carry, which is resolved at the end
     used = np.zeros(lanes, dtype=np.int64)
     everyone = np.arange(lanes)
 
-    def spill() -> None:
-        """Put out a digit of every lane whose span got short."""
-        nonlocal low, span
-        while len(small := np.flatnonzero(span < _LOW)):
-            digits[small, used[small]] = (low[small] >> _U(32)).astype(np.int64)
-            used[small] += 1
-            low[small] = low[small] << _DIGIT & _MASK48
-            span[small] <<= _DIGIT
-
-    def carry_over() -> None:
-        w = np.flatnonzero(low > _MASK48)
-        if len(w):
-            digits[w, used[w] - 1] += 1
-            low[w] &= _MASK48
-
-    a = b = np.full(lanes, vocabulary, dtype=np.int32)
+    a = b = np.full(lanes, vocabulary, dtype=np.int64)
     for x in grid:
-        slot, p2, p1, row = model.predict(a, b)
-        outcome = np.where(p2 == x, 0, np.where(p1 == x, 1, 2))
-        at = row * 3 + outcome
-        part = span // model.all[row]
-        low += part * model.ends[at]
-        span = part * model.sizes[at]
-        carry_over()
-        spill()
-        rest = np.flatnonzero(outcome == 2)
+        slot, p2, p1, first = model.predict(a, b)
+        miss = p2 >> 3 != x
+        place = first + miss + (miss & (p1 >> 3 != x))
+        span >>= _MIX
+        add = span * model.ends[place]
+        low += add
+        over = low < add  # past 2**64: a carry into the last digit
+        span *= model.sizes[place]
+        rest = np.flatnonzero(place - first == 2)
         if len(rest):
             y = x[rest]
             part = span[rest] // _U(model.total)
-            low[rest] += part * model.starts[y]
+            add, start = part * model.starts[y], low[rest]
+            low[rest] = add = start + add
+            over[rest] |= add < start
             span[rest] = part * model.counts[y]
-            carry_over()
-            spill()
-        model.learn(slot, b, p2, p1, row, outcome, x)
+        if len(w := np.flatnonzero(over)):
+            digits[w, used[w] - 1] += 1
+        while len(w := np.flatnonzero(span < _LOW)):  # put out a digit of every lane whose span got short
+            start = low[w]
+            digits[w, used[w]] = start >> _DOWN
+            used[w] += 1
+            low[w] = start << _DIGIT
+            span[w] <<= _DIGIT
+        model.learn(slot, b, p2, p1, place, x)
         a, b = b, x
-    last = (low + _LOW - _U(1)) >> _U(32)  # one digit that lies in the final interval of at least 2**32
-    digits[everyone, used] = (last & _U(0xFFFF)).astype(np.int64)
-    over = last > _U(0xFFFF)
-    digits[everyone[over], used[over] - 1] += 1
+    last = (low >> _DOWN) + ((low & (_LOW - _U(1))) != 0)  # one digit that lies in the final interval of at least 2**48
+    digits[everyone, used] = last & _U(0xFFFF)
+    over = np.flatnonzero(last > _U(0xFFFF))
+    digits[over, used[over] - 1] += 1
     used += 1
-    for k in range(digits.shape[1] - 1, 0, -1):
+    for k in range(int(used.max()) - 1, 0, -1):
         carry = digits[:, k] >> 16
-        digits[:, k] &= 0xFFFF
-        digits[:, k - 1] += carry
+        if carry.any():
+            digits[:, k] &= 0xFFFF
+            digits[:, k - 1] += carry
     kind = "<u2" if n < 1 << 24 else "<u4"
     body = used.astype(kind).tobytes() + digits[np.arange(digits.shape[1])[None, :] < used[:, None]].astype("<u2").tobytes()
     return MAGIC + struct.pack("<5I", n, lanes, vocabulary, zlib.crc32(ids.tobytes()), zlib.crc32(body)) + body
@@ -185,43 +190,43 @@ def decode_block(data: bytes) -> np.ndarray:
     at = ends - used
     spare = len(flat) - 1
     model = _Model(vocabulary)
-    span = np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
+    span = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     value = np.zeros(lanes, dtype=np.uint64)
-    everyone = np.arange(lanes)
 
     def pull(who) -> None:
-        value[who] = value[who] << _DIGIT | flat[np.where(at[who] < ends[who], at[who], spare)]
+        here = at[who]
+        value[who] = value[who] << _DIGIT | flat[np.where(here < ends[who], here, spare)]
         at[who] += 1
 
-    def fill() -> None:
-        while len(small := np.flatnonzero(span < _LOW)):
-            pull(small)
-            span[small] <<= _DIGIT
-
-    for _ in range(3):
-        pull(everyone)
-    grid = np.empty((steps, lanes), dtype=np.int32)
-    a = b = np.full(lanes, vocabulary, dtype=np.int32)
+    for _ in range(4):
+        pull(np.arange(lanes))
+    grid = np.empty((steps, lanes), dtype=np.int64)
+    a = b = np.full(lanes, vocabulary, dtype=np.int64)
     for k in range(steps):
-        slot, p2, p1, row = model.predict(a, b)
-        first = row * 3
-        part = span // model.all[row]
-        v = value // part
-        outcome = (v >= model.ends[first + 1]).astype(np.int32) + (v >= model.ends[first + 2])
-        place = first + outcome
-        value -= part * model.ends[place]
-        span = part * model.sizes[place]
-        fill()
-        x = np.where(outcome == 0, p2, p1)
+        slot, p2, p1, first = model.predict(a, b)
+        span >>= _MIX
+        place = first + (value >= span * model.ends[first + 1])
+        place += value >= span * model.ends[first + 2]
+        value -= span * model.ends[place]
+        span *= model.sizes[place]
+        outcome = place - first
+        x = np.where(outcome == 0, p2, p1) >> 3
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
-            part = span[rest] // _U(model.total)
-            y = np.searchsorted(model.below, np.minimum((value[rest] // part).astype(np.int64), model.total - 1), side="right") - 1
-            value[rest] -= part * model.starts[y]
+            part, v = span[rest] // _U(model.total), value[rest]
+            q = (v / part).astype(np.uint64)  # a float quotient, at most one off
+            q -= part * q > v
+            q += v - part * q >= part
+            at_once = np.argsort(q)  # in order, the search stays in the cache
+            y = np.empty(len(q), dtype=np.int64)
+            y[at_once] = np.searchsorted(model.below, np.minimum(q[at_once].view(np.int64), model.total - 1), side="right") - 1
+            value[rest] = v - part * model.starts[y]
             span[rest] = part * model.counts[y]
-            fill()
             x[rest] = y
-        model.learn(slot, b, p2, p1, row, outcome, x)
+        while len(w := np.flatnonzero(span < _LOW)):
+            pull(w)
+            span[w] <<= _DIGIT
+        model.learn(slot, b, p2, p1, place, x)
         grid[k] = x
         a, b = b, x
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
@@ -246,8 +251,8 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             return pd.DataFrame({"block": [number], "doc_ids": [doc_ids], "lengths": [[len(p) for p in parts]], "payload": [payload]})
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = np.concatenate((enc.ids(text), end))
+            for doc_id, ids in zip(b["doc_id"], enc.batch(b["text"].tolist())):
+                ids = np.concatenate((ids, end))
                 if parts and held + len(ids) > BLOCK_IDS:
                     yield block()
                     number, doc_ids, parts, held = number + 1, [], [], 0

@@ -13,10 +13,16 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Words in each of a worker's two generations of memory: a full young one becomes the old one. It bounds memory, never the results.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
+#: Characters of the texts that are encoded at once.
+RUN_CHARS = 6_000_000
+#: ASCII characters that are neither letters nor digits nor white space.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UNLIKE = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _LETTERS = re.compile(r"[a-z]+\Z")
@@ -44,18 +50,25 @@ class WordEncoder(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(SIGNS)
+        if core and core != word and core.isalpha():  # letters, then signs: the two never join, and each is known by itself
+            return self[core] + self[word[len(core) :]]
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
-        if (known := self.old.get(word)) is None:
-            tokenize, found = self.model.tokenize, array("I")
-            for piece in (word,) if _LETTERS.match(word) else _PIECES.findall(word):
-                letters = piece if _LETTERS.match(piece) else "".join(map(self.alphabet.__getitem__, piece.encode()))
-                found.extend([t.id for t in tokenize(letters)])
-            known = found.tobytes()
+        known = self.old.get(word)
+        if known is None:
+            known = self._tokenized((word,) if word.isalpha() else _PIECES.findall(word))
         self[word] = known
         return known
 
+    def _tokenized(self, pieces) -> bytes:
+        found = array("I")
+        for piece in pieces:
+            letters = piece if _LETTERS.match(piece) else "".join(map(self.alphabet.__getitem__, piece.encode()))
+            found.extend([t.id for t in self.model.tokenize(letters)])
+        return found.tobytes()
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
@@ -64,6 +77,42 @@ class WordEncoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), dtype="<u4")
 
 
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """``ids`` of each text. Words are told apart by Arrow's dictionary encoding, a bounded run of texts at a time."""
+        out: list[np.ndarray] = []
+        run: list[str] = []
+        held = 0
+        for text in texts:
+            if text and _UNLIKE.search(text):
+                out += self._run(run)
+                out.append(self.ids(text))
+                run, held = [], 0
+                continue
+            run.append(text.lower() if text else "")
+            held += len(run[-1])
+            if held > RUN_CHARS:
+                out += self._run(run)
+                run, held = [], 0
+        return out + self._run(run)
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of lower-cased texts without unlike characters, as parts of one array."""
+        if not texts:
+            return []
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        known = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        table = np.frombuffer(b"".join(known), dtype="<u4")
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        begins = (np.cumsum(sizes) - sizes)[word] - (ends - n)
+        ids = table[np.repeat(begins, n) + np.arange(len(begins) and ends[-1])]
+        upto = np.concatenate(([0], ends))[words.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
