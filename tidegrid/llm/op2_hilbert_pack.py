@@ -29,7 +29,6 @@ from tidegrid.session import written
 
 #: Buckets of the hashed vectors, dimensions, bits per dimension.
 BUCKETS, DIMENSIONS, BITS = 1024, 3, 10
-_NORMAL_CUTS = 4096
 
 
 def projection(seed: int = 7) -> np.ndarray:
@@ -92,7 +91,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary_path: str,
         enc, directions = encoder(vocabulary_path), projection()
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            each = [np.concatenate((enc.ids(t), end)) for t in b["text"]]
+            each = [np.concatenate((x, end)) for x in enc.batch(b["text"].tolist())]
             cells = np.array([coordinates(x, directions) for x in each]).reshape(-1, DIMENSIONS)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"],
