@@ -101,6 +101,7 @@ def test_network_chain_star_and_lone_node(spark):
     out = {r.id: (r.outlet, r.hops) for r in N.outlets(df).collect()}
     assert out[9] == (1, 8) and out[23] == (20, 1) and out[50] == (50, 0)
     assert sum(acc[i] for i in (1, 20, 50)) == 16.0
+    assert dict(rows(N.members(df, df.where("id in (5, 20)")))) == {**{i: 5 for i in range(5, 10)}, **{i: 20 for i in range(20, 25)}}
     near = {r.id: (r.nearest, r.farthest) for r in N.headwater_distances(df).collect()}
     assert near[1] == (8, 8) and near[20] == (1, 1) and near[50] == (0, 0)
     assert dict(rows(N.shreve_order(df)))[20] == 4

@@ -52,17 +52,14 @@ def outlets(edges: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
     return _rounds(start, step).drop("jump")
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """(id, above): every node with every node downstream of it, at any distance: for catchments of chosen outlets or paths."""
-    pairs = written(edges.where("down_id is not null").select("id", F.col("down_id").alias("above")), "ancestors")
-    for _ in range(MOST_ROUNDS):
-        further = pairs.select(F.col("id").alias("above"), F.col("above").alias("next"))
-        more = pairs.join(further, "above").select("id", F.col("next").alias("above"))
-        new = written(pairs.unionByName(more).distinct(), "ancestors")
-        if new.count() == pairs.count():
-            return new
-        pairs = new
-    raise ValueError("the network has a cycle")
+def members(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, outlet): each node with the first chosen outlet at or below it; nodes with none are left out.
+
+    The forest is cut below the chosen nodes, so each node is listed once however the catchments nest.
+    """
+    picked = chosen.select("id").distinct().withColumn("_cut", F.lit(True))
+    cut = edges.select("id", "down_id").join(picked, "id", "left").select("id", F.when(F.col("_cut").isNull(), F.col("down_id")).alias("down_id"))
+    return outlets(cut).join(picked.select(F.col("id").alias("outlet")), "outlet", "left_semi").select("id", "outlet")
 
 
 def catchments(edges: DataFrame, chosen: DataFrame, weight: str) -> DataFrame:

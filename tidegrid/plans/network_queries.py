@@ -52,6 +52,14 @@ def stream_order_shreve(t: Tables) -> DataFrame:
     return N.shreve_order(_edges(t))
 
 
+@query(_WALK + " SELECT pos AS id, count(*)::BIGINT AS shreve, (max(hops) + 1)::BIGINT AS topo FROM w WHERE id NOT IN (SELECT down_id FROM e WHERE down_id IS NOT NULL) GROUP BY ALL")
+def stream_order(t: Tables) -> DataFrame:
+    """Shreve's order and the topological one (steps from the farthest headwater, from 1); Strahler's is below."""
+    e = _edges(t)
+    topo = N.headwater_distances(e).select("id", (F.col("farthest") + 1).alias("topo"))
+    return N.shreve_order(e).join(topo, "id")
+
+
 @query()
 def stream_order_strahler(t: Tables) -> DataFrame:
     return N.strahler_order(_edges(t))
@@ -69,6 +77,12 @@ def catchment_of_outlets(t: Tables) -> DataFrame:
     return N.catchments(e, e.where("id % 50 = 10"), "weight").withColumn("area", F.round("area", 4))
 
 
+@query(_WALK + " SELECT id, pos AS outlet FROM w WHERE pos % 50 = 10 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops) = 1")
+def catchment_members(t: Tables) -> DataFrame:
+    e = _edges(t)
+    return N.members(e, e.where("id % 50 = 10"))
+
+
 @query(f"WITH e AS ({_E}) SELECT a.id, round((a.elev - b.elev) / a.length * 1e6, 4) AS gradient FROM e a JOIN e b ON a.down_id = b.id")
 def segment_gradient(t: Tables) -> DataFrame:
     return N.segment_gradient(_edges(t), "elev", "length").withColumn("gradient", F.round("gradient", 4))
