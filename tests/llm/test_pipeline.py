@@ -59,3 +59,10 @@ def test_run_packs_what_is_left(spark, planted):
         by[p.doc_id] = by.get(p.doc_id, 0) + p.length
     assert 100 < len(by) < len(rows)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 4
+
+
+def test_empty_tables(spark, planted, tmp_path):
+    d, _ = planted
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -145,4 +145,5 @@ def pack_along_curve(docs: DataFrame, length: int = 4096, end_id: int = 2, id_co
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
     schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
-    return tokens.select("row", "doc_id", "n", "ids").join(place, "row").drop("row").mapInPandas(run, schema)
+    # merged at every size: positions grow with the documents, so they are never sent to all executors
+    return tokens.select("row", "doc_id", "n", "ids").join(place.hint("merge"), "row").drop("row").mapInPandas(run, schema)

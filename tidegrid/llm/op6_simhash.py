@@ -212,7 +212,8 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group of near-duplicates: that with the smallest id. Rows with a null id stay."""
     groups = written(simhash_groups(docs, id_col, text_col, words_per_shingle, radius).select("doc_id", "component_id"), "groups")
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # merged at every size: what goes grows with the documents, so it is never sent to all executors
+    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
     if groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     null = F.col(id_col).isNull()
