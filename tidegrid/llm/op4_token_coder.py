@@ -37,9 +37,9 @@ from tidegrid.llm.word_tokens import default_path, encoder
 
 MAGIC = b"TGB1"
 #: Ids that a block is filled up to, and lanes in a full block.
-BLOCK_IDS, LANES = 1 << 20, 4096
+BLOCK_IDS, LANES = 1 << 21, 8192
 #: Slots of the order-2 table (hashed by two ids), steps between refreshes of the order-0 frequencies, and their gain.
-SLOTS, REFRESH, GAIN = 1 << 18, 4, 24
+SLOTS, REFRESH, GAIN = 1 << 18, 2, 24
 CONFIDENT = 7  # confidence runs from 0 (never right) to this
 MIX = 12  # bits of the mix's probabilities
 _U = np.uint64

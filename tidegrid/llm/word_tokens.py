@@ -35,6 +35,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def plain(text: str) -> bool:
+    """Whether Python's rules for the text's characters are the library's."""
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return not _UNLIKE.search(text)
+
+
 class WordEncoder(dict):
     """``ids(text)``: the ids as uint32, equal to ``encode(text, add_special_tokens=False)``. As a dict: word to id bytes."""
 
@@ -72,7 +79,7 @@ class WordEncoder(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
-        if _UNLIKE.search(text):
+        if not plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), dtype="<u4")
 
@@ -83,7 +90,7 @@ class WordEncoder(dict):
         run: list[str] = []
         held = 0
         for text in texts:
-            if text and _UNLIKE.search(text):
+            if text and not plain(text):
                 out += self._run(run)
                 out.append(self.ids(text))
                 run, held = [], 0
@@ -101,7 +108,7 @@ class WordEncoder(dict):
             return []
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        known = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+        known = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
         sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
         table = np.frombuffer(b"".join(known), dtype="<u4")
         word = coded.indices.to_numpy()
