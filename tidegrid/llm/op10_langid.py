@@ -1,11 +1,11 @@
 """Language identification with a blended-spectrum string kernel.
 
-The kernel of two texts compares which character n-grams (n = 1 to 3) each holds, whatever their number:
-``k(x, z) = sum over n of |X_n & Z_n| / sqrt(|X_n| |Z_n|) / 3``. With Nyström landmarks z_1..z_m the features of a text are
+The kernel of two texts compares which character n-grams (n = 1 to 5) each holds, whatever their number:
+``k(x, z) = sum over n of |X_n & Z_n| / sqrt(|X_n| |Z_n|) / 5``. With Nyström landmarks z_1..z_m the features of a text are
 ``k(x, Z) K_ZZ^(-1/2)``, and one-versus-rest kernel ridge regression fits a weight vector per language on them.
 
 The kernel is linear in the n-gram presence vectors, so landmarks and ridge weights fold into one matrix per n (n-grams by
-languages). A batch of texts is scored by three matrix products with them: same numbers, far less work.
+languages). A batch of texts is scored by one product per n of its sparse presence rows with them: same numbers, far less work.
 
 The model is fitted on at most ``SAMPLE`` labelled texts (whole texts; the presence vectors are made on the executors) and
 has a fixed size, which is what is broadcast. All rows are then scored in the tasks that read them, without a shuffle.
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from tidegrid.llm.rows import keep_rows
 
 #: Labelled texts learned from, over all languages; and landmarks among them.
-SAMPLE, LANDMARKS = 1_500, 192
-#: Buckets of the hashed n-grams for n = 1, 2, 3.
-BUCKETS = (1_024, 8_192, 32_768)
-RIDGE = 1e-2
+SAMPLE, LANDMARKS = 1_200, 192
+#: Buckets of the hashed n-grams for n = 1 to 5.
+BUCKETS = (1_024, 8_192, 32_768, 65_536, 65_536)
+RIDGE = 3e-3
 UNKNOWN = "und"
 
 _ALPHA = np.array([c.isalpha() for c in map(chr, range(0x10000))], dtype=bool)
@@ -49,9 +49,10 @@ def presence(text: str | None) -> list[np.ndarray]:
     codes = np.concatenate(([32], codes[keep], [32]))
     out = []
     for n, size in enumerate(BUCKETS, 1):
-        h = codes[: len(codes) - n + 1].copy()
+        many = max(0, len(codes) - n + 1)
+        h = codes[:many].copy()
         for i in range(1, n):
-            h = h * 0x9E3779B1 + codes[i : len(codes) - n + 1 + i]
+            h = h * 0x9E3779B1 + codes[i : many + i]
         h = ((h * 0x2545F4914F6CDD1D) >> 20) & 0x7FFFFFFFFFF if n > 1 else h
         seen = np.zeros(size, dtype=bool)
         seen[h % size] = True
@@ -72,6 +73,17 @@ def rows_of(sets: list[np.ndarray], size: int) -> np.ndarray:
     return m
 
 
+def product(sets: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """``rows_of(sets, len(w)) @ w`` without the zeros."""
+    out = np.zeros((len(sets), w.shape[1]))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        out[some] = np.add.reduceat(w[np.concatenate([sets[i] for i in some])], starts, axis=0) / np.sqrt(sizes[some])[:, None]
+    return out
+
+
 @dataclass
 class KernelModel:
     """``weights[n - 1]``: buckets by languages; landmarks and ridge weights folded."""
@@ -86,8 +98,11 @@ class KernelModel:
         languages = sorted(set(labels))
         order = sorted(range(len(labels)), key=lambda i: labels[i])
         marks = [order[i] for i in np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))]
-        parts = [rows_of([s[n] for s in sets], size) for n, size in enumerate(BUCKETS)]
-        k = sum(p @ p[marks].T for p in parts).astype(np.float64) / len(BUCKETS)
+        k = np.zeros((len(sets), len(marks)))
+        for n, size in enumerate(BUCKETS):
+            z = rows_of([sets[i][n] for i in marks], size).T
+            for i in range(0, len(sets), 128):  # a block of texts at a time
+                k[i : i + 128] += rows_of([s[n] for s in sets[i : i + 128]], size) @ z / len(BUCKETS)
         value, vector = np.linalg.eigh(k[marks])
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
@@ -98,7 +113,11 @@ class KernelModel:
         a = (phi - mean[0]) * weight[:, None]
         alpha = np.linalg.solve(a.T @ a + ridge * np.trace(a.T @ a) / a.shape[1] * np.eye(a.shape[1]), a.T @ ((y - mean[1]) * weight[:, None]))
         fold = (root @ alpha / len(BUCKETS)).astype(np.float32)
-        return cls(languages, [p[marks].T @ fold for p in parts], mean[1] - mean[0] @ alpha)
+        weights = [np.zeros((size, len(languages)), np.float32) for size in BUCKETS]
+        for i, row in zip(marks, fold):
+            for w, s in zip(weights, sets[i]):
+                w[s] += row / np.sqrt(max(1, len(s)))
+        return cls(languages, weights, mean[1] - mean[0] @ alpha)
 
     def score(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray]:
         """The language and its score: the ridge output of the best language, from -1..1 to 0..1 and clipped."""
@@ -106,7 +125,7 @@ class KernelModel:
         for i in range(0, len(texts), batch):
             part = texts[i : i + batch]
             sets = [presence(t) for t in part]
-            out = self.bias + sum(rows_of([s[n] for s in sets], size) @ w for n, (size, w) in enumerate(zip(BUCKETS, self.weights)))
+            out = self.bias + sum(product([s[n] for s in sets], w) for n, w in enumerate(self.weights))
             best = out.argmax(axis=1)
             for t, j, row in zip(part, best.tolist(), out):
                 known = has_letter(t)
@@ -128,16 +147,17 @@ def fit_language_model(docs: DataFrame, learn: Column, sample: int = SAMPLE, id_
         return None
     each = sample // len(counts)
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * each / n + 4 / n))) for k, n in counts.items()])
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.15 * each / n + 4 / n))) for k, n in counts.items()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"lang": b["lang"], "spread": b["spread"], **{f"s{n}": [s[n] for s in map(presence, b["text"])] for n in range(len(BUCKETS))}})
+            sets = [[x.astype(np.int32) for x in presence(t)] for t in b["text"]]
+            yield pd.DataFrame({"lang": b["lang"], "spread": b["spread"], **{f"s{n}": [s[n].tobytes() for s in sets] for n in range(len(BUCKETS))}})
 
     picked = rows.withColumn("spread", spread).where(F.col("spread") < share).select("lang", "spread", "text")
-    found = picked.mapInPandas(run, "lang string, spread double, s0 array<long>, s1 array<long>, s2 array<long>").toPandas()
+    found = picked.mapInPandas(run, "lang string, spread double, " + ", ".join(f"s{n} binary" for n in range(len(BUCKETS)))).toPandas()
     found = found.sort_values(["lang", "spread"], kind="stable").groupby("lang", sort=False).head(each)
-    sets = [[np.asarray(r[n]) for n in range(len(BUCKETS))] for r in found[["s0", "s1", "s2"]].itertuples(index=False)]
+    sets = [[np.frombuffer(x, dtype=np.int32) for x in r] for r in found[[f"s{n}" for n in range(len(BUCKETS))]].itertuples(index=False)]
     return KernelModel.fit(sets, found["lang"].tolist()) if sets else None
 
 
