@@ -15,7 +15,7 @@ from tidegrid.llm.op10_langid import fit_language_model, fold_of, keep_identifie
 from tidegrid.session import ship_package, table, written
 
 #: A document below this language score is in none of the learned languages.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
