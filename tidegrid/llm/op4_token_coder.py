@@ -90,7 +90,7 @@ class _Model:
     def predict(self, a: np.ndarray, b: np.ndarray):
         """For each lane's last two ids (b the later): table slots, both predictions, first place in the mix."""
         slot = (a * 40_503 ^ b * 1_013) & (SLOTS - 1)
-        p2, p1 = self.two[slot], self.one[b]
+        p2, p1 = self.two.take(slot), self.one.take(b)
         return slot, p2, p1, ((p2 & 7) << 3 | p1 & 7) * 3
 
     def learn(self, slot, b, p2, p1, place, ids) -> None:
@@ -134,18 +134,18 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         miss = p2 >> 3 != x
         place = first + miss + (miss & (p1 >> 3 != x))
         span >>= _MIX
-        add = span * model.ends[place]
+        add = span * model.ends.take(place)
         low += add
         over = low < add  # past 2**64: a carry into the last digit
-        span *= model.sizes[place]
+        span *= model.sizes.take(place)
         rest = np.flatnonzero(place - first == 2)
         if len(rest):
-            y = x[rest]
-            part = span[rest] // _U(model.total)
-            add, start = part * model.starts[y], low[rest]
+            y = x.take(rest)
+            part = span.take(rest) // _U(model.total)
+            add, start = part * model.starts.take(y), low.take(rest)
             low[rest] = add = start + add
             over[rest] |= add < start
-            span[rest] = part * model.counts[y]
+            span[rest] = part * model.counts.take(y)
         if len(w := np.flatnonzero(over)):
             digits[w, used[w] - 1] += 1
         while len(w := np.flatnonzero(span < _LOW)):  # put out a digit of every lane whose span got short
@@ -205,23 +205,23 @@ def decode_block(data: bytes) -> np.ndarray:
     for k in range(steps):
         slot, p2, p1, first = model.predict(a, b)
         span >>= _MIX
-        place = first + (value >= span * model.ends[first + 1])
-        place += value >= span * model.ends[first + 2]
-        value -= span * model.ends[place]
-        span *= model.sizes[place]
+        place = first + (value >= span * model.ends.take(first + 1))
+        place += value >= span * model.ends.take(first + 2)
+        value -= span * model.ends.take(place)
+        span *= model.sizes.take(place)
         outcome = place - first
         x = np.where(outcome == 0, p2, p1) >> 3
         rest = np.flatnonzero(outcome == 2)
         if len(rest):
-            part, v = span[rest] // _U(model.total), value[rest]
+            part, v = span.take(rest) // _U(model.total), value.take(rest)
             q = (v / part).astype(np.uint64)  # a float quotient, at most one off
             q -= part * q > v
             q += v - part * q >= part
             at_once = np.argsort(q)  # in order, the search stays in the cache
             y = np.empty(len(q), dtype=np.int64)
-            y[at_once] = np.searchsorted(model.below, np.minimum(q[at_once].view(np.int64), model.total - 1), side="right") - 1
-            value[rest] = v - part * model.starts[y]
-            span[rest] = part * model.counts[y]
+            y[at_once] = np.searchsorted(model.below, np.minimum(q.take(at_once).view(np.int64), model.total - 1), side="right") - 1
+            value[rest] = v - part * model.starts.take(y)
+            span[rest] = part * model.counts.take(y)
             x[rest] = y
         while len(w := np.flatnonzero(span < _LOW)):
             pull(w)
