@@ -99,8 +99,9 @@ class MergeReplay:
     def _replay(self, symbol: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Merge in place: a merged position's right neighbour becomes -1 and leaves the chain.
 
-        Returns positions where a merge made a pair of no greater rank than its own: there the order of merges inside
-        the piece may differ from the replay's, and the caller encodes that piece by the plain rule.
+        Returns positions where a merge made a pair of no greater rank than its own, if only until the next merge beside
+        it: there the order of merges inside the piece may differ from the replay's, and the caller encodes that piece by
+        the plain rule.
         """
         index: dict[int, list[np.ndarray]] = {}  # rank: positions at which a pair of that rank begins
         heap: list[int] = []
@@ -141,6 +142,10 @@ class MergeReplay:
             if not len(at):
                 continue
             far = after[right]
+            if len(at) > 1 and (beside := np.flatnonzero(far[:-1] == at[1:])).size:
+                # between two merges side by side, the first one's token stood before the second one's first symbol
+                between = self.ranks_of(np.full(len(beside), rank), symbol[at[1:][beside]])
+                early.append(at[beside[(between >= 0) & (between <= rank)]])
             symbol[at], symbol[right] = rank, -1
             after[at] = far
             inner = far >= 0
