@@ -14,14 +14,11 @@ from tidegrid.llm.op7_toxicity import drop_toxic, fit_toxicity_model
 from tidegrid.llm.op10_langid import fit_language_model, fold_of, keep_identified
 from tidegrid.session import ship_package, table, written
 
-#: A document below this language score is in none of the learned languages.
-LEAST_LANGUAGE_SCORE = 0.25
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts like none of the learned languages."""
+    """Drops texts without a letter and texts whose n-grams are those of none of the learned languages."""
     ship_package(spark)
-    return keep_identified(docs, fit_language_model(docs, fold_of("doc_id", 4) != 2), LEAST_LANGUAGE_SCORE)
+    return keep_identified(docs, fit_language_model(docs, fold_of("doc_id", 4) != 2))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

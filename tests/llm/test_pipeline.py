@@ -48,6 +48,17 @@ def test_stages(spark, planted):
     assert left["near_duplicates"] == want and 1 in want and n not in want and n + 1 not in want
 
 
+def test_language_stage_drops_texts_in_no_learned_language(spark, planted, tmp_path):
+    d, rows = planted
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rng = np.random.default_rng(8)
+    gibberish = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(30)) for _ in range(20)]
+    unlearned = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными в своём достоинстве и правах.", "人人生而自由，在尊严和权利上一律平等。"]
+    more = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(gibberish + unlearned)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(more), d).collect()}
+    assert kept >= set(range(len(rows) - 5)) and max(kept) < 10_000
+
+
 def test_run_packs_what_is_left(spark, planted):
     d, rows = planted
     enc = encoder(default_path())

@@ -7,6 +7,10 @@ The kernel of two texts compares which character n-grams (n = 1 to 5) each holds
 The kernel is linear in the n-gram presence vectors, so landmarks and ridge weights fold into one matrix per n (n-grams by
 languages). A batch of texts is scored by one product per n of its sparse presence rows with them: same numbers, far less work.
 
+The ridge outputs of all languages sum to the same value for every text, so the best one tells languages apart but not
+whether the text is in any of them. That is read from the share of the text's n-grams (n = 2 to 4) that some landmark holds.
+The least share is learned: ``FALSE_REJECTS`` of the texts learned from are below it, each against the other landmarks.
+
 The model is fitted on at most ``SAMPLE`` labelled texts (whole texts; the presence vectors are made on the executors) and
 has a fixed size, which is what is broadcast. All rows are then scored in the tasks that read them, without a shuffle.
 
@@ -32,6 +36,8 @@ SAMPLE, LANDMARKS = 1_200, 192
 #: Buckets of the hashed n-grams for n = 1 to 5.
 BUCKETS = (1_024, 8_192, 32_768, 65_536, 65_536)
 RIDGE = 3e-3
+#: Share of the texts learned from that may be taken for texts in none of the languages; and the n whose n-grams tell.
+FALSE_REJECTS, TELLING = 0.005, (2, 3, 4)
 UNKNOWN = "und"
 
 _ALPHA = np.array([c.isalpha() for c in map(chr, range(0x10000))], dtype=bool)
@@ -84,13 +90,35 @@ def product(sets: list[np.ndarray], w: np.ndarray) -> np.ndarray:
     return out
 
 
+def known_share(sets: list[list[np.ndarray]], held: list[np.ndarray], least: np.ndarray | int = 1) -> np.ndarray:
+    """Per text, the share of its n-grams that at least ``least`` landmarks hold (``held``: per bucket), mean over ``TELLING``."""
+    shares = np.full((len(TELLING), len(sets)), np.nan)
+    for row, n in zip(shares, TELLING):
+        sizes = np.fromiter((len(s[n - 1]) for s in sets), np.int64, len(sets))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            found = held[n - 1][np.concatenate([sets[i][n - 1] for i in some])] >= np.repeat(np.broadcast_to(least, len(sets))[some], sizes[some])
+            row[some] = np.add.reduceat(found, np.cumsum(sizes[some]) - sizes[some], dtype=np.int64) / sizes[some]
+    there = ~np.isnan(shares)
+    return np.where(there, shares, 0).sum(axis=0) / np.maximum(1, there.sum(axis=0))
+
+
+def least_share(shares: np.ndarray, rate: float = FALSE_REJECTS) -> float:
+    """The value that at most ``rate`` of rows like these are below. Too few rows for the rate: as far below the least one as that is below the median."""
+    ordered = np.sort(shares)
+    k = int(rate * (len(ordered) + 1))
+    return float(ordered[k - 1] if k else 2 * ordered[0] - np.median(ordered)) if len(ordered) else 0.0
+
+
 @dataclass
 class KernelModel:
-    """``weights[n - 1]``: buckets by languages; landmarks and ridge weights folded."""
+    """``weights[n - 1]``: buckets by languages; landmarks and ridge weights folded. ``held[n - 1]``: landmarks that hold each bucket."""
 
     languages: list[str]
     weights: list[np.ndarray]
     bias: np.ndarray
+    held: list[np.ndarray]
+    least_known: float
 
     @classmethod
     def fit(cls, sets: list[list[np.ndarray]], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
@@ -117,16 +145,24 @@ class KernelModel:
         for i, row in zip(marks, fold):
             for w, s in zip(weights, sets[i]):
                 w[s] += row / np.sqrt(max(1, len(s)))
-        return cls(languages, weights, mean[1] - mean[0] @ alpha)
-
-    def score(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], np.ndarray]:
-        """The language and its score: the ridge output of the best language, from -1..1 to 0..1 and clipped."""
+        held = [np.zeros(size, np.int16) for size in BUCKETS]
+        for i in marks:
+            for h, s in zip(held, sets[i]):
+                h[s] += 1
+        own = np.zeros(len(sets), np.int16)
+        own[marks] = 1  # a landmark is held against the others; texts without a letter, which hold the space alone, tell nothing
+        return cls(languages, weights, mean[1] - mean[0] @ alpha, held, least_share(known_share(sets, held, 1 + own)[[len(s[0]) > 1 for s in sets]]))
+
+    def score(self, texts: list[str | None], batch: int = 256, shares: list[float] | None = None) -> tuple[list[str], np.ndarray]:
+        """The language and its score: the ridge output of the best language, from -1..1 to 0..1 and clipped. ``shares``: gets the known shares."""
         names, scores = [], []
         for i in range(0, len(texts), batch):
             part = texts[i : i + batch]
             sets = [presence(t) for t in part]
             out = self.bias + sum(product([s[n] for s in sets], w) for n, w in enumerate(self.weights))
             best = out.argmax(axis=1)
+            if shares is not None:
+                shares += known_share(sets, self.held).tolist()
             for t, j, row in zip(part, best.tolist(), out):
                 known = has_letter(t)
                 names.append(self.languages[j] if known else UNKNOWN)
@@ -175,14 +211,15 @@ def identify_language(docs: DataFrame, model: KernelModel | None, held_out: Colu
     return plain.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: KernelModel | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``; all columns stay."""
+def keep_identified(docs: DataFrame, model: KernelModel | None, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a learned language (by the model's least share) with a score of at least ``least``; all columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: list) -> list[bool]:
         if sent.value is None:
             return [False] * len(texts)
-        names, scores = sent.value.score(texts)
-        return [n != UNKNOWN and s >= least for n, s in zip(names, scores.tolist())]
+        shares: list[float] = []
+        names, scores = sent.value.score(texts, shares=shares)
+        return [n != UNKNOWN and s >= least and k >= sent.value.least_known for n, s, k in zip(names, scores.tolist(), shares)]
 
     return keep_rows(docs, text_col, judge)
