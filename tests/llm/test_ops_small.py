@@ -54,6 +54,19 @@ def test_word_tokens_equal_the_library(monkeypatch):
     assert [enc.ids(t).tolist() for t in texts] == want
 
 
+def test_added_tokens_equal_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    from tidegrid.llm import word_tokens
+
+    fresh = Tokenizer.from_file(default_path())
+    enc = word_tokens.WordEncoder(default_path())
+    texts = ["one <|endoftext|> two", "a<|startoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> <|x|>", "plain", None]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert 49407 in want[0] and 49406 in want[1]
+    assert [x.tolist() for x in enc.batch(texts)] == want == [enc.ids(t).tolist() for t in texts]
+
+
 # 1
 
 

@@ -3,7 +3,7 @@
 The tokenizer lower-cases, drops white space and never lets a token cross it, so a text's ids are those of its
 white-space words one after another. Words repeat, so each distinct word goes through the tokenizers library once per
 Python worker and is remembered. Texts with characters for which Python's and the library's rules may differ (anything
-from U+0250 on, and control white space) take the library's own path, whole.
+from U+0250 on, and control white space) or that hold an added token's literal take the library's own path, whole.
 """
 
 from __future__ import annotations
@@ -51,11 +51,19 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Added tokens all hold this sign, which is looked for first.
+        self.tame = all("<|" in x for x in self.added)
         self.model = self.library.model
         self.alphabet = _byte_letters()
         self.old: dict[str, bytes] = {}
 
+    def plain(self, text: str) -> bool:
+        """Whether the text's ids are those of its words. An added token's literal, in any case, may be one id, and isn't bound to a word."""
+        if not plain(text):
+            return False
+        return "<|" not in text and self.tame or not any(x in text or x.lower() in text.lower() for x in self.added)
+
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(SIGNS)
         if core and core != word and core.isalpha():  # letters, then signs: the two never join, and each is known by itself
@@ -79,7 +87,7 @@ class WordEncoder(dict):
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
-        if not plain(text):
+        if not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), dtype="<u4")
 
@@ -90,7 +98,7 @@ class WordEncoder(dict):
         run: list[str] = []
         held = 0
         for text in texts:
-            if text and not plain(text):
+            if text and not self.plain(text):
                 out += self._run(run)
                 out.append(self.ids(text))
                 run, held = [], 0
