@@ -234,6 +234,20 @@ def test_blocks_of_a_page():
     assert op5.read_blocks(None) == [] and op5.read_blocks("") == [] and [b.text for b in op5.read_blocks("plain <!-- x --> text")] == ["plain text"]
 
 
+@pytest.mark.parametrize("inner", ['<svg class="i"/>', "<object data=x>", "<svg-icon></svg-icon>", "<object-view>", "<template-part>", "<svg><path/></svg>", "<iframe src=y></iframe>"])
+def test_html_text_after_an_embedded_element_stays(inner):
+    assert " ".join(b.text for b in op5.read_blocks(f"<p>one</p>{inner}<p>two</p><svg>no</svg><p>three</p>")) == "one two three"
+    assert [b.text for b in op5.read_blocks("<p>a</p><script>b<p>c")] == ["a"]
+
+
+def test_labeller_is_trained_on_whole_pages(spark, monkeypatch):
+    seen, plain = [], op5.block_vectors
+    monkeypatch.setattr(op5, "block_vectors", lambda blocks: seen.append(blocks) or plain(blocks))
+    html = "<article>" + "".join(f"<p>{'word ' * 120}{i}.</p>" for i in range(90)) + "</article><footer>end</footer>"
+    op5.fit_labeller(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    assert len(seen[0]) == 91 and seen[0][-1].text == "end" and all(len(b.text) > 600 for b in seen[0][:-1])
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = op5.BiLSTM.start(width=op5.WIDTH, hidden=3)

@@ -28,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages trained on, variants of each, blocks of a page used in training; hidden units per direction; passes.
-SAMPLE, VARIANTS, TRAIN_BLOCKS, HIDDEN, PASSES = 240, 3, 64, 24, 8
+#: Pages trained on, variants of each, blocks of all these pages (whole pages only); hidden units per direction; passes.
+SAMPLE, VARIANTS, TRAIN_BLOCKS, HIDDEN, PASSES = 240, 3, 15_360, 24, 8
 PATH_SIZE, WORD_SIZE = 64, 48
 WIDTH = PATH_SIZE + WORD_SIZE + 6
 
@@ -45,7 +45,8 @@ OTHER_NAMES = frozenset(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/])[^>]*/>"
+    r"|<(template|noscript|svg|iframe|object)(?=[\s/>])[^>]*>(?:[^<]++|<(?!/?\2[\s/>]))*+</\2\s*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -94,19 +95,19 @@ def read_blocks(html: str | None) -> list[Block]:
             if in_link:
                 links += len(piece)
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[4] or m[7] or "").lower()
         if not tag:
-            if m[1]:
+            if m[0][1] not in "!?/":
                 parts.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if (m[2] or m[5]) else 1
+                in_link = 0 if (m[3] or m[6]) else 1
             elif tag in ("br", "img"):
                 parts.append(" ")
             continue
         flush()
-        if m[2] or m[5]:
+        if m[3] or m[6]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -121,7 +122,7 @@ def read_blocks(html: str | None) -> list[Block]:
                 break
             if stack[i][0] in ("div", "section", "article", "table", "ul", "ol", "td", "blockquote"):
                 break
-        stack.append((tag, _attribute_names(m[4] or m[7] or "")))
+        stack.append((tag, _attribute_names(m[5] or m[8] or "")))
     if at < len(html):
         parts.append(html[at:])
     flush()
@@ -349,15 +350,18 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for spread, html in zip(b["spread"], b["html"]):
-                blocks = read_blocks(html)[:TRAIN_BLOCKS]
-                yield pd.DataFrame({"spread": [spread], "paths": [[list(x.path) for x in blocks]], "texts": [[x.text[:400] for x in blocks]], "links": [[x.links for x in blocks]]})
+                blocks = read_blocks(html)
+                yield pd.DataFrame({"spread": [spread], "paths": [[list(x.path) for x in blocks]], "texts": [[x.text for x in blocks]], "links": [[x.links for x in blocks]]})
 
     picked = plain.withColumn("spread", spread).where(F.col("spread") < min(1.0, 1.2 * sample / max(1, n) + 8 / max(1, n))).select("spread", "html")
     found = picked.mapInPandas(run, "spread double, paths array<array<string>>, texts array<string>, links array<long>").toPandas()
     found = found.sort_values("spread", kind="stable").head(sample)
     rng = np.random.default_rng(23)
-    train = []
+    train, held = [], 0
     for r in found.itertuples():
+        if held and held + len(r.texts) > TRAIN_BLOCKS:
+            continue
+        held += len(r.texts)
         blocks = [Block(tuple(p), t, int(k)) for p, t, k in zip(r.paths, r.texts, r.links)]
         if not blocks:
             continue
