@@ -142,3 +142,24 @@ def test_planted_station_survives_the_pipeline(spark):
     raw = spark.createDataFrame([(999999, dt.date(2010, 6, d), 100.0) for d in range(1, 31)] + [(1, dt.date(2010, 6, 1), -9999.0)], "s long, d date, v double")
     q = A.monthly_quantiles(raw.select("s", "d", C.sentinel_to_null("v").alias("v")), "s", "d", "v")
     assert [(r.s, r.QMIN, r.QMAX, r.n_obs) for r in q.collect()] == [(999999, 100.0, 100.0, 30)]
+
+
+def test_clumps_of_the_whole_grid(spark, tmp_path):
+    from tidegrid import plans
+
+    size = np.random.default_rng(4).choice([10, 30], 50 * 40)
+    parts = spark.createDataFrame([(k, int(v)) for k, v in enumerate(size, 1)], "p_partkey long, p_size int")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.row, r.col): (r["class"], r.clump) for r in plans.QUERIES["connected_clumps_whole_grid"](spark, str(tmp_path)).collect()}
+    value = {(k // 50, k % 50): int(v > 20) for k, v in enumerate(size, 1)}
+    want = {}
+    for cell in sorted(value):  # the first cell met of a region is its smallest
+        todo = [] if cell in want else [cell]
+        name = cell[0] * 1000 + cell[1]
+        while todo:
+            r, c = at = todo.pop()
+            if at not in want:
+                want[at] = (value[at], name)
+                todo += [(i, j) for i in (r - 1, r, r + 1) for j in (c - 1, c, c + 1) if value.get((i, j)) == value[at]]
+    assert got == want
+    assert max(r for (r, c), (_, name) in want.items() if name == want[0, 1][1] or name // 1000 < 8) > 8

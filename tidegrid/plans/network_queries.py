@@ -83,6 +83,27 @@ def catchment_members(t: Tables) -> DataFrame:
     return N.members(e, e.where("id % 50 = 10"))
 
 
+_CONFLUENCES = "SELECT down_id FROM e WHERE down_id IS NOT NULL GROUP BY down_id HAVING count(*) > 1"
+
+
+def _confluences(e: DataFrame) -> DataFrame:
+    """Nodes that two or more others drain to."""
+    return e.where("down_id is not null").groupBy(F.col("down_id").alias("id")).count().where("count > 1").select("id")
+
+
+@query(_WALK + f" SELECT pos AS outlet, count(*)::BIGINT AS n, round(sum(e.weight), 4) AS area FROM w JOIN e ON e.id = w.id WHERE pos IN ({_CONFLUENCES}) GROUP BY ALL")
+def catchment_of_confluences(t: Tables) -> DataFrame:
+    """As above, of every confluence of the network."""
+    e = _edges(t)
+    return N.catchments(e, _confluences(e), "weight").withColumn("area", F.round("area", 4))
+
+
+@query(_WALK + f" SELECT id, pos AS outlet FROM w WHERE pos IN ({_CONFLUENCES}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops) = 1")
+def catchment_members_of_confluences(t: Tables) -> DataFrame:
+    e = _edges(t)
+    return N.members(e, _confluences(e))
+
+
 @query(f"WITH e AS ({_E}) SELECT a.id, round((a.elev - b.elev) / a.length * 1e6, 4) AS gradient FROM e a JOIN e b ON a.down_id = b.id")
 def segment_gradient(t: Tables) -> DataFrame:
     return N.segment_gradient(_edges(t), "elev", "length").withColumn("gradient", F.round("gradient", 4))
@@ -110,6 +131,13 @@ def connected_clumps(t: Tables) -> DataFrame:
     return N.connected_clumps(g, "k").select("row", "col", (F.col("k") % 10).cast("int").alias("class"), (F.col("clump.row") * 1000 + F.col("clump.col")).alias("clump"))
 
 
+@query()
+def connected_clumps_whole_grid(t: Tables) -> DataFrame:
+    """Regions of the whole grid, by class alone; tested by brute force."""
+    g = t.part.select(F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), (F.col("p_size") > 20).cast("int").alias("class"))
+    return N.connected_clumps(g, "class").select("row", "col", "class", (F.col("clump.row") * 1000 + F.col("clump.col")).alias("clump"))
+
+
 @query("""WITH g AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, CASE WHEN p_size % 4 > 0 THEN p_retailprice END AS v FROM part),
 f AS (SELECT a.row, a.col, b.v FROM g a JOIN g b ON b.v IS NOT NULL AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 WHERE a.v IS NULL QUALIFY row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) = 1)
 SELECT g.row::BIGINT AS row, g.col::BIGINT AS col, coalesce(g.v, f.v) AS v FROM g LEFT JOIN f USING (row, col)""")
