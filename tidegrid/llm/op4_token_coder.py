@@ -41,6 +41,8 @@ BLOCK_IDS, LANES = 1 << 21, 8192
 #: Slots of the order-2 table (hashed by two ids), steps between refreshes of the order-0 frequencies, and their gain.
 SLOTS, REFRESH, GAIN = 1 << 18, 2, 24
 CONFIDENT = 7  # confidence runs from 0 (never right) to this
+#: By 8 * right + confidence: what an entry gains. Right: more confident; wrong: half as much, until the new id takes its place.
+_GAINS = np.array([(c >> 1) - c for c in range(CONFIDENT + 1)] + [int(c < CONFIDENT) for c in range(CONFIDENT + 1)], dtype=np.int32)
 MIX = 12  # bits of the mix's probabilities
 _U = np.uint64
 _MIX = _U(MIX)
@@ -52,8 +54,8 @@ class _Model:
 
     def __init__(self, vocabulary: int):
         self.n = vocabulary
-        self.one = np.zeros(vocabulary + 1, dtype=np.int64)  # context: predicted id * 8 + confidence
-        self.two = np.zeros(SLOTS, dtype=np.int64)
+        self.one = np.zeros(vocabulary + 1, dtype=np.int32)  # context: predicted id * 8 + confidence
+        self.two = np.zeros(SLOTS, dtype=np.int32)
         self.weight = np.ones(vocabulary, dtype=np.int64)
         self.seen: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
@@ -95,12 +97,13 @@ class _Model:
 
     def learn(self, slot, b, p2, p1, place, ids) -> None:
         """Later lanes win where several write one entry; the decoder sees the same order."""
-        coded = ids << 3
+        fresh = (ids << 3 | 1).astype(np.int32)
         for held, at, p in ((self.two, slot, p2), (self.one, b, p1)):
-            c = p & 7
-            hit = p - c == coded
-            kept = np.where(hit, p + (c < CONFIDENT), p - c + (c >> 1))  # right: more confident; wrong: half as much
-            held[at] = np.where(hit | (c > 1), kept, coded + 1)
+            state = p & 7
+            state[(p ^ fresh) < 8] += 8
+            new = p + _GAINS.take(state)
+            np.copyto(new, fresh, where=state < 2)  # wrong, and not confident
+            held[at] = new
         self.places.append(place)
         self.seen.append(ids)
         if len(self.seen) == REFRESH:
@@ -124,7 +127,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # past the last id: zeros, coded like ids and cut off again
     model = _Model(vocabulary)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    digits = np.zeros((lanes, 3 * steps + 8), dtype=np.int32)  # a digit may overflow by a carry, which is resolved at the end
+    digits = np.zeros((3 * steps + 8, lanes), dtype=np.int32)  # a digit may overflow by a carry, which is resolved at the end
     used = np.zeros(lanes, dtype=np.int64)
     everyone = np.arange(lanes)
 
@@ -147,27 +150,29 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
             over[rest] |= add < start
             span[rest] = part * model.counts.take(y)
         if len(w := np.flatnonzero(over)):
-            digits[w, used[w] - 1] += 1
+            digits[used.take(w) - 1, w] += 1
         while len(w := np.flatnonzero(span < _LOW)):  # put out a digit of every lane whose span got short
-            start = low[w]
-            digits[w, used[w]] = start >> _DOWN
-            used[w] += 1
+            start, at = low.take(w), used.take(w)
+            digits[at, w] = start >> _DOWN
+            used[w] = at + 1
             low[w] = start << _DIGIT
-            span[w] <<= _DIGIT
+            span[w] = span.take(w) << _DIGIT
         model.learn(slot, b, p2, p1, place, x)
         a, b = b, x
     last = (low >> _DOWN) + ((low & (_LOW - _U(1))) != 0)  # one digit that lies in the final interval of at least 2**48
-    digits[everyone, used] = last & _U(0xFFFF)
+    digits[used, everyone] = last & _U(0xFFFF)
     over = np.flatnonzero(last > _U(0xFFFF))
-    digits[over, used[over] - 1] += 1
+    digits[used[over] - 1, over] += 1
     used += 1
-    for k in range(int(used.max()) - 1, 0, -1):
-        carry = digits[:, k] >> 16
+    digits = digits[: int(used.max())]
+    for k in range(len(digits) - 1, 0, -1):
+        carry = digits[k] >> 16
         if carry.any():
-            digits[:, k] &= 0xFFFF
-            digits[:, k - 1] += carry
+            digits[k] &= 0xFFFF
+            digits[k - 1] += carry
+    digits = np.ascontiguousarray(digits.T.astype("<u2"))
     kind = "<u2" if n < 1 << 24 else "<u4"
-    body = used.astype(kind).tobytes() + digits[np.arange(digits.shape[1])[None, :] < used[:, None]].astype("<u2").tobytes()
+    body = used.astype(kind).tobytes() + digits[np.arange(digits.shape[1])[None, :] < used[:, None]].tobytes()
     return MAGIC + struct.pack("<5I", n, lanes, vocabulary, zlib.crc32(ids.tobytes()), zlib.crc32(body)) + body
 
 
@@ -184,22 +189,18 @@ def decode_block(data: bytes) -> np.ndarray:
     steps = -(-n // lanes)
     kind = np.dtype("<u2" if n < 1 << 24 else "<u4")
     used = np.frombuffer(body, kind, lanes).astype(np.int64)
-    flat = np.frombuffer(body, "<u2", offset=lanes * kind.itemsize)
-    flat = np.concatenate((flat, np.zeros(1, dtype="<u2"))).astype(np.uint64)
-    ends = np.cumsum(used)
-    at = ends - used
-    spare = len(flat) - 1
+    width = int(used.max()) + 4  # past a lane's last digit: zeros
+    flat = np.zeros((lanes, width), dtype=np.uint16)
+    flat[np.arange(width)[None, :] < used[:, None]] = np.frombuffer(body, "<u2", offset=lanes * kind.itemsize)
+    flat = flat.ravel()
+    at = np.arange(lanes) * width
     model = _Model(vocabulary)
     span = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     value = np.zeros(lanes, dtype=np.uint64)
 
-    def pull(who) -> None:
-        here = at[who]
-        value[who] = value[who] << _DIGIT | flat[np.where(here < ends[who], here, spare)]
-        at[who] += 1
-
     for _ in range(4):
-        pull(np.arange(lanes))
+        value = value << _DIGIT | flat.take(at)
+        at += 1
     grid = np.empty((steps, lanes), dtype=np.int64)
     a = b = np.full(lanes, vocabulary, dtype=np.int64)
     for k in range(steps):
@@ -217,15 +218,18 @@ def decode_block(data: bytes) -> np.ndarray:
             q = (v / part).astype(np.uint64)  # a float quotient, at most one off
             q -= part * q > v
             q += v - part * q >= part
-            at_once = np.argsort(q)  # in order, the search stays in the cache
+            np.minimum(q, _U(model.total - 1), out=q)
+            keyed = np.sort(q << _U(32) | np.arange(len(q), dtype=np.uint64))  # in order, the search stays in the cache
             y = np.empty(len(q), dtype=np.int64)
-            y[at_once] = np.searchsorted(model.below, np.minimum(q.take(at_once).view(np.int64), model.total - 1), side="right") - 1
+            y[(keyed & _U(0xFFFFFFFF)).view(np.int64)] = np.searchsorted(model.starts, keyed >> _U(32), side="right") - 1
             value[rest] = v - part * model.starts.take(y)
             span[rest] = part * model.counts.take(y)
             x[rest] = y
         while len(w := np.flatnonzero(span < _LOW)):
-            pull(w)
-            span[w] <<= _DIGIT
+            here = at.take(w)
+            value[w] = value.take(w) << _DIGIT | flat.take(here)
+            at[w] = here + 1
+            span[w] = span.take(w) << _DIGIT
         model.learn(slot, b, p2, p1, place, x)
         grid[k] = x
         a, b = b, x

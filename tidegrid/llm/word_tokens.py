@@ -20,12 +20,11 @@ import regex
 #: Words in each of a worker's two generations of memory: a full young one becomes the old one. It bounds memory, never the results.
 REMEMBERED = 500_000
 #: Characters of the texts that are encoded at once.
-RUN_CHARS = 6_000_000
+RUN_CHARS = 12_000_000
 #: ASCII characters that are neither letters nor digits nor white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UNLIKE = re.compile("[\x1c-\x1f\x85\xa0ɐ-\U0010ffff]")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_LETTERS = re.compile(r"[a-z]+\Z")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -65,24 +64,18 @@ class WordEncoder(dict):
         return "<|" not in text and self.tame or not any(x in text or x.lower() in text.lower() for x in self.added)
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(SIGNS)
-        if core and core != word and core.isalpha():  # letters, then signs: the two never join, and each is known by itself
-            return self[core] + self[word[len(core) :]]
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
         known = self.old.get(word)
         if known is None:
-            known = self._tokenized((word,) if word.isalpha() else _PIECES.findall(word))
+            known = b"".join(map(self._piece, (word,) if word.isalpha() else _PIECES.findall(word)))
         self[word] = known
         return known
 
-    def _tokenized(self, pieces) -> bytes:
-        found = array("I")
-        for piece in pieces:
-            letters = piece if _LETTERS.match(piece) else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            found.extend([t.id for t in self.model.tokenize(letters)])
-        return found.tobytes()
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -116,17 +109,33 @@ class WordEncoder(dict):
             return []
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        known = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-        table = np.frombuffer(b"".join(known), dtype="<u4")
+        distinct = coded.dictionary
+        # letters, then signs: the two never join, and each is known by itself
+        stems = pc.utf8_rtrim(distinct, SIGNS)
+        cut = pc.and_(pc.utf8_is_alpha(stems), pc.not_equal(stems, distinct))
+        signs = pc.replace_substring_regex(pc.if_else(cut, distinct, ""), r"^\pL+", "")
+        flat, begins, sizes = self._table(pc.if_else(cut, stems, distinct), signs)
+        flat, ends = _spliced(flat, begins, sizes)
+        sizes = sizes.reshape(2, -1, order="F").sum(axis=0)
         word = coded.indices.to_numpy()
-        n = sizes[word]
-        ends = np.cumsum(n)
-        begins = (np.cumsum(sizes) - sizes)[word] - (ends - n)
-        ids = table[np.repeat(begins, n) + np.arange(len(begins) and ends[-1])]
+        ids, ends = _spliced(flat, (np.cumsum(sizes) - sizes)[word], sizes[word])
         upto = np.concatenate(([0], ends))[words.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
+    def _table(self, heads: pa.Array, tails: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct parts one after another; where those of head, tail, head, tail ... begin, and how many there are."""
+        coded = [x.dictionary_encode() for x in (heads, tails)]
+        known = [ids for c in coded for ids in map(self.__getitem__, c.dictionary.to_numpy(zero_copy_only=False))]
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        part = np.stack((coded[0].indices.to_numpy(), coded[1].indices.to_numpy() + len(coded[0].dictionary)), axis=1).ravel()
+        return np.frombuffer(b"".join(known), dtype="<u4"), (np.cumsum(size) - size)[part], size[part]
+
+
+def _spliced(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that begin at ``begins``, one after another; and where each ends in the result."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(len(ends) and ends[-1])], ends
+
 
 _encoders: dict[str, WordEncoder] = {}
 
