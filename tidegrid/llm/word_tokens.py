@@ -74,7 +74,7 @@ class WordEncoder(dict):
         return known
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
