@@ -397,41 +397,47 @@ def test_toxicity(spark):
 # 8
 
 
-def test_difference_equals_brute_force(spark):
-    texts = ["a b a b c", "a b", None, "", "c c c d", "a b"]
-    docs, target = documents(spark, texts), spark.createDataFrame([(0,), (0,), (None,)], "doc_id long")
-    voc = op8.fit_vocabulary(docs, words=3)
-    assert set(voc) == {"a", "b", "c"}
-    tables = op8.fit_losses(docs, target, voc, slots=1 << 14)
-    got = {r.doc_id: r for r in op8.score_difference(docs, voc, tables).collect()}
+@pytest.mark.parametrize("run", [op8.SLICE_CHARS, 8])
+def test_difference_equals_brute_force(spark, monkeypatch, run):
     from collections import Counter
 
-    def counts(some):
+    monkeypatch.setattr(op8, "SLICE_CHARS", run)
+    monkeypatch.setattr(op8, "BUCKET_CHARS", run)
+    texts = ["a B a b c", "a b", None, "", "c c c d", "a b", " x\ty ", "x y", " \n "]
+    docs, target = documents(spark, texts).repartition(2), spark.createDataFrame([(0,), (0,), (None,), (6,)], "doc_id long")
+    docs = docs.unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    texts = [*texts, texts[4]]
+    got = {r.doc_id: r for r in op8.lm_difference(docs, target).collect()}
+    seqs = [["<", *w, ">"] if (w := (t or "").lower().split()) else [] for t in texts]
+    size = len({w for q in seqs for w in q[1:]})
+
+    def loss(i, some):
         uni, hist, bi = Counter(), Counter(), Counter()
-        for t in some:
-            w = [voc[x] for x in (t or "").split()]
-            uni.update(w)
-            hist.update([voc.size, *w[:-1]] if w else [])
-            bi.update(zip([voc.size, *w[:-1]], w))
-        return uni, hist, bi
-
-    def loss(model, w):
-        uni, hist, bi = model
-        n, out = sum(uni.values()), []
-        for h, x in zip([voc.size, *w[:-1]], w):
-            p = (uni[x] + 0.5) / (n + 0.5 * voc.size)
-            out.append(-np.log((bi[h, x] + op8.MU * p) / (hist[h] + op8.MU)))
-        return float(np.mean(out))
-
-    wanted, every = counts(texts[:1]), counts(texts)
-    for i in (0, 1, 4, 5):
-        w = [voc[x] for x in texts[i].split()]
-        assert got[i].ce_target == pytest.approx(loss(wanted, w), rel=1e-5) and got[i].ce_background == pytest.approx(loss(every, w), rel=1e-5)
-        assert got[i].score == pytest.approx(got[i].ce_background - got[i].ce_target)
-    assert got[2].ce_target is None and got[3].score == 0.0 and got[0].score > got[4].score
-    empty = docs.limit(0)
-    none = op8.fit_vocabulary(empty)
-    assert op8.score_difference(empty, none, op8.fit_losses(empty, target, none)).count() == 0
+        for j in some:
+            if j != i:
+                uni.update(seqs[j][1:])
+                hist.update(seqs[j][:-1])
+                bi.update(zip(seqs[j], seqs[j][1:]))
+        n = sum(uni.values())
+        p1 = lambda w: (uni[w] + op8.FLOOR) / (n + op8.FLOOR * size)
+        return float(np.mean([-np.log((bi[h, w] + op8.MU * p1(w)) / (hist[h] + op8.MU)) for h, w in zip(seqs[i], seqs[i][1:])]))
+
+    assert len(got) == len(texts)
+    for i in (0, 1, 4, 5, 6, 7, 9):
+        r = got[i if i < 9 else None]
+        assert r.n_tokens == len(seqs[i]) - 2
+        assert r.ce_target == pytest.approx(loss(i, (0, 6)), rel=1e-9) and r.ce_background == pytest.approx(loss(i, range(len(texts))), rel=1e-9)
+        assert r.score == pytest.approx(r.ce_background - r.ce_target)
+    assert got[2].ce_target is None and got[3].score == 0.0 and got[8].n_tokens == 0
+    assert op8.lm_difference(docs.limit(0), target).count() == 0
+    none = {r.doc_id: r for r in op8.lm_difference(docs, target.limit(0)).collect()}
+    assert none[0].ce_target == pytest.approx(np.log(size))
+
+
+def test_packed_numbers_come_back():
+    x = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], dtype=np.uint64)
+    assert op8.unpacked(op8.packed(x)).tolist() == x.tolist()
+    assert len(op8.unpacked(op8.packed(x[:0]))) == 0
 
 
 # 9

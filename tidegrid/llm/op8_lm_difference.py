@@ -1,166 +1,238 @@
 """Documents scored by the difference of two language models' cross-entropies.
 
-Two word bigram models share one vocabulary, one smoothing and one table layout: the target model counts the documents
-marked as wanted, the background model counts all documents. A document's score is the mean over its tokens of
-(background loss - target loss) in nats: the higher, the more it reads like the target.
-
-Vocabulary: the ``WORDS`` most frequent words of the whole corpus (ties by word); other words share ``OTHERS`` hashed
-entries. Bigrams are counted in ``SLOTS`` hashed slots. p(w | h) = (c(h, w) + MU * p(w)) / (c(h) + MU).
-
-In Spark: words and n-grams are counted over every document, first inside each task and then by a shuffle of the tasks'
-counts (what a task sends is bounded by its distinct words and by the table layout). The finished model has a fixed size
-whatever the corpus, and only that is broadcast. Documents are scored in the tasks that read them.
+Two word bigram models share one vocabulary (all words of the corpus), one order and one smoothing: the target model counts
+the documents marked as wanted, the background model counts all documents. A document's score is the mean over its tokens
+of (background loss - target loss) in nats: the higher, the more it reads like the target. Both models leave the document
+itself out when they score it, or else every text would look as familiar as it is long.
+
+p1(w) = (c(w) + FLOOR) / (N + FLOOR * V) and p(w | h) = (c(h, w) + MU * p1(w)) / (c(h) + MU). A text stands between a mark
+for its beginning and one for its end; the end is predicted like a word.
+
+In Spark, nothing of the models meets in one place, and their size follows the corpus:
+1. Texts are read in slices of bounded size and written as word numbers with the slice's distinct words, hashed.
+2. Each slice sends its distinct words and word pairs with their counts to buckets by hash, packed, one row per bucket. A
+   word in every document costs one entry per slice, so no key is hot.
+3. A bucket adds up what slices sent and gives each slice back, for its own entries, what all other slices counted.
+4. Slices meet their counts again, take out each document's own, and score.
+The number of buckets grows with the text, so a bucket's size doesn't. In a bucket, an entry is known by 40 bits of its
+hash: about one of a million is taken for another one, at any size of the corpus.
 
 Defined results: a null or empty text has no tokens, null losses and score 0; a null id is scored, and counts as background
-only; repeated rows count each; with no target document both losses come from background counts and smoothing alone; an
-empty table gives an empty table; further columns are left out.
+only; repeated rows count each, so a copy is known from its twin; with no target document the target's losses come from
+smoothing alone; an empty table gives an empty table; further columns are left out.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, OTHERS, SLOTS, MU = 1 << 15, 1 << 10, 1 << 20, 50.0
-#: Distinct words that a task counts before it sends them on.
-HELD_WORDS = 300_000
-#: Places of the count table that travel to the driver in one row, as bytes: the table has a fixed size.
-PACKED = 1 << 17
+from tidegrid.session import written
 
+FLOOR, MU = 0.5, 4.0
+#: Characters of text in a slice (or one document), and of the corpus for each bucket.
+SLICE_CHARS, BUCKET_CHARS = 12_000_000, 16_000_000
+#: Bits by which a bucket tells its entries apart.
+BITS = 40
+_U = np.uint64
+#: Stand-ins for the hashes of a text's beginning and end.
+_EDGES = np.array([1, 2], dtype=np.uint64)
 
-class Vocabulary(dict):
-    """Word to number; words outside share hashed numbers, which aren't remembered."""
 
-    def __init__(self, words: list[str], others: int = OTHERS):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.words, self.others = len(words), others
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, those of equal weight side by side."""
+    return zstandard.compress(np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-    def __missing__(self, word: str) -> int:
-        return self.words + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.others
 
-    @property
-    def size(self) -> int:
-        """Without the number that stands before a text's first word, which is the last one."""
-        return self.words + self.others
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def read_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words per text, word numbers, hashes of the numbered words) of lower-cased texts split at white space."""
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False)
+    named = np.fromiter(map(bool, words), bool, len(words))  # white space at an edge leaves an empty word
+    number = coded.indices.to_numpy()
+    real = named[number]
+    upto = np.concatenate(([0], np.cumsum(real)))[lists.offsets.to_numpy()]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w.encode("utf-8", "surrogatepass")) >> 16 for w in words[named]), np.uint64, int(named.sum()))
+    return np.diff(upto), (np.cumsum(named) - 1)[number[real]], hashes
 
-def slots_of(ids: np.ndarray, first: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """(history, slot of the bigram) of each token; ``first`` stands before the text."""
-    before = np.concatenate(([first], ids[:-1])) if len(ids) else ids
-    return before, ((before * 0x9E3779B1 + ids * 0x85EBCA6B) >> 5) % slots
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
 @dataclass
-class LossTables:
-    """Per model (target, background): unigram probabilities, history counts and bigram slot counts."""
+class Events:
+    """What a slice predicts, in order: words and ends of its texts. Entries are its distinct words, then its distinct pairs."""
 
-    unigram: np.ndarray
+    doc: np.ndarray
     history: np.ndarray
-    bigram: np.ndarray
-    mu: float = MU
+    word: np.ndarray
+    pair: np.ndarray
+    pairs: int
+    keys: np.ndarray
+    order: np.ndarray
 
     @classmethod
-    def fit(cls, words: np.ndarray, histories: np.ndarray, bigrams: np.ndarray, mu: float = MU) -> LossTables:
-        """Counts with one row per model."""
-        words = words.astype(np.float64)
-        p = (words + 0.5) / (words.sum(axis=1, keepdims=True) + 0.5 * words.shape[1])
-        return cls(p, histories.astype(np.float32), bigrams.astype(np.float32, copy=False), mu)
-
-    def losses(self, ids: np.ndarray, first: int) -> np.ndarray:
-        """Loss of each token under each model."""
-        h, s = slots_of(ids, first, self.bigram.shape[1])
-        return np.log(self.history[:, h] + self.mu) - np.log(self.bigram[:, s] + self.mu * self.unigram[:, ids])
-
-
-def _packed(part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"places": [part["place"].to_numpy(np.int32).tobytes()], "target": [part["target"].to_numpy(np.int64).tobytes()], "rest": [part["rest"].to_numpy(np.int64).tobytes()]})
-
+    def of(cls, lengths: np.ndarray, number: np.ndarray, hashes: np.ndarray, buckets: int) -> Events:
+        """``keys``: bucket and ``BITS`` bits of each entry; the last bit is 0 for a word and 1 for a pair. ``order`` sorts them."""
+        first, last = len(hashes), len(hashes) + 1
+        some = np.flatnonzero(lengths)
+        size = lengths[some] + 1
+        ends = np.cumsum(size)
+        word = np.full(int(size.sum()), last, dtype=np.int64)
+        inner = np.ones(len(word), dtype=bool)
+        inner[ends - 1] = False
+        word[inner] = number
+        history = np.concatenate(([first], word[:-1])) if len(word) else word.copy()
+        history[ends - size] = first
+        code, pair = np.unique(history * (last + 1) + word, return_inverse=True)
+        h = np.concatenate((hashes, _EDGES))
+        ones = _mixed(h + _U(0x9E3779B97F4A7C15)) & ~_U(1)
+        twos = _mixed(_mixed(h[code // (last + 1)] * _U(0xD6E8FEB86659FD93)) + h[code % (last + 1)]) | _U(1)
+        whole = np.concatenate((ones, twos))
+        bucket = ((whole >> _U(40)) * _U(buckets)) >> _U(24)
+        keys = bucket << _U(BITS) | whole & _U((1 << BITS) - 1)
+        return cls(np.repeat(some, size), history, word, pair, len(code), keys, np.argsort(keys, kind="stable"))
+
+    def counts(self, picked: np.ndarray | None = None) -> np.ndarray:
+        """How often each entry occurs (in the ``picked`` events); a beginning counts as a word where it is a history."""
+        word, pair, history = (self.word, self.pair, self.history) if picked is None else (self.word[picked], self.pair[picked], self.history[picked])
+        words = len(self.keys) - self.pairs
+        ones = np.bincount(word, minlength=words)
+        ones[words - 2] = np.count_nonzero(history == words - 2)
+        return np.concatenate((ones, np.bincount(pair, minlength=self.pairs)))
+
+    def inside(self, entry: np.ndarray) -> np.ndarray:
+        """How often each event's ``entry`` (a column of word or pair numbers) occurs in its document."""
+        _, at, n = np.unique(self.doc * len(self.keys) + entry, return_inverse=True, return_counts=True)
+        return n[at]
+
+
+def _slices(rows: DataFrame) -> DataFrame:
+    """(slice, doc_ids, lengths, words, hashes): runs of documents as word numbers, written."""
 
-def fit_vocabulary(docs: DataFrame, words: int = WORDS, text_col: str = "text") -> Vocabulary:
-    """The most frequent words over all of ``docs``."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list = []
+        texts: list[str] = []
+        held = 0
 
         def send() -> pd.DataFrame:
-            out = pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype=np.int64)})
-            held.clear()
-            return out
+            lengths, number, hashes = read_words(texts)
+            return pd.DataFrame({"doc_ids": [ids], "lengths": [packed(lengths)], "words": [packed(number)], "hashes": [packed(hashes)]})
 
         for b in batches:
-            for text in b["text"]:
-                if text:
-                    held.update(text.lower().split())
-                if len(held) > HELD_WORDS:
+            for i, t in zip(b["doc_id"], b["text"]):
+                t = t or ""
+                if texts and held + len(t) > SLICE_CHARS:
                     yield send()
-        yield send()
+                    ids, texts, held = [], [], 0
+                ids.append(None if pd.isna(i) else int(i))
+                texts.append(t)
+                held += len(t)
+        if texts:
+            yield send()
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long")
-    total = found.groupBy("word").agg(F.sum("n").alias("n"))
-    return Vocabulary([r.word for r in total.orderBy(F.desc("n"), "word").limit(words).collect()])
+    found = rows.mapInPandas(run, "doc_ids array<long>, lengths binary, words binary, hashes binary")
+    return written(found.select(F.monotonically_increasing_id().alias("slice"), "*"), "slices")
 
 
-def fit_losses(docs: DataFrame, target: DataFrame, vocabulary: Vocabulary, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> LossTables:
-    """Both models; ``target`` has the ids of the wanted documents in its column doc_id."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    v = vocabulary.size
-    wanted = target.select(F.col("doc_id").cast("long").alias("wanted_id")).where("wanted_id is not null").distinct().withColumn("wanted", F.lit(1))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _marks(slices: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(marked, places): the places in each slice of the documents whose id is in ``wanted``."""
+    each = slices.select(F.col("slice").alias("marked"), F.posexplode("doc_ids").alias("place", "wanted_id")).where("wanted_id is not null")
     # merged at every size: marks grow with the documents, so they are never sent to all executors
-    rows = plain.join(wanted.hint("merge"), plain.doc_id == wanted.wanted_id, "left").select(F.coalesce("wanted", F.lit(0)).alias("wanted"), "text")
+    return each.join(wanted.hint("merge"), "wanted_id").groupBy("marked").agg(F.collect_list("place").alias("places"))  # a slice is bounded
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Places 0..v-1: words, v..2v: histories, then bigram slots."""
-        voc = sent.value
-        counts = np.zeros((2, 2 * v + 1 + slots), dtype=np.int64)
-        for b in batches:
-            for wanted, text in zip(b["wanted"].tolist(), b["text"]):
-                ids = voc.ids(text)
-                if len(ids):
-                    h, s = slots_of(ids, v, slots)
-                    np.add.at(counts[wanted], np.concatenate((ids, v + h, 2 * v + 1 + s)), 1)
-        at = np.flatnonzero(counts.any(axis=0))
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pd.DataFrame({"place": part.astype(np.int32), "rest": counts[0, part], "wanted": counts[1, part]})
-
-    found = rows.mapInPandas(count, "place int, rest long, wanted long")
-    total = found.groupBy("place").agg(F.sum("wanted").alias("target"), F.sum("rest").alias("rest"))
-    size = 2 * v + 1 + slots
-    table = np.zeros((2, size), dtype=np.float32)
-    for row in total.groupBy(F.floor(F.col("place") / PACKED).alias("part")).applyInPandas(_packed, "places binary, target binary, rest binary").toLocalIterator():
-        at = np.frombuffer(row.places, dtype=np.int32)
-        table[0, at] = np.frombuffer(row.target, dtype=np.int64)
-        table[1, at] = table[0, at] + np.frombuffer(row.rest, dtype=np.int64)
-    return LossTables.fit(table[:, :v], table[:, v : 2 * v + 1], table[:, 2 * v + 1 :])
-
-
-def score_difference(docs: DataFrame, vocabulary: Vocabulary, tables: LossTables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ce_target, ce_background, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, tables))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc, tab = sent.value
-        for b in batches:
-            rows = []
-            for text in b["text"]:
-                ids = voc.ids(text)
-                t, g = tab.losses(ids, voc.size).mean(axis=1).tolist() if len(ids) else (None, None)
-                rows.append((len(ids), t, g, g - t if len(ids) else 0.0))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ce_target", "ce_background", "score"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
 
+def lm_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ce_target, ce_background, score) of every row; ``target`` has the wanted ids in its column doc_id."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInPandas(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    buckets = max(1, -(-(plain.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS))
+    slices = _slices(plain)
+    wanted = target.select(F.col("doc_id").cast("long").alias("wanted_id")).where("wanted_id is not null").distinct()
+    marks = _marks(slices, wanted)
+
+    def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=["slice", "bucket", "keys", "every", "target", "events", "wanted", "marks"])
+        row = left.iloc[0]
+        lengths = unpacked(row["lengths"]).astype(np.int64)
+        e = Events.of(lengths, unpacked(row["words"]).astype(np.int64), unpacked(row["hashes"]), buckets)
+        mark = np.zeros(len(lengths), dtype=bool)
+        if len(right):
+            mark[np.asarray(right["places"].iloc[0], dtype=np.int64)] = True
+        keys, every, ours = e.keys[e.order], e.counts()[e.order], e.counts(mark[e.doc])[e.order]
+        cuts = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << _U(BITS))
+        out = []
+        for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            head = b == 0
+            step = np.diff(keys[x:y], prepend=_U(b << BITS))
+            out.append((int(row["slice"]), b, packed(step), packed(every[x:y]), packed(ours[x:y]), len(e.word) * head, int(mark[e.doc].sum()) * head, packed(mark) if head else None))
+        return pd.DataFrame(out, columns=["slice", "bucket", "keys", "every", "target", "events", "wanted", "marks"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        """Per slice: what the other slices counted of its entries."""
+        start = _U(int(rows["bucket"].iloc[0]) << BITS)
+        each = [np.cumsum(unpacked(k), dtype=np.uint64) + start for k in rows["keys"]]
+        cuts = np.cumsum([len(k) for k in each])[:-1]
+        keys = np.concatenate(each)
+        _, at = np.unique(keys, return_inverse=True)
+        out = {}
+        for name in ("every", "target"):
+            own = np.concatenate([unpacked(x) for x in rows[name]]).astype(np.int64)
+            total = np.bincount(at, own, minlength=1).astype(np.int64)  # exact below 2**53
+            out[name] = [packed(x) for x in np.split(total[at] - own, cuts)]
+        words = len(np.unique(keys[keys & _U(1) == 0]))
+        return rows.assign(**out, words=words)[["slice", "bucket", "every", "target", "events", "wanted", "marks", "words"]]
+
+    sent = slices.groupBy("slice").cogroup(marks.groupBy("marked")).applyInPandas(send, "slice long, bucket long, keys binary, every binary, target binary, events long, wanted long, marks binary")
+    others = sent.groupBy("bucket").applyInPandas(merge, "slice long, bucket long, every binary, target binary, events long, wanted long, marks binary, words long")
+    others = written(others, "others")
+    each = others.groupBy("bucket").agg(F.sum("events").alias("n"), F.sum("wanted").alias("w"), F.max("words").alias("v"))
+    total = each.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("v").alias("v")).first()
+    n_words = (total.v or 0) - 1  # without the beginning, which is never predicted
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row, rows = left.iloc[0], right.sort_values("bucket")
+        lengths = unpacked(row["lengths"]).astype(np.int64)
+        e = Events.of(lengths, unpacked(row["words"]).astype(np.int64), unpacked(row["hashes"]), buckets)
+        mark = unpacked(rows["marks"].iloc[0]).astype(bool)
+        own_word, own_pair = e.inside(e.word), e.inside(e.pair)
+        own_history = np.concatenate(([1], own_word[:-1])) if len(own_word) else own_word
+        begins = np.flatnonzero(e.history == len(e.keys) - e.pairs - 2)
+        own_history[begins] = 1
+        size = np.bincount(e.doc, minlength=len(lengths))
+        losses = {}
+        for name, all_events, picked in (("target", total.w, mark[e.doc]), ("every", total.n, None)):
+            count = np.empty(len(e.keys), dtype=np.int64)
+            count[e.order] = np.concatenate([unpacked(x) for x in rows[name]]).astype(np.int64)
+            count += e.counts(picked)
+            out = 1 if picked is None else picked.astype(np.int64)  # only what a model counted is left out of it
+            ones, twos = count[: len(count) - e.pairs], count[len(count) - e.pairs :]
+            left_over = all_events - (size[e.doc] if picked is None else size[e.doc] * out)
+            p1 = (ones[e.word] - own_word * out + FLOOR) / (left_over + FLOOR * n_words)
+            p = (twos[e.pair] - own_pair * out + MU * p1) / (ones[e.history] - own_history * out + MU)
+            sums = np.bincount(e.doc, -np.log(p), minlength=len(lengths))
+            losses[name] = np.divide(sums, size, out=np.full(len(lengths), np.nan), where=size > 0)
+        found = pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in row["doc_ids"]], dtype="Int64"), "n_tokens": lengths, "ce_target": losses["target"], "ce_background": losses["every"]})
+        found["score"] = (found["ce_background"] - found["ce_target"]).fillna(0.0)
+        return found.astype({"ce_target": "Float64", "ce_background": "Float64"})
+
+    return slices.groupBy("slice").cogroup(others.groupBy("slice")).applyInPandas(score, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")

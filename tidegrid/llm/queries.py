@@ -15,7 +15,7 @@ from tidegrid.llm.op4_token_coder import read_token_shards, write_token_shards
 from tidegrid.llm.op5_html_lstm import extract_main_text, fit_labeller
 from tidegrid.llm.op6_simhash import simhash_groups
 from tidegrid.llm.op7_toxicity import fit_toxicity_model, score_toxicity
-from tidegrid.llm.op8_lm_difference import fit_losses, fit_vocabulary, score_difference
+from tidegrid.llm.op8_lm_difference import lm_difference
 from tidegrid.llm.op9_bpe_replay import byte_bpe
 from tidegrid.llm.op10_langid import fit_language_model, fold_of, identify_language
 from tidegrid.session import shared_dir, ship_package, table
@@ -66,9 +66,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality."""
     docs = _documents(spark, sf_dir)
-    vocabulary = fit_vocabulary(docs)
-    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score_difference(docs, vocabulary, fit_losses(docs, target, vocabulary))
+    return lm_difference(docs, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
 def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
