@@ -354,14 +354,52 @@ def test_simhash_groups_odd_rows(spark):
 # 7
 
 
-def test_deobfuscation():
+def characters():
     from collections import Counter
 
-    chars = op7.CharModel.fit(Counter({"idiot": 50, "moron": 50, "stupid": 50, "river": 50, "happy": 50, "runs": 50}))
-    for hidden, plain in [("1d10t", "idiot"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("$tup1d", "stupid"), ("haaaappy", "happy")]:
-        assert op7.is_hidden(hidden) and chars.restore(hidden) == plain, hidden
-    assert op7.spaced_words("an i d i o t here a b".split()) == ["an", "idiot", "here", "a", "b"]
-    assert not op7.is_hidden("river") and not op7.is_hidden("password=86998acf8bd")
+    return op7.CharModel.fit(Counter({"idiot": 50, "moron": 50, "stupid": 50, "shit": 50, "ass": 50, "river": 50, "happy": 50, "runs": 50, "you": 90, "are": 90, "a": 200, "b": 9}))
+
+
+def test_deobfuscation():
+    chars = characters()
+    for token, plain in [
+        ("1d10t", "idiot"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("$tup1d", "stupid"), ("haaaappy", "happy"), ("shi7", "shit"), ("a55", "ass"), ("a$$!", "ass"),
+        ("1.d.1.0.t", "idiot"), ("i,d,i,o,t.", "idiot"), ("i’d’i’o’t", "idiot"), ("sh*t", "shit"), ("m" + "o" * 99 + "ron", "moron"), ("i d i o t", "idiot"), ("a m o r o n", "a moron"), ("s h i t.", "shit"),
+        ("i d i o t a", "idiot a"), ("a s s", "ass"), ("1 d 1 0 t!", "idiot"),
+    ]:
+        assert chars.restore(op7.hidden(token)) == plain, (token, op7.hidden(token), chars.restore(op7.hidden(token)))
+    assert op7.words_of("You i d i o t, a. Go and s h i t! x y now") >= {"you", "i d i o t, a.", "s h i t! x y", "go", "x"}
+    for token in ("river", "password=86998acf8bd", "me@x.org", "2024", "1 2 3 4", "l'eau", "well-known"):
+        assert op7.hidden(token) == "", token
+
+
+def test_restoring_equals_every_path():
+    """Viterbi against the enumeration of all paths through the lattice."""
+    from itertools import groupby, product
+
+    chars = characters()
+
+    def price(parts):
+        text, spent = "".join(parts), 0.0
+        for word in text.split(" "):
+            s = "^" * op7.CONTEXT + word
+            spent += sum(chars.cost(s[i - op7.CONTEXT : i], s[i]) for i in range(op7.CONTEXT, len(s)))
+            spent += chars.cost(s[-op7.CONTEXT :], "^") if word else 0.0
+        return spent
+
+    for token in ("1d10t", "a55", "i.d.1", "s h 1 t a", "a m o r o n", "$$tuu", "sh*t", "b a b"):
+        paths = product(*(chars.arcs(c, len(list(g))) for c, g in groupby(token)))
+        best = min(sum(c for _, c in path) + price([x for x, _ in path]) for path in paths)
+        found = chars.restore(token)
+        reached = min(sum(c for _, c in path) + price([x for x, _ in path]) for path in product(*(chars.arcs(c, len(list(g))) for c, g in groupby(token))) if "".join(x for x, _ in path) == found)
+        assert reached == pytest.approx(best), token
+
+
+def test_long_tokens_are_scored_whole():
+    model = op7.ToxicityModel(characters(), {"=idiot": 5.0, "^idio": 1.0}, -2.0)
+    assert model.score("x" * 300_000 + " i d i o t") > 0.9 and model.score("ab1" * 20_000) < 0.5 and model.score("y " * 50_000) < 0.5
+    assert model.score("1d10t 1d10t") == model.score("1d10t") and model.score(None) == model.score("")
+    assert max(map(len, model.clean), default=0) <= op7.REMEMBERED_CHARS
 
 
 def toxic_corpus(n=400):
