@@ -113,12 +113,40 @@ def test_multi_index_odd_rows(spark):
     assert op1.nearest_neighbours(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_multi_index_repeats_ties_and_tiny_vectors(spark):
+    """A repeated query id is one query, equal vectors tie by id whatever their place, and sizes don't matter."""
+    x = unit_rows(40, 24, 5)
+    rows = [(i, v.tolist()) for i, v in enumerate(x[:20], 1)] + [(100 + i, (x[0] * s).tolist()) for i, s in enumerate((1.0, 2.0**-660, 2.0**600, 4.0))]
+    rows += [(50, (x[0] * 1e-200).tolist()), (50, (x[0] * 1e-200).tolist()), (50, x[30].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op1.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect())
+    assert [(q, r) for q, r, _, _ in got] == [(q, r) for q in (50, 100) for r in range(1, 6)]
+    assert [v for q, _, v, _ in got if q == 100][:4] in ([1, 101, 102, 103], [50, 50, 1, 101], [1, 50, 50, 101])
+    assert [s for q, _, _, s in got if q == 100][:4] == pytest.approx([1.0] * 4)
+    least = min(r[1] for r in rows if r[0] == 50)
+    near = brute([*range(20), *range(100, 104), -1], np.array([*x[:20], *[x[0]] * 4, np.array(least) / np.abs(least).max()]), [24], 5)[-1]
+    assert [s for q, _, _, s in got if q == 50] == pytest.approx([-v for v, _ in near], abs=1e-9)
+
+
+def test_every_code_within_the_radius_is_visited():
+    x = op1.unit_rows(unit_rows(1500, 40, 3))
+    codes = op1.Codes.fit(x, 5)
+    shard = op1.Shard(np.arange(len(x)), x, codes)
+    for radius in (0, 1, 5, 40, codes.radius):
+        assert sum(r + 1 for r in codes.radii(radius)) == radius + 1
+        for i in (0, 7):
+            within = np.flatnonzero(np.bitwise_count(shard.code ^ shard.code[i]).sum(axis=1) <= radius)
+            assert shard.candidates(shard.code[i], radius).tolist() == within.tolist()
+
+
 def test_substring_index_enumerates_what_it_scans():
-    values = np.random.default_rng(2).integers(0, 1 << 16, 5000).astype("<u2")
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    values = base[rng.integers(0, 50, 9000)] ^ (np.uint64(1) << rng.integers(0, 64, 9000).astype(np.uint64))
     index = op1.SubstringIndex(values)
-    for radius in (0, 1, 2, 5):
-        got = sorted(index.rows(1234, radius).tolist())
-        assert got == np.flatnonzero(np.bitwise_count(values ^ np.uint16(1234)) <= radius).tolist()
+    for radius in (-1, 0, 1, 2, 5):
+        got = sorted(index.rows(base[3], radius).tolist())
+        assert got == np.flatnonzero(np.bitwise_count(values ^ base[3]) <= radius).tolist()
 
 
 # 2

@@ -2,13 +2,13 @@
 
 Vectors are scaled to unit length and turned into binary codes by learned rotations: each rotation is fitted by iterative
 quantisation (rotate, take signs, rotate to the signs again) on a bounded sample, and several rotations give a longer code.
-A code is split into 16-bit substrings, each with its own index. Two codes within Hamming distance R agree up to
-floor(R / m) bits in at least one of m substrings (pigeonhole), so probing every index entry within that distance of the
-query's substring meets every code within R. Those are then reranked by their exact cosine in double precision.
+A code is split into m substrings of up to 64 bits, each with its own index. With probing radii r_1 .. r_m such that the sum
+of all r_j + 1 is R + 1, two codes within Hamming distance R are within r_j in at least one substring (pigeonhole), so
+probing every index entry within that distance of the query's substring meets every code within R. Those are then reranked
+by their exact cosine in double precision, summed without rounding errors, so that equal vectors score alike.
 
 The radius is learned too: the distance that holds ``COVER`` of the sample's true neighbours, which lie farther apart than
-the whole table's. For vectors without structure it is wide, and probing then meets a large part of each index: that is the
-price of recall on such data, not of the index.
+the whole table's. Long substrings prune more than short ones where it is wide, as it is for vectors without structure.
 
 In Spark: every row is indexed. Rows are dealt evenly to shards by a hash of their id, so copies of one vector spread over
 all shards. The stated query set meets each shard in blocks of bounded size; a shard returns at most k rows per query, and
@@ -16,12 +16,14 @@ only those are merged. Nothing is collected but the bounded sample.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components or of another length than most
 take no part, neither as queries nor as candidates; equal scores rank by smaller vec_id; repeated ids each count as a
-candidate row, and a query never returns rows of its own id; fewer candidates than k give fewer rows, and a query left
-with no candidate within the radius looks through all rows; an empty table gives an empty table; further columns are left out.
+candidate row, but are searched as one query, by the least of their vectors (compared component by component), and a query
+never returns rows of its own id; fewer candidates than k give fewer rows, and a query left with too few candidates within
+the radius looks through all rows; an empty table gives an empty table; further columns are left out.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,11 +36,21 @@ from pyspark.sql import functions as F
 from tidegrid.session import written
 
 #: Rows that rotations and radius are fitted on; share of true neighbours that the radius must hold; rotations.
-SAMPLE, COVER, ROTATIONS = 4_096, 0.985, 2
+SAMPLE, COVER, ROTATIONS = 4_096, 0.95, 3
 #: Fewest and most rows that a shard is planned for, shards aimed at in between, and queries in a block.
 LEAST_ROWS, MOST_ROWS, SHARDS, BLOCK_QUERIES = 1_024, 65_536, 96, 16_384
-_SUB = 16
-_MASKS_BY_WEIGHT = [np.array([m for m in range(1 << _SUB) if m.bit_count() == w], dtype=np.int64) for w in range(4)]
+#: Bits of a substring (the last one may have fewer, and a rotation has a multiple of ``_STEP``), and the widest radius whose entries are enumerated.
+_SUB, _STEP, _ENUMERATED = 64, 16, 2
+_MASKS = [np.array([sum(1 << b for b in bits) for w in range(r + 1) for bits in itertools.combinations(range(_SUB), w)], dtype=np.uint64) for r in range(_ENUMERATED + 1)]
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows over a power of two near their largest component: the same directions, exactly, and squares that neither vanish nor overflow."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v**2).sum(axis=1, keepdims=True))
 
 
 @dataclass
@@ -51,12 +63,19 @@ class Codes:
 
     @property
     def substrings(self) -> int:
-        return self.turn.shape[1] // _SUB
+        return -(-self.turn.shape[1] // _SUB)
+
+    def radii(self, radius: int) -> list[int]:
+        """Probing radii of the substrings: their sum, with one more for each, is ``radius`` + 1, shared out by bits."""
+        bits, m = self.turn.shape[1], self.substrings
+        upto = [(radius + 1) * min(bits, _SUB * j) // bits for j in range(m + 1)]
+        return [b - a - 1 for a, b in zip(upto, upto[1:])]
 
     def encode(self, unit: np.ndarray) -> np.ndarray:
-        """Substrings of each row's code, as 16-bit numbers."""
-        bits = (unit - self.mean) @ self.turn > 0
-        return np.packbits(bits, axis=1, bitorder="little").view("<u2").reshape(len(unit), self.substrings)
+        """Substrings of each row's code, as numbers."""
+        bits = np.zeros((len(unit), self.substrings * _SUB), dtype=bool)
+        bits[:, : self.turn.shape[1]] = (unit - self.mean) @ self.turn > 0
+        return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(len(unit), self.substrings)
 
     @classmethod
     def fit(cls, unit: np.ndarray, k: int, rotations: int = ROTATIONS, rounds: int = 25, seed: int = 3) -> Codes:
@@ -64,7 +83,7 @@ class Codes:
         n, d = unit.shape
         rng, mean = np.random.default_rng(seed), unit.mean(axis=0)
         x = unit - mean
-        width = max(_SUB, -(-d // _SUB) * _SUB)
+        width = max(_STEP, -(-d // _STEP) * _STEP)
         turns = []
         for _ in range(rotations):
             r = np.linalg.qr(rng.standard_normal((max(d, width), width)))[0][:d]
@@ -91,53 +110,56 @@ class SubstringIndex:
     def __init__(self, values: np.ndarray):
         self.order = np.argsort(values, kind="stable")
         self.distinct, first = np.unique(values[self.order], return_index=True)
-        self.distinct = self.distinct.astype(np.int64)
         self.first = np.append(first, len(values))
-        self.place = np.full(1 << _SUB, -1, dtype=np.int64)
-        self.place[self.distinct] = np.arange(len(self.distinct))
 
-    def rows(self, value: int, radius: int) -> np.ndarray:
+    def rows(self, value: np.uint64, radius: int) -> np.ndarray:
         """Rows whose substring is within ``radius`` bits of ``value``: enumerated values, or the distinct ones looked through, whichever is fewer."""
-        if radius < len(_MASKS_BY_WEIGHT) and sum(math.comb(_SUB, w) for w in range(radius + 1)) < len(self.distinct):
-            at = self.place[np.concatenate(_MASKS_BY_WEIGHT[: radius + 1]) ^ value]
-            at = at[at >= 0]
+        if radius < 0:
+            return self.order[:0]
+        if radius <= _ENUMERATED and len(_MASKS[radius]) < len(self.distinct):
+            near = _MASKS[radius] ^ value
+            at = np.minimum(np.searchsorted(self.distinct, near), len(self.distinct) - 1)
+            at = at[self.distinct[at] == near]
         else:
             at = np.flatnonzero(np.bitwise_count(self.distinct ^ value) <= radius)
         sizes = self.first[at + 1] - self.first[at]
-        total = int(sizes.sum())
         starts = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
-        return self.order[starts + np.arange(total)]
+        return self.order[starts + np.arange(int(sizes.sum()))]
 
 
 class Shard:
     """The indexed rows of one shard."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
-        self.norms = np.sqrt((vectors**2).sum(axis=1))
-        self.code = codes.encode(vectors / self.norms[:, None])
+        self.ids, self.vectors, self.codes = ids, scaled(vectors), codes
+        self.unit = unit_rows(self.vectors)
+        self.code = codes.encode(self.unit)
         self.indexes = [SubstringIndex(self.code[:, j]) for j in range(codes.substrings)]
 
+    def visited(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that some substring's index holds within its probing radius."""
+        seen = np.zeros(len(self.ids), dtype=bool)
+        for value, index, r in zip(code, self.indexes, self.codes.radii(radius)):
+            seen[index.rows(value, r)] = True
+        return np.flatnonzero(seen)
+
     def candidates(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code lies within ``radius``."""
-        seen = np.zeros(len(self.ids), dtype=bool)
-        for j, index in enumerate(self.indexes):
-            seen[index.rows(int(code[j]), radius // len(self.indexes))] = True
-        rows = np.flatnonzero(seen)
+        rows = self.visited(code, radius)
         return rows[np.bitwise_count(self.code[rows] ^ code).sum(axis=1) <= radius]
 
     def nearest(self, query_id: int, vector: np.ndarray, code: np.ndarray, radius: int, k: int) -> list[tuple[int, float]]:
+        """``vector``: scaled. The last few are told apart by sums without rounding errors, which don't depend on a row's place."""
         rows = self.candidates(code, radius)
         rows = rows[self.ids[rows] != query_id]
         if not len(rows):
             return []
-        score = self.vectors[rows] @ vector / (self.norms[rows] * math.sqrt(vector @ vector))
-        if len(rows) > 4 * k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= edge
-            rows, score = rows[keep], score[keep]
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return [(int(self.ids[rows[i]]), float(score[i])) for i in best]
+        rough = self.unit[rows] @ (vector / math.sqrt(vector @ vector))
+        if len(rows) > k:
+            rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+        size = math.sqrt(math.fsum((vector * vector).tolist()))
+        score = [math.fsum((v * vector).tolist()) / (math.sqrt(math.fsum((v * v).tolist())) * size) for v in self.vectors[rows]]
+        return sorted(((int(i), s) for i, s in zip(self.ids[rows], score)), key=lambda x: (-x[1], x[0]))[:k]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -161,14 +183,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
     sample = rows.where(spread < share).orderBy("vec_id").limit(SAMPLE).toPandas()
     if sample.empty:
         sample = rows.limit(1).toPandas()
-    unit = np.array(sample["v"].tolist(), dtype=np.float64)
-    unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
-    codes = Codes.fit(unit, k)
+    codes = Codes.fit(unit_rows(scaled(np.array(sample["v"].tolist(), dtype=np.float64))), k)
     if radius is not None:
         codes.radius = radius
     sent = vectors.sparkSession.sparkContext.broadcast(codes)
     n_shards = -(-sizes.n // min(MOST_ROWS, max(LEAST_ROWS, sizes.n // SHARDS)))
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = -(-queries.count() // BLOCK_QUERIES) or 1
 
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_shards)).cast("int").alias("shard"), "vec_id", "v")
@@ -181,8 +201,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, id_col:
         if len(left) and len(right):
             c = sent.value
             shard = Shard(left["vec_id"].to_numpy(np.int64), np.array(left["v"].tolist(), dtype=np.float64), c)
-            q = np.array(right["v"].tolist(), dtype=np.float64)
-            own = c.encode(q / np.sqrt((q**2).sum(axis=1, keepdims=True)))
+            q = scaled(np.array(right["v"].tolist(), dtype=np.float64))
+            own = c.encode(unit_rows(q))
             reach = c.radius if radius_of is None else radius_of
             for query_id, v, code in zip(right["vec_id"].tolist(), q, own):
                 out += [(query_id, i, s) for i, s in shard.nearest(query_id, v, code, reach, k)]
