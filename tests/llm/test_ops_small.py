@@ -268,6 +268,54 @@ def test_html_text_after_an_embedded_element_stays(inner):
     assert [b.text for b in op5.read_blocks("<p>a</p><script>b<p>c")] == ["a"]
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<object>", "<svg ", '<a "', "<a '\">x", "</", "<!-- ", "<p>", "<script ", "<div class='", "<object x=\"<p>"])
+def test_reading_a_megabyte_of_broken_tags_is_linear(piece):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        began = time.process_time()
+        op5.read_blocks(piece * (n // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 60 * max(took[0], 0.02)
+
+
+def test_tags_with_angles_in_quotes():
+    blocks = op5.read_blocks("<div data-x=\"a>b\">one</div><p title='x<y'>two<svg a='>'/>three</p><iframe src=x>gone</iframe>four<object>five<p>six")
+    assert [b.text for b in blocks] == ["one", "two", "three", "four", "five", "six"]
+
+
+def test_pages_that_name_no_article(spark):
+    """Labelled by running text, not by an untrained network; with no running text at all, every text is empty."""
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+    rng = np.random.default_rng(6)
+    lines = [" ".join(rng.choice(["river", "stone", "cloud", "walks", "green", "over"], 30)) + "." for _ in range(40)]
+    pages = spark.createDataFrame([(i, "u", f"<html><body>{menu}<p>{lines[i]}</p><p>{lines[i + 1]}</p>{menu}</body></html>") for i in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op5.extract_main_text(pages, op5.fit_labeller(pages)).collect()}
+    assert sum(got[i] == f"{lines[i]}\n{lines[i + 1]}" for i in range(30)) >= 27
+    bare = pages.select("page_id", "url", F.lit("<a href=x>Home</a>").alias("html"))
+    assert op5.fit_labeller(bare) is None and {r.text for r in op5.extract_main_text(bare, None).collect()} == {""}
+
+
+def test_network_equals_a_scalar_pass():
+    net = op5.BiLSTM.start(width=5, hidden=3, seed=2)
+    x = np.random.default_rng(8).standard_normal((1, 4, 5)).astype(np.float32)
+
+    def side(d, seq):
+        h, c, out = [0.0] * 3, [0.0] * 3, []
+        for v in seq:
+            z = [sum(float(a) * float(w) for a, w in zip([*v, *h], net.p[d][:, k])) + float(net.p[d + "0"][k]) for k in range(12)]
+            s = lambda t: 1 / (1 + np.exp(-t))
+            c = [s(z[3 + k]) * c[k] + s(z[k]) * np.tanh(z[9 + k]) for k in range(3)]
+            h = [s(z[6 + k]) * np.tanh(c[k]) for k in range(3)]
+            out.append(h)
+        return out
+
+    f, b = side("f", x[0]), side("b", x[0][::-1])[::-1]
+    want = [sum(a * float(w) for a, w in zip([*p, *q], net.p["o"])) + float(net.p["o0"][0]) for p, q in zip(f, b)]
+    assert net.logits(x, np.ones((1, 4), np.float32))[0] == pytest.approx(want, abs=1e-5)
+
+
 def test_labeller_is_trained_on_whole_pages(spark, monkeypatch):
     seen, plain = [], op5.block_vectors
     monkeypatch.setattr(op5, "block_vectors", lambda blocks: seen.append(blocks) or plain(blocks))

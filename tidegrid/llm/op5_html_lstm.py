@@ -6,12 +6,12 @@ reads the whole sequence of a page's blocks forwards and backwards and labels ea
 stands before and after a block counts. Numpy only.
 
 There are no labels for pages. The network is trained on a bounded sample of the pages with labels from a structural rule
-(``teacher``), where that rule has something to go by, and on variants of the same pages: other names for the article's
+(``teacher``; where a page names no article, ``plain_teacher`` looks at length, links and ends of sentences), and on variants of the same pages: other names for the article's
 container, and menus, notices, forms, sidebars and comments put in at places where sites have them. The model has a fixed
 size and is broadcast; pages are labelled in the tasks that read them, without a shuffle, whole.
 
 Defined results: null or empty html gives an empty text; text outside any tag is a block of its own; unclosed tags are closed
-as browsers do for paragraphs and list items; repeated pages are labelled alike; a null id or url stays null; an empty table
+as browsers do for paragraphs and list items; repeated pages are labelled alike; a null id or url stays null; a table without any running text gives empty texts; an empty table
 gives an empty table; further columns are left out.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -37,6 +38,8 @@ WIDTH = PATH_SIZE + WORD_SIZE + 6
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_SAME = frozenset("p li dt dd tr td th option".split())
+#: Open elements that a block's path looks back on and a closing tag can reach: pages that leave thousands open stay linear.
+DEEPEST = 256
 #: Words in tags, classes and ids that mark an article, and what isn't one.
 MAIN_NAMES = frozenset("article main content post story entry body-text maintext".split())
 OTHER_NAMES = frozenset(
@@ -44,12 +47,13 @@ OTHER_NAMES = frozenset(
     "comment comments replies share social related newsletter subscribe button select textarea input head title figcaption dialog popup modal".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/])[^>]*/>"
-    r"|<(template|noscript|svg|iframe|object)(?=[\s/>])[^>]*>(?:[^<]++|<(?!/?\2[\s/>]))*+</\2\s*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Tags whose content is no text of the page; those of the second kind hold it only if they are closed.
+SILENT = frozenset("script style".split())
+EMBEDDED = frozenset("template noscript svg iframe object".split())
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+#: A whole tag without an angle in its attributes, as almost all are.
+_WHOLE = re.compile(r"(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"\w+")
 
@@ -69,6 +73,97 @@ def _attribute_names(raw: str) -> tuple[str, ...]:
     return tuple(f".{w.lower()}" for m in _NAMES.finditer(raw) for w in (m[2] or m[3] or m[4] or "").split())
 
 
+class _Reader:
+    """Splits a page into text and tags, in time linear in its length: what isn't found once isn't looked for again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.gone: dict[str, bool] = {}
+        self.quotes = True
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of ``what``, which must not move backwards between calls once it's gone; -1 if there is none."""
+        if what in self.gone:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.gone[what] = True
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the tag's closing sign, quoted ones left out unless a quote stays open; -1 if there is none."""
+        if self.find(">", at) < 0:
+            return -1
+        here = at
+        while self.quotes and (m := _STOP.search(self.html, here)):
+            if m[0] == ">":
+                return m.start()
+            here = self.find(m[0], m.end()) + 1
+            if not here:
+                self.quotes = False
+        self.quotes = False  # from here on, the first sign ends a tag
+        return self.find(">", at)
+
+    def tags(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(begin, end, closing, name, attributes) of each tag; comments and silent elements have no name."""
+        html, at = self.html, 0
+        closers = _Closers(html)
+        while (begin := self.find("<", at)) >= 0:
+            at = begin + 1
+            if html.startswith("<!--", begin):
+                end = self.find("-->", begin + 4)
+                at = end + 3 if end >= 0 else len(html)
+                yield begin, at, False, "", ""
+            elif (whole := _WHOLE.match(html, at)) or (m := _TAG.match(html, at)):
+                if whole:
+                    closing, name, inside, at = bool(whole[1]), whole[2].lower(), whole[3], whole.end()
+                else:
+                    end = self.tag_end(m.end())
+                    if end < 0:
+                        continue
+                    closing, name, inside, at = bool(m[1]), m[2].lower(), html[m.end() : end], end + 1
+                if not closing and name in SILENT:
+                    at = closers.after(name, at, len(html))
+                    yield begin, at, False, "", ""
+                elif not closing and name in EMBEDDED and not (name == "svg" and inside.endswith("/")) and (after := closers.after(name, at, -1)) >= 0 and not closers.opens(name, at, after):
+                    at = after
+                    yield begin, at, False, "", ""
+                else:
+                    yield begin, at, closing, name, inside
+            elif html[at : at + 1] in ("!", "?", "/"):
+                end = self.find(">", at)
+                if end >= 0:
+                    at = end + 1
+                    yield begin, at, False, "!", ""
+
+
+class _Closers:
+    """Where the elements of ``SILENT`` and ``EMBEDDED`` open and close, found in one pass."""
+
+    def __init__(self, html: str):
+        self.open: dict[str, list[int]] = {}
+        self.close: dict[str, list[tuple[int, int]]] = {}
+        for m in re.finditer(rf"<(/?)({'|'.join(sorted(SILENT | EMBEDDED))})(?=[\s/>])", html, re.I):
+            if m[1]:
+                end = html.find(">", m.end(), m.end() + 64)
+                if end >= 0:
+                    self.close.setdefault(m[2].lower(), []).append((m.start(), end + 1))
+            else:
+                self.open.setdefault(m[2].lower(), []).append(m.start())
+
+    def after(self, name: str, at: int, otherwise: int) -> int:
+        """The end of the first closing tag from ``at`` on."""
+        found = self.close.get(name, [])
+        i = bisect_left(found, (at, 0))
+        return found[i][1] if i < len(found) else otherwise
+
+    def opens(self, name: str, at: int, upto: int) -> bool:
+        """Whether another such element opens before ``upto``."""
+        found = self.open.get(name, [])
+        i = bisect_left(found, at)
+        return i < len(found) and found[i] < upto
+
+
 def read_blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page, in order; comments, scripts and styles hold none."""
     blocks: list[Block] = []
@@ -83,32 +178,33 @@ def read_blocks(html: str | None) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                path = tuple(x for tag, names in stack for x in (tag, *names) if tag not in INLINE)
+                path = tuple(x for tag, names in stack[-DEEPEST:] for x in (tag, *names) if tag not in INLINE)
                 blocks.append(Block(path, text, links))
             parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    for begin, end, closing, tag, inside in _Reader(html).tags():
+        if begin > at:
+            piece = html[at:begin]
             parts.append(piece)
             if in_link:
                 links += len(piece)
-        at = m.end()
-        tag = (m[4] or m[7] or "").lower()
+        at = end
         if not tag:
-            if m[0][1] not in "!?/":
+            if html[begin + 1] != "!":
                 parts.append(" ")
             continue
+        if tag == "!":
+            continue
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if (m[3] or m[6]) else 1
+                in_link = 0 if closing else 1
             elif tag in ("br", "img"):
                 parts.append(" ")
             continue
         flush()
-        if m[3] or m[6]:
-            for i in range(len(stack) - 1, -1, -1):
+        if closing:
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
@@ -122,7 +218,7 @@ def read_blocks(html: str | None) -> list[Block]:
                 break
             if stack[i][0] in ("div", "section", "article", "table", "ul", "ol", "td", "blockquote"):
                 break
-        stack.append((tag, _attribute_names(m[5] or m[8] or "")))
+        stack.append((tag, _attribute_names(inside)))
     if at < len(html):
         parts.append(html[at:])
     flush()
@@ -143,6 +239,13 @@ def teacher(block: Block) -> int:
     return int(1 in kinds and -1 not in kinds)
 
 
+def plain_teacher(block: Block) -> int:
+    """For pages without any article's name: running text that isn't mostly links and stands under no other part's name."""
+    words = len(block.text.split())
+    running = words >= 12 or words >= 5 and block.text[-1] in ".!?:\"”"
+    return int(running and 3 * block.links < len(block.text) and not any(_kind(x) == -1 for x in block.path))
+
+
 def _hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
@@ -341,7 +444,7 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return x, mask, y
 
 
-def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> BiLSTM:
+def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id", html_col: str = "html") -> BiLSTM | None:
     """A network trained on the blocks of at most ``sample`` pages, which the executors read from the html."""
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).where("page_id is not null and html is not null")
     n = plain.select("page_id").count()
@@ -366,18 +469,21 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id"
         if not blocks:
             continue
         labels = [teacher(b) for b in blocks]
+        if not any(labels):
+            labels = [plain_teacher(b) for b in blocks]
         if any(labels):
             train.append((block_vectors(blocks), np.array(labels)))
             for _ in range(VARIANTS):
                 b, y = variants(blocks, labels, rng)
                 train.append((block_vectors(b), np.array(y)))
+    if not train:
+        return None
     model = BiLSTM.start()
-    if train:
-        model.train(train)
+    model.train(train)
     return model
 
 
-def extract_main_text(pages: DataFrame, model: BiLSTM, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, model: BiLSTM | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_main) of every page."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -387,7 +493,7 @@ def extract_main_text(pages: DataFrame, model: BiLSTM, id_col: str = "page_id",
             for i in range(0, len(b), 1000):
                 part = b.iloc[i : i + 1000]
                 read = [read_blocks(h) for h in part["html"]]
-                marks = net.label([block_vectors(x) for x in read])
+                marks = net.label([block_vectors(x) for x in read]) if net else [np.zeros(len(x), bool) for x in read]
                 texts = ["\n".join(x.text for x, keep in zip(blocks, m) if keep) for blocks, m in zip(read, marks)]
                 yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": [len(x) for x in read], "n_main": [int(m.sum()) for m in marks]})
 
