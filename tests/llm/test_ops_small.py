@@ -387,7 +387,7 @@ def brute_components(codes, radius):
     return {c: find(c) for c in codes}
 
 
-@pytest.mark.parametrize("split", [2_000, 20])
+@pytest.mark.parametrize("split", [2_000, 20, 3])
 def test_links_equal_brute_force(spark, monkeypatch, split):
     """Chains, stars and a hot slice that is dealt again."""
     monkeypatch.setattr(op6, "SPLIT", split)
@@ -427,6 +427,16 @@ def test_simhash_groups_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 3, 4, 6, 7, 8, 9, 10]
 
 
+def test_rows_are_judged_not_ids(spark):
+    rows = [(0, "one river runs under the old bridge"), (1, "one river runs under the old bridge"), (1, "quite another text about seven green stones"), (2, "first of two texts with the number two"), (2, "another one that has that number, not that text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(tuple(r) for r in op6.keep_first_of_groups(docs).collect())
+    assert kept == sorted(rows[:1] + rows[2:])
+    groups = {(r.doc_id, r.component_id) for r in op6.simhash_groups(docs).collect()}
+    assert groups == {(0, 0), (1, 0), (1, 1), (2, 2)}
+    assert op6.keep_first_of_groups(docs, radius=0).count() == 4
+
+
 # 7
 
 

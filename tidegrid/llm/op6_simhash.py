@@ -3,8 +3,8 @@
 1. Each text gets a 64-bit fingerprint of its word shingles (numpy, in the task that read it).
 2. Equal fingerprints fold into one row first, so a third of all rows being copies costs one row per task.
 3. Two fingerprints within ``radius`` bits share at least one of ``radius + 1`` slices of the 64 bits, whole. Fingerprints
-   are dealt to shards by (slice number, slice value): every pair within the radius meets in a shard. A slice value with
-   more than ``SPLIT`` fingerprints is dealt again by the slices of its other bits, where the same holds.
+   are dealt to shards by (slice number, slice value): every pair within the radius meets in a shard. A shard with more
+   than ``SPLIT`` fingerprints is dealt again by the slices of its other bits, where the same holds, and so on.
 4. Each shard builds a BK-tree (children keyed by the integer Hamming distance to their parent); each fingerprint looks
    for partners by following only edges within the radius. Shards hold a bounded number of fingerprints and are shipped
    to the task that searches them; none is sent to all executors, as their number grows with the data.
@@ -13,26 +13,27 @@
    each round, so lost executors cost a task and not the run.
 
 Defined results: null and wordless texts have fingerprint zero, and link like any other; a null id is left out, since a
-component is named by an id; repeated ids give one row each with the same component if their texts are equal;
-an empty table gives an empty table; further input columns are left out.
+component is named by an id; repeated ids give one row each, with the component of that row's own text; table gives an empty table; further input columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.session import written
 
 SEED = 42
-#: Fingerprints of a slice value beyond which it is dealt again by the other bits.
-SPLIT = 2_000
+#: Fingerprints of a shard beyond which it is dealt again by its other bits, and bits that can't tell many fingerprints apart.
+SPLIT, FEW_BITS = 2_000, 11
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -116,35 +117,39 @@ def shard_links(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(order[i]), int(order[r])) for i in range(len(values)) if (r := find(i)) != i]
 
 
-def _slices(width: int, parts: int) -> list[tuple[int, int]]:
-    """(first bit, length) of ``parts`` slices of ``width`` bits."""
-    cuts = [round(i * width / parts) for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
-
-
-def _bits(fp: Column, first: int, length: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << length) - 1))
+def _dealt(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, key, rest, width): each row once for every slice of the ``width`` bits of ``rest``, which then lose that slice."""
+    parts = radius + 1
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"))
+    each = each.withColumns({"a": F.expr(f"int(i * width div {parts})"), "b": F.expr(f"int((i + 1) * width div {parts})")})
+    slice_ = F.expr("shiftrightunsigned(rest, a) & (shiftleft(1L, b - a) - 1)")
+    high = F.expr("IF(b >= 64, 0L, shiftleft(shiftrightunsigned(rest, b), a))")
+    low = F.expr("rest & (shiftleft(1L, a) - 1)")
+    return each.select("fp", F.xxhash64("key", "i", slice_).alias("key"), low.bitwiseOR(high).alias("rest"), F.expr("width - (b - a)").alias("width"))
 
 
 def shards(distinct: DataFrame, radius: int) -> DataFrame:
-    """(shard, fp): each fingerprint in the shards in which its partners within ``radius`` bits can be."""
-    outer = _slices(64, radius + 1)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), _bits(F.col("fp"), a, n).alias("v")) for j, (a, n) in enumerate(outer)])).alias("s")).select("fp", "s.j", "s.v")
-    size = keyed.groupBy("j", "v").agg(F.count("*").alias("n"))
-    hot = size.where(F.col("n") > SPLIT).select("j", "v", F.lit(True).alias("hot"))
-    keyed = keyed.join(hot, ["j", "v"], "left")
-    again = []
-    for j, (a, n) in enumerate(outer):  # the bits besides slice j, as one number of 64 - n bits
-        low = F.col("fp").bitwiseAND(F.lit((1 << a) - 1))
-        high = F.lit(0).cast("long") if a + n >= 64 else F.shiftleft(F.shiftrightunsigned(F.col("fp"), a + n), a)
-        rest = low.bitwiseOR(high)
-        again.append(F.when(F.col("j") == j, F.array(*[F.xxhash64(F.col("j"), F.col("v"), F.lit(i), _bits(rest, b, m)) for i, (b, m) in enumerate(_slices(64 - n, radius + 1))])))
-    once = F.array(F.xxhash64(F.col("j"), F.col("v")))
-    return keyed.select("fp", F.explode(F.when(F.col("hot"), F.coalesce(*again)).otherwise(once)).alias("key"))
+    """(key, fp): each fingerprint in the shards in which its partners within ``radius`` bits can be.
+
+    Shards of more than ``SPLIT`` fingerprints are dealt again by what is left of their bits, until none is or so few bits
+    are left that a shard can't hold many: some five times at most, however dense the fingerprints.
+    """
+    rows = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(64).alias("width"))
+    done = []
+    while True:
+        dealt = _dealt(rows, radius)
+        large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("key", F.lit(True).alias("large"))
+        placed = written(dealt.join(large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)) & (F.col("width") > FEW_BITS)), "shards")
+        done.append(placed.where(~F.col("large")).select("key", "fp"))
+        rows = placed.where("large").drop("large")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b): a spanning forest of the links of each shard, a > b as unsigned codes are ordered by their signed form."""
+    if radius < 1:  # distinct fingerprints have no links
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     placed = shards(distinct, radius)
     lone = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     pairs = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -209,12 +214,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest id. Rows with a null id stay."""
-    groups = written(simhash_groups(docs, id_col, text_col, words_per_shingle, radius).select("doc_id", "component_id"), "groups")
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    # merged at every size: what goes grows with the documents, so it is never sent to all executors
-    kept = docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    null = F.col(id_col).isNull()
-    return kept.where(~null).dropDuplicates([id_col]).unionByName(kept.where(null))
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id (of several, the first one read).
+
+    Rows are judged, not ids: a row whose id also stands on another text stays if its own group has no smaller id. Rows with
+    a null id stay.
+    """
+    row, fp = (name + "_" * max(map(len, docs.columns)) for name in ("row", "fp"))  # longer than any of the table's names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            found = np.array([fingerprint(t, words_per_shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found)], names=[*b.schema.names, fp])
+
+    shape = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    held = written(docs.mapInArrow(run, shape).select(F.monotonically_increasing_id().alias(row), "*"), "fingerprinted")
+    marked = held.where(F.col(id_col).isNotNull()).select(F.col(fp).alias("fp"), F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("first"))
+    distinct = written(marked.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
+    roots = written(components(links(distinct.select("fp"), radius)), "roots")
+    member = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stays = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    # merged at every size: what stays grows with the documents, so it is never sent to all executors
+    kept = held.where(F.col(id_col).isNotNull()).join(stays.hint("merge"), row, "left_semi")
+    return kept.unionByName(held.where(F.col(id_col).isNull())).select(*docs.columns)
