@@ -11,8 +11,8 @@ The ridge outputs of all languages sum to the same value for every text, so the
 whether the text is in any of them. That is read from the share of the text's n-grams (n = 2 to 4) that some landmark holds.
 The least share is learned: ``FALSE_REJECTS`` of the texts learned from are below it, each against the other landmarks.
 
-The model is fitted on at most ``SAMPLE`` labelled texts (whole texts; the presence vectors are made on the executors) and
-has a fixed size, which is what is broadcast. All rows are then scored in the tasks that read them, without a shuffle.
+The model is fitted on at most ``SAMPLE`` labelled texts, or ``LEAST`` of each language if that is more (whole texts; the
+presence vectors are made on the executors). Its size depends on the languages alone, and it is what is broadcast. All rows are then scored in the tasks that read them, without a shuffle.
 
 Defined results: a null text or one with no letter is ``und`` with score 0; rows with a null id are scored, and neither
 learned from nor held out; repeated rows score alike; with no labelled text every row is ``und``; an empty table gives an
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.rows import keep_rows
 
-#: Labelled texts learned from, over all languages; and landmarks among them.
-SAMPLE, LANDMARKS = 1_200, 192
+#: Labelled texts learned from, over all languages, and of one language at least; landmarks among them (one per language at least).
+SAMPLE, LEAST, LANDMARKS = 1_200, 8, 192
 #: Buckets of the hashed n-grams for n = 1 to 5.
 BUCKETS = (1_024, 8_192, 32_768, 65_536, 65_536)
 RIDGE = 3e-3
@@ -125,7 +125,7 @@ class KernelModel:
         """``sets``: presence sets of each text; landmarks are spread evenly over the texts ordered by language."""
         languages = sorted(set(labels))
         order = sorted(range(len(labels)), key=lambda i: labels[i])
-        marks = [order[i] for i in np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))]
+        marks = [order[i] for i in np.unique(np.linspace(0, len(order) - 1, min(max(landmarks, len(languages)), len(order))).astype(int))]
         k = np.zeros((len(sets), len(marks)))
         for n, size in enumerate(BUCKETS):
             z = rows_of([sets[i][n] for i in marks], size).T
@@ -178,12 +178,12 @@ def fold_of(id_col: str | Column, folds: int) -> Column:
 def fit_language_model(docs: DataFrame, learn: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel | None:
     """A model from at most ``sample`` of the rows where ``learn`` holds, as many of each language as there are."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn")).where("learn and lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(sample // 8).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
     if not counts:
         return None
-    each = sample // len(counts)
+    each = max(LEAST, sample // len(counts))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.15 * each / n + 4 / n))) for k, n in counts.items()])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, (1.15 * each + 4) / r.n))])[F.col("lang")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -25,9 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text in a slice, and pieces that a worker remembers.
+from tidegrid.llm.word_tokens import spliced
+
+#: Characters of text in a slice; pieces that a worker remembers, and the longest of them: together they bound its memory, never the results.
 SLICE_CHARS = 32_000_000
-REMEMBERED = 600_000
+REMEMBERED, REMEMBERED_CHARS = 600_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -157,6 +159,14 @@ class MergeReplay:
         return np.concatenate(early) if early else np.empty(0, dtype=np.int64)
 
 
+class _Numbers(dict):
+    """Pieces to numbers in the order in which they are met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class PieceMemory:
     """The ids of pieces, remembered in two generations of bounded size."""
 
@@ -167,18 +177,22 @@ class PieceMemory:
         self.decimal = [str(i).encode() for i in range(self.replay.size)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, of a slice."""
-        split = [self.pattern.findall(t) for t in texts]
-        seen = set().union(*split)
-        new = [w for w in seen if w not in self.young and w not in self.old]
-        ids = dict(zip(new, map(np.ndarray.tobytes, self.replay.encode([w.encode() for w in new]))))
-        held = {w: self.young.get(w) or self.old[w] for w in seen if w not in ids} | ids
-        out = [np.frombuffer(b"".join(map(held.__getitem__, s)), dtype="<u4") for s in split]
-        if len(self.young) + len(held) > REMEMBERED // 2:
+        """Ids of each text, of a slice. Only distinct pieces are held as strings."""
+        number = _Numbers()
+        split = [np.fromiter(map(number.__getitem__, self.pattern.findall(t)), np.int32) for t in texts]
+        words = list(number)
+        known = [self.young.get(w) or self.old.get(w) for w in words]
+        new = [i for i, k in enumerate(known) if k is None]
+        for i, ids in zip(new, self.replay.encode([words[i].encode() for i in new])):
+            known[i] = ids.tobytes()
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        flat, begin = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(size) - size
+        short = {w: k for w, k in zip(words, known) if len(w) <= REMEMBERED_CHARS}
+        if len(self.young) + len(short) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
-        if len(held) <= REMEMBERED // 2:
-            self.young |= held
-        return out
+        if len(short) <= REMEMBERED // 2:
+            self.young |= short
+        return [spliced(flat, begin[s], size[s])[0] for s in split]
 
 
 _memories: dict[tuple[str, str], PieceMemory] = {}

@@ -17,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words in each of a worker's two generations of memory: a full young one becomes the old one. It bounds memory, never the results.
-REMEMBERED = 500_000
+#: Words in each of a worker's two generations of memory: a full young one becomes the old one; and the longest word that is
+#: remembered. Together they bound its memory, never the results.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 48
 #: Characters of the texts that are encoded at once.
 RUN_CHARS = 12_000_000
 #: ASCII characters that are neither letters nor digits nor white space.
@@ -64,13 +65,14 @@ class WordEncoder(dict):
         return "<|" not in text and self.tame or not any(x in text or x.lower() in text.lower() for x in self.added)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
         known = self.old.get(word)
         if known is None:
             known = b"".join(map(self._piece, (word,) if word.isalpha() else _PIECES.findall(word)))
-        self[word] = known
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = known
         return known
 
     def _piece(self, piece: str) -> bytes:
@@ -115,10 +117,10 @@ class WordEncoder(dict):
         cut = pc.and_(pc.utf8_is_alpha(stems), pc.not_equal(stems, distinct))
         signs = pc.replace_substring_regex(pc.if_else(cut, distinct, ""), r"^\pL+", "")
         flat, begins, sizes = self._table(pc.if_else(cut, stems, distinct), signs)
-        flat, ends = _spliced(flat, begins, sizes)
+        flat, ends = spliced(flat, begins, sizes)
         sizes = sizes.reshape(2, -1, order="F").sum(axis=0)
         word = coded.indices.to_numpy()
-        ids, ends = _spliced(flat, (np.cumsum(sizes) - sizes)[word], sizes[word])
+        ids, ends = spliced(flat, (np.cumsum(sizes) - sizes)[word], sizes[word])
         upto = np.concatenate(([0], ends))[words.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
@@ -131,7 +133,7 @@ class WordEncoder(dict):
         return np.frombuffer(b"".join(known), dtype="<u4"), (np.cumsum(size) - size)[part], size[part]
 
 
-def _spliced(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spliced(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``flat`` that begin at ``begins``, one after another; and where each ends in the result."""
     ends = np.cumsum(sizes)
     return flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(len(ends) and ends[-1])], ends
