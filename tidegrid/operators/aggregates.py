@@ -1,7 +1,7 @@
 """Grouped summaries: quantiles, correlations, profiles, zones and composites.
 
-Every function takes DataFrames and column names and gives a lazy DataFrame. Rank statistics avoid one-partition windows:
-``average_ranks`` counts distinct values first and adds partition offsets.
+Every function takes DataFrames and column names and gives a DataFrame. Ranks and exact quantiles of whole columns or of large
+groups come from ``ordered_counts``, so that no task sees more than its range of the distinct values.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
+from tidegrid.session import written
 
 #: The eleven quantile columns and their probabilities.
 QUANTILES = ("QMIN", "Q10", "Q20", "Q30", "Q40", "Q50", "Q60", "Q70", "Q80", "Q90", "QMAX")
@@ -39,27 +40,66 @@ def group_sum(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(*[F.sum(v).alias(f"sum_{v}") for v in values])
 
 
+def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _n, _upto): the distinct values of each key, how often they occur, and how many of the key's rows are not larger.
+
+    Values are counted and range-sorted; offsets come from one row per key and partition. What was sorted is written first:
+    numbers and offsets then speak of the same partitions, whatever is computed again. NULL values are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = written(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()), "ordered")
+    parts = placed.groupBy(*keys, "_p").agg(F.sum("_n").alias("_s"))
+    before = parts.select(*keys, "_p", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy("_v"))
+    return placed.withColumn("_inside", inside).join(before, [*keys, "_p"]).select(*keys, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_upto"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(keys, q): exact quantiles with linear interpolation per key, as an array in the order of ``probs``; NULLs don't count.
+
+    For whole columns and large groups; ``percentile`` would merge a group's distinct values in one task.
+    """
+    ranked = ordered_counts(df, keys, value)
+    ranked = written(ranked.withColumn("_v", F.col("_v").cast("double")), "ranked")
+    total = ranked.groupBy(*keys).agg(F.max("_upto").alias("_all"))
+    rows = ranked.join(total, list(keys)) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    found = []
+    for i, p in enumerate(probs):
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        for name, rank in ((f"_l{i}", F.floor(at)), (f"_h{i}", F.ceil(at))):
+            found.append(F.max(F.when((rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_n")), F.col("_v"))).alias(name))
+    one = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *found)
+    share = lambda p: (F.col("_all") - 1) * F.lit(float(p)) - F.floor((F.col("_all") - 1) * F.lit(float(p)))
+    return one.select(*keys, F.array(*[F.col(f"_l{i}") * (1 - share(p)) + F.col(f"_h{i}") * share(p) for i, p in enumerate(probs)]).alias("q"))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(variable, q) of whole columns."""
+    return exact_quantiles(long_form(df.select(*[F.col(c).cast("double") for c in cols]), [], cols), ["variable"], "value", probs)
+
+
 def zonal_stats(df: DataFrame, zone: str, value: str, percentiles: Sequence[float] = ()) -> DataFrame:
-    more = [F.percentile(value, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in percentiles]
-    return df.groupBy(zone).agg(
+    """Counts, moments and exact percentiles per zone; a zone may hold most of the rows."""
+    out = df.groupBy(zone).agg(
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"), F.sum(value).alias("sum"), *more,
+        F.stddev_pop(value).alias("std"), F.sum(value).alias("sum"),
     )
+    if not percentiles:
+        return out
+    q = exact_quantiles(df.select(F.col(zone).alias("_z"), value), ["_z"], value, percentiles)
+    return out.join(q, out[zone].eqNullSafe(F.col("_z")), "left").select(*out.columns, *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(percentiles)])
 
 
-def average_ranks(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
-    """``df`` with the average rank of ``value`` over all rows; ties share it. NULLs get none.
+def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the average rank of ``value`` over all rows (or those of each key); ties share it. NULLs get none.
 
-    Distinct values are counted, range-sorted and numbered per partition with offsets from one row per partition; the
-    ranks come back by a join on the value. No window runs over a single partition.
+    The ranks of the distinct values come back by a join on the value, which rows without a value don't take part in.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = counts.repartitionByRange("_v").select("*", F.spark_partition_id().alias("_p"))
-    before = placed.groupBy("_p").agg(F.sum("_n").alias("_s")).select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
-    ranked = placed.withColumn("_inside", inside).join(F.broadcast(before), "_p")  # one row per partition
-    ranked = ranked.select("_v", (F.col("_before") + F.col("_inside") - (F.col("_n") - 1) / 2).alias(rank))
-    return df.join(ranked, df[value] == ranked["_v"], "left").drop("_v")
+    ranks = ordered_counts(df, keys, value).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(rank))
+    there = df.where(F.col(value).isNotNull())
+    on = [F.col(value) == F.col("_v"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    found = there.join(ranks, on).select(*df.columns, rank)
+    return found.unionByName(df.where(F.col(value).isNull()).withColumn(rank, F.lit(None).cast("double")))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,16 +109,20 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def grouped_average_rank(group: Sequence[str], value: str) -> Column:
-    """Average rank inside groups, as a window expression; groups are spread by their key."""
+    """Average rank inside groups of bounded size, as a window expression; groups are spread by their key."""
     w = Window.partitionBy(*group).orderBy(value)
     ties = Window.partitionBy(*group, value)
     return F.rank().over(w) + (F.count("*").over(ties) - 1) / 2
 
 
-def grouped_spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """rho and n per group."""
+def grouped_spearman(df: DataFrame, group: Sequence[str], x: str, y: str, large: bool = False) -> DataFrame:
+    """rho and n per group; ``large``: for few groups of any size, whose rows must not meet in one task."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_rx", grouped_average_rank(group, x)).withColumn("_ry", grouped_average_rank(group, y))
+    if large:
+        both = both.select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
+        ranked = average_ranks(average_ranks(both, "_x", "_rx", group), "_y", "_ry", group)
+    else:
+        ranked = both.withColumn("_rx", grouped_average_rank(group, x)).withColumn("_ry", grouped_average_rank(group, y))
     return ranked.groupBy(*group).agg(C.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
@@ -94,19 +138,26 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(rows.alias("s")).select("s.*")
 
 
+def rank_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, b, r): Spearman's correlation of every pair, over all rows of each column: average ranks, then one pass."""
+    out = df.select(*cols)
+    for c in cols:
+        out = average_ranks(out, c, f"_r_{c}")
+    return corr_matrix(out.select(*[F.col(f"_r_{c}").alias(c) for c in cols]), cols)
+
+
 def corr_above_deciles(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r of the rows at or above each of x's deciles 0..90 %, from one pass over the rows."""
-    cut = df.agg(F.percentile(x, F.array(*map(F.lit, PROBS[:10]))).alias("cut"))
+    cut = exact_quantiles(df, [], x, PROBS[:10]).select(F.col("q").alias("cut"))
     tagged = df.select(F.col(x).alias("x"), F.col(y).alias("y")).crossJoin(F.broadcast(cut))  # one row
     return tagged.select("x", "y", F.posexplode("cut").alias("decile", "limit")).where("x >= limit").groupBy("decile").agg(C.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
 def difference_stats(df: DataFrame, a: str, b: str) -> DataFrame:
-    d = F.col(a) - F.col(b)
-    return df.agg(
-        F.avg(d).alias("mean_diff"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.percentile(d, F.lit(0.1)).alias("d10"), F.percentile(d, F.lit(0.9)).alias("d90"),
-        F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.percentile(F.abs(d), F.lit(0.5)).alias("median_abs"),
-    )
+    d = df.select((F.col(a) - F.col(b)).alias("d")).withColumn("size", F.abs("d"))
+    one = d.agg(F.avg("d").alias("mean_diff"), F.avg("size").alias("mae"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"))
+    q = column_quantiles(d, ["d", "size"], (0.1, 0.5, 0.9)).groupBy().pivot("variable", ["d", "size"]).agg(F.first("q"))  # one row
+    return one.crossJoin(F.broadcast(q)).select("mean_diff", F.col("d")[1].alias("median_diff"), F.col("d")[0].alias("d10"), F.col("d")[2].alias("d90"), "mae", "rmse", F.col("size")[1].alias("median_abs"))
 
 
 def rank_sum(df: DataFrame, group: str, first: str, value: str) -> DataFrame:
@@ -122,11 +173,11 @@ def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per variable: n, mean, std (n - 1), min, max, median, population skewness and kurtosis, CV, q10, q90."""
     rows = long_form(df.select(*[F.col(c).cast("double") for c in cols]), [], cols)
     v = F.col("value")
-    q = F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     out = rows.groupBy("variable").agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), q.alias("q"),
+        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"),
     )
+    out = out.join(exact_quantiles(rows, ["variable"], "value", (0.1, 0.5, 0.9)), "variable", "left")
     return out.select("*", C.ratio("std", "mean").alias("cv"), F.col("q")[0].alias("q10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q90")).drop("q")
 
 
@@ -160,9 +211,10 @@ def trimmed_composite(df: DataFrame, key: Sequence[str], value: str, low: float
 def robust_cv(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """Per variable, over group means: MAD / |median| and std / |mean|."""
     means = long_form(df.groupBy(group).agg(*[F.avg(c).alias(c) for c in cols]), [group], cols)
-    mid = means.groupBy("variable").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.avg("value").alias("a"), F.stddev_samp("value").alias("s"))
-    off = means.join(F.broadcast(mid), "variable")  # one row per variable
-    mad = off.groupBy("variable").agg(F.percentile(F.abs(F.col("value") - F.col("m")), F.lit(0.5)).alias("mad"))
+    half = lambda d: exact_quantiles(d, ["variable"], "value", (0.5,)).select("variable", F.col("q")[0].alias("m"))
+    mid = means.groupBy("variable").agg(F.avg("value").alias("a"), F.stddev_samp("value").alias("s")).join(half(means), "variable")
+    off = means.join(F.broadcast(mid), "variable").select("variable", F.abs(F.col("value") - F.col("m")).alias("value"))  # one row per variable
+    mad = half(off).withColumnRenamed("m", "mad")
     return mid.join(mad, "variable").select("variable", C.ratio("mad", F.abs("m")).alias("mad_cv"), C.ratio("s", F.abs("a")).alias("std_cv"))
 
 
@@ -173,7 +225,7 @@ def dedup_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]
 
 def equal_count_zones(df: DataFrame, zone_by: str, zones: int = 3) -> DataFrame:
     """``df`` with a zone number from 1, cut at right-closed quantiles of ``zone_by``."""
-    cut = df.agg(F.percentile(zone_by, F.array(*[F.lit(i / zones) for i in range(1, zones)])).alias("_cut"))
+    cut = exact_quantiles(df, [], zone_by, [i / zones for i in range(1, zones)]).select(F.col("q").alias("_cut"))
     above = F.size(F.filter("_cut", lambda c: F.col(zone_by) > c))
     return df.crossJoin(F.broadcast(cut)).withColumn("zone", above + 1).drop("_cut")  # one row
 

@@ -7,6 +7,7 @@ A forest of depth d needs about log2(d) rounds; a cycle is found when the rounds
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,27 +113,23 @@ def shreve_order(edges: DataFrame) -> DataFrame:
 
 
 def strahler_order(edges: DataFrame) -> DataFrame:
-    """(id, strahler), level by level of the height above the headwaters.
+    """(id, strahler): nodes above which there is one headwater have order 1; with these cut off, the same again gives order 2.
 
-    Height is known from ``headwater_distances``; each level only needs the orders of the levels below it, so the number of
-    joins is the height of the network, and each handles one level.
+    Every round leaves at most half of the headwaters, and each takes log2(depth) steps: a long river without branches is one
+    round, and the widest network has about log2(nodes) of them.
     """
-    height = written(headwater_distances(edges).select("id", F.col("farthest").alias("level")).join(edges.select("id", "down_id"), "id"), "levels")
-    top = height.agg(F.max("level")).first()[0]
-    if top is None:
-        return edges.select("id", F.lit(1).cast("int").alias("strahler"))
-    done = written(height.where("level = 0").select("id", "down_id", F.lit(1).alias("strahler")), "strahler")
-    for level in range(1, top + 1):
-        here = height.where(F.col("level") == level).select("id", "down_id")
-        above = done.select(F.col("down_id").alias("id"), "strahler").join(here.select("id"), "id", "left_semi")
-        most = above.groupBy("id").agg(F.max("strahler").alias("m"), F.collect_list("strahler").alias("all"))
-        new = most.join(here, "id").select("id", "down_id", F.when(F.size(F.filter("all", lambda x: x == F.col("m"))) > 1, F.col("m") + 1).otherwise(F.col("m")).alias("strahler"))
-        done = written(done.unionByName(new), "strahler")
-    return done.select("id", "strahler")
-
-
-def strahler_by_basin(edges: DataFrame, basin: str = "basin") -> DataFrame:
-    """(id, strahler) by a vectorized helper per basin, for many basins of bounded size."""
+    rest, done, order = edges.select("id", "down_id"), [], 1
+    while True:
+        counted = written(shreve_order(rest).join(rest, "id"), "strahler")
+        done.append(counted.where("shreve <= 1").select("id", F.lit(order).alias("strahler")))
+        rest = counted.where("shreve > 1").select("id", "down_id")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        order += 1
+
+
+def strahler_by_basin(edges: DataFrame, basin: str = "basin", most: int = 100_000) -> DataFrame:
+    """(id, strahler) by a vectorized helper per basin of at most ``most`` nodes; the nodes of larger ones go through ``strahler_order``."""
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         down = dict(zip(part["id"].tolist(), (None if pd.isna(x) else int(x) for x in part["down_id"])))
@@ -153,9 +150,14 @@ def strahler_by_basin(edges: DataFrame, basin: str = "basin") -> DataFrame:
                 waiting[d] -= 1
                 if waiting[d] == 0:
                     ready.append(d)
+        if len(order) != len(part):
+            raise ValueError("the network has a cycle")
         return pd.DataFrame({"id": list(order), "strahler": list(order.values())})
 
-    return edges.select("id", "down_id", basin).groupBy(basin).applyInPandas(solve, "id long, strahler int")
+    large = edges.groupBy(basin).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(basin)
+    small = edges.join(large, basin, "left_anti").select("id", "down_id", basin).groupBy(basin).applyInPandas(solve, "id long, strahler int")
+    rest = written(edges.join(large, basin, "left_semi").select("id", "down_id"), "large-basins")
+    return small if rest.isEmpty() else small.unionByName(strahler_order(rest))
 
 
 def segment_gradient(edges: DataFrame, elevation: str, length: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
-from tidegrid.operators.aggregates import long_form
+from tidegrid.operators.aggregates import column_quantiles, exact_quantiles, grouped_spearman, long_form
 
 
 def score_pack(df: DataFrame, group: Sequence[str], obs: str, pred: str) -> DataFrame:
@@ -26,6 +26,16 @@ def score_pack(df: DataFrame, group: Sequence[str], obs: str, pred: str) -> Data
     return agg.select(*group, "n", "r", "mae", F.sqrt("mse").alias("rmse"), (F.col("r") ** 2).alias("r2"), nse.alias("nse"), kge.alias("kge"), (F.col("mp") - F.col("mo")).alias("bias"))
 
 
+def quantile_scores(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(quantile, n, r, rho, mae, rmse, ...): the scores of each quantile's (observed, predicted) columns, then their means as ``mean``."""
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(o).cast("double").alias("obs"), F.col(p).cast("double").alias("pred")) for q, (o, p) in pairs.items()]))
+    rows = df.select(each.alias("s")).select("s.*")
+    rho = grouped_spearman(rows, ["quantile"], "obs", "pred", large=True).select("quantile", "rho")
+    scores = score_pack(rows, ["quantile"], "obs", "pred").join(rho, "quantile")
+    mean = scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c not in ("quantile", "n")], F.sum("n").alias("n")).withColumn("quantile", F.lit("mean"))
+    return scores.unionByName(mean)
+
+
 def group_r2(df: DataFrame, group: Sequence[str], obs: str, pred: str) -> DataFrame:
     """1 - SSE / SST per group; NULL where the observations don't vary."""
     o, p = F.col(obs), F.col(pred)
@@ -42,7 +52,7 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULLs replaced by the column's exact median."""
-    m = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in cols])
+    m = column_quantiles(df, cols, (0.5,)).groupBy().agg(*[F.max(F.when(F.col("variable") == c, F.col("q")[0])).alias(f"_{c}") for c in cols])
     return df.crossJoin(F.broadcast(m)).withColumns({c: F.coalesce(c, f"_{c}") for c in cols}).drop(*[f"_{c}" for c in cols])  # one row
 
 
@@ -59,23 +69,43 @@ def decorrelate(correlations: DataFrame, order: Sequence[str], limit: float = 0.
     return kept
 
 
-def collinearity_prune(correlations: DataFrame, strength: dict[str, float], limit: float) -> list[str]:
-    """Strongest pairs first: of a pair above ``limit`` the member with less strength goes (ties: the later name)."""
+def collinearity_prune(correlations: DataFrame, strength: dict[str, float], limit: float, process: dict[str, str] | None = None) -> list[str]:
+    """Strongest pairs first: of a pair above ``limit`` the member with less strength goes (ties: the later name).
+
+    ``process``: a variable's process group; only pairs of one group are looked at.
+    """
     pairs = sorted(((abs(x.r or 0.0), x.a, x.b) for x in correlations.collect()), key=lambda t: (-t[0], t[1], t[2]))
     gone: set[str] = set()
     for r, a, b in pairs:
-        if r > limit and a not in gone and b not in gone:
-            gone.add(min((a, b), key=lambda c: (strength[c], -ord(c[0]), c)))
+        if r > limit and a not in gone and b not in gone and (process is None or process.get(a) == process.get(b)):
+            weaker = [c for c in (a, b) if strength[c] == min(strength[a], strength[b])]
+            gone.add(max(weaker))
     return [c for c in strength if c not in gone]
 
 
+def quantile_knots(df: DataFrame, value: str, steps: int = 1000) -> np.ndarray:
+    """The value's quantiles 0, 1 / steps ... 1: ``steps`` + 1 numbers, or none without values."""
+    found = exact_quantiles(df, [], value, [i / steps for i in range(steps + 1)]).first()
+    return np.array(found.q, dtype=np.float64) if found and found.q[0] is not None else np.empty(0)
+
+
+def inverse_quantile(df: DataFrame, u: str, knots: np.ndarray, out: str = "value") -> DataFrame:
+    """``df`` with the value at the place ``u`` (0..1) among train quantiles: undoes ``empirical_quantile``."""
+    at = np.linspace(0, 1, len(knots)) if len(knots) else knots
+
+    @F.pandas_udf("double")
+    def back(places: pd.Series) -> pd.Series:
+        return pd.Series(np.where(places.isna() | (len(knots) == 0), np.nan, np.interp(places.fillna(0.0), at, knots) if len(knots) else 0.0))
+
+    return df.withColumn(out, F.nullif(back(u), F.lit(float("nan"))))
+
+
 def empirical_quantile(df: DataFrame, train: Column, value: str, steps: int = 1000) -> DataFrame:
     """``df`` with u, the value's place among the train quantiles (0..1, interpolated), by a vectorized helper."""
     probs = [i / steps for i in range(steps + 1)]
-    cut = df.where(train).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q")).first().q
-    if not cut or cut[0] is None:
+    knots, at = quantile_knots(df.where(train), value, steps), np.array(probs)
+    if not len(knots):
         return df.withColumn("u", F.lit(None).cast("double"))
-    knots, at = np.array(cut), np.array(probs)
 
     @F.pandas_udf("double")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
 from tidegrid.operators.aggregates import grouped_spearman
+from tidegrid.session import written
 
 
 def calendar_lags(df: DataFrame, key: str, month_idx: str, value: str, lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -37,13 +38,38 @@ def lag_autocorr(df: DataFrame, key: str, order: Sequence[str], value: str, lags
     return out.where(F.col("n") >= least)
 
 
+def best_lags(df: DataFrame, key: str, month_idx: str, xs: Sequence[str], ys: Sequence[str], lags: Sequence[int] = (0, 1, 2, 3), least: int = 50) -> DataFrame:
+    """(variable, target, lag, rho, n, best): rho over all stations' months of each variable at each lag with each target.
+
+    ``best`` marks the greatest absolute rho of a (variable, target) pair (ties to the shorter lag). Ranks are those of large
+    groups, so no task holds a whole lag.
+    """
+    wide = df
+    for x in xs:
+        wide = calendar_lags(wide, key, month_idx, x, [k for k in lags if k])
+    cells = [F.struct(F.lit(x).alias("variable"), F.lit(y).alias("target"), F.lit(k).alias("lag"), F.col(f"{x}{k}" if k else x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x in xs for y in ys for k in lags]
+    rows = wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    rho = written(grouped_spearman(rows, ["variable", "target", "lag"], "x", "y", large=True).where(F.col("n") > least), "best-lags")
+    top = rho.groupBy("variable", "target").agg(F.max_by("lag", F.struct(F.abs("rho"), -F.col("lag"))).alias("_best"))
+    return rho.join(top, ["variable", "target"]).select("variable", "target", "lag", "rho", "n", (F.col("lag") == F.col("_best")).alias("best"))
+
+
 def best_lag(df: DataFrame, key: str, month_idx: str, x: str, y: str, lags: Sequence[int] = (0, 1, 2, 3), least: int = 50) -> DataFrame:
-    """Per lag of x: rho with y over all stations' months; ``best`` marks the greatest absolute rho (ties to the shorter lag)."""
-    lagged = calendar_lags(df, key, month_idx, x, [k for k in lags if k])
-    wide = lagged.select(F.col(y).alias("_y"), F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"{x}{k}" if k else x).alias("x")) for k in lags])).alias("s")).select("_y", "s.lag", "s.x")
-    rho = grouped_spearman(wide, ["lag"], "x", "_y").where(F.col("n") > least)
-    top = rho.agg(F.max_by("lag", F.struct(F.abs("rho"), -F.col("lag"))).alias("_best"))
-    return rho.crossJoin(F.broadcast(top)).select("lag", "rho", "n", (F.col("lag") == F.col("_best")).alias("best"))  # one row
+    """``best_lags`` of one variable and one target."""
+    return best_lags(df, key, month_idx, [x], [y], lags, least).select("lag", "rho", "n", "best")
+
+
+def relevance(lags: DataFrame, limit: float = 0.5, least: int = 5) -> DataFrame:
+    """(variable, rho) of ``best_lags``: the mean best absolute rho over the targets, of variables at or above ``limit``; of the ``least`` best if none is."""
+    mean = lags.where("best").groupBy("variable").agg(F.avg(F.abs("rho")).alias("rho"))  # one row per variable from here on
+    w = Window.orderBy(F.desc("rho"), "variable")
+    marked = mean.withColumns({"_k": F.row_number().over(w), "_top": F.max("rho").over(Window.partitionBy())})
+    return marked.where((F.col("rho") >= limit) | (F.col("_top") < limit) & (F.col("_k") <= least)).select("variable", "rho")
+
+
+def mean_autocorr(autocorr: DataFrame) -> DataFrame:
+    """(lag, mean_r, n_stations) of ``lag_autocorr``."""
+    return autocorr.groupBy("lag").agg(F.avg("r").alias("mean_r"), F.count("r").alias("n_stations"))
 
 
 def gap_analysis(df: DataFrame, key: str, date: str, large: int = 90) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.session import written
+
 #: Rows up to which a lookup table may be broadcast.
 LOOKUP_ROWS = 200_000
 
@@ -93,12 +95,30 @@ def reclass(df: DataFrame, lookup: DataFrame, on: Sequence[str], new: str, defau
 
 def dense_ids(df: DataFrame, keys: Sequence[str], name: str = "dense_id") -> DataFrame:
     """The distinct keys with consecutive ids from 1 in key order: per-partition numbers plus offsets, no global window."""
-    placed = df.select(*keys).distinct().repartitionByRange(*keys).select("*", F.spark_partition_id().alias("_p"))
+    # written first: numbers and offsets then speak of the same partitions, whatever is computed again
+    placed = written(df.select(*keys).distinct().repartitionByRange(*keys).select("*", F.spark_partition_id().alias("_p")), "numbered")
     before = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*keys))
     return placed.withColumn("_i", inside).join(F.broadcast(before), "_p").select(*keys, (F.col("_before") + F.col("_i")).alias(name))  # one row per partition
 
 
+def distance_classes(points: DataFrame, sources: DataFrame, limits: Sequence[float]) -> DataFrame:
+    """``points`` with distance to the nearest source and its class: 1 within the first limit, 2 within the second ...; NULL beyond the last.
+
+    Both have x and y. Sources are binned by the last limit and looked up in the nine bins around a point.
+    """
+    reach = float(limits[-1])
+    b = lambda c: F.floor(F.col(c) / reach)
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spots = sources.select(F.col("x").alias("sx"), F.col("y").alias("sy")).distinct().withColumns({"bx": F.floor(F.col("sx") / reach), "by": F.floor(F.col("sy") / reach)})
+    places = points.select("x", "y").distinct()
+    near = places.select("x", "y", F.explode(F.transform(steps, lambda k: b("x") + k)).alias("bx")).select("x", "y", "bx", F.explode(F.transform(steps, lambda k: b("y") + k)).alias("by"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+    found = near.join(spots, ["bx", "by"]).groupBy("x", "y").agg(F.min(d).alias("distance")).where(F.col("distance") <= reach)
+    band = 1 + F.size(F.filter(F.array(*map(F.lit, map(float, limits))), lambda t: F.col("distance") > t))
+    return points.join(found.withColumn("band", band), ["x", "y"], "left")
+
+
 def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """Fold of each group: place among the sorted groups modulo ``folds``."""
     numbered = dense_ids(df, [group], "_id")

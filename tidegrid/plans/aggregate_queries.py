@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
+from tidegrid.operators import tables as J
 from tidegrid.plans.registry import Tables, query, r6, rounded
 
 _Q = A.QUANTILES
@@ -206,11 +207,17 @@ def block_nearest(t: Tables) -> DataFrame:
     return A.block_aggregate(_grid(t), 5, "p_size", "nearest")
 
 
-@query("""WITH b AS (SELECT least(4, 1 + floor(abs(p_retailprice - 1500) / 100))::BIGINT AS band, p_size, p_size > 25 AS other FROM part)
-SELECT band, sum(p_size)::BIGINT AS area, coalesce(sum(p_size) FILTER (other), 0)::BIGINT AS area_other, round(coalesce(sum(p_size) FILTER (other), 0) / sum(p_size), 6) AS share FROM b GROUP BY ALL""")
+_XY = "SELECT p_size, (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey * 61 % 500)::DOUBLE AS y FROM part"
+
+
+@query(f"""WITH p AS ({_XY}), s AS (SELECT DISTINCT x, y FROM p WHERE p_size = 1), n AS (SELECT p.p_size, p.x, p.y, min(sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2)) AS d FROM (SELECT *, row_number() OVER () AS i FROM p) p, s GROUP BY p.i, p.p_size, p.x, p.y),
+b AS (SELECT p_size, CASE WHEN d <= 10 THEN 1 WHEN d <= 20 THEN 2 WHEN d <= 40 THEN 3 END AS band FROM n WHERE d <= 40)
+SELECT band::INT AS band, sum(p_size)::BIGINT AS area, coalesce(sum(p_size) FILTER (p_size > 25), 0)::BIGINT AS area_other, round(coalesce(sum(p_size) FILTER (p_size > 25), 0) / sum(p_size), 6) AS share FROM b GROUP BY ALL""")
 def buffer_zone_overlap(t: Tables) -> DataFrame:
-    band = F.least(F.lit(4), 1 + F.floor(F.abs(F.col("p_retailprice") - 1500) / 100)).cast("long").alias("band")
-    out = t.part.groupBy(band).agg(F.sum("p_size").alias("area"), F.sum(F.when(F.col("p_size") > 25, F.col("p_size")).otherwise(0)).alias("area_other"))
+    """Share of another class in rings around the nearest source."""
+    p = t.part.select("p_size", (F.col("p_partkey") * 37 % 500).cast("double").alias("x"), (F.col("p_partkey") * 61 % 500).cast("double").alias("y"))
+    out = J.distance_classes(p, p.where("p_size = 1"), (10, 20, 40)).where("band is not null").groupBy("band")
+    out = out.agg(F.sum("p_size").alias("area"), F.sum(F.when(F.col("p_size") > 25, F.col("p_size")).otherwise(0)).alias("area_other"))
     return out.withColumn("share", r6(F.col("area_other") / F.col("area")))
 
 
@@ -283,7 +290,7 @@ def quantile_spread(t: Tables) -> DataFrame:
 @query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.33) AS a, quantile_cont(o_totalprice, 0.67) AS b FROM orders)
 SELECT CASE WHEN o_totalprice <= a THEN 'low' WHEN o_totalprice <= b THEN 'mid' ELSE 'high' END AS regime, count(*)::BIGINT AS n, round(stddev_samp(o_totalprice) / avg(o_totalprice), 6) AS cv FROM orders, q GROUP BY ALL""")
 def flow_regime_stats(t: Tables) -> DataFrame:
-    q = t.orders.agg(F.percentile("o_totalprice", F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
+    q = A.exact_quantiles(t.orders, [], "o_totalprice", (0.33, 0.67))
     v = F.col("o_totalprice")
     regime = F.when(v <= F.col("q")[0], "low").when(v <= F.col("q")[1], "mid").otherwise("high")
     return t.orders.crossJoin(F.broadcast(q)).groupBy(regime.alias("regime")).agg(F.count("*").alias("n"), r6(C.ratio(F.stddev_samp(v), F.avg(v))).alias("cv"))

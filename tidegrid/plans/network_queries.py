@@ -60,27 +60,38 @@ def stream_order(t: Tables) -> DataFrame:
     return N.shreve_order(e).join(topo, "id")
 
 
-@query()
+def _strahler_sql(rounds: int = 14) -> str:
+    """Headwaters cut off round by round: enough rounds for 2**14 headwaters."""
+    parts = [_WALK.replace("w AS (", "w AS MATERIALIZED (", 1), "r1 AS (SELECT id FROM e)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"h{k} AS (SELECT id FROM r{k} WHERE id NOT IN (SELECT down_id FROM e WHERE down_id IS NOT NULL AND id IN (SELECT id FROM r{k})))")
+        parts.append(f"c{k} AS MATERIALIZED (SELECT pos AS id, count(*) AS n FROM w WHERE id IN (SELECT id FROM h{k}) AND pos IN (SELECT id FROM r{k}) GROUP BY ALL)")
+        parts.append(f"r{k + 1} AS (SELECT id FROM c{k} WHERE n > 1)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT id, {k}::INT AS strahler FROM c{k} WHERE n = 1" for k in range(1, rounds + 1))
+
+
+@query(_strahler_sql())
 def stream_order_strahler(t: Tables) -> DataFrame:
     return N.strahler_order(_edges(t))
 
 
-@query()
+@query(_strahler_sql())
 def stream_order_strahler_by_basin(t: Tables) -> DataFrame:
     e = _edges(t)
     return N.strahler_by_basin(e.join(N.outlets(e).select("id", F.col("outlet").alias("basin")), "id"))
 
 
-@query(_WALK + " SELECT pos AS outlet, count(*)::BIGINT AS n, round(sum(e.weight), 4) AS area FROM w JOIN e ON e.id = w.id WHERE pos % 50 = 10 GROUP BY ALL")
+@query(_WALK + " SELECT pos AS outlet, count(*)::BIGINT AS n, round(sum(e.weight), 4) AS area FROM w JOIN e ON e.id = w.id WHERE pos IN (SELECT id FROM e WHERE down_id IS NULL) GROUP BY ALL")
 def catchment_of_outlets(t: Tables) -> DataFrame:
+    """Of every outlet of the network."""
     e = _edges(t)
-    return N.catchments(e, e.where("id % 50 = 10"), "weight").withColumn("area", F.round("area", 4))
+    return N.catchments(e, e.where("down_id is null"), "weight").withColumn("area", F.round("area", 4))
 
 
-@query(_WALK + " SELECT id, pos AS outlet FROM w WHERE pos % 50 = 10 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops) = 1")
+@query(_WALK + " SELECT id, pos AS outlet FROM w WHERE pos IN (SELECT id FROM e WHERE down_id IS NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops) = 1")
 def catchment_members(t: Tables) -> DataFrame:
     e = _edges(t)
-    return N.members(e, e.where("id % 50 = 10"))
+    return N.members(e, e.where("down_id is null"))
 
 
 _CONFLUENCES = "SELECT down_id FROM e WHERE down_id IS NOT NULL GROUP BY down_id HAVING count(*) > 1"
@@ -121,23 +132,27 @@ def headwaters_sample(t: Tables) -> DataFrame:
 _G = "SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, (p_size > 20)::INT AS class FROM part"
 
 
-@query(f"""WITH RECURSIVE g AS ({_G}), r AS (SELECT row, col, class, row AS r0, col AS c0 FROM g UNION SELECT g.row, g.col, g.class, r0, c0 FROM r JOIN g ON abs(g.row - r.row) <= 1 AND abs(g.col - r.col) <= 1 AND g.class = r.class AND g.row // 8 = r.row // 8 AND g.col // 8 = r.col // 8)
-SELECT row::BIGINT AS row, col::BIGINT AS col, class, (min(r0 * 1000 + c0))::BIGINT AS clump FROM r GROUP BY ALL""")
-def connected_clumps(t: Tables) -> DataFrame:
-    """Regions inside blocks of 8 x 8 cells, so that the recursive oracle stays small; the block is part of the class."""
-    row, col = F.floor(F.col("p_partkey") / 50), F.col("p_partkey") % 50
-    block = F.floor(row / 8) * 1000 + F.floor(col / 8)
-    g = t.part.select(row.alias("row"), col.alias("col"), (block * 10 + (F.col("p_size") > 20).cast("int")).alias("k"))
-    return N.connected_clumps(g, "k").select("row", "col", (F.col("k") % 10).cast("int").alias("class"), (F.col("clump.row") * 1000 + F.col("clump.col")).alias("clump"))
+# labelled by runs of equal cells in a row, which are few enough to be walked recursively
+_CLUMPS = f"""WITH RECURSIVE g AS ({_G}), i AS (SELECT *, col - row_number() OVER (PARTITION BY row, class ORDER BY col) AS k FROM g),
+u AS MATERIALIZED (SELECT *, row * 1000 + a AS id FROM (SELECT row, class, k, min(col) AS a, max(col) AS b FROM i GROUP BY ALL)),
+n AS MATERIALIZED (SELECT x.id AS p, y.id AS q FROM u x JOIN u y ON abs(x.row - y.row) = 1 AND x.class = y.class AND x.a <= y.b + 1 AND y.a <= x.b + 1),
+r AS (SELECT id, id AS root FROM u UNION SELECT n.p, r.root FROM r JOIN n ON n.q = r.id), m AS (SELECT id, min(root) AS clump FROM r GROUP BY ALL)
+SELECT i.row::BIGINT AS row, i.col::BIGINT AS col, i.class, m.clump::BIGINT AS clump FROM i JOIN u USING (row, class, k) JOIN m USING (id)"""
 
 
-@query()
-def connected_clumps_whole_grid(t: Tables) -> DataFrame:
-    """Regions of the whole grid, by class alone; tested by brute force."""
+@query(_CLUMPS)
+def connected_clumps(t: Tables) -> DataFrame:
+    """Regions of the whole grid, by class alone."""
     g = t.part.select(F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), (F.col("p_size") > 20).cast("int").alias("class"))
     return N.connected_clumps(g, "class").select("row", "col", "class", (F.col("clump.row") * 1000 + F.col("clump.col")).alias("clump"))
 
 
+@query(_CLUMPS)
+def connected_clumps_whole_grid(t: Tables) -> DataFrame:
+    """The same under its earlier name."""
+    return connected_clumps(t)
+
+
 @query("""WITH g AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, CASE WHEN p_size % 4 > 0 THEN p_retailprice END AS v FROM part),
 f AS (SELECT a.row, a.col, b.v FROM g a JOIN g b ON b.v IS NOT NULL AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 WHERE a.v IS NULL QUALIFY row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) = 1)
 SELECT g.row::BIGINT AS row, g.col::BIGINT AS col, coalesce(g.v, f.v) AS v FROM g LEFT JOIN f USING (row, col)""")

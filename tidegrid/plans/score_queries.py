@@ -9,6 +9,7 @@ from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
 from tidegrid.operators import models as M
 from tidegrid.operators import scores as S
+from tidegrid.operators import series as T
 from tidegrid.plans.registry import Tables, query, r6, rounded
 
 _V = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -19,15 +20,6 @@ def _station_means(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_suppkey").agg(*[F.avg(c).alias(c) for c in _V])
 
 
-def _rank_matrix(df: DataFrame) -> DataFrame:
-    """Spearman matrix: average ranks of every column, then one pass of correlations."""
-    out = df
-    for c in _V:
-        out = A.average_ranks(out, c, f"r_{c}")
-    named = out.select(*[F.col(f"r_{c}").alias(c) for c in _V])
-    return A.corr_matrix(named, _V)
-
-
 def _names(t: Tables, names: list[str]) -> DataFrame:
     return t.spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "place int, variable string")
 
@@ -42,30 +34,56 @@ n AS (SELECT 1 AS o, 'l_quantity' AS variable FROM c UNION ALL SELECT 2, 'l_exte
 SELECT row_number() OVER (ORDER BY o)::INT AS place, variable FROM n""")
 def decorrelate(t: Tables) -> DataFrame:
     """Spearman on station means; the greedy loop runs over a matrix of columns."""
-    return _names(t, S.decorrelate(_rank_matrix(_station_means(t)), _V, 0.3))
+    return _names(t, S.decorrelate(A.rank_matrix(_station_means(t), _V), _V, 0.3))
+
+
+@query(f"WITH r AS (SELECT {', '.join(f'{_ABOVE.format(c)} AS {c}' for c in _V)} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM r" for i, a in enumerate(_V) for b in _V[i + 1 :]))
+def corr_matrix_spearman(t: Tables) -> DataFrame:
+    return rounded(A.rank_matrix(t.lineitem, _V), "r")
+
+
+_X, _Y = ("l_quantity", "l_discount", "l_tax"), ("qmin", "q50", "qmax")
+_LAGGED = f"""WITH s AS (SELECT l_suppkey AS k, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS m, {', '.join(f'round(sum({x}), 4) AS {x}' for x in _X)}, min(l_extendedprice) AS qmin, round(median(l_extendedprice), 6) AS q50, max(l_extendedprice) AS qmax FROM lineitem GROUP BY ALL),
+l AS (SELECT lag, variable, target, x, y FROM (SELECT lag, {', '.join(f'b.{x}' for x in _X)}, {', '.join(f'a.{y}' for y in _Y)} FROM s a, (SELECT unnest([0, 1, 2, 3])::INT AS lag) JOIN s b ON b.k = a.k AND b.m = a.m - lag) UNPIVOT (x FOR variable IN ({', '.join(_X)})) UNPIVOT (y FOR target IN ({', '.join(_Y)}))),
+r AS (SELECT variable, target, lag, rank() OVER (PARTITION BY variable, target, lag ORDER BY x) + (count(*) OVER (PARTITION BY variable, target, lag, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY variable, target, lag ORDER BY y) + (count(*) OVER (PARTITION BY variable, target, lag, y) - 1) / 2.0 AS ry FROM l),
+c AS (SELECT variable, target, lag, corr(rx, ry) AS rho, count(*)::BIGINT AS n FROM r GROUP BY ALL HAVING count(*) > 50),
+z AS (SELECT *, row_number() OVER (PARTITION BY variable, target ORDER BY abs(rho) DESC, lag) = 1 AS best FROM c)"""
+
 
+def _best_lags(t: Tables) -> DataFrame:
+    p = "l_extendedprice"
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), C.months("l_shipdate").alias("m")).agg(*[F.round(F.sum(x), 4).alias(x) for x in _X], F.min(p).alias("qmin"), r6(F.percentile(p, F.lit(0.5))).alias("q50"), F.max(p).alias("qmax"))
+    return T.best_lags(s, "k", "m", _X, _Y)
 
-@query("""WITH c AS (SELECT l_suppkey, abs(corr(l_quantity, l_extendedprice)) AS a, abs(corr(l_discount, l_extendedprice)) AS b, abs(corr(l_tax, l_extendedprice)) AS d FROM lineitem GROUP BY ALL),
-m AS (SELECT 'l_quantity' AS variable, avg(a) AS rho FROM c UNION ALL SELECT 'l_discount', avg(b) FROM c UNION ALL SELECT 'l_tax', avg(d) FROM c), k AS (SELECT *, rho >= 0.5 AS good, row_number() OVER (ORDER BY rho DESC, variable) AS place FROM m)
+
+@query(_LAGGED + " SELECT variable, target, lag, round(rho, 6) AS rho, n, best FROM z")
+def best_lag_matrix(t: Tables) -> DataFrame:
+    """Every variable with every quantile."""
+    return rounded(_best_lags(t), "rho")
+
+
+@query(_LAGGED + """, m AS (SELECT variable, avg(abs(rho)) AS rho FROM z WHERE best GROUP BY ALL), k AS (SELECT *, rho >= 0.5 AS good, row_number() OVER (ORDER BY rho DESC, variable) AS place FROM m)
 SELECT variable, round(rho, 6) AS rho FROM k WHERE good OR (NOT EXISTS (SELECT 1 FROM k WHERE good) AND place <= 5)""")
 def relevance_filter(t: Tables) -> DataFrame:
-    names = ["l_quantity", "l_discount", "l_tax"]
-    each = t.lineitem.groupBy("l_suppkey").agg(*[F.abs(C.corr(c, "l_extendedprice")).alias(c) for c in names])
-    mean = A.long_form(each, ["l_suppkey"], names).groupBy("variable").agg(F.avg("value").alias("rho"))
-    best = mean.agg(F.max("rho").alias("top"), F.sort_array(F.collect_list(F.struct("rho", "variable")), asc=False).alias("all"))  # one row per variable
-    low = F.when(F.col("top") >= 0.5, 0.5).otherwise(F.element_at(F.slice(F.col("all"), 1, 5), -1)["rho"])
-    return mean.crossJoin(F.broadcast(best)).where(F.col("rho") >= low).select("variable", r6("rho").alias("rho"))
+    """By the mean of the best lags' absolute rho over the quantiles."""
+    return rounded(T.relevance(_best_lags(t)), "rho")
 
 
-_SR = "rank() OVER (PARTITION BY variable ORDER BY {0}) + (count(*) OVER (PARTITION BY variable, {0}) - 1) / 2.0"
+_SR = "rank() OVER (PARTITION BY variable, target ORDER BY {0}) + (count(*) OVER (PARTITION BY variable, target, {0}) - 1) / 2.0"
 
 
-@query(f"""WITH s AS (SELECT l_suppkey, median(l_extendedprice) AS y, avg(l_quantity) AS l_quantity, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax FROM lineitem GROUP BY ALL), u AS (UNPIVOT s ON l_quantity, l_discount, l_tax INTO NAME variable VALUE x),
-r AS (SELECT variable, {_SR.format('x')} AS rx, {_SR.format('y')} AS ry FROM u) SELECT variable, round(corr(rx, ry), 6) AS rho, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
+@query(f"""WITH s AS (SELECT l_suppkey, min(l_extendedprice) AS qmin, median(l_extendedprice) AS q50, max(l_extendedprice) AS qmax, avg(l_quantity) AS l_quantity, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax FROM lineitem GROUP BY ALL),
+u AS (SELECT * FROM s UNPIVOT (x FOR variable IN ({', '.join(_X)})) UNPIVOT (y FOR target IN ({', '.join(_Y)}))),
+r AS (SELECT variable, target, {_SR.format('x')} AS rx, {_SR.format('y')} AS ry FROM u), c AS (SELECT variable, target, corr(rx, ry) AS rho, count(*)::BIGINT AS n FROM r GROUP BY ALL)
+SELECT variable, target, round(rho, 6) AS rho, n, (max(abs(rho)) OVER (PARTITION BY variable)) >= 0.1 AS keep FROM c""")
 def spatial_corr_filter(t: Tables) -> DataFrame:
-    names = ["l_quantity", "l_discount", "l_tax"]
-    s = t.lineitem.groupBy("l_suppkey").agg(F.percentile("l_extendedprice", F.lit(0.5)).alias("y"), *[F.avg(c).alias(c) for c in names])
-    return rounded(A.grouped_spearman(A.long_form(s, ["l_suppkey", "y"], names, value="x"), ["variable"], "x", "y"), "rho")
+    """Station means against each station's least, middle and greatest value; a variable stays if one rho reaches 0.1."""
+    p = "l_extendedprice"
+    s = t.lineitem.groupBy("l_suppkey").agg(F.min(p).alias("qmin"), F.percentile(p, F.lit(0.5)).alias("q50"), F.max(p).alias("qmax"), *[F.avg(c).alias(c) for c in _X])
+    rows = A.long_form(A.long_form(s, [*_Y, "l_suppkey"], _X, value="x"), ["variable", "x", "l_suppkey"], _Y, name="target", value="y")
+    rho = A.grouped_spearman(rows, ["variable", "target"], "x", "y", large=True)
+    top = rho.groupBy("variable").agg((F.max(F.abs("rho")) >= 0.1).alias("keep"))
+    return rounded(rho.join(top, "variable").select("variable", "target", "rho", "n", "keep"), "rho")
 
 
 @query(f"""WITH g AS ({_MEANS}), l AS (UNPIVOT g ON {", ".join(_V)} INTO NAME variable VALUE v), k AS (SELECT variable, stddev_samp(v) / abs(avg(v)) AS cv FROM l GROUP BY ALL), p AS (SELECT *, cv >= 0.05 AS good, row_number() OVER (ORDER BY cv DESC, variable) AS place FROM k)
@@ -123,6 +141,21 @@ def score_pack(t: Tables) -> DataFrame:
     return rounded(s, "r", "r2", "nse", "kge").withColumns({c: F.round(c, 4) for c in ("mae", "rmse", "bias")})
 
 
+_QP = {"Q10": 1300, "Q50": 1400, "Q90": 1550}
+_QSCORE = """SELECT '{0}' AS quantile, count(*)::BIGINT AS n, round(corr(o, p), 6) AS r, round((SELECT corr(ro, rp) FROM (SELECT rank() OVER (ORDER BY o) + (count(*) OVER (PARTITION BY o) - 1) / 2.0 AS ro, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM x{0})), 6) AS rho,
+round(avg(abs(p - o)), 4) AS mae, round(1 - avg((p - o) ** 2) / var_pop(o), 6) AS nse FROM x{0}"""
+
+
+@query("WITH " + ", ".join(f"x{q} AS (SELECT l_extendedprice * {k / 1400} AS o, l_quantity * {k} + l_tax * 1000 AS p FROM lineitem)" for q, k in _QP.items()) + ", s AS (" + " UNION ALL ".join(_QSCORE.format(q) for q in _QP) + ") SELECT * FROM s UNION ALL SELECT 'mean', sum(n)::BIGINT, round(avg(r), 6), round(avg(rho), 6), round(avg(mae), 4), round(avg(nse), 6) FROM s")
+def quantile_scores(t: Tables) -> DataFrame:
+    """Scores of each quantile's predictions, Spearman's rho among them, and their means over the quantiles."""
+    cols = {f"o{q}": F.col("l_extendedprice") * (k / 1400) for q, k in _QP.items()} | {f"p{q}": F.col("l_quantity") * k + F.col("l_tax") * 1000 for q, k in _QP.items()}
+    found = S.quantile_scores(t.lineitem.select(*[c.alias(n) for n, c in cols.items()]), {q: (f"o{q}", f"p{q}") for q in _QP})
+    found = rounded(found.where("quantile <> 'mean'"), "r", "rho", "nse").withColumn("mae", F.round("mae", 4)).select("quantile", "n", "r", "rho", "mae", "nse")
+    mean = found.agg(F.sum("n").alias("n"), r6(F.avg("r")).alias("r"), r6(F.avg("rho")).alias("rho"), F.round(F.avg("mae"), 4).alias("mae"), r6(F.avg("nse")).alias("nse")).withColumn("quantile", F.lit("mean"))
+    return found.unionByName(mean)
+
+
 @query(f"SELECT l_suppkey, round(1 - avg((p - o) ** 2) / nullif(var_pop(o), 0), 6) AS r2 FROM ({_PRED}) GROUP BY ALL")
 def group_r2(t: Tables) -> DataFrame:
     return rounded(S.group_r2(_predicted(t), ["l_suppkey"], "o", "p"), "r2")

@@ -33,11 +33,24 @@ def relay_filter(t: Tables) -> DataFrame:
     return S.relay_filter(_monthly(t), "o_custkey", "m", "q", 3)
 
 
-@query("""WITH p AS (SELECT o_custkey, o_totalprice AS a, lag(o_totalprice, 1) OVER w AS b1, lag(o_totalprice, 3) OVER w AS b3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-l AS (SELECT o_custkey, 1 AS lag, a, b1 AS b FROM p UNION ALL SELECT o_custkey, 3, a, b3 FROM p)
-SELECT o_custkey, lag, round(corr(a, b), 6) AS r, count(*)::BIGINT AS n FROM l WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 5""")
+_LAGS = range(1, 13)
+_AUTO = f"""WITH p AS (SELECT o_custkey, o_totalprice AS a, {', '.join(f'lag(o_totalprice, {k}) OVER w AS b{k}' for k in _LAGS)} FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+l AS ({' UNION ALL '.join(f'SELECT o_custkey, {k} AS lag, a, b{k} AS b FROM p' for k in _LAGS)}),
+c AS (SELECT o_custkey, lag, corr(a, b) AS r, count(*)::BIGINT AS n FROM l WHERE b IS NOT NULL GROUP BY ALL HAVING count(*) >= 5)"""
+
+
+def _autocorr(t: Tables) -> DataFrame:
+    return S.lag_autocorr(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", _LAGS, 5)
+
+
+@query(_AUTO + " SELECT o_custkey, lag, round(r, 6) AS r, n FROM c")
 def lag_autocorr(t: Tables) -> DataFrame:
-    return rounded(S.lag_autocorr(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", (1, 3), 5), "r")
+    return rounded(_autocorr(t), "r")
+
+
+@query(_AUTO + " SELECT lag, round(avg(r), 6) AS mean_r, count(r)::BIGINT AS n_stations FROM c GROUP BY ALL")
+def lag_autocorr_mean(t: Tables) -> DataFrame:
+    return rounded(S.mean_autocorr(_autocorr(t)), "mean_r")
 
 
 _GR = "rank() OVER (PARTITION BY lag ORDER BY {0}) + (count(*) OVER (PARTITION BY lag, {0}) - 1) / 2.0"
