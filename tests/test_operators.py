@@ -33,6 +33,63 @@ def test_monthly_quantiles(spark):
     assert A.monthly_quantiles(df.limit(0), "s", "d", "q").count() == 0
 
 
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(int(g), float(v) if v > 2 else None) for g, v in zip(rng.integers(0, 3, 500), rng.integers(0, 40, 500))] + [(9, None), (8, 1.5)], "g int, v double").repartition(5)
+    probs = (0.0, 0.05, 0.33, 0.5, 0.9, 1.0)
+    values = {}
+    for g, v in rows(df.where("v is not null")):
+        values.setdefault(g, []).append(v)
+    got = {r.g: r.q for r in A.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert got.keys() == values.keys()
+    for g, v in values.items():
+        assert got[g] == pytest.approx(np.quantile(v, probs).tolist())
+    assert A.exact_quantiles(df, [], "v", probs).first().q == pytest.approx(np.quantile(sum(values.values(), []), probs).tolist())
+    even = [i / 50 for i in range(51)]
+    for r in A.exact_quantiles(df, ["g"], "v", even).collect():
+        assert r.q == pytest.approx(np.quantile(values[r.g], even).tolist())
+    assert A.exact_quantiles(df.limit(0), ["g"], "v", probs).count() == 0
+    assert A.exact_quantiles(df.limit(0), [], "v", probs).first().q[0] is None
+
+
+def test_large_groups_rank_as_small_ones(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(int(g), float(x), float(y) if y else None) for g, x, y in rng.integers(0, 6, (300, 3))], "g int, x double, y double")
+    as_dict = lambda d: {r.g: (pytest.approx(r.rho), r.n) for r in d.collect()}
+    assert as_dict(A.grouped_spearman(df, ["g"], "x", "y", large=True)) == as_dict(A.grouped_spearman(df, ["g"], "x", "y"))
+
+
+def test_quantiles_back_to_values(spark):
+    df = spark.createDataFrame([(float(i * i),) for i in range(50)] + [(None,)], "v double")
+    knots = S.quantile_knots(df, "v", 98)
+    back = S.inverse_quantile(S.empirical_quantile(df, F.lit(True), "v", 98), "u", knots)
+    assert all(r.v == pytest.approx(r.value) if r.v is not None else r.value is None for r in back.collect())
+    assert len(S.quantile_knots(df.limit(0), "v", 5)) == 0
+
+
+def test_collinearity_ties_drop_the_later_name(spark):
+    r = spark.createDataFrame([("l_a", "l_b", 0.9), ("l_b", "l_c", 0.8), ("l_a", "z", -0.95)], "a string, b string, r double")
+    assert S.collinearity_prune(r.where("b = 'l_b'"), {"l_a": 1.0, "l_b": 1.0}, 0.5) == ["l_a"]
+    strength = {"l_a": 2.0, "l_b": 1.0, "l_c": 1.0, "z": 3.0}
+    assert S.collinearity_prune(r, strength, 0.5) == ["l_b", "z"]
+    assert S.collinearity_prune(r, strength, 0.5, {"l_a": "p", "l_b": "p", "l_c": "q", "z": "q"}) == ["l_a", "l_c", "z"]
+
+
+def test_distance_classes(spark):
+    p = spark.createDataFrame([(float(x), 0.0) for x in (0, 1, 3, 5, 7, 50)], "x double, y double")
+    got = {r.x: r.band for r in J.distance_classes(p, p.where("x in (0, 50)").limit(9), [1, 3, 6]).collect()}
+    assert got == {0.0: 1, 1.0: 1, 3.0: 2, 5.0: 3, 7.0: None, 50.0: 1}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tidegrid.session import shared_dir
+
+    with pytest.raises(ValueError):
+        shared_dir(Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master="spark://host:7077")))
+
+
 def test_sentinels(spark):
     df = spark.createDataFrame([(-9999.0,), (float("nan"),), (float("inf"),), (1.5,), (None,)], "v double")
     assert [r[0] for r in df.select(C.sentinel_to_null("v")).collect()] == [None, None, None, 1.5, None]
@@ -110,6 +167,17 @@ def test_network_chain_star_and_lone_node(spark):
     assert dict(rows(N.strahler_by_basin(df.join(N.outlets(df).select("id", F.col("outlet").alias("basin")), "id")))) == order
 
 
+def test_strahler_of_a_long_chain_and_of_random_trees(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None, 1.0) for i in range(1, 1001)], EDGES)
+    assert {r.strahler for r in N.strahler_order(chain).collect()} == {1}
+    rng = np.random.default_rng(9)
+    tree = spark.createDataFrame([(i, int(i - 1) // 2 if i % 7 else int(rng.integers(0, i)) if i else None, 1.0) for i in range(60)], EDGES).withColumn("basin", F.lit(1))
+    want = dict(rows(N.strahler_by_basin(tree)))
+    assert max(want.values()) >= 3 and dict(rows(N.strahler_by_basin(tree, most=10))) == want
+    with pytest.raises(Exception, match="cycle"):
+        N.strahler_by_basin(spark.createDataFrame([(1, None, 1), (2, 3, 1), (3, 2, 1)], "id long, down_id long, basin int")).collect()
+
+
 def test_network_cycle_raises(spark, monkeypatch):
     monkeypatch.setattr(N, "MOST_ROUNDS", 6)
     with pytest.raises(ValueError):
@@ -137,6 +205,15 @@ def test_commented_tsv(spark, tmp_path):
     assert rows(X.read_commented_tsv(spark, str(tmp_path), "_00060_00003")) == [("01", dt.date(2000, 1, 31), 3.5), ("01", None, None)]
 
 
+def test_each_file_goes_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.rdb").write_text("site_no\tdatetime\t77_00060_00003\n01\t2000-01-31\t3.5\n")
+    (tmp_path / "b.rdb").write_text("# other order\ndatetime\tx\t9_00060_00003\tsite_no\n20d\t5s\t14n\t15s\n2000-02-01\tA\t4.5\t02\n")
+    (tmp_path / "c.rdb").write_text("03\t2000-03-01\t5.5\n")
+    (tmp_path / "d.rdb").write_text("site_no\tdatetime\tflow\n04\t2000-04-01\t6.5\n")
+    got = sorted(rows(X.read_commented_tsv(spark, str(tmp_path), "_00060_00003")))
+    assert got == [("01", dt.date(2000, 1, 31), 3.5), ("02", dt.date(2000, 2, 1), 4.5), ("03", dt.date(2000, 3, 1), 5.5), ("04", dt.date(2000, 4, 1), 6.5)]
+
+
 def test_planted_station_survives_the_pipeline(spark):
     """A station with one month of known values keeps them from raw values to joined quantiles."""
     raw = spark.createDataFrame([(999999, dt.date(2010, 6, d), 100.0) for d in range(1, 31)] + [(1, dt.date(2010, 6, 1), -9999.0)], "s long, d date, v double")

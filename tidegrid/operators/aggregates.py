@@ -63,6 +63,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ranked = written(ranked.withColumn("_v", F.col("_v").cast("double")), "ranked")
     total = ranked.groupBy(*keys).agg(F.max("_upto").alias("_all"))
     rows = ranked.join(total, list(keys)) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    if len(probs) > 32 and all(p == i / (len(probs) - 1) for i, p in enumerate(probs)):
+        return _even_quantiles(rows, keys, len(probs) - 1)
     found = []
     for i, p in enumerate(probs):
         at = (F.col("_all") - 1) * F.lit(float(p))
@@ -73,6 +75,20 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return one.select(*keys, F.array(*[F.col(f"_l{i}") * (1 - share(p)) + F.col(f"_h{i}") * share(p) for i, p in enumerate(probs)]).alias("q"))
 
 
+def _even_quantiles(rows: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
+    """(keys, q) for the probabilities 0, 1 / steps ... 1: each value finds the few places it stands at, instead of being asked for all."""
+    first, after = F.col("_upto") - F.col("_n"), F.col("_upto")
+    scale = F.lit(float(steps)) / F.greatest(F.col("_all") - 1, F.lit(1))
+    low, high = F.greatest(F.lit(0), F.floor((first - 1) * scale) - 1), F.least(F.lit(steps), F.ceil(after * scale) + 1)
+    at = (F.col("_all") - 1) * (F.col("_i") / F.lit(float(steps)))
+    rows = rows.select("*", F.explode(F.sequence(low, F.greatest(low, high))).alias("_i")).withColumn("_at", at)
+    under, over = [(x >= first) & (x < after) for x in (F.floor("_at"), F.ceil("_at"))]
+    each = rows.where(under | over).groupBy(*keys, "_i").agg(F.max(F.when(under, F.col("_v"))).alias("_l"), F.max(F.when(over, F.col("_v"))).alias("_h"), F.max("_at").alias("_at"))
+    share = F.col("_at") - F.floor("_at")
+    each = each.select(*keys, F.struct("_i", (F.col("_l") * (1 - share) + F.col("_h") * share).alias("v")).alias("_s"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["v"]).alias("q"))  # steps + 1 of a key
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(variable, q) of whole columns."""
     return exact_quantiles(long_form(df.select(*[F.col(c).cast("double") for c in cols]), [], cols), ["variable"], "value", probs)

@@ -45,11 +45,23 @@ def train_forest(df: DataFrame, features: Sequence[str], target: str, group: str
     return models, scored.groupBy(group).agg(F.count("*").alias("n"), F.avg("e").alias("oob"))
 
 
-def grid_search_forest(df: DataFrame, features: Sequence[str], target: str, group: str, depths: Sequence[int] = (3, 5), trees: Sequence[int] = (5, 10), folds: int = 3) -> CrossValidatorModel:
-    """Cross-validation by whole groups."""
+def forest_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str], group: str, bags: int = 1, trees: int = 10, depth: int = 6, seed: int = 1) -> tuple[dict[str, list[RandomForestRegressionModel]], DataFrame, DataFrame]:
+    """Forests of each target (as the quantiles of a month), (target, feature, importance) as means over bags, and (target, group, n, oob)."""
+    models, weights, scored = {}, [], None
+    for t in targets:
+        models[t], oob = train_forest(df, features, t, group, bags, trees, depth, seed)
+        weights += [(t, f, float(sum(m.featureImportances[i] for m in models[t]) / bags)) for i, f in enumerate(features)]
+        oob = oob.select(F.lit(t).alias("target"), "*")
+        scored = oob if scored is None else scored.unionByName(oob)
+    return models, df.sparkSession.createDataFrame(weights, "target string, feature string, importance double"), scored
+
+
+def grid_search_forest(df: DataFrame, features: Sequence[str], target: str, group: str, depths: Sequence[int] = (3, 5), trees: Sequence[int] = (5, 10), subsets: Sequence[int] = (), folds: int = 3) -> CrossValidatorModel:
+    """Cross-validation by whole groups over depths, numbers of trees and (if given) numbers of features tried at a split."""
     v = group_kfold(vectors(df, features), group, folds).select(F.col("fold").cast("int").alias("fold"), F.col(target).cast("double").alias("label"), "features")
     forest = RandomForestRegressor(seed=1)
-    grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).addGrid(forest.numTrees, list(trees)).build()
+    grid = ParamGridBuilder().addGrid(forest.maxDepth, list(depths)).addGrid(forest.numTrees, list(trees))
+    grid = (grid.addGrid(forest.featureSubsetStrategy, [str(k) for k in subsets]) if subsets else grid).build()
     return CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=RegressionEvaluator(), numFolds=folds, foldCol="fold").fit(v)
 
 

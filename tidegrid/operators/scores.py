@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
-from tidegrid.operators.aggregates import column_quantiles, exact_quantiles, grouped_spearman, long_form
+from tidegrid.operators.aggregates import column_quantiles, exact_quantiles, grouped_spearman, long_form, rank_matrix
 
 
 def score_pack(df: DataFrame, group: Sequence[str], obs: str, pred: str) -> DataFrame:
@@ -83,10 +83,16 @@ def collinearity_prune(correlations: DataFrame, strength: dict[str, float], limi
     return [c for c in strength if c not in gone]
 
 
+def max_abs_rho(df: DataFrame, predictors: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """(variable, top): each predictor's greatest absolute Spearman correlation with any target."""
+    r = rank_matrix(df, [*predictors, *targets]).where(F.col("a").isin(*predictors) & F.col("b").isin(*targets))
+    return r.groupBy(F.col("a").alias("variable")).agg(F.max(F.abs("r")).alias("top"))
+
+
 def quantile_knots(df: DataFrame, value: str, steps: int = 1000) -> np.ndarray:
     """The value's quantiles 0, 1 / steps ... 1: ``steps`` + 1 numbers, or none without values."""
     found = exact_quantiles(df, [], value, [i / steps for i in range(steps + 1)]).first()
-    return np.array(found.q, dtype=np.float64) if found and found.q[0] is not None else np.empty(0)
+    return np.array(found.q, dtype=np.float64) if found and found.q and found.q[0] is not None else np.empty(0)
 
 
 def inverse_quantile(df: DataFrame, u: str, knots: np.ndarray, out: str = "value") -> DataFrame:

@@ -101,12 +101,16 @@ def collinearity_prune(t: Tables) -> DataFrame:
     return _names(t, S.collinearity_prune(A.corr_matrix(t.lineitem, _V), cv, 0.5)).select("variable")
 
 
-@query("""WITH k AS (SELECT 'l_quantity' AS variable, greatest(abs(corr(l_quantity, l_extendedprice)), abs(corr(l_quantity, l_tax))) AS top FROM lineitem UNION ALL SELECT 'l_discount', greatest(abs(corr(l_discount, l_extendedprice)), abs(corr(l_discount, l_tax))) FROM lineitem)
-SELECT variable, round(top, 6) AS top FROM k WHERE top < 0.85""")
+_T = [f"t{i}" for i in range(11)]
+_ELEVEN = f"SELECT {', '.join(f'avg({x}) AS {x}' for x in _X)}, {', '.join(f'quantile_cont(l_extendedprice, {p}) AS {n}' for p, n in zip(A.PROBS, _T))} FROM lineitem GROUP BY l_suppkey"
+
+
+@query(f"WITH s AS ({_ELEVEN}), r AS (SELECT {', '.join(f'{_ABOVE.format(c)} AS {c}' for c in [*_X, *_T])} FROM s), k AS (" + " UNION ALL ".join(f"SELECT '{x}' AS variable, greatest({', '.join(f'abs(corr({x}, {y}))' for y in _T)}) AS top FROM r" for x in _X) + ") SELECT variable, round(top, 6) AS top FROM k WHERE top < 0.85")
 def max_abs_rho_screen(t: Tables) -> DataFrame:
-    r = A.corr_matrix(t.lineitem, ("l_quantity", "l_discount", "l_extendedprice", "l_tax"))
-    screened = r.where("a in ('l_quantity', 'l_discount') and b in ('l_extendedprice', 'l_tax')").groupBy(F.col("a").alias("variable")).agg(F.max(F.abs("r")).alias("top"))
-    return rounded(screened.where("top < 0.85"), "top")
+    """Station means by their greatest absolute rho with any of the eleven quantiles of the station's prices."""
+    q = F.percentile("l_extendedprice", F.array(*map(F.lit, A.PROBS)))
+    s = t.lineitem.groupBy("l_suppkey").agg(q.alias("q"), *[F.avg(x).alias(x) for x in _X]).select(*_X, *[F.col("q")[i].alias(n) for i, n in enumerate(_T)])
+    return rounded(S.max_abs_rho(s, _X, _T).where("top < 0.85"), "top")
 
 
 @query("""WITH q AS (SELECT quantile_cont(value, [i / 20.0 FOR i IN range(21)]) AS k FROM events WHERE event_id % 3 <> 0), p AS (SELECT event_id, value AS v, k, len([x FOR x IN k IF x <= value]) AS i FROM events, q)
@@ -224,11 +228,21 @@ def train_forest(t: Tables) -> DataFrame:
     return M.train_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", bags=2, trees=5)[1]
 
 
+@query()
+def forest_per_quantile(t: Tables) -> DataFrame:
+    """Importances of the forests of three quantiles of each station's prices."""
+    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    s = t.lineitem.groupBy("l_suppkey", C.months("l_shipdate").alias("m")).agg(q.alias("q"), *[F.avg(c).alias(c) for c in _FEATURES])
+    s = s.select("l_suppkey", *_FEATURES, *[F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    return M.forest_per_target(s, _FEATURES, ["q10", "q50", "q90"], "l_suppkey", trees=5)[1]
+
+
 @query()
 def grid_search_forest(t: Tables) -> DataFrame:
-    found = M.grid_search_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey")
-    rows = [(int(m[found.getEstimator().maxDepth]), int(m[found.getEstimator().numTrees]), float(v)) for m, v in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
-    return t.spark.createDataFrame(rows, "depth int, trees int, rmse double")
+    found = M.grid_search_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", trees=(5,), subsets=(1, 3))
+    f = found.getEstimator()
+    rows = [(int(m[f.maxDepth]), int(m[f.numTrees]), int(m[f.featureSubsetStrategy]), float(v)) for m, v in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
+    return t.spark.createDataFrame(rows, "depth int, trees int, n_features int, rmse double")
 
 
 @query()

@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 def read_commented_tsv(spark: SparkSession, path: str, suffix: str, station: str = "site_no", date: str = "datetime") -> DataFrame:
     """(station_id, date, q) of tab-separated files with # comments, a header and a row of types.
 
-    The value column is the first whose name ends with ``suffix``; failing that, the first after the date. Values and dates
-    that can't be read are NULL. All files share one header.
+    Each file goes by its own header, whatever the order of its columns; a file without one (a later part of a split file)
+    goes by the first header of all files. The value column is the first whose name ends with ``suffix``; failing that, the
+    first after the date. Values and dates that can't be read are NULL.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), "value").where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     cells = F.split("value", "\t")
-    head = lines.where(F.array_contains(cells, station) & F.array_contains(cells, date)).limit(1).collect()
-    if not head:
-        return lines.select(F.lit(None).cast("string").alias("station_id"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("q")).limit(0)
-    names = head[0].value.split("\t")
-    at = next((i for i, n in enumerate(names) if n.endswith(suffix)), names.index(date) + 1)
+    is_head = F.array_contains(cells, station) & F.array_contains(cells, date)
+    heads = lines.where(is_head).groupBy("_file").agg(F.min("value").alias("_own"))  # one row per file
+    first = heads.agg(F.min_by("_own", "_file").alias("_first"))  # one row
     types = F.forall(cells, lambda x: x.rlike(r"^\d+[snd]$"))
-    body = lines.where((F.col("value") != head[0].value) & ~types)
-    c = body.select(cells.alias("c"))
-    return c.select(F.col("c")[names.index(station)].alias("station_id"), F.expr(f"try_cast(c[{names.index(date)}] as date)").alias("date"), F.expr(f"try_cast(get(c, {at}) as double)").alias("q"))
+    body = lines.where(~is_head & ~types).join(heads, "_file", "left").crossJoin(F.broadcast(first)).select(cells.alias("c"), F.split(F.coalesce("_own", "_first"), "\t").alias("h"))
+    place = lambda name: F.array_position("h", F.lit(name)).cast("int") - 1
+    value = F.array_position(F.transform("h", lambda n: n.endswith(suffix)), F.lit(True)).cast("int") - 1
+    found = body.select(F.get("c", place(station)).alias("station_id"), F.get("c", place(date)).alias("_d"), F.get("c", F.when(value >= 0, value).otherwise(place(date) + 1)).alias("_q"))
+    return found.select("station_id", F.expr("try_cast(_d as date)").alias("date"), F.expr("try_cast(_q as double)").alias("q"))
 
 
 def read_space_table(spark: SparkSession, path: str, names: Sequence[str], header: bool = True) -> DataFrame:

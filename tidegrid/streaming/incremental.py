@@ -14,16 +14,18 @@ def incremental_quantiles(spark: SparkSession, source: str, schema: str, target:
     """Process the files of ``source`` that no earlier call has seen; ``target`` holds raw rows by month and their quantiles.
 
     A file stream with availableNow remembers the files in its checkpoint. Each batch adds its rows to target/raw under its
-    own batch folder (so that a repeated batch overwrites itself), then recomputes only the months it touched.
+    own batch folder by month (so that a repeated batch overwrites itself), then reads and recomputes only the months it touched.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch.withColumns({"yyyy": F.year(date), "mm": F.month(date)})
-        rows.write.mode("overwrite").parquet(f"{target}/raw/batch={number}")
+        rows.write.mode("overwrite").partitionBy("yyyy", "mm").parquet(f"{target}/raw/batch={number}")
         new = spark.read.parquet(f"{target}/raw/batch={number}")
         touched = new.select(station, "yyyy", "mm").distinct()
-        every = spark.read.parquet(f"{target}/raw").join(touched, [station, "yyyy", "mm"], "left_semi")
+        months = [r[0] for r in touched.select(F.col("yyyy") * 12 + F.col("mm")).distinct().collect() if r[0] is not None]  # as many as a batch has months
+        raw = spark.read.parquet(f"{target}/raw").where((F.col("yyyy") * 12 + F.col("mm")).isin(months))  # only their folders are read
+        every = raw.join(touched, [station, "yyyy", "mm"], "left_semi")
         monthly_quantiles(every, station, date, value).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{target}/quantiles/batch={number}")
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(f"quantiles-{uuid.uuid4().hex}").start()
