@@ -109,13 +109,12 @@ def zonal_stats(df: DataFrame, zone: str, value: str, percentiles: Sequence[floa
 def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
     """``df`` with the average rank of ``value`` over all rows (or those of each key); ties share it. NULLs get none.
 
-    The ranks of the distinct values come back by a join on the value, which rows without a value don't take part in.
+    The ranks of the distinct values come back by a join on the value; ``df`` is read once there, so ranks of many columns
+    can follow one another.
     """
     ranks = ordered_counts(df, keys, value).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(rank))
-    there = df.where(F.col(value).isNotNull())
     on = [F.col(value) == F.col("_v"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
-    found = there.join(ranks, on).select(*df.columns, rank)
-    return found.unionByName(df.where(F.col(value).isNull()).withColumn(rank, F.lit(None).cast("double")))
+    return df.join(ranks, on, "left").select(*df.columns, rank)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
