@@ -216,6 +216,27 @@ def test_compression_bands(spark):
     assert len(got) == docs.count() and op3.compression_bands(docs.limit(0)).count() == 0
 
 
+def test_bands_equal_brute_force(spark):
+    """Ratios, limits and verdict of every row, each text cut and compressed anew; a ratio at its limit passes."""
+    import zstandard
+
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(3000)]
+    texts = [*edge_texts(), *(" ".join(rng.choice(words[: rng.integers(2, 3000)], n)) for n in [5, 11, 12, 40, 150, 700, 900, 2500, 6000] * 3)]
+    texts += [t + " x" * 9000 for t in texts[-2:]]
+    bands, size = op3.Bands(), lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    for r in op3.compression_bands(documents(spark, texts)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        whole = len(raw) / size(raw) if raw else 0.0
+        chunks = [4096 / size(raw[i : i + 4096]) for i in range(0, len(raw), 4096) if i + 4096 <= len(raw)]
+        bad = [x for x in chunks if x < bands.chunk[0] or x > bands.chunk[1]]
+        low, high = [(a, b) for top, a, b in bands.whole if len(raw) < top][0]
+        assert r.ratio == pytest.approx(whole) and r.bad_chunk_share == pytest.approx(len(bad) / max(1, len(chunks)))
+        assert r.kept == (not r.base_failed and low <= whole <= high and 4 * len(bad) <= len(chunks)), r.doc_id
+    assert op3.verdict(100, 3.0, [], bands)[2] and not op3.verdict(100, 3.0001, [], bands)[2]
+    assert op3.verdict(20_000, 2.0, [2.0] * 3 + [9.0], bands)[1:] == (0.25, True) and not op3.verdict(20_000, 2.0, [2.0, 9.0], bands)[2]
+
+
 # 4
 
 
@@ -632,3 +653,70 @@ def test_folded_weights_equal_the_kernel():
     w = np.random.default_rng(0).standard_normal((op10.BUCKETS[1], 2))
     some = [np.empty(0, np.int64), sets[0][1], np.empty(0, np.int64), sets[1][1]]
     assert op10.product(some, w) == pytest.approx(op10.rows_of(some, op10.BUCKETS[1]) @ w, abs=1e-5)
+
+
+# all
+
+
+def odd_documents(spark):
+    """Rows without an id, repeated rows, two texts under one id, and two very long texts, one of them without any white space."""
+    texts = ["the river runs to the sea", "the river runs to the sea", None, "stone " * 200_000, "x" * 1_000_000, "another text of that id"]
+    return spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "k", 7) for i, t in zip([None, None, None, 4, 5, 4, 4], [*texts, texts[-1]])], SHAPE), texts
+
+
+def test_rows_without_an_id_and_long_texts_through_every_operator(spark, tmp_path):
+    import public_tokenizers as P
+
+    docs, texts = odd_documents(spark)
+    rows, lengths = docs.count(), {t: len(t or "") for t in texts}
+    ids_of = lambda r: (-1 if r.doc_id is None else r.doc_id)
+    want = sorted([-1, -1, -1, 4, 5, 4, 4])
+
+    enc = encoder(default_path())
+    n_ids = {t: len(enc.library.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts}
+    total = sum(n_ids[t] for t in [*texts, texts[-1]])
+    pieces = op2.pack_along_curve(docs).collect()
+    assert sum(p.length for p in pieces) == total and sorted(ids_of(p) for p in pieces if p.start == 0) == want
+
+    op4.write_token_shards(docs, f"{tmp_path}/odd")
+    got = sorted(op4.read_token_shards(spark, f"{tmp_path}/odd").collect(), key=lambda r: r.start)
+    assert [ids_of(r) for r in got] == want and sorted(r.n_tokens for r in got) == sorted(n_ids[t] for t in [*texts, texts[-1]])
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+
+    got = op3.compression_bands(docs).collect()
+    assert sorted(map(ids_of, got)) == want and {r.word_chars for r in got if r.doc_id == 5} == {lengths[texts[4]]} and {r.n_words for r in got if r.doc_id == 4} == {200_000, 5}
+    assert {r.n_repeat_words for r in got if r.n_words == 200_000} == {200_000}
+
+    got = op9.byte_bpe(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+    assert sorted(map(ids_of, got)) == want
+    assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in [*texts, texts[-1]])
+
+    got = op8.lm_difference(docs, docs.where("doc_id = 4").select("doc_id")).collect()
+    assert sorted(map(ids_of, got)) == want and sorted(r.n_tokens for r in got) == sorted([6, 6, 0, 200_000, 1, 5, 5]) and all(np.isfinite(r.score) for r in got)
+
+    corpus, langs = language_corpus(60)
+    model = op10.fit_language_model(documents(spark, corpus, langs), F.lit(True))
+    got = op10.identify_language(docs, model, op10.fold_of("doc_id", 4) == 2).collect()
+    assert sorted(map(ids_of, got)) == want and not any(r.held_out for r in got if r.doc_id is None)
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id is None}) == 2
+
+    scorer = op7.ToxicityModel(characters(), {"=stone": 5.0}, -2.0)
+    got = op7.score_toxicity(docs, scorer, op10.fold_of("doc_id", 5) == 0).collect()
+    assert sorted(map(ids_of, got)) == want and not any(r.held_out for r in got if r.doc_id is None) and sum(r.predicted for r in got) == 1
+
+    got = op6.keep_first_of_groups(docs).collect()
+    assert rows == 7 and sorted(len(r.text or "") for r in got if r.doc_id is not None) == sorted(map(len, texts[3:]))
+
+
+def test_equal_languages_go_by_name_and_empty_samples_fit_nothing(spark):
+    """Where two languages have the same texts, equal rows get one answer, one of the two."""
+    texts = language_corpus(60)[0][:20]
+    docs = documents(spark, [*texts, *texts], ["xx"] * 20 + ["aa"] * 20)
+    model = op10.fit_language_model(docs, F.lit(True))
+    got = op10.identify_language(docs, model, F.lit(False)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id % 20, set()).add((r.lang_pred, r.score))
+    assert all(len(v) == 1 for v in by.values()) and {r.lang_pred for r in got} <= {"aa", "xx"}
+    marks = spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert op7.fit_toxicity_model(docs.limit(0), marks, F.lit(True)) is None and op7.fit_toxicity_model(docs, marks.where("toxic = 1"), F.lit(True)) is None

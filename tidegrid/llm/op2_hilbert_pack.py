@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
 A document's token ids are counted in hashed buckets; the unit vector of these counts is projected to three dimensions
-with fixed random signs, and the Hilbert key of the three coordinates orders the documents: neighbours on the curve have
+with fixed random directions, and the Hilbert key of the three coordinates orders the documents: neighbours on the curve have
 like words. Documents are range-sorted by that key (ties by id) and laid end to end along the curve; the line is cut every
 ``length`` tokens. Only the very last sequence is shorter, and it is cut at powers of two, which need no padding.
 

@@ -13,7 +13,7 @@
    each round, so lost executors cost a task and not the run.
 
 Defined results: null and wordless texts have fingerprint zero, and link like any other; a null id is left out, since a
-component is named by an id; repeated ids give one row each, with the component of that row's own text; table gives an empty table; further input columns are left out.
+component is named by an id; repeated ids give one row each, with the component of that row's own text; an empty table gives an empty table; further input columns are left out.
 """
 
 from __future__ import annotations
