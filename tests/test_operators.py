@@ -101,6 +101,43 @@ def test_average_ranks_share_ties(spark):
     assert A.spearman(df.withColumn("w", F.col("v")), "v", "w").first().rho == pytest.approx(1.0)
 
 
+def test_a_null_key_is_a_group_like_any_other(spark):
+    df = spark.createDataFrame([(None, 4.0, 1), (None, 8.0, 2), (None, None, 3), (1, 5.0, 4), (1, 7.0, 5), (1, 7.0, 6)], "g int, v double, k int").repartition(3)
+    assert {r.g: r.q for r in A.exact_quantiles(df, ["g"], "v", (0.0, 0.5, 1.0)).collect()} == {None: [4.0, 6.0, 8.0], 1: [5.0, 7.0, 7.0]}
+    assert {r.k: r.r for r in A.average_ranks(df, "v", "r", ["g"]).collect()} == {1: 1.0, 2: 2.0, 3: None, 4: 1.0, 5: 2.5, 6: 2.5}
+    assert {r.g: (r.n, r.p50) for r in A.zonal_stats(df, "g", "v", (0.5,)).collect()} == {None: (2, 6.0), 1: (3, 7.0)}
+
+
+def test_rows_without_a_value_spread_over_tasks(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.col("id").cast("double")).alias("v"))
+    ranks = A.average_ranks(df, "v", "r")
+    assert ranks.where("r is not null").agg(F.sum("r")).first()[0] == 1000 * 1001 / 2 and ranks.count() == 4000
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = A.average_ranks(df, "v", "r").where("v is null").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+        plan = A.average_ranks(df, "v", "r")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "xxhash64" in plan and (most[1] == 1 or most[0] < 2000)  # small tables may be read in one task
+
+
+def test_band_correlations_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    at = rng.uniform(0, 30, (25, 2))
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "s long, x double, y double")
+    held = {(i, m): float(rng.normal()) for i in range(25) for m in range(12) if rng.random() < 0.5}
+    series = spark.createDataFrame([(i, m, v) for (i, m), v in held.items()] + [(3, 50, None), (4, None, 1.0)], "s long, m int, v double")
+    want = {}
+    for a in range(25):
+        for b in range(a + 1, 25):
+            d, both = np.hypot(*(at[a] - at[b])), [m for m in range(12) if (a, m) in held and (b, m) in held]
+            if d < 10 and len(both) >= 3:
+                want.setdefault(int(d // 4), []).append(np.corrcoef([held[a, m] for m in both], [held[b, m] for m in both])[0, 1])
+    got = {r.band: (r.n_pairs, r.mean_r) for r in J.band_correlations(points, series, "s", "m", "v", 10.0, 4.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (len(v), pytest.approx(np.mean(v))) for k, v in want.items())
+
+
 def test_block_mode_ties_to_smaller(spark):
     df = spark.createDataFrame([(0, 0, 5), (0, 1, 3), (1, 0, 5), (1, 1, 3)], "row int, col int, v int")
     assert rows(A.block_aggregate(df, 2, "v", "mode")) == [(0, 0, 3)]

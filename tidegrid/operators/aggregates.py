@@ -40,6 +40,12 @@ def group_sum(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(*[F.sum(v).alias(f"sum_{v}") for v in values])
 
 
+def joined_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` where ``keys`` are equal; NULL is a key like any other, as in a grouping."""
+    own = {k: f"_k_{k}" for k in keys}
+    return left.join(right.withColumnsRenamed(own), [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()]).drop(*own.values())
+
+
 def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, _v, _n, _upto): the distinct values of each key, how often they occur, and how many of the key's rows are not larger.
 
@@ -47,11 +53,13 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     numbers and offsets then speak of the same partitions, whatever is computed again. NULL values are left out.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = written(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()), "ordered")
-    parts = placed.groupBy(*keys, "_p").agg(F.sum("_n").alias("_s"))
-    before = parts.select(*keys, "_p", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_s")).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy("_v"))
-    return placed.withColumn("_inside", inside).join(before, [*keys, "_p"]).select(*keys, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_upto"))
+    placed = counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id())
+    placed = written(placed.withColumn("_key", F.struct(*keys)) if keys else placed, "ordered")
+    by = ["_p", "_key"] if keys else ["_p"]  # structs with NULL inside are equal, so the windows' partitioning serves the join
+    parts = placed.groupBy(*by).agg(F.sum("_n").alias("_s"))
+    before = parts.select(*by, (F.sum("_s").over(Window.partitionBy(*by[1:]).orderBy("_p")) - F.col("_s")).alias("_before"))
+    inside = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))
+    return placed.withColumn("_inside", inside).join(before, by).select(*keys, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_upto"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -62,7 +70,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     ranked = ordered_counts(df, keys, value)
     ranked = written(ranked.withColumn("_v", F.col("_v").cast("double")), "ranked")
     total = ranked.groupBy(*keys).agg(F.max("_upto").alias("_all"))
-    rows = ranked.join(total, list(keys)) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    rows = joined_on_keys(ranked, total, keys) if keys else ranked.crossJoin(F.broadcast(total))  # one row
     if len(probs) > 32 and all(p == i / (len(probs) - 1) for i, p in enumerate(probs)):
         return _even_quantiles(rows, keys, len(probs) - 1)
     found = []
@@ -110,10 +118,11 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[
     """``df`` with the average rank of ``value`` over all rows (or those of each key); ties share it. NULLs get none.
 
     The ranks of the distinct values come back by a join on the value; ``df`` is read once there, so ranks of many columns
-    can follow one another.
+    can follow one another. Rows without a value have no partner: a hash of the row spreads them, or they would all meet in one task.
     """
     ranks = ordered_counts(df, keys, value).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(rank))
-    on = [F.col(value) == F.col("_v"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    spread = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(4096)) + 1).otherwise(0)
+    on = [F.col(value) == F.col("_v"), spread == F.col("_v").isNull().cast("long"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
     return df.join(ranks, on, "left").select(*df.columns, rank)
 
 

@@ -154,9 +154,10 @@ def strahler_by_basin(edges: DataFrame, basin: str = "basin", most: int = 100_00
             raise ValueError("the network has a cycle")
         return pd.DataFrame({"id": list(order), "strahler": list(order.values())})
 
-    large = edges.groupBy(basin).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(basin)
-    small = edges.join(large, basin, "left_anti").select("id", "down_id", basin).groupBy(basin).applyInPandas(solve, "id long, strahler int")
-    rest = written(edges.join(large, basin, "left_semi").select("id", "down_id"), "large-basins")
+    large = edges.groupBy(F.col(basin).alias("_b")).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    within = F.col(basin).eqNullSafe(F.col("_b"))
+    small = edges.join(large, within, "left_anti").select("id", "down_id", basin).groupBy(basin).applyInPandas(solve, "id long, strahler int")
+    rest = written(edges.join(large, within, "left_semi").select("id", "down_id"), "large-basins")
     return small if rest.isEmpty() else small.unionByName(strahler_order(rest))
 
 

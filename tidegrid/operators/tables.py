@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions import columns as C
 from tidegrid.session import written
 
 #: Rows up to which a lookup table may be broadcast.
@@ -119,6 +120,35 @@ def distance_classes(points: DataFrame, sources: DataFrame, limits: Sequence[flo
     return points.join(found.withColumn("band", band), ["x", "y"], "left")
 
 
+def near_pairs(points: DataFrame, key: str, reach: float) -> DataFrame:
+    """(a, b, d): pairs of points less than ``reach`` apart, smaller key first; points meet through bins of ``reach`` and the bins around."""
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    binned = points.select(F.col(key).alias("a"), "x", "y", F.floor(F.col("x") / reach).alias("bx"), F.floor(F.col("y") / reach).alias("by"))
+    other = binned.select(F.col("a").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.transform(steps, lambda k: F.col("bx") + k)).alias("bx"), "by")
+    other = other.withColumn("by", F.explode(F.transform(steps, lambda k: F.col("by") + k)))
+    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+    return binned.join(other, ["bx", "by"]).where("a < b").select("a", "b", d.alias("d")).where(F.col("d") < reach)
+
+
+def band_correlations(points: DataFrame, series: DataFrame, key: str, month: str, value: str, reach: float, width: float, least: int = 3) -> DataFrame:
+    """(band, n_pairs, mean_r): mean Pearson correlation of the series of stations less than ``reach`` apart, per ``width`` of distance.
+
+    ``series`` has one row per station and month (a whole number). A station's months travel as one array over the calendar of
+    the series, so that what is shuffled grows with the pairs and not with pairs times months; a pair's months are laid side by
+    side and correlated in one task. Pairs with fewer than ``least`` months in common are left out; a pair without variance
+    counts as a pair and not in the mean.
+    """
+    given = series.where(F.col(month).isNotNull())
+    span = given.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))  # one row
+    held = given.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_s")).crossJoin(F.broadcast(span))
+    held = held.select(key, F.transform(F.sequence("_lo", "_hi"), lambda m: F.try_element_at("_s", m)).alias("_v"))
+    one, two = held.select(F.col(key).alias("a"), F.col("_v").alias("_x")), held.select(F.col(key).alias("b"), F.col("_v").alias("_y"))
+    pairs = near_pairs(points, key, reach).select("a", "b", F.floor(F.col("d") / width).alias("band")).join(one, "a").join(two, "b")
+    each = pairs.select("a", "b", "band", F.inline(F.arrays_zip("_x", "_y"))).where("_x is not null and _y is not null")
+    each = each.groupBy("a", "b", "band").agg(C.corr("_x", "_y").alias("r"), F.count("*").alias("n"))
+    return each.where(F.col("n") >= least).groupBy("band").agg(F.count("*").alias("n_pairs"), F.avg("r").alias("mean_r"))
+
+
 def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """Fold of each group: place among the sorted groups modulo ``folds``."""
     numbered = dense_ids(df, [group], "_id")

@@ -144,15 +144,6 @@ pairs AS (SELECT a.s AS a, b.s AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) A
 c AS (SELECT a, b, floor(d / 5)::BIGINT AS band, corr(x.v, y.v) AS r FROM pairs JOIN ser x ON x.s = a JOIN ser y ON y.s = b AND y.m = x.m GROUP BY ALL HAVING count(*) >= 3)
 SELECT band, count(*)::BIGINT AS n_pairs, round(avg(r), 6) AS mean_r FROM c GROUP BY ALL""")
 def distance_band_pairs(t: Tables) -> DataFrame:
-    """Stations within 20 of each other meet through bins of 20; then series meet on the month."""
-    size = 20.0
     pos = t.supplier.select(F.col("s_suppkey").alias("s"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 61 % 100).cast("double").alias("y"))
-    binned = pos.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = binned.select(F.col("s").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.transform(steps, lambda k: F.col("bx") + k)).alias("bx"), "by").select("b", "x2", "y2", "bx", F.explode(F.transform(steps, lambda k: F.col("by") + k)).alias("by"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-    pairs = binned.withColumnRenamed("s", "a").join(around, ["bx", "by"]).where("a < b").withColumn("d", d).where(F.col("d") < size).select("a", "b", F.floor(F.col("d") / 5).alias("band"))
     series = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), C.months("l_shipdate").alias("m")).agg(F.avg("l_extendedprice").alias("v"))
-    one, two = series.select(F.col("s").alias("a"), "m", F.col("v").alias("va")), series.select(F.col("s").alias("b"), "m", F.col("v").alias("vb"))
-    c = pairs.join(one, "a").join(two, ["b", "m"]).groupBy("a", "b", "band").agg(C.corr("va", "vb").alias("r"), F.count("*").alias("n")).where("n >= 3")
-    return c.groupBy("band").agg(F.count("*").alias("n_pairs"), r6(F.avg("r")).alias("mean_r"))
+    return J.band_correlations(pos, series, "s", "m", "v", 20.0, 5.0).select("band", "n_pairs", r6("mean_r").alias("mean_r"))
