@@ -18,6 +18,11 @@ from tidegrid.llm.op7_toxicity import fit_toxicity_model, score_toxicity
 from tidegrid.llm.op8_lm_difference import lm_difference
 from tidegrid.llm.op9_bpe_replay import byte_bpe
 from tidegrid.llm.op10_langid import fit_language_model, fold_of, identify_language
+from tidegrid.llm.op11_fair_mix import mix_sources
+from tidegrid.llm.op11_fair_mix import oracle_sql as mix_sql
+from tidegrid.llm.op12_prefix_trie import oracle_sql as trie_sql
+from tidegrid.llm.op12_prefix_trie import prefix_trie, rebuilt_turns
+from tidegrid.llm.op13_periodic_runs import periodic_runs, planted_tail
 from tidegrid.session import shared_dir, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,11 +87,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, model, fold_of("doc_id", 4) == 2)
 
 
+def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return prefix_trie(rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_documents(spark, sf_dir), planting=planted_tail)
+
+
 def queries() -> dict[str, Query]:
     every = (op1_multi_index, op2_hilbert_pack, op3_compression_bands, op4_token_coder, op5_html_lstm)
     every += (op6_simhash_groups, op7_toxicity, op8_lm_difference, op9_bpe_replay, op10_language)
+    every += (op11_fair_mix, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fair_mix": mix_sql(), "op12_prefix_trie": trie_sql()}
