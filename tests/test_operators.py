@@ -264,7 +264,7 @@ def test_clumps_of_the_whole_grid(spark, tmp_path):
     size = np.random.default_rng(4).choice([10, 30], 50 * 40)
     parts = spark.createDataFrame([(k, int(v)) for k, v in enumerate(size, 1)], "p_partkey long, p_size int")
     parts.write.parquet(f"{tmp_path}/part.parquet")
-    got = {(r.row, r.col): (r["class"], r.clump) for r in plans.QUERIES["connected_clumps_whole_grid"](spark, str(tmp_path)).collect()}
+    got = {(r.row, r.col): (r["class"], r.clump) for r in plans.QUERIES["connected_clumps"](spark, str(tmp_path)).collect()}
     value = {(k // 50, k % 50): int(v > 20) for k, v in enumerate(size, 1)}
     want = {}
     for cell in sorted(value):  # the first cell met of a region is its smallest
@@ -277,3 +277,89 @@ def test_clumps_of_the_whole_grid(spark, tmp_path):
                 todo += [(i, j) for i in (r - 1, r, r + 1) for j in (c - 1, c, c + 1) if value.get((i, j)) == value[at]]
     assert got == want
     assert max(r for (r, c), (_, name) in want.items() if name == want[0, 1][1] or name // 1000 < 8) > 8
+
+
+def walked(down):
+    """Each node of a forest (id -> down id or None) with the nodes from it to its outlet."""
+    ways = {}
+    for i in down:
+        way = [i]
+        while down[way[-1]] is not None:
+            way.append(down[way[-1]])
+        ways[i] = way
+    return ways
+
+
+def random_forest(n, seed, trees=3):
+    rng = np.random.default_rng(seed)
+    names = rng.permutation(n * 3)[:n].tolist()
+    return {x: None if k < trees else names[int(rng.integers(max(0, k - 12), k))] for k, x in enumerate(names)}
+
+
+def test_paths_of_a_long_chain_and_of_random_forests(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 1001)], "id long, down_id long")
+    got = N.longest_path_nodes(chain).collect()
+    assert sorted((r.place, r.id) for r in got) == [(k, 1000 - k) for k in range(1000)] and {r.outlet for r in got} == {1}
+    down = random_forest(200, 7)
+    ways = walked(down)
+    edges = spark.createDataFrame(list(down.items()), "id long, down_id long")
+    heads = set(down) - set(down.values())
+    best = {}
+    for h in sorted(heads, key=lambda x: (-len(ways[x]), x)):
+        best.setdefault(ways[h][-1], h)
+    want = sorted((o, k, x) for o, h in best.items() for k, x in enumerate(ways[h]))
+    assert sorted(map(tuple, N.longest_path_nodes(edges).collect())) == want
+    starts = spark.createDataFrame([(x,) for x in [*list(down)[:5], -1]], "id long")
+    assert sorted(map(tuple, N.flow_paths(edges, starts).collect())) == sorted((s, k, x) for s in list(down)[:5] for k, x in enumerate(ways[s]))
+    assert N.longest_path_nodes(edges.limit(0)).count() == 0
+
+
+def test_intervals_and_links_answer_every_nested_membership(spark):
+    down = random_forest(150, 11)
+    ways = walked(down)
+    edges = spark.createDataFrame(list(down.items()), "id long, down_id long")
+    label = {r.id: r for r in N.interval_labels(edges).collect()}
+    assert sorted(r.first for r in label.values()) == list(range(1, 151)) and all(label[i].outlet == ways[i][-1] for i in down)
+    for u in down:
+        for v in down:
+            assert (v in ways[u]) == (label[v].first <= label[u].first <= label[v].last)
+    chosen = sorted(down)[::4]
+    links = {r.outlet: r.below for r in N.outlet_links(edges, spark.createDataFrame([(i,) for i in chosen], "id long")).collect()}
+    assert links == {i: next((x for x in ways[i][1:] if x in chosen), None) for i in chosen}
+    chain = spark.createDataFrame([(4, 3), (3, 2), (2, 1), (1, None)], "id long, down_id long")
+    assert rows(N.outlet_links(chain, chain.where("id in (1, 3)"))) in ([(3, 1), (1, None)], [(1, None), (3, 1)])
+    assert N.interval_labels(edges.limit(0)).count() == 0
+
+
+def test_headwater_lengths_and_rises(spark):
+    down = random_forest(120, 5)
+    ways = walked(down)
+    rng = np.random.default_rng(2)
+    length, height = {i: float(rng.integers(1, 4)) for i in down}, {i: float(rng.integers(0, 500)) for i in down}
+    edges = spark.createDataFrame([(i, d, length[i], height[i]) for i, d in down.items()], "id long, down_id long, l double, z double")
+    heads = set(down) - set(down.values())
+    for r in N.headwater_distances(edges, "l", "z").collect():
+        above = [(sum(length[x] for x in ways[h][: ways[h].index(r.id)]), h) for h in heads if r.id in ways[h]]
+        near, far = min(above), max(above, key=lambda x: (x[0], -x[1]))
+        assert (r.nearest, r.farthest) == (near[0], far[0]) and (r.nearest_rise, r.farthest_rise) == (height[near[1]] - height[r.id], height[far[1]] - height[r.id])
+
+
+def test_clumps_of_large_regions_spread_over_keys(spark, monkeypatch):
+    monkeypatch.setattr(N, "CLUMP_ROWS", 7)
+    cells = [(r, c, int((r // 3 + c // 4) % 2 == 0)) for r in range(9) for c in range(12)]
+    got = {(x.row, x.col): (x.v, tuple(x.clump)) for x in N.connected_clumps(spark.createDataFrame(cells, "row long, col long, v int"), "v").collect()}
+    kind, seen = {(r, c): v for r, c, v in cells}, {}
+    for start in sorted(kind):
+        todo = [start] if start not in seen else []
+        while todo:
+            x = todo.pop()
+            if x in seen:
+                continue
+            seen[x] = start
+            todo += [(x[0] + a, x[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if kind.get((x[0] + a, x[1] + b)) == kind[start]]
+    assert got == {k: (kind[k], seen[k]) for k in kind}
+
+
+def test_holes_filled_by_means(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 2, 4.0), (5, 5, None)], "row long, col long, v double")
+    assert {(r.row, r.col): r.v for r in N.grow_fill(cells, "v", 1, "mean").collect()} == {(0, 0): 1.0, (0, 1): 2.5, (0, 2): 4.0, (5, 5): None}

@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators.running import running_sums
 from tidegrid.session import written
 
 MOST_ROUNDS = 40
+#: Cells of one region that meet in one key of a join.
+CLUMP_ROWS = 65_536
 
 
 def _rounds(state: DataFrame, step) -> DataFrame:
@@ -63,6 +66,34 @@ def members(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return outlets(cut).join(picked.select(F.col("id").alias("outlet")), "outlet", "left_semi").select("id", "outlet")
 
 
+def outlet_links(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(outlet, below): each chosen outlet with the next one strictly below it, or NULL.
+
+    With ``members``, this answers every nested membership: a node is in the catchment of its outlet and of all that follow it.
+    """
+    picked = chosen.select("id").distinct().join(edges.select("id", "down_id"), "id").select(F.col("id").alias("outlet"), "down_id")
+    return picked.join(members(edges, chosen).select(F.col("id").alias("down_id"), F.col("outlet").alias("below")), "down_id", "left").select("outlet", "below")
+
+
+def interval_labels(edges: DataFrame) -> DataFrame:
+    """(id, outlet, first, last): numbers from 1, so that node u drains to (or is) v exactly if v.first <= u.first <= v.last.
+
+    A tour of each tree from its outlet upwards, branches by id and trees by outlet. A node's number is that of the next node
+    downstream, one, and the sizes of the branches before its own: sums along the way down, by pointer doubling.
+    """
+    size = upstream_accumulate(edges.select("id", "down_id", F.lit(1).alias("_one")), "_one").select("id", F.col("acc").cast("long").alias("size"))
+    sized = written(edges.select("id", "down_id").join(size, "id"), "sized")
+    branches = running_sums(sized.where("down_id is not null"), "down_id", ["id"], ["size"], ["id"])
+    branches = branches.select("id", "down_id", (F.col("size_upto") - F.col("size") + 1).alias("skip"))
+    trees = running_sums(sized.where("down_id is null").select("id", "size", F.lit(0).alias("_all")), "_all", ["id"], ["size"], ["id"])
+    trees = trees.select(F.col("id").alias("outlet"), (F.col("size_upto") - F.col("size")).alias("base"))
+    roots = sized.where("down_id is null").select("id", "down_id", F.lit(0).cast("long").alias("skip"))
+    way = outlets(branches.unionByName(roots), ["skip"])  # whole numbers in doubles: exact up to 2**53 nodes
+    found = way.join(trees, "outlet").join(size, "id")
+    first = F.col("base") + F.col("skip").cast("long") + 1
+    return found.select("id", "outlet", first.alias("first"), (first + F.col("size") - 1).alias("last"))
+
+
 def catchments(edges: DataFrame, chosen: DataFrame, weight: str) -> DataFrame:
     """(outlet, n, area) per chosen outlet: nested catchments each count what drains to them.
 
@@ -79,23 +110,31 @@ def headwaters(edges: DataFrame) -> DataFrame:
     return edges.join(into, "id", "left_anti")
 
 
-def headwater_distances(edges: DataFrame) -> DataFrame:
-    """(id, nearest, farthest): edges up to the nearest and the farthest headwater, by doubling over heads only.
+def headwater_distances(edges: DataFrame, length: str | None = None, elevation: str | None = None) -> DataFrame:
+    """(id, nearest, farthest): the way up to the nearest and the farthest headwater, by doubling over heads only.
 
-    Distances from headwaters are handed down: each round a node tells the node 2^k below what its own span has seen.
+    In edges, or as sums of ``length`` (of the edge below a node). With ``elevation``, also nearest_rise and farthest_rise: how much
+    higher those headwaters lie. Ties go to the smaller headwater. Distances from headwaters are handed down: each round a node
+    tells the node 2^k below what its own span has seen.
     """
-    heads = headwaters(edges).select("id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-    big = F.lit(1 << 40)
+    zero = F.lit(0).cast("long") if length is None else F.lit(0.0)
+    step_len = F.lit(1).cast("long") if length is None else F.col(length).cast("double")
+    height = F.lit(0.0) if elevation is None else F.col(elevation).cast("double")
+    heads = headwaters(edges).select("id", F.struct(zero.alias("d"), F.col("id").alias("head"), height.alias("z")).alias("lo"), F.struct(zero.alias("d"), (-F.col("id")).alias("head"), height.alias("z")).alias("hi"))
+    longer = lambda c, by: F.struct((F.col(c)["d"] + by).alias("d"), F.col(c)["head"].alias("head"), F.col(c)["z"].alias("z"))
 
     def step(s: DataFrame) -> DataFrame:
-        told = s.where("jump is not null and hi is not null").groupBy("jump").agg(F.min(F.col("lo") + F.col("step")).alias("tlo"), F.max(F.col("hi") + F.col("step")).alias("thi")).withColumnRenamed("jump", "id")
+        told = s.where("jump is not null and hi is not null").groupBy("jump").agg(F.min(longer("lo", F.col("step"))).alias("tlo"), F.max(longer("hi", F.col("step"))).alias("thi")).withColumnRenamed("jump", "id")
         ahead = s.select(F.col("id").alias("jump"), F.col("jump").alias("_j"), F.col("step").alias("_s"))
         j = s.join(ahead, "jump", "left").join(told, "id", "left")
-        lo = F.least(F.coalesce("lo", big), F.coalesce("tlo", big))
-        return j.select("id", F.col("_j").alias("jump"), (F.col("step") + F.coalesce("_s", F.lit(0))).alias("step"), F.when(lo < big, lo).alias("lo"), F.greatest("hi", "thi").alias("hi"))
+        return j.select("id", F.col("_j").alias("jump"), (F.col("step") + F.coalesce("_s", zero)).alias("step"), F.least("lo", "tlo").alias("lo"), F.greatest("hi", "thi").alias("hi"))
 
-    start = edges.select("id", F.col("down_id").alias("jump"), F.lit(1).cast("long").alias("step")).join(heads, "id", "left")
-    return _rounds(start, step).select("id", F.col("lo").alias("nearest"), F.col("hi").alias("farthest"))
+    start = edges.select("id", F.col("down_id").alias("jump"), step_len.alias("step")).join(heads, "id", "left")
+    found = _rounds(start, step).select("id", F.col("lo.d").alias("nearest"), F.col("hi.d").alias("farthest"), (F.col("lo.z")).alias("_lz"), F.col("hi.z").alias("_hz"))
+    if elevation is None:
+        return found.drop("_lz", "_hz")
+    own = F.col(elevation).cast("double")
+    return found.join(edges.select("id", own.alias("_z")), "id").select("id", "nearest", "farthest", (F.col("_lz") - F.col("_z")).alias("nearest_rise"), (F.col("_hz") - F.col("_z")).alias("farthest_rise"))
 
 
 def longest_paths(edges: DataFrame) -> DataFrame:
@@ -105,6 +144,39 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     return best.select("outlet", F.col("s.id").alias("head"), F.col("s.hops").alias("hops"))
 
 
+def jump_tables(edges: DataFrame) -> list[DataFrame]:
+    """Tables (id, jump): table k leads 2**k nodes downstream; nodes with fewer below them are left out."""
+    table = written(edges.where("down_id is not null").select("id", F.col("down_id").alias("jump")), "jumps")
+    tables = []
+    while not table.isEmpty():
+        if len(tables) == MOST_ROUNDS:
+            raise ValueError("the network has a cycle")
+        tables.append(table)
+        table = written(table.join(table.select(F.col("id").alias("jump"), F.col("jump").alias("_j")), "jump").select("id", F.col("_j").alias("jump")), "jumps")
+    return tables
+
+
+def flow_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, place, id): all nodes from each start (column id) down to its outlet, the start at place 0.
+
+    From the longest jump to the shortest, every node found marks the one that far below it: log2(depth) rounds, each of which
+    at most doubles the rows, up to the paths themselves.
+    """
+    found = written(starts.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("place"), "id").join(edges.select("id"), "id", "left_semi"), "paths")
+    tables = jump_tables(edges)
+    for k in range(len(tables) - 1, -1, -1):
+        ahead = found.join(tables[k], "id").select("start", (F.col("place") + (1 << k)).alias("place"), F.col("jump").alias("id"))
+        found = written(found.select("start", "place", "id").unionByName(ahead), "paths")
+    return found.select("start", "place", "id")
+
+
+def longest_path_nodes(edges: DataFrame) -> DataFrame:
+    """(outlet, place, id): the nodes of each outlet's longest path, its headwater at place 0."""
+    best = written(longest_paths(edges), "longest")
+    paths = flow_paths(edges, best.select(F.col("head").alias("id")))
+    return paths.join(best.select(F.col("head").alias("start"), "outlet"), "start").select("outlet", "place", "id")
+
+
 def shreve_order(edges: DataFrame) -> DataFrame:
     """(id, shreve): headwaters at or above a node."""
     heads = headwaters(edges).select("id", F.lit(1.0).alias("is_head"))
@@ -178,25 +250,28 @@ def connected_clumps(cells: DataFrame, value: str) -> DataFrame:
     shifted = grid.select(F.col("row").alias("r0"), F.col("col").alias("c0"), value, F.explode(near).alias("d")).select("r0", "c0", value, (F.col("r0") + F.col("d.dr")).alias("row"), (F.col("c0") + F.col("d.dc")).alias("col"))
     pairs = shifted.join(grid, ["row", "col", value]).select(F.struct(F.col("r0").alias("row"), F.col("c0").alias("col")).alias("u"), node.alias("v"))
     edges = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "clump-edges")
-    labels = written(grid.select(node.alias("n"), node.alias("label")), "clumps")
+    labels = written(grid.select(node.alias("n"), node.alias("label"), F.lit(1).cast("long").alias("slots")), "clumps")
+    slot = F.pmod(F.xxhash64("n"), F.col("slots"))
     for _ in range(200):
         heard = edges.join(labels.select(F.col("n").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        hooked = labels.join(heard, labels.n == heard.u, "left").select("n", "label", F.least("label", F.coalesce("heard", "label")).alias("new"))
-        # the best label that any member of a label's group heard, for the whole group
-        best = hooked.groupBy("label").agg(F.min("new").alias("best"))
-        new = written(hooked.join(best, "label").select("n", F.col("best").alias("label"), (F.col("best") != F.col("label")).alias("changed")), "clumps")
-        labels = new.select("n", "label")
+        hooked = labels.join(heard, labels.n == heard.u, "left").select("n", "label", "slots", slot.alias("slot"), F.least("label", F.coalesce("heard", "label")).alias("new"))
+        # the best label that any member of a label's group heard, for the whole group; a large group is spread over slots
+        best = hooked.groupBy("label").agg(F.min("new").alias("best"), F.max("slots").alias("_s"), F.count("*").alias("_n"))
+        best = best.select("label", "best", F.ceil(F.col("_n") / CLUMP_ROWS).alias("slots"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)).alias("slot"))
+        new = written(hooked.drop("slots").join(best, ["label", "slot"]).select("n", F.col("best").alias("label"), "slots", (F.col("best") != F.col("label")).alias("changed")), "clumps")
+        labels = new.select("n", "label", "slots")
         if new.where("changed").isEmpty():
             return grid.join(labels.select("n.row", "n.col", "label"), ["row", "col"]).select("row", "col", value, F.col("label").alias("clump"))
     raise RuntimeError("clumps didn't settle")
 
 
-def grow_fill(cells: DataFrame, value: str, reach: int) -> DataFrame:
-    """Missing values filled by the nearest valid cell within ``reach`` (ties by row, then column); others stay NULL."""
+def grow_fill(cells: DataFrame, value: str, reach: int, how: str = "nearest") -> DataFrame:
+    """Missing values filled by the nearest valid cell within ``reach`` (ties by row, then column), or by the mean of all of them; others stay NULL."""
     steps = F.sequence(F.lit(-reach), F.lit(reach))
     holes = cells.where(F.col(value).isNull()).select(F.col("row").alias("r0"), F.col("col").alias("c0"))
     around = holes.select("r0", "c0", F.explode(F.transform(steps, lambda k: F.col("r0") + k)).alias("row")).select("r0", "c0", "row", F.explode(F.transform(steps, lambda k: F.col("c0") + k)).alias("col"))
     d = F.pow(F.col("row") - F.col("r0"), 2) + F.pow(F.col("col") - F.col("c0"), 2)
     near = around.join(cells.where(F.col(value).isNotNull()), ["row", "col"]).where(d <= reach * reach)
-    best = near.groupBy("r0", "c0").agg(F.min_by(value, F.struct(d, "row", "col")).alias("_fill")).select(F.col("r0").alias("row"), F.col("c0").alias("col"), "_fill")
+    fill = {"nearest": F.min_by(value, F.struct(d, "row", "col")), "mean": F.avg(value)}[how]
+    best = near.groupBy("r0", "c0").agg(fill.alias("_fill")).select(F.col("r0").alias("row"), F.col("c0").alias("col"), "_fill")
     return cells.join(best, ["row", "col"], "left").select("row", "col", F.coalesce(value, "_fill").alias(value))

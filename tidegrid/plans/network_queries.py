@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators import network as N
-from tidegrid.plans.registry import Tables, query, r6
+from tidegrid.plans.registry import Tables, query, r6, rounded
 
 _E = "SELECT c_custkey AS id, CASE WHEN c_custkey > 3 THEN c_custkey // 2 END AS down_id, abs(c_acctbal) AS weight, (1 + c_custkey % 9)::DOUBLE AS length, (c_custkey * 13 % 997)::DOUBLE AS elev FROM customer"
 _WALK = f"WITH RECURSIVE e AS ({_E}), w AS (SELECT id, id AS pos, down_id AS nxt, 0 AS hops, 0.0::DOUBLE AS len FROM e UNION ALL SELECT w.id, e.id, e.down_id, hops + 1, len + f.length FROM w JOIN e ON e.id = w.nxt JOIN e f ON f.id = w.pos)"
@@ -47,6 +47,30 @@ def longest_flow_path(t: Tables) -> DataFrame:
     return N.longest_paths(_edges(t))
 
 
+_HEADS = "id NOT IN (SELECT down_id FROM e WHERE down_id IS NOT NULL)"
+
+
+@query(_WALK + f""", h AS (SELECT w.pos AS id, w.id AS head, len, a.elev - b.elev AS rise FROM w JOIN e a ON a.id = w.id JOIN e b ON b.id = w.pos WHERE w.{_HEADS})
+SELECT id, round(min(len), 6) AS nearest, round(max(len), 6) AS farthest, round(arg_min(rise, len * 1000000 + head), 6) AS nearest_rise, round(arg_max(rise, len * 1000000 - head), 6) AS farthest_rise FROM h GROUP BY id""")
+def headwater_lengths(t: Tables) -> DataFrame:
+    """Lengths up to the nearest and farthest headwater, and how much higher they lie."""
+    return rounded(N.headwater_distances(_edges(t), "length", "elev"), "nearest", "farthest", "nearest_rise", "farthest_rise")
+
+
+@query(_WALK + f""", b AS (SELECT pos AS outlet, id AS head FROM w WHERE nxt IS NULL AND {_HEADS} QUALIFY row_number() OVER (PARTITION BY pos ORDER BY hops DESC, id) = 1)
+SELECT outlet, hops::BIGINT AS place, pos AS id FROM b JOIN w ON w.id = b.head""")
+def longest_flow_path_nodes(t: Tables) -> DataFrame:
+    """The path itself, from its headwater down."""
+    return N.longest_path_nodes(_edges(t))
+
+
+@query(f"""WITH RECURSIVE e AS ({_E}), p AS (SELECT id, id AS outlet, [id] AS way FROM e WHERE down_id IS NULL UNION ALL SELECT e.id, outlet, list_append(way, e.id) FROM p JOIN e ON e.down_id = p.id)
+SELECT a.id, a.outlet, any_value(a.k) AS first, any_value(a.k) + count(*) - 1 AS last FROM (SELECT *, row_number() OVER (ORDER BY way) AS k FROM p) a JOIN (SELECT id, unnest(way) AS above FROM p) b ON b.above = a.id GROUP BY ALL""")
+def catchment_intervals(t: Tables) -> DataFrame:
+    """Numbers by which a range test answers whether a node drains to another."""
+    return N.interval_labels(_edges(t))
+
+
 @query(_WALK + " SELECT pos AS id, count(*)::BIGINT AS shreve FROM w WHERE id NOT IN (SELECT down_id FROM e WHERE down_id IS NOT NULL) GROUP BY ALL")
 def stream_order_shreve(t: Tables) -> DataFrame:
     return N.shreve_order(_edges(t))
@@ -115,6 +139,23 @@ def catchment_members_of_confluences(t: Tables) -> DataFrame:
     return N.members(e, _confluences(e))
 
 
+@query(_WALK + f""", c AS ({_CONFLUENCES}), n AS (SELECT id AS outlet, pos AS below FROM w WHERE id IN (FROM c) AND pos IN (FROM c) AND hops > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY hops) = 1)
+SELECT down_id AS outlet, below FROM c LEFT JOIN n ON n.outlet = c.down_id""")
+def catchment_links_of_confluences(t: Tables) -> DataFrame:
+    """Each confluence with the next one below it: what nests in what."""
+    e = _edges(t)
+    return N.outlet_links(e, _confluences(e))
+
+
+@query(_WALK + f" SELECT pos AS outlet, count(*)::BIGINT AS n_nested FROM w WHERE pos IN ({_CONFLUENCES}) AND id IN ({_CONFLUENCES}) AND hops > 0 GROUP BY ALL")
+def catchment_nesting_of_confluences(t: Tables) -> DataFrame:
+    """How many confluences lie above each: every node on the links below a confluence counts it once."""
+    e = _edges(t)
+    links = N.outlet_links(e, _confluences(e)).select(F.col("outlet").alias("id"), F.col("below").alias("down_id"))
+    n = N.upstream_accumulate(links.withColumn("one", F.lit(1)), "one")
+    return n.where("acc > 1").select(F.col("id").alias("outlet"), (F.col("acc") - 1).cast("long").alias("n_nested"))
+
+
 @query(f"WITH e AS ({_E}) SELECT a.id, round((a.elev - b.elev) / a.length * 1e6, 4) AS gradient FROM e a JOIN e b ON a.down_id = b.id")
 def segment_gradient(t: Tables) -> DataFrame:
     return N.segment_gradient(_edges(t), "elev", "length").withColumn("gradient", F.round("gradient", 4))
@@ -147,15 +188,17 @@ def connected_clumps(t: Tables) -> DataFrame:
     return N.connected_clumps(g, "class").select("row", "col", "class", (F.col("clump.row") * 1000 + F.col("clump.col")).alias("clump"))
 
 
-@query(_CLUMPS)
-def connected_clumps_whole_grid(t: Tables) -> DataFrame:
-    """The same under its earlier name."""
-    return connected_clumps(t)
-
-
 @query("""WITH g AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, CASE WHEN p_size % 4 > 0 THEN p_retailprice END AS v FROM part),
 f AS (SELECT a.row, a.col, b.v FROM g a JOIN g b ON b.v IS NOT NULL AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 WHERE a.v IS NULL QUALIFY row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) = 1)
 SELECT g.row::BIGINT AS row, g.col::BIGINT AS col, coalesce(g.v, f.v) AS v FROM g LEFT JOIN f USING (row, col)""")
 def grow_fill(t: Tables) -> DataFrame:
     g = t.part.select(F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), F.when(F.col("p_size") % 4 > 0, F.col("p_retailprice")).alias("v"))
     return N.grow_fill(g, "v", 2)
+
+
+@query("""WITH g AS (SELECT p_partkey // 50 AS row, p_partkey % 50 AS col, CASE WHEN p_size % 4 > 0 THEN p_retailprice END AS v FROM part),
+f AS (SELECT a.row, a.col, avg(b.v) AS v FROM g a JOIN g b ON b.v IS NOT NULL AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 WHERE a.v IS NULL GROUP BY ALL)
+SELECT g.row::BIGINT AS row, g.col::BIGINT AS col, round(coalesce(g.v, f.v), 6) AS v FROM g LEFT JOIN f USING (row, col)""")
+def grow_fill_mean(t: Tables) -> DataFrame:
+    g = t.part.select(F.floor(F.col("p_partkey") / 50).alias("row"), (F.col("p_partkey") % 50).alias("col"), F.when(F.col("p_size") % 4 > 0, F.col("p_retailprice")).alias("v"))
+    return rounded(N.grow_fill(g, "v", 2, "mean"), "v")
