@@ -232,9 +232,57 @@ def test_score_pack_of_perfect_predictions(spark):
     assert (r.r, r.nse, r.kge) == pytest.approx((1, 1, 1)) and r.rmse == 0
 
 
-def test_group_bags_are_whole(spark):
-    df = spark.createDataFrame([(g, float(i)) for g in range(10) for i in range(5)], "g int, v double")
-    assert M.bag(df, "g", 0).groupBy("g").agg(F.countDistinct("in_bag").alias("n")).where("n > 1").count() == 0
+def test_draws_of_groups(spark):
+    df = spark.createDataFrame([(g, i) for g in range(40) for i in range(3)] + [(None, 1)], "g long, i long")
+    got = {r.g: r.draws for r in M.bootstrap_draws(df, "g", 30).collect()}
+    k = np.array([got[g] for g in range(40)])
+    assert k.shape == (40, 30) and (k.sum(0) == 40).all() and 0.25 < (k == 0).mean() < 0.5 and k.max() <= 10
+    assert got == {r.g: r.draws for r in M.bootstrap_draws(df.repartition(5), "g", 30).collect()}
+    assert M.bootstrap_draws(df.limit(0), "g", 30).count() == 0
+
+
+def grown(x, y, w, depth):
+    """A weighted regression tree by trying every cut of every column; values in, values out."""
+    mean = (w * y).sum() / w.sum()
+    best = None
+    for j in range(x.shape[1]):
+        cuts = np.unique(x[:, j])
+        for c in (cuts[1:] + cuts[:-1]) / 2:
+            left = x[:, j] <= c
+            error = sum((w[s] * (y[s] - (w[s] * y[s]).sum() / w[s].sum()) ** 2).sum() for s in (left, ~left))
+            if best is None or error < best[0] - 1e-9:
+                best = (error, j, c)
+    if depth == 0 or best is None or best[0] >= (w * (y - mean) ** 2).sum() - 1e-9:
+        return lambda q: np.full(len(q), mean)
+    _, j, c = best
+    left = x[:, j] <= c
+    a, b = grown(x[left], y[left], w[left], depth - 1), grown(x[~left], y[~left], w[~left], depth - 1)
+    return lambda q: np.where(q[:, j] <= c, a(q), b(q))
+
+
+def test_forest_equals_numpy_trees_on_the_same_draws(spark):
+    rng = np.random.default_rng(4)
+    n, trees = 160, 12
+    x, g = rng.integers(0, 12, (n, 2)).astype(float), rng.integers(0, 15, n)
+    y = x[:, 0] * 3 + (x[:, 1] > 5) * 20 + rng.normal(0, 1, n)
+    df = spark.createDataFrame([(int(a), float(b), float(c), float(d)) for a, (b, c), d in zip(g, x, y)] + [(3, None, 1.0, 1.0), (99, 1.0, 1.0, None)], "g long, a double, b double, y double")
+    models, scores = M.train_forest(df, ["a", "b"], "y", "g", trees, depth=3)
+    draws = {r.g: r.draws for r in M.bootstrap_draws(df.where("y is not null and a is not null"), "g", trees).collect()}
+    w = np.array([draws[k] for k in g.tolist()])
+    fits = [grown(x[w[:, t] > 0], y[w[:, t] > 0], w[w[:, t] > 0, t], 3)(x) for t in range(trees)]
+    out = np.array(fits).T
+    unseen = np.where(w == 0, out, 0).sum(1) / np.maximum((w == 0).sum(1), 1)
+    got = {r.g: r for r in scores.collect()}
+    assert set(got) == set(g.tolist())
+    for k, r in got.items():
+        own = (g == k) & (w == 0).any(1)
+        assert (r.n, r.n_scored) == ((g == k).sum(), own.sum())
+        assert r.oob == pytest.approx(((unseen - y)[own] ** 2).mean(), rel=1e-6)
+        assert (r.r is None) == (own.sum() <= 5) and (r.r is None or r.r == pytest.approx(np.corrcoef(unseen[own], y[own])[0, 1], abs=1e-6))
+    table = M.predict_table(models, df.select("a", "b", F.lit("x").alias("label")), ["a", "b"]).collect()
+    assert len(table) == n + 1 and sorted(r.prediction for r in table)[:n] == pytest.approx(sorted(np.maximum([*out.mean(1), table[-1].prediction], 0))[:n], abs=1e-6)
+    few = M.mean_prediction(models, M.vectors(df, ["a", "b"]), "p", ["y"], counted_as="n", at_once=5).collect()
+    assert {r.n for r in few} == {trees} and sorted(r.p for r in few) == pytest.approx(sorted(r.p for r in M.mean_prediction(models, M.vectors(df, ["a", "b"]), "p", ["y"]).collect()))
 
 
 def test_commented_tsv(spark, tmp_path):

@@ -88,10 +88,11 @@ def test_forests(spark):
     """Errors of unseen groups stay near the variance or below it; importances sum up to one; predictions stay among the prices."""
     lines = pd.read_parquet(f"{SF}/lineitem.parquet")
     oob = run(spark, "train_forest")
-    assert oob.l_suppkey.is_unique and 0 < oob.oob.mean() < 1.3 * lines.l_extendedprice.var()
+    assert sorted(oob.l_suppkey) == sorted(lines.l_suppkey.unique()) and (oob.n_scored == oob.n).all() and 0 < oob.oob.mean() < 1.3 * lines.l_extendedprice.var()
+    assert oob.r.between(-1, 1).all()
     w = run(spark, "forest_per_quantile")
     assert len(w) == 9 and (w.importance >= 0).all() and w.groupby("target").importance.sum().tolist() == pytest.approx([1.0] * 3)
     grid = run(spark, "grid_search_forest")
-    assert len(grid) == 4 and grid.rmse.between(1, 1.2 * lines.l_extendedprice.std()).all()
+    assert len(grid) == 8 and set(grid.trees) == {5, 10} and grid.rmse.between(1, 1.2 * lines.l_extendedprice.std()).all()
     p = run(spark, "predict_table")
     assert len(p) == len(lines) and p.prediction.between(0, lines.l_extendedprice.max()).all()

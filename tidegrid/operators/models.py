@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.tables import group_kfold
+from tidegrid.functions import columns as C
+from tidegrid.operators.tables import dense_ids, group_kfold
+from tidegrid.session import written
 
 
 def vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -26,31 +30,74 @@ def spatial_kmeans(df: DataFrame, coordinates: Sequence[str], k: int = 20, seed:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v).drop("features")
 
 
-def bag(df: DataFrame, group: str, number: int, share: float = 0.63) -> DataFrame:
-    """``df`` with in_bag: whole groups are in or out, by a hash of the group and the bag's number."""
-    h = F.conv(F.substring(F.md5(F.concat(F.col(group).cast("string"), F.lit(f"bag{number}"))), 1, 7), 16, 10).cast("long")
-    return df.withColumn("in_bag", h < int(share * 0x10000000))
-
-
-def train_forest(df: DataFrame, features: Sequence[str], target: str, group: str, bags: int = 3, trees: int = 10, depth: int = 6, seed: int = 1) -> tuple[list[RandomForestRegressionModel], DataFrame]:
-    """A forest per bag of whole groups, and (group, n, oob): the mean out-of-bag squared error of each group."""
-    v = vectors(df, features).select(group, F.col(target).cast("double").alias("label"), "features")
-    models, scored = [], None
-    for b in range(bags):
-        marked = bag(v, group, b)
-        model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed + b).fit(marked.where("in_bag"))
-        out = model.transform(marked.where("not in_bag")).select(group, ((F.col("prediction") - F.col("label")) ** 2).alias("e"))
-        models.append(model)
-        scored = out if scored is None else scored.unionByName(out)
-    return models, scored.groupBy(group).agg(F.count("*").alias("n"), F.avg("e").alias("oob"))
-
-
-def forest_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str], group: str, bags: int = 1, trees: int = 10, depth: int = 6, seed: int = 1) -> tuple[dict[str, list[RandomForestRegressionModel]], DataFrame, DataFrame]:
-    """Forests of each target (as the quantiles of a month), (target, feature, importance) as means over bags, and (target, group, n, oob)."""
+def bootstrap_draws(df: DataFrame, group: str, trees: int, seed: int = 1) -> DataFrame:
+    """(group, draws): how often each group is drawn for each tree, as an array over the trees.
+
+    For every tree, as many groups are drawn with replacement as there are: draw k of tree t takes the group at the place that a
+    hash of (seed, t, k) gives, among the groups in order. So each tree's draws add up to the number of groups, and are repeatable.
+    """
+    numbered = written(dense_ids(df.where(F.col(group).isNotNull()), [group], "_id"), "groups")
+    size = numbered.agg(F.count("*").alias("_n"))  # one row
+    drawn = numbered.crossJoin(F.broadcast(size)).select("_id", "_n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_t"))
+    drawn = drawn.select("_t", (F.pmod(F.xxhash64(F.lit(seed), "_t", "_id"), F.col("_n")) + 1).alias("_id")).groupBy("_id", "_t").agg(F.count("*").alias("_k"))
+    held = drawn.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_t", F.col("_k").cast("double")))).alias("_m"))  # one entry per tree at most
+    every = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0)))
+    none = F.array_repeat(F.lit(0.0), trees)
+    return numbered.join(held, "_id", "left").select(group, F.when(F.col("_m").isNull(), none).otherwise(every).alias("draws"))
+
+
+def group_bootstrap_trees(rows: DataFrame, trees: int, depth: int, seed: int = 1, parallelism: int = 4) -> list[DecisionTreeRegressionModel]:
+    """A tree per draw over ``rows`` (label, features, draws); a row weighs as often as its group was drawn. Some trees are fitted at once."""
+
+    def fit(k: int) -> DecisionTreeRegressionModel:
+        one = rows.select("label", "features", F.col("draws")[k].alias("weight")).where("weight > 0")
+        return DecisionTreeRegressor(maxDepth=depth, seed=seed + k, weightCol="weight").fit(one)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(trees)))
+
+
+def mean_prediction(models: Sequence, rows: DataFrame, name: str, keep: Sequence[str], among: Column | None = None, counted_as: str | None = None, at_once: int = 20) -> DataFrame:
+    """``rows`` (with features) as ``keep``, the mean of the models' predictions, and (if asked for) the number of models in it.
+
+    ``among``: an array of marks per row; only models with a mark count, and the mean of none is NULL. Models are asked one after the
+    other in the task that reads a row, some at a time with sums written in between: no rows are shuffled.
+    """
+    now = rows.select(*keep, "features", (F.array_repeat(F.lit(True), len(models)) if among is None else among).alias("_among"), F.lit(0.0).alias("_sum"), F.lit(0).cast("long").alias("_n"))
+    for a in range(0, len(models), at_once):
+        some = models[a : a + at_once]
+        for k, m in enumerate(some):
+            now = m.copy().setPredictionCol(f"_p{k}").transform(now)
+        given = [F.when(F.col("_among")[a + k], F.col(f"_p{k}")).otherwise(0.0) for k in range(len(some))]
+        marks = [F.col("_among")[a + k].cast("long") for k in range(len(some))]
+        now = now.select(*keep, "features", "_among", sum(given, F.col("_sum")).alias("_sum"), sum(marks, F.col("_n")).alias("_n"))
+        if a + at_once < len(models):
+            now = written(now, "predicted")
+    return now.select(*keep, C.ratio("_sum", "_n").alias(name), *([F.col("_n").alias(counted_as)] if counted_as else []))
+
+
+def train_forest(df: DataFrame, features: Sequence[str], target: str, group: str, trees: int = 20, depth: int = 6, seed: int = 1, least: int = 5) -> tuple[list[DecisionTreeRegressionModel], DataFrame]:
+    """Trees on bootstrap draws of whole groups, and (group, n, n_scored, oob, r) of every group.
+
+    A row's out-of-bag prediction is the mean over the trees for which its group wasn't drawn. Per group: rows, rows with such a
+    prediction, their mean squared error, and Pearson's r of label and prediction where more than ``least`` rows have one.
+    """
+    v = vectors(df, features).select(group, F.col(target).cast("double").alias("label"), "features").where(F.col("label").isNotNull())
+    held = written(v.join(bootstrap_draws(v, group, trees, seed), group), "drawn")
+    models = group_bootstrap_trees(held, trees, depth, seed)
+    unseen = mean_prediction(models, held, "p", [group, "label"], F.transform("draws", lambda k: k == 0))
+    e = (F.col("p") - F.col("label")) ** 2
+    found = unseen.groupBy(group).agg(F.count("*").alias("n"), F.count("p").alias("n_scored"), F.avg(e).alias("oob"), C.corr("label", "p").alias("r"))
+    return models, found.withColumn("r", F.when(F.col("n_scored") > least, F.col("r")))
+
+
+def forest_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str], group: str, trees: int = 10, depth: int = 6, seed: int = 1) -> tuple[dict[str, list[DecisionTreeRegressionModel]], DataFrame, DataFrame]:
+    """Forests of each target (as the quantiles of a month) on the same draws, (target, feature, importance) as means over trees, and (target, group, n, n_scored, oob, r)."""
     models, weights, scored = {}, [], None
     for t in targets:
-        models[t], oob = train_forest(df, features, t, group, bags, trees, depth, seed)
-        weights += [(t, f, float(sum(m.featureImportances[i] for m in models[t]) / bags)) for i, f in enumerate(features)]
+        models[t], oob = train_forest(df, features, t, group, trees, depth, seed)
+        each = [m.featureImportances for m in models[t] if m.numNodes > 1]
+        weights += [(t, f, float(sum(w[i] for w in each) / max(len(each), 1))) for i, f in enumerate(features)]
         oob = oob.select(F.lit(t).alias("target"), "*")
         scored = oob if scored is None else scored.unionByName(oob)
     return models, df.sparkSession.createDataFrame(weights, "target string, feature string, importance double"), scored
@@ -65,6 +112,7 @@ def grid_search_forest(df: DataFrame, features: Sequence[str], target: str, grou
     return CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=RegressionEvaluator(), numFolds=folds, foldCol="fold").fit(v)
 
 
-def predict_table(model, cells: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``cells`` with prediction (not below 0)."""
-    return model.transform(vectors(cells, features)).withColumn("prediction", F.greatest("prediction", F.lit(0.0))).drop("features")
+def predict_table(models: Sequence, cells: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``cells`` with prediction: the mean over the models, not below 0. Rows with a missing feature are left out."""
+    found = mean_prediction(models, vectors(cells, features), "prediction", cells.columns)
+    return found.select(*cells.columns, F.greatest("prediction", F.lit(0.0)).alias("prediction"))

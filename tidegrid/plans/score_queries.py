@@ -223,9 +223,17 @@ def spatial_kmeans(t: Tables) -> DataFrame:
 _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
+@query("""WITH g AS (SELECT DISTINCT l_suppkey FROM lineitem) SELECT count(*)::BIGINT AS groups, t.tree::INT AS tree, count(*)::DOUBLE AS draws, true AS some_left_out FROM g, range(20) t(tree) GROUP BY ALL""")
+def bootstrap_draws(t: Tables) -> DataFrame:
+    """As many draws per tree as there are groups, some of which are not drawn."""
+    each = M.bootstrap_draws(t.lineitem, "l_suppkey", 20).select("l_suppkey", F.posexplode("draws").alias("tree", "k"))
+    return each.groupBy("tree").agg(F.count("*").alias("groups"), F.sum("k").alias("draws"), F.bool_or(F.col("k") == 0).alias("some_left_out"))
+
+
 @query()
 def train_forest(t: Tables) -> DataFrame:
-    return M.train_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", bags=2, trees=5)[1]
+    """Out-of-bag errors of every supplier; whole suppliers are drawn per tree."""
+    return M.train_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", trees=20, depth=5)[1]
 
 
 @query()
@@ -239,7 +247,7 @@ def forest_per_quantile(t: Tables) -> DataFrame:
 
 @query()
 def grid_search_forest(t: Tables) -> DataFrame:
-    found = M.grid_search_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", trees=(5,), subsets=(1, 3))
+    found = M.grid_search_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", trees=(5, 10), subsets=(1, 3))
     f = found.getEstimator()
     rows = [(int(m[f.maxDepth]), int(m[f.numTrees]), int(m[f.featureSubsetStrategy]), float(v)) for m, v in zip(found.getEstimatorParamMaps(), found.avgMetrics)]
     return t.spark.createDataFrame(rows, "depth int, trees int, n_features int, rmse double")
@@ -247,5 +255,5 @@ def grid_search_forest(t: Tables) -> DataFrame:
 
 @query()
 def predict_table(t: Tables) -> DataFrame:
-    models, _ = M.train_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", bags=1, trees=5)
-    return M.predict_table(models[0], t.lineitem, _FEATURES).select("l_orderkey", "l_linenumber", "prediction")
+    models, _ = M.train_forest(t.lineitem, _FEATURES, "l_extendedprice", "l_suppkey", trees=5)
+    return M.predict_table(models, t.lineitem, _FEATURES).select("l_orderkey", "l_linenumber", "prediction")
