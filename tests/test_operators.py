@@ -14,6 +14,7 @@ from tidegrid.operators import models as M
 from tidegrid.operators import network as N
 from tidegrid.operators import scores as S
 from tidegrid.operators import series as T
+from tidegrid.operators import space as P
 from tidegrid.operators import tables as J
 from tidegrid.sources import text as X
 
@@ -168,12 +169,14 @@ def test_dense_ids_and_folds(spark):
     assert J.dense_ids(df.limit(0), ["g"]).count() == 0
 
 
-def test_thinned_points_are_apart(spark):
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 50, (300, 2)))], "k int, x double, y double")
-    p = np.array([(r.x, r.y) for r in J.thinned_points(df, "k", 5.0).collect()])
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) + 99 * np.eye(len(p))
-    assert len(p) > 5 and d.min() >= 5
+def test_thinned_points_are_apart_and_none_can_be_added(spark):
+    rng = np.random.default_rng(8)
+    xy = np.concatenate([rng.uniform(0, 60, (400, 2)), rng.uniform(20, 21, (200, 2)), np.repeat([[5.0, 5.0]], 50, 0), [[-3.5, -3.5]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(9999, None, 1.0)], "k long, x double, y double")
+    p = np.array([(r.x, r.y) for r in P.maximal_thinning(df, "k", 5.0).collect()])
+    d = np.linalg.norm(p[:, None] - p[None], axis=2) + np.eye(len(p)) * 99
+    assert d.min() >= 5.0 and (np.linalg.norm(xy[:, None] - p[None], axis=2).min(1) < 5.0).all()
+    assert P.maximal_thinning(df.limit(0), "k", 5.0).count() == 0
 
 
 def test_align_check_counts(spark):
@@ -411,3 +414,76 @@ def test_clumps_of_large_regions_spread_over_keys(spark, monkeypatch):
 def test_holes_filled_by_means(spark):
     cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (0, 2, 4.0), (5, 5, None)], "row long, col long, v double")
     assert {(r.row, r.col): r.v for r in N.grow_fill(cells, "v", 1, "mean").collect()} == {(0, 0): 1.0, (0, 1): 2.5, (0, 2): 4.0, (5, 5): None}
+
+
+def arcs(a, b):
+    """Great-circle distances in metres of two lists of (lon, lat)."""
+    a, b = np.radians(np.array(a, float).reshape(-1, 2)), np.radians(np.array(b, float).reshape(-1, 2))
+    h = np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2 + np.cos(a[:, None, 1]) * np.cos(b[None, :, 1]) * np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2
+    return 2 * C.EARTH * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
+@pytest.mark.parametrize("reach", [50.0, 40_000.0, 900_000.0, 4_500_000.0])
+def test_neighbours_on_the_sphere_equal_brute_force(spark, reach):
+    rng = np.random.default_rng(int(reach))
+    step = np.degrees(reach / C.EARTH)
+    corners = [(180.0, 0.0), (-180.0, 45.0), (0.0, 90.0), (77.0, -90.0), (179.999, 89.9), (-12.0, 80.0), (359.0, -60.0), (0.0, 0.0)]
+    spots = [(lon + dx / max(np.cos(np.radians(lat)), 0.02), float(np.clip(lat + dy, -90, 90))) for lon, lat in corners for dx, dy in rng.uniform(-2 * step, 2 * step, (12, 2))] + corners
+    spots = [(float((x + 180) % 360 - 180), float(y)) for x, y in spots]
+    one = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)] + [(-1, None, 0.0)], "id long, lon double, lat double")
+    two = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)] + [(-2, 1.0, None)], "other long, lon double, lat double")
+    got = sorted((r.id, r.other) for r in P.near_on_sphere(one, two, reach).collect())
+    want = sorted(map(tuple, np.argwhere(arcs(spots, spots) <= reach).tolist()))
+    assert got == want and len(want) > 2 * len(spots)
+    assert "NestedLoop" not in P.near_on_sphere(one, two, reach)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snaps_buffers_and_bands_on_the_sphere(spark):
+    p = spark.createDataFrame([(1, 179.95, 0.0), (2, 0.0, 0.0), (3, 10.0, 89.99)], "id long, lon double, lat double")
+    a = spark.createDataFrame([(7, -179.95, 0.0, 5), (8, 179.94, 0.0, 1), (9, -170.0, 89.99, 1)], "anchor_id long, lon double, lat double, weight int")
+    got = {r.id: (r.anchor_id, r.level) for r in P.snap_on_sphere(p, a, 20_000.0, [1, 3], "id").collect()}
+    assert got == {1: (7, 2), 2: (None, None), 3: (9, 1)}
+    assert [r.id for r in P.outside_buffer_on_sphere(p, a, 20_000.0).collect()] == [2]
+    line = spark.createDataFrame([(i, float(x), 0.0) for i, x in enumerate((0, 0.05, 0.2, 0.5, 3.0, 8.0))], "s long, lon double, lat double")
+    pairs = {(r.a, r.b): (r.d, r.band) for r in P.pairs_on_sphere(line, "s").collect()}
+    spots = [(x, 0.0) for x in (0, 0.05, 0.2, 0.5, 3.0, 8.0)]
+    d = arcs(spots, spots)
+    assert pairs == {(i, j): (pytest.approx(d[i, j]), int(np.searchsorted(P.BAND_LIMITS, d[i, j], side="right"))) for i in range(6) for j in range(i + 1, 6) if d[i, j] < 500_000}
+    assert {b for _, b in pairs.values()} == {0, 1, 2, 3, 4}
+    with pytest.raises(ValueError):
+        P.SphereBins(6_000_000.0)
+
+
+def test_points_in_extents_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    low, size = rng.uniform(-50, 50, (60, 2)), rng.choice([0.0, 0.3, 5.0, 40.0, 3000.0], (60, 2))
+    tiles = [(i, float(a), float(a + w), float(b), float(b + h)) for i, ((a, b), (w, h)) in enumerate(zip(low, size))]
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-60, 60, (200, 2)))] + [(900, tiles[3][1], tiles[3][3]), (901, tiles[3][2], tiles[3][4]), (902, None, 1.0)]
+    extents = spark.createDataFrame([*tiles, (99, None, 1.0, 0.0, 1.0)], "tile long, x0 double, x1 double, y0 double, y1 double")
+    points = spark.createDataFrame(spots, "id long, x double, y double")
+    found = P.points_in_extents(points, extents, 2.0)
+    want = sorted((i, t) for i, x, y in spots if x is not None for t, a, b, c, d in tiles if a <= x < b and c <= y < d)
+    assert sorted((r.id, r.tile) for r in found.collect()) == want and len(want) > 300
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert P.points_in_extents(points, extents.limit(0), 2.0).count() == 0
+
+
+def test_kernels_equal_brute_force_near_and_wide(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.uniform(-30, 2_000_000, (12, 2)), [[1000.0, 1000.0], [1000.0, 1000.0], [1500.0, 500.0]]])
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in xy] + [(None, 1.0)], "x double, y double")
+    for size, radius in ((1000.0, 30_000.0), (1000.0, 1000.0), (700.0, 300.0)):
+        want = {}
+        for x, y in xy:
+            n = int(radius // size) + 2
+            for r in range(int(y // size) - n, int(y // size) + n + 1):
+                for c in range(int(x // size) - n, int(x // size) + n + 1):
+                    d = (((c + 0.5) * size - x) ** 2 + ((r + 0.5) * size - y) ** 2) / radius**2
+                    if d < 1:
+                        want[r, c] = want.get((r, c), 0.0) + 10 * (1 - d) ** 2
+        got = {(r.row, r.col): r.density for r in S.kernel_density(df, size, radius).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    one = spark.createDataFrame([(0.0, 0.0)], "x double, y double")
+    wide = S.kernel_density(one, 1000.0, 200_000.0).agg(F.count("*").alias("n"), F.sum("density").alias("s")).first()
+    assert wide.n == pytest.approx(np.pi * 200**2, rel=1e-3) and wide.s == pytest.approx(10 * np.pi * 200**2 / 3, rel=1e-4)  # the volume under the kernel
+    assert S.kernel_density(one.limit(0), 1000.0, 5000.0).count() == 0

@@ -122,11 +122,16 @@ def cell_id(col: str | Column, row: str | Column, n_cols: int) -> Column:
     return _c(col) + 1 + _c(row) * n_cols
 
 
-def haversine(lon1: str | Column, lat1: str | Column, lon2: str | Column, lat2: str | Column) -> Column:
-    """Great-circle distance in whole metres."""
+def great_circle(lon1: str | Column, lat1: str | Column, lon2: str | Column, lat2: str | Column) -> Column:
+    """Great-circle distance in metres."""
     f1, f2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     a = F.pow(F.sin((f2 - f1) / 2), 2) + F.cos(f1) * F.cos(f2) * F.pow(F.sin(F.radians(_c(lon2) - _c(lon1)) / 2), 2)
-    return F.floor(2 * EARTH * F.atan2(F.sqrt(a), F.sqrt(1 - a))).cast("long")
+    return 2 * EARTH * F.atan2(F.sqrt(a), F.sqrt(1 - a))
+
+
+def haversine(lon1: str | Column, lat1: str | Column, lon2: str | Column, lat2: str | Column) -> Column:
+    """Great-circle distance in whole metres."""
+    return F.floor(great_circle(lon1, lat1, lon2, lat2)).cast("long")
 
 
 def plate_carree(lon: str | Column, lat: str | Column) -> tuple[Column, Column]:

@@ -138,15 +138,21 @@ def band_correlations(points: DataFrame, series: DataFrame, key: str, month: str
     side and correlated in one task. Pairs with fewer than ``least`` months in common are left out; a pair without variance
     counts as a pair and not in the mean.
     """
+    pairs = near_pairs(points, key, reach).select("a", "b", F.floor(F.col("d") / width).alias("band"))
+    return pair_correlations(pairs, series, key, month, value, least).groupBy("band").agg(F.count("*").alias("n_pairs"), F.avg("r").alias("mean_r"))
+
+
+def pair_correlations(pairs: DataFrame, series: DataFrame, key: str, month: str, value: str, least: int = 3) -> DataFrame:
+    """(a, b, band, r, n) of the given pairs (a, b, band) with at least ``least`` months in common; r is NULL without variance."""
     given = series.where(F.col(month).isNotNull())
     span = given.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))  # one row
     held = given.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_s")).crossJoin(F.broadcast(span))
     held = held.select(key, F.transform(F.sequence("_lo", "_hi"), lambda m: F.try_element_at("_s", m)).alias("_v"))
     one, two = held.select(F.col(key).alias("a"), F.col("_v").alias("_x")), held.select(F.col(key).alias("b"), F.col("_v").alias("_y"))
-    pairs = near_pairs(points, key, reach).select("a", "b", F.floor(F.col("d") / width).alias("band")).join(one, "a").join(two, "b")
-    each = pairs.select("a", "b", "band", F.inline(F.arrays_zip("_x", "_y"))).where("_x is not null and _y is not null")
+    both = pairs.join(one, "a").join(two, "b")
+    each = both.select("a", "b", "band", F.inline(F.arrays_zip("_x", "_y"))).where("_x is not null and _y is not null")
     each = each.groupBy("a", "b", "band").agg(C.corr("_x", "_y").alias("r"), F.count("*").alias("n"))
-    return each.where(F.col("n") >= least).groupBy("band").agg(F.count("*").alias("n_pairs"), F.avg("r").alias("mean_r"))
+    return each.where(F.col("n") >= least)
 
 
 def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
@@ -191,20 +197,6 @@ def capped_points(points: DataFrame, tile: str, key: str, presence: DataFrame, t
     return kept.orderBy(hash_order(key, seed + "2"), key).limit(total).select(*points.columns)
 
 
-def thinned_points(points: DataFrame, key: str, size: float, seed: str = "thin") -> DataFrame:
-    """Points at least ``size`` apart: the first of each cell in hash order, and of those each that precedes all neighbours closer than ``size``."""
-    h = hash_order(key, seed)
-    cell = points.withColumns({"_r": F.floor(F.col("y") / size), "_c": F.floor(F.col("x") / size), "_h": h})
-    first = cell.groupBy("_r", "_c").agg(F.min_by(F.struct(key, "x", "y", "_h"), F.struct("_h", key)).alias("s")).select("_r", "_c", "s.*")
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = first.select(F.col(key).alias("_k2"), F.col("x").alias("_x2"), F.col("y").alias("_y2"), F.col("_h").alias("_h2"), F.explode(F.transform(steps, lambda k: F.col("_r") + k)).alias("_r"), "_c")
-    around = around.select("_k2", "_x2", "_y2", "_h2", "_r", F.explode(F.transform(steps, lambda k: F.col("_c") + k)).alias("_c"))
-    near = F.pow(F.col("x") - F.col("_x2"), 2) + F.pow(F.col("y") - F.col("_y2"), 2) < size * size
-    earlier = (F.col("_h2") < F.col("_h")) | ((F.col("_h2") == F.col("_h")) & (F.col("_k2") < F.col(key)))
-    beaten = first.join(around, ["_r", "_c"]).where(near & earlier).select(key).distinct()
-    return first.join(beaten, key, "left_anti").select(key, "x", "y")
-
-
 def first_valid(sources: Sequence[DataFrame], on: Sequence[str], value: str) -> DataFrame:
     """Overlay: the last source with a value wins."""
     every = None

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
+from tidegrid.operators import space as P
 from tidegrid.operators import tables as J
-from tidegrid.plans.registry import Tables, query, r6
+from tidegrid.plans.registry import Tables, query, r6, rounded
 
 
 @query("SELECT o_orderkey, o_totalprice, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -147,3 +148,62 @@ def distance_band_pairs(t: Tables) -> DataFrame:
     pos = t.supplier.select(F.col("s_suppkey").alias("s"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 61 % 100).cast("double").alias("y"))
     series = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), C.months("l_shipdate").alias("m")).agg(F.avg("l_extendedprice").alias("v"))
     return J.band_correlations(pos, series, "s", "m", "v", 20.0, 5.0).select("band", "n_pairs", r6("mean_r").alias("mean_r"))
+
+
+# on the sphere: positions all over it, poles and date line among them
+_GLOBE_P = "SELECT c_custkey AS id, (c_custkey * 37 % 3601) / 10 - 180 AS lon, (c_custkey * 61 % 1801) / 10 - 90 AS lat FROM customer"
+_GLOBE_A = "SELECT p_partkey AS anchor_id, (p_partkey * 7919 % 3601) / 10 - 180 AS lon, (p_partkey * 613 % 1801) / 10 - 90 AS lat, p_size % 6 AS weight FROM part"
+
+
+def _arc(a: str, b: str) -> str:
+    h = f"(sin(radians({b}.lat - {a}.lat) / 2) ** 2 + cos(radians({a}.lat)) * cos(radians({b}.lat)) * sin(radians({b}.lon - {a}.lon) / 2) ** 2)"
+    return f"(2 * 6371000 * atan2(sqrt({h}), sqrt(1 - {h})))"
+
+
+def _globe(df: DataFrame, key: str, name: str, a: int, b: int, *more: object) -> DataFrame:
+    return df.select(F.col(key).alias(name), ((F.col(key) * a % 3601) / 10 - 180).alias("lon"), ((F.col(key) * b % 1801) / 10 - 90).alias("lat"), *more)
+
+
+@query(f"""WITH p AS ({_GLOBE_P}), a AS ({_GLOBE_A}), j AS (SELECT id, anchor_id, {_arc("p", "a")} AS d, (weight >= 1)::INT + (weight >= 3)::INT + (weight >= 5)::INT AS level FROM p, a WHERE {_arc("p", "a")} <= 400000),
+b AS (SELECT * FROM j WHERE level > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC, d, anchor_id) = 1)
+SELECT p.id AS id, anchor_id, round(d, 3) AS distance, level::INT AS level FROM p LEFT JOIN b ON p.id = b.id""")
+def nearest_snap_sphere(t: Tables) -> DataFrame:
+    """Snapping by great-circle distance, over the date line and the poles."""
+    p, a = _globe(t.customer, "c_custkey", "id", 37, 61), _globe(t.part, "p_partkey", "anchor_id", 7919, 613, (F.col("p_size") % 6).alias("weight"))
+    return P.snap_on_sphere(p, a, 400_000.0, [1, 3, 5], "id").select("id", "anchor_id", F.round("distance", 3).alias("distance"), "level")
+
+
+@query(f"WITH p AS ({_GLOBE_P}), a AS ({_GLOBE_A}) SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE {_arc('p', 'a')} <= 250000)")
+def presence_buffer_exclude_sphere(t: Tables) -> DataFrame:
+    p, a = _globe(t.customer, "c_custkey", "id", 37, 61), _globe(t.part, "p_partkey", "anchor_id", 7919, 613)
+    return P.outside_buffer_on_sphere(p, a, 250_000.0).select("id")
+
+
+_DATELINE = "SELECT s_suppkey AS s, CASE WHEN s_suppkey * 7 % 40 < 20 THEN 178 + (s_suppkey * 7 % 40) / 10 ELSE -182 + (s_suppkey * 7 % 40) / 10 END AS lon, (s_suppkey * 13 % 37) / 10 + 60 AS lat FROM supplier"
+_LIMITS = ((0, 10), (10, 25), (25, 50), (50, 100), (100, 500))
+
+
+@query(f"""WITH pos AS ({_DATELINE}), ser AS ({_SERIES}), pairs AS (SELECT a.s AS a, b.s AS b, {_arc("a", "b")} AS d FROM pos a JOIN pos b ON a.s < b.s),
+lim AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a}000.0::DOUBLE, {b}000.0::DOUBLE)" for i, (a, b) in enumerate(_LIMITS))}) v(band, low, high)),
+c AS (SELECT a, b, band, low, high, corr(x.v, y.v) AS r FROM pairs JOIN lim ON d >= low AND d < high JOIN ser x ON x.s = a JOIN ser y ON y.s = b AND y.m = x.m GROUP BY ALL HAVING count(*) >= 3)
+SELECT band::BIGINT AS band, low, high, count(*)::BIGINT AS n_pairs, round(avg(r), 6) AS mean_r, round(stddev_pop(r), 6) AS std_r FROM c GROUP BY ALL""")
+def distance_band_pairs_sphere(t: Tables) -> DataFrame:
+    """The bands 0-10-25-50-100-500 km by great-circle distance, at high latitudes across the date line."""
+    k = F.col("s_suppkey") * 7 % 40
+    pos = t.supplier.select(F.col("s_suppkey").alias("s"), F.when(k < 20, 178 + k / 10).otherwise(-182 + k / 10).alias("lon"), ((F.col("s_suppkey") * 13 % 37) / 10 + 60).alias("lat"))
+    series = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), C.months("l_shipdate").alias("m")).agg(F.avg("l_extendedprice").alias("v"))
+    return rounded(P.band_correlations_on_sphere(pos, series, "s", "m", "v"), "mean_r", "std_r")
+
+
+_TILES = "SELECT s_suppkey AS tile, (s_suppkey * 97 % 900)::DOUBLE AS x0, (s_suppkey * 97 % 900 + s_suppkey * 13 % 7 * 40)::DOUBLE AS x1, (s_suppkey * 31 % 900)::DOUBLE AS y0, (s_suppkey * 31 % 900 + 25 * (1 + s_suppkey % 9))::DOUBLE AS y1 FROM supplier"
+
+
+@query(f"""WITH t AS ({_TILES}), p AS (SELECT (p_partkey * 7919 % 1000)::DOUBLE AS x, (p_partkey * 104729 % 1000)::DOUBLE AS y FROM part)
+SELECT t.tile, count(x)::BIGINT AS n, round(sum(x + y), 2) AS total FROM t LEFT JOIN p ON x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL""")
+def point_in_tile_extents(t: Tables) -> DataFrame:
+    """Irregular extents that overlap, nest or are empty, each with its points."""
+    k = F.col("s_suppkey")
+    tiles = t.supplier.select(k.alias("tile"), (k * 97 % 900).cast("double").alias("x0"), (k * 97 % 900 + k * 13 % 7 * 40).cast("double").alias("x1"), (k * 31 % 900).cast("double").alias("y0"), (k * 31 % 900 + 25 * (1 + k % 9)).cast("double").alias("y1"))
+    points = t.part.select((F.col("p_partkey") * 7919 % 1000).cast("double").alias("x"), (F.col("p_partkey") * 104729 % 1000).cast("double").alias("y"))
+    found = P.points_in_extents(points, tiles, 50.0).groupBy("tile").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") + F.col("y")), 2).alias("total"))
+    return tiles.select("tile").join(found, "tile", "left").select("tile", F.coalesce("n", F.lit(0)).alias("n"), "total")

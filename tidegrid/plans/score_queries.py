@@ -215,6 +215,14 @@ def kernel_density(t: Tables) -> DataFrame:
     return rounded(S.kernel_density(p, 10.0, 25.0), "density")
 
 
+@query("""WITH p AS (SELECT (s_suppkey * 37 % 500)::DOUBLE AS x, (s_suppkey * 61 % 500)::DOUBLE AS y FROM supplier), o AS (SELECT unnest(range(-31, 32)) AS k), c AS (SELECT x, y, (floor(y / 5) + a.k)::BIGINT AS row, (floor(x / 5) + b.k)::BIGINT AS col FROM p, o a, o b),
+d AS (SELECT row, col, (((col + 0.5) * 5 - x) ** 2 + ((row + 0.5) * 5 - y) ** 2) / 22500 AS d FROM c) SELECT row, col, round(sum((1 - d) ** 2) * 10, 6) AS density FROM d WHERE d < 1 GROUP BY ALL""")
+def kernel_density_wide(t: Tables) -> DataFrame:
+    """A radius of thirty cells."""
+    p = t.supplier.select((F.col("s_suppkey") * 37 % 500).cast("double").alias("x"), (F.col("s_suppkey") * 61 % 500).cast("double").alias("y"))
+    return rounded(S.kernel_density(p, 5.0, 150.0), "density")
+
+
 @query()
 def spatial_kmeans(t: Tables) -> DataFrame:
     return M.spatial_kmeans(t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("y")), ["c_acctbal", "y"], 20).select("c_custkey", "cluster")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators import space as P
 from tidegrid.operators import tables as J
 from tidegrid.plans.registry import Tables, query
 
@@ -66,11 +67,21 @@ def capped_random_points(t: Tables) -> DataFrame:
 _XY = "SELECT p_partkey AS k, (p_partkey * 7919 % 1000)::DOUBLE AS x, (p_partkey * 104729 % 1000)::DOUBLE AS y, md5(p_partkey::VARCHAR || 'thin') AS h FROM part"
 
 
-@query(f"""WITH f AS (SELECT * FROM ({_XY}) QUALIFY row_number() OVER (PARTITION BY floor(x / 40), floor(y / 40) ORDER BY h, k) = 1)
-SELECT k, x, y FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE (g.x - f.x) ** 2 + (g.y - f.y) ** 2 < 1600 AND (g.h < f.h OR (g.h = f.h AND g.k < f.k)))""")
+def _thinning_sql(rounds: int = 16) -> str:
+    """Round by round as the operator goes, in cells of 28 for a spacing of 40."""
+    near = "(g.x - f.x) ** 2 + (g.y - f.y) ** 2 < 1600"
+    parts = [f"l1 AS MATERIALIZED (SELECT * FROM ({_XY}))"]
+    for k in range(1, rounds + 1):
+        parts.append(f"f{k} AS MATERIALIZED (SELECT * FROM l{k} QUALIFY row_number() OVER (PARTITION BY floor(x / 28), floor(y / 28) ORDER BY h, k) = 1)")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT * FROM f{k} f WHERE NOT EXISTS (SELECT 1 FROM f{k} g WHERE {near} AND (g.h < f.h OR (g.h = f.h AND g.k < f.k))))")
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} f WHERE NOT EXISTS (SELECT 1 FROM s{k} g WHERE {near}))")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT k, x, y FROM s{k}" for k in range(1, rounds + 1)) + f" UNION ALL SELECT -1, NULL, NULL FROM l{rounds + 1}"
+
+
+@query(_thinning_sql())
 def thinned_points(t: Tables) -> DataFrame:
     p = t.part.select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 7919 % 1000).cast("double").alias("x"), (F.col("p_partkey") * 104729 % 1000).cast("double").alias("y"))
-    return J.thinned_points(p, "k", 40.0)
+    return P.maximal_thinning(p, "k", 40.0)
 
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
