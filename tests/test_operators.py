@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
+from tidegrid.operators import matrix as X2
 from tidegrid.operators import models as M
 from tidegrid.operators import network as N
 from tidegrid.operators import scores as S
@@ -224,9 +225,23 @@ def test_network_cycle_raises(spark, monkeypatch):
         N.upstream_accumulate(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], EDGES), "w")
 
 
-def test_isotonic():
-    assert S.isotonic(np.array([1.0, 3.0, 2.0, 4.0])).tolist() == [1.0, 2.5, 2.5, 4.0]
-    assert S.isotonic(np.array([])).tolist() == []
+def pooled(values):
+    """Least-squares non-decreasing fit by pooling neighbours that fall."""
+    blocks = []
+    for v in values:
+        blocks.append([v, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            (a, n), (b, m) = blocks[-2:]
+            blocks[-2:] = [[(a * n + b * m) / (n + m), n + m]]
+    return [v for v, n in blocks for _ in range(n)]
+
+
+def test_monotone_fits_equal_pooling(spark):
+    rng = np.random.default_rng(1)
+    arrays = [[1.0, 3.0, 2.0, 4.0], [], None, [5.0], [3.0, 2.0, 1.0], [2.0] * 11, *[rng.normal(i, 4, 11).tolist() for i in range(20)]]
+    df = spark.createDataFrame(list(enumerate(arrays)), "i long, a array<double>")
+    for r in S.monotone_quantiles(df, "a").collect():
+        assert r.monotone == (None if arrays[r.i] is None else pytest.approx(pooled(arrays[r.i]), abs=1e-9))
 
 
 def test_score_pack_of_perfect_predictions(spark):
@@ -487,3 +502,180 @@ def test_kernels_equal_brute_force_near_and_wide(spark):
     wide = S.kernel_density(one, 1000.0, 200_000.0).agg(F.count("*").alias("n"), F.sum("density").alias("s")).first()
     assert wide.n == pytest.approx(np.pi * 200**2, rel=1e-3) and wide.s == pytest.approx(10 * np.pi * 200**2 / 3, rel=1e-4)  # the volume under the kernel
     assert S.kernel_density(one.limit(0), 1000.0, 5000.0).count() == 0
+
+
+def test_matrices_of_many_columns_equal_numpy(spark):
+    """Missing values, large offsets, a column without variance and one without values."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    n, p = 400, 17
+    x = rng.normal(0, 1, (n, 4)) @ rng.normal(0, 1, (4, p)) + rng.normal(0, 0.5, (n, p)) + 10.0 ** rng.integers(0, 9, p)
+    x[rng.random((n, p)) < 0.15] = np.nan
+    x[:, 3], x[:, 5], x[:, 7] = 7.25, np.nan, np.round(x[:, 7])
+    names = [f"c{i:02d}" for i in range(p)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"{c} double" for c in names)).repartition(5)
+    frame = pd.DataFrame(x, columns=names)
+    for found, method in ((A.corr_matrix(df, names), "pearson"), (A.rank_matrix(df, names), "spearman")):
+        got = {(r.a, r.b): r.r for r in found.collect()}
+        base = frame if method == "pearson" else frame.rank()
+        want = base.corr()
+        assert len(got) == p * (p - 1) // 2
+        for (a, b), r in got.items():
+            flat = np.isnan(want.loc[a, b]) or {"c03", "c05"} & {a, b}
+            assert (r is None) if flat else r == pytest.approx(want.loc[a, b], abs=1e-9), (a, b)
+    few = {(r.a, r.b): r.r for r in A.corr_matrix(df, names[8:12]).collect()}
+    assert all(r == pytest.approx(frame.corr().loc[a, b], abs=1e-7) for (a, b), r in few.items())
+    assert all(r.n == 0 and r.r is None for r in X2.many_correlations(df.limit(0), names[:3]).collect())
+
+
+def test_a_hundred_columns_need_two_shuffles_of_rows(spark):
+    names = [f"c{i:03d}" for i in range(100)]
+    df = spark.range(50).select(*[((F.col("id") * (i + 3) % 41) + F.rand(i)).alias(c) for i, c in enumerate(names)])
+    found = X2.many_correlations(df, names)
+    assert found.count() == 4950 and found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_lag_search_equals_numpy_where_targets_are_missing(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    rows_ = []
+    for s in range(6):
+        for m in sorted(rng.choice(60, 40, replace=False).tolist()):
+            v = rng.normal(size=4).round(1).tolist()
+            rows_.append((s, m, v[0], None if rng.random() < 0.2 else v[1], v[2], None if rng.random() < 0.3 else v[3]))
+    df = spark.createDataFrame(rows_, "s long, m long, x1 double, x2 double, y1 double, y2 double")
+    frame = pd.DataFrame(rows_, columns=["s", "m", "x1", "x2", "y1", "y2"]).astype(float)
+    got = {(r.variable, r.target, r.lag): (r.rho, r.n) for r in X2.lagged_correlations(df, "s", "m", ["x1", "x2"], ["y1", "y2"], (0, 1, 2)).collect()}
+    assert len(got) == 12
+    for (x, y, k), (rho, n) in got.items():
+        j = frame[["s", "m", y]].merge(frame[["s", "m", x]].assign(m=frame.m + k), on=["s", "m"], suffixes=("", "_x")).dropna()
+        assert n == len(j) and rho == pytest.approx(j[[x, y]].corr("spearman").iloc[0, 1], abs=1e-9)
+    same = {(r.variable, r.target, r.lag): r.rho for r in X2.lagged_correlations(df, "s", "m", ["x1"], ["x1"], (0, 1)).collect()}
+    assert same["x1", "x1", 0] == pytest.approx(1.0)
+
+
+def test_interactions_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(3, 1, (200, 3))
+    y = x[:, 0] * x[:, 1] + rng.normal(0, 0.1, 200)
+    x[rng.random((200, 3)) < 0.1] = np.nan
+    df = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], float(t)) for r, t in zip(x, y)], "a double, b double, c double, y double").repartition(3)
+    for r in X2.interactions(df, ["a", "b", "c"], "y").collect():
+        p, q = "abc".index(r.a), "abc".index(r.b)
+        ok = ~np.isnan(x[:, p] + x[:, q])
+        c = lambda v: abs(np.corrcoef(v[ok], y[ok])[0, 1])
+        assert r.n == ok.sum() and (r.r_both, r.r_a, r.r_b) == pytest.approx((c(x[:, p] * x[:, q]), c(x[:, p]), c(x[:, q])), abs=1e-9)
+        assert r.keep == (r.r_both > 0.5 * max(r.r_a, r.r_b))
+
+
+def test_two_sided_tail_equals_the_error_function(spark):
+    import math
+
+    z = [0.0, 1e-9, -0.5, 1.0, 1.959963984540054, -3.3, 4.9999, 5.0001, 8.0, 20.0, 37.0]
+    got = [r.p for r in spark.createDataFrame([(v,) for v in z], "z double").select(C.two_sided("z").alias("p")).collect()]
+    for v, p in zip(z, got):
+        want = math.erfc(abs(v) / math.sqrt(2))
+        assert abs(p - want) <= 1e-9 * max(want, 1e-6) if abs(v) < 5 else p == pytest.approx(want, rel=1e-9)
+
+
+def test_rank_sum_with_ties_by_hand(spark):
+    import math
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 6, 40).tolist(), rng.integers(1, 8, 25).tolist()
+    df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b] + [("a", None), (None, 3)], "g string, v long")
+    both = np.array(a + b)
+    rank = np.array([(both < v).sum() + ((both == v).sum() + 1) / 2 for v in both])
+    w = rank[:40].sum() - 40 * 41 / 2
+    ties = sum(t**3 - t for t in np.unique(both, return_counts=True)[1])
+    std = math.sqrt(40 * 25 / 12 * (66 - ties / (65 * 64)))
+    off = w - 500
+    r = A.rank_sum(df, "g", "a", "v").first()
+    assert (r.w, r.n1, r.n2) == (w, 40, 25) and r.z == pytest.approx(off / std, abs=1e-12)
+    assert r.p == pytest.approx(math.erfc(abs(off - math.copysign(0.5, off)) / std / math.sqrt(2)), rel=1e-9)
+
+
+def test_first_by_hash_equals_a_sort(spark):
+    from hashlib import md5
+
+    data = [(i, "hot" if i % 3 else f"t{i % 7}") for i in range(3000)] + [(9000, None), (9001, None)]
+    df = spark.createDataFrame(data, "k long, tile string")
+    order = lambda i, seed="points": (md5(f"{i}{seed}".encode()).hexdigest(), i)
+    got = [r.k for r in J.first_by_hash(df, "k", F.lit(100), rows=50).collect()]
+    assert sorted(got) == sorted(sorted((i for i, _ in data), key=order)[:100])
+    tiles = {}
+    for i, t in data:
+        tiles.setdefault(t, []).append(i)
+    got = {(r.k, r.tile) for r in J.first_by_hash(df, "k", F.floor(F.col("_n") / 3), ["tile"], rows=20).collect()}
+    assert got == {(i, t) for t, ids in tiles.items() for i in sorted(ids, key=order)[: len(ids) // 3]}
+    assert J.first_by_hash(df, "k", F.lit(10**9)).count() == len(data) and J.first_by_hash(df, "k", F.lit(0)).count() == 0 and J.first_by_hash(df.limit(0), "k", F.lit(5)).count() == 0
+
+
+def test_cv_filter_keeps_the_top_ten_where_few_pass(spark):
+    cv = spark.createDataFrame([(f"v{i:02d}", i / 100, 1.0) for i in range(12)], "variable string, mad_cv double, std_cv double")
+    names = lambda d: sorted(r.variable for r in d.collect())
+    assert names(S.cv_filter(cv, 0.05)) == [f"v{i:02d}" for i in range(5, 12)]
+    assert names(S.cv_filter(cv, 0.08)) == [f"v{i:02d}" for i in range(2, 12)]
+    assert names(S.cv_filter(cv.limit(4), 0.02)) == ["v02", "v03"]
+    assert names(S.cv_filter(cv, 0.08, least=1)) == ["v08", "v09", "v10", "v11"]
+
+
+def test_collinear_variables_of_other_processes_stay(spark):
+    r = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.95), ("b", "c", 0.1)], "a string, b string, r double")
+    strength = {"a": 1.0, "b": 0.5, "c": 2.0}
+    assert S.collinearity_prune(r, strength, 0.8) == ["b", "c"]
+    assert S.collinearity_prune(r, strength, 0.8, {"a": "x", "b": "x", "c": "y"}) == ["a", "c"]
+
+
+def test_zones_small_and_large_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(None if g == 3 else int(g), None if v > 95 else float(v)) for g, v in zip(rng.choice(4, 500, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(0, 100, 500))] + [(9, None)], "g long, v double")
+    small = sorted(map(tuple, A.zonal_stats(df, "g", "v", (0.05, 0.5, 0.95)).collect()), key=str)
+    monkeypatch.setattr(A, "SMALL_ZONE", 10)
+    large = sorted(map(tuple, A.zonal_stats(df, "g", "v", (0.05, 0.5, 0.95)).collect()), key=str)
+    assert len(small) == 5 and all(a == pytest.approx(b, nan_ok=True) if None not in a else a == b for a, b in zip(small, large))
+
+
+def test_clusters_with_a_large_one(spark):
+    df = spark.createDataFrame([(c, s, float(c + s), float(v)) for c in (1, 2) for s in range(3) for v in range(1, 5 + s + c)] + [(None, 7, 1.0, 2.0)], "c long, s long, x double, q double")
+    got = {r.c: r for r in A.cluster_characteristics(df, "c", "s", "x", "q").collect()}
+    for c in (1, 2):
+        each = [np.arange(1, 5 + s + c) for s in range(3)]
+        every = np.concatenate(each)
+        r = got[c]
+        assert (r.n_stations, r.n_obs, r.spread) == (3, len(every), 2.0) and r["mean"] == pytest.approx(every.mean())
+        assert r.high_low == pytest.approx(np.quantile(every, 0.9) / np.quantile(every, 0.1)) and r.mean_q50 == pytest.approx(np.mean([np.median(v) for v in each]))
+    assert got[None].n_stations == 1
+
+
+def test_state_stays_compact_over_batches_and_repeats(spark, tmp_path):
+    """Folders of superseded months go, months are right after each batch, and a repeated batch changes nothing."""
+    import os
+    import shutil
+
+    from tidegrid.streaming import incremental as I
+
+    source, target, progress = (str(tmp_path / n) for n in ("in", "state", "progress"))
+    schema = "station long, date timestamp, value double"
+    seen = []
+    for k in range(5):
+        part = [(s, dt.datetime(2001, m, 1 + k), float(10 * m + k)) for s in (1, 2) for m in ((1, 2) if k % 2 else (2, 3))] + [(1, None, 5.0)]
+        seen += part
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        I.incremental_quantiles(spark, source, schema, target, progress)
+        if k == 3:  # the last batch once more, as after a failure before its commit
+            for name in (str(k), f".{k}.crc"):
+                os.remove(os.path.join(progress, "commits", name))
+            shutil.rmtree(os.path.join(target, "index", f"batch={k}"))
+            I.incremental_quantiles(spark, source, schema, target, progress)
+        want = {}
+        for s, d, v in seen:
+            if d is not None:
+                want.setdefault((s, d.year, d.month), []).append(v)
+        got = {(r.station, r.yyyy, r.mm): (r.n_obs, r.QMIN, r.QMAX) for r in I.current_quantiles(spark, target).collect()}
+        assert got == {key: (len(v), min(v), max(v)) for key, v in want.items()}
+        held = [(b, m) for b in os.listdir(f"{target}/raw") if b.startswith("batch") for m in os.listdir(f"{target}/raw/{b}") if m.startswith("ym")]
+        assert len(held) <= 6 and len(os.listdir(f"{target}/index")) <= 2 + 2  # two versions of three months at most
+    assert not I._has(spark, f"{target}/fresh/batch=4")

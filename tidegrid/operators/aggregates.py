@@ -17,6 +17,8 @@ from tidegrid.session import written
 #: The eleven quantile columns and their probabilities.
 QUANTILES = ("QMIN", "Q10", "Q20", "Q30", "Q40", "Q50", "Q60", "Q70", "Q80", "Q90", "QMAX")
 PROBS = tuple(i / 10 for i in range(11))
+#: Aggregates of one stage beyond which a matrix is summed by blocks; rows of a zone up to which its percentiles are taken in one task.
+MANY_PAIRS, SMALL_ZONE = 100, 200_000
 
 
 def monthly_quantiles(df: DataFrame, station: str, date: str, value: str, min_obs: int = 1) -> DataFrame:
@@ -46,6 +48,15 @@ def joined_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return left.join(right.withColumnsRenamed(own), [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()]).drop(*own.values())
 
 
+def ordered_values(counts: DataFrame, value: str, count: str) -> DataFrame:
+    """``counts`` (one row per value) with _upto: how many rows aren't larger than the value, by a written range sort."""
+    from tidegrid.operators.running import running_sums
+
+    others = [c for c in counts.columns if c not in (value, count)]
+    found = running_sums(counts.withColumn("_all", F.lit(0)), "_all", [value], [count], [value, *others])
+    return found.withColumnRenamed(f"{count}_upto", "_upto").drop("_all")
+
+
 def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, _v, _n, _upto): the distinct values of each key, how often they occur, and how many of the key's rows are not larger.
 
@@ -103,15 +114,24 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 
 
 def zonal_stats(df: DataFrame, zone: str, value: str, percentiles: Sequence[float] = ()) -> DataFrame:
-    """Counts, moments and exact percentiles per zone; a zone may hold most of the rows."""
-    out = df.groupBy(zone).agg(
+    """Counts, moments and exact percentiles per zone; a zone may hold most of the rows.
+
+    Zones are counted first: if none has more than ``SMALL_ZONE`` values, percentiles come with the other aggregates; otherwise from
+    a sort of all values. Both are exact.
+    """
+    moments = [
         F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"), F.sum(value).alias("sum"),
-    )
+    ]
     if not percentiles:
-        return out
+        return df.groupBy(zone).agg(*moments)
+    names = [f"p{round(100 * p):02d}" for p in percentiles]
+    if (df.groupBy(zone).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0) <= SMALL_ZONE:
+        out = df.groupBy(zone).agg(*moments, F.percentile(value, F.array(*[F.lit(float(p)) for p in percentiles])).alias("_q"))
+        return out.select(*[c for c in out.columns if c != "_q"], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    out = df.groupBy(zone).agg(*moments)
     q = exact_quantiles(df.select(F.col(zone).alias("_z"), value), ["_z"], value, percentiles)
-    return out.join(q, out[zone].eqNullSafe(F.col("_z")), "left").select(*out.columns, *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(percentiles)])
+    return out.join(q, out[zone].eqNullSafe(F.col("_z")), "left").select(*out.columns, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[str] = ()) -> DataFrame:
@@ -127,9 +147,11 @@ def average_ranks(df: DataFrame, value: str, rank: str = "rank", keys: Sequence[
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho over all rows where both are given."""
-    both = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
-    return average_ranks(average_ranks(both, "x", "rx"), "y", "ry").agg(C.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """One row: rho over all rows where both are given. Both columns are ranked by one sort of their distinct values."""
+    both = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    ranks = ordered_counts(long_form(both, [], ["x", "y"]), ["variable"], "value")
+    of = lambda c: ranks.where(F.col("variable") == c).select(F.col("_v").alias(c), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"r{c}"))
+    return both.join(of("x"), "x").join(of("y"), "y").agg(C.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
 
 
 def grouped_average_rank(group: Sequence[str], value: str) -> Column:
@@ -155,19 +177,22 @@ def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: st
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every pair a < b in the order of ``cols``, from one pass."""
+    """(a, b, r) for every pair a < b in the order of ``cols``, from one pass: an aggregate per pair, or cross products where these would be many."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    if len(pairs) > MANY_PAIRS:
+        from tidegrid.operators.matrix import many_correlations
+
+        return many_correlations(df, cols).select("a", "b", "r")
     one = df.agg(*[C.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))
     return one.select(rows.alias("s")).select("s.*")
 
 
 def rank_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, r): Spearman's correlation of every pair, over all rows of each column: average ranks, then one pass."""
-    out = df.select(*cols)
-    for c in cols:
-        out = average_ranks(out, c, f"_r_{c}")
-    return corr_matrix(out.select(*[F.col(f"_r_{c}").alias(c) for c in cols]), cols)
+    """(a, b, r): Spearman's correlation of every pair, over all rows of each column: all columns are ranked by one sort."""
+    from tidegrid.operators.matrix import many_rank_correlations
+
+    return many_rank_correlations(df, cols).select("a", "b", "r")
 
 
 def corr_above_deciles(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -185,12 +210,21 @@ def difference_stats(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def rank_sum(df: DataFrame, group: str, first: str, value: str) -> DataFrame:
-    """Two-sample rank sum statistic W of the group ``first``, its z by the normal approximation without continuity correction."""
-    ranked = average_ranks(df.select((F.col(group) == first).alias("g"), F.col(value).alias("v")).where("v is not null and g is not null"), "v", "r")
-    one = ranked.agg(F.sum(F.when(F.col("g"), F.col("r"))).alias("s"), F.sum(F.col("g").cast("long")).alias("n1"), F.sum((~F.col("g")).cast("long")).alias("n2"))
+    """Two-sample rank sum test, one row: (w, n1, n2, z, p) of the group ``first`` against the other rows.
+
+    z by the normal approximation with the variance corrected for ties; p is two-sided, with a continuity correction of one half.
+    """
+    given = df.select((F.col(group) == first).alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and g is not null")
+    counts = given.groupBy("v").agg(F.sum(F.col("g").cast("long")).alias("m"), F.count("*").alias("t"))
+    counts = written(counts, "counts")
+    ranks = ordered_values(counts, "v", "t").withColumn("rank", F.col("_upto") - (F.col("t") - 1) / 2)
+    t = F.col("t").cast("double")
+    one = ranks.agg(F.sum(F.col("m") * F.col("rank")).alias("s"), F.sum("m").alias("n1"), F.sum(F.col("t") - F.col("m")).alias("n2"), F.sum(t * t * t - t).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    w = F.col("s") - n1 * (n1 + 1) / 2
-    return one.select(w.alias("w"), "n1", "n2", C.ratio(w - n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)).alias("z"))
+    w, n = F.col("s") - n1 * (n1 + 1) / 2, n1 + n2
+    std = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
+    off = w - n1 * n2 / 2
+    return one.select(w.alias("w"), "n1", "n2", C.ratio(off, std).alias("z"), C.two_sided(C.ratio(off - F.signum(off) * 0.5, std)).alias("p"))
 
 
 def distribution_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -259,3 +293,16 @@ def overlap_counts(shots: DataFrame, cell: Column, first_sensor: Column, value:
     med = lambda which: F.percentile(F.when(which, F.col(value)), F.lit(0.5))
     cells = shots.groupBy(cell.alias("cell")).agg(med(first_sensor).alias("a"), med(~first_sensor).alias("b")).where("a is not null and b is not null")
     return cells.agg(F.count("*").alias("n"), F.round(C.corr("a", "b"), 6).alias("r"), F.round(C.slope("b", "a"), 6).alias("slope"))
+
+
+def cluster_characteristics(df: DataFrame, cluster: str, station: str, x: str, value: str, probs: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Per cluster of stations: stations, rows, middle and spread of ``x``, mean, the ratio of the last of the cluster's quantiles to
+    the first, and the mean over its stations of each of their own quantiles (mean_q10 ...).
+
+    A cluster may hold most of the rows: its quantiles come from a sort, its stations' from their own rows.
+    """
+    own = df.groupBy(cluster, station).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum(x).alias("sx"), F.count(x).alias("nx"), F.sum(value).alias("sv"), F.count(value).alias("nv"), F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    means = [F.avg(F.col("q")[i]).alias(f"mean_q{round(100 * p):02d}") for i, p in enumerate(probs)]
+    one = own.groupBy(cluster).agg(F.count(station).alias("n_stations"), F.sum("n").alias("n_obs"), C.ratio(F.sum("sx"), F.sum("nx")).alias("centre"), (F.max("hi") - F.min("lo")).alias("spread"), C.ratio(F.sum("sv"), F.sum("nv")).alias("mean"), *means)
+    q = exact_quantiles(df, [cluster], value, probs).select(F.col(cluster).alias("_c"), C.ratio(F.col("q")[len(probs) - 1], F.col("q")[0]).alias("high_low"))
+    return one.join(q, F.col(cluster).eqNullSafe(F.col("_c")), "left").drop("_c")

@@ -136,25 +136,28 @@ def violations(a: str | Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(1), F.size(a) - 1), lambda i: a[i - 1] > a[i]))
 
 
-def isotonic(values: np.ndarray) -> np.ndarray:
-    """Least-squares non-decreasing fit of one row (pool adjacent violators)."""
-    blocks: list[list[float]] = []
-    for v in values:
-        blocks.append([float(v), 1])
-        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-            (a, n), (b, m) = blocks[-2], blocks[-1]
-            blocks[-2:] = [[(a * n + b * m) / (n + m), n + m]]
-    return np.concatenate([np.full(n, v) for v, n in blocks]) if blocks else np.empty(0)
-
-
 def monotone_quantiles(df: DataFrame, array: str, out: str = "monotone") -> DataFrame:
-    """``df`` with the isotonic fit of each row's array, by a vectorized helper."""
+    """``df`` with the least-squares non-decreasing fit of each row's array, as a column expression.
 
-    @F.pandas_udf("array<double>")
-    def fit(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else isotonic(np.asarray(r)))
-
-    return df.withColumn(out, fit(array))
+    The fit at a place is the greatest, over the beginnings up to it, of the least mean from there to an end at or after it.
+    Arrays are as long as there are quantiles; NULL and empty arrays stay as they are.
+    """
+    a = F.transform(F.col(array), lambda x: x.cast("double"))
+    n = F.size(a)
+    upto = F.transform(F.sequence(F.lit(0), n), lambda i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0.0), lambda s, x: s + x))
+    held = df.withColumns({"_a": a, "_s": upto})
+    mean = lambda i, j: (F.col("_s")[j] - F.col("_s")[i - 1]) / (j - i + 1)
+    least = lambda i, k: F.array_min(F.transform(F.sequence(k, F.size("_a")), lambda j: mean(i, j)))
+    fit = F.transform(F.sequence(F.lit(1), F.size("_a")), lambda k: F.array_max(F.transform(F.sequence(F.lit(1), k), lambda i: least(i, k))))
+    return held.withColumn(out, F.when(F.size("_a") > 0, fit).otherwise(F.col("_a"))).drop("_a", "_s")
+
+
+def cv_filter(cv: DataFrame, limit: float, by: str = "mad_cv", least: int = 5, top: int = 10) -> DataFrame:
+    """The rows of ``robust_cv`` with a CV at or above ``limit``; if fewer than ``least`` of at least that many variables have one, the ``top`` greatest (ties by name)."""
+    w = Window.orderBy(F.col(by).desc_nulls_last(), "variable")  # one row per variable
+    marked = cv.withColumns({"_k": F.row_number().over(w), "_good": F.sum((F.col(by) >= limit).cast("int")).over(Window.partitionBy()), "_all": F.count("*").over(Window.partitionBy())})
+    few = (F.col("_good") < least) & (F.col("_all") >= least)
+    return marked.where((few & (F.col("_k") <= top)) | (~few & (F.col(by) >= limit))).drop("_k", "_good", "_all")
 
 
 def station_best_predictor(df: DataFrame, station: str, target: str, predictors: Sequence[str], least: int = 3) -> DataFrame:

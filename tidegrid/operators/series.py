@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
-from tidegrid.operators.aggregates import grouped_spearman
 from tidegrid.session import written
 
 
@@ -41,15 +40,11 @@ def lag_autocorr(df: DataFrame, key: str, order: Sequence[str], value: str, lags
 def best_lags(df: DataFrame, key: str, month_idx: str, xs: Sequence[str], ys: Sequence[str], lags: Sequence[int] = (0, 1, 2, 3), least: int = 50) -> DataFrame:
     """(variable, target, lag, rho, n, best): rho over all stations' months of each variable at each lag with each target.
 
-    ``best`` marks the greatest absolute rho of a (variable, target) pair (ties to the shorter lag). Ranks are those of large
-    groups, so no task holds a whole lag.
+    ``best`` marks the greatest absolute rho of a (variable, target) pair (ties to the shorter lag).
     """
-    wide = df
-    for x in xs:
-        wide = calendar_lags(wide, key, month_idx, x, [k for k in lags if k])
-    cells = [F.struct(F.lit(x).alias("variable"), F.lit(y).alias("target"), F.lit(k).alias("lag"), F.col(f"{x}{k}" if k else x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x in xs for y in ys for k in lags]
-    rows = wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
-    rho = written(grouped_spearman(rows, ["variable", "target", "lag"], "x", "y", large=True).where(F.col("n") > least), "best-lags")
+    from tidegrid.operators.matrix import lagged_correlations
+
+    rho = written(lagged_correlations(df, key, month_idx, xs, ys, lags).where(F.col("n") > least), "best-lags")
     top = rho.groupBy("variable", "target").agg(F.max_by("lag", F.struct(F.abs("rho"), -F.col("lag"))).alias("_best"))
     return rho.join(top, ["variable", "target"]).select("variable", "target", "lag", "rho", "n", (F.col("lag") == F.col("_best")).alias("best"))
 

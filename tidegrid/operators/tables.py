@@ -184,17 +184,39 @@ def systematic(df: DataFrame, order: Sequence[str], step: int, group: Sequence[s
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_k") % step == 0).drop("_k")
 
 
+def first_by_hash(df: DataFrame, key: str | Column, cap: Column, groups: Sequence[str] = (), seed: str = "points", rows: int = 100_000) -> DataFrame:
+    """The first ``cap`` rows of each group in hash order (ties by key), without a group in one task.
+
+    ``cap`` is made of _n, a group's rows, and of columns named _cap_..., which are the same in all rows of a group. Rows are counted by the first digits of their hash, as many digits as
+    leave about ``rows`` rows of the largest group together. The digits at which the running count passes the cap are
+    cut; only the rows with exactly these are numbered one by one.
+    """
+    by = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups] + [F.col(g).isNull() for g in groups]
+    named = df.withColumns({"_h": hash_order(key, seed), "_g": F.concat_ws("\x1f", *by) if groups else F.lit("")})
+    size = named.groupBy("_g").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in df.columns if c not in groups and c.startswith("_cap_")])
+    largest = size.agg(F.max("_n")).first()[0] or 0
+    digits = 1
+    while largest / 16**digits > rows and digits < 32:
+        digits += 1
+    counts = named.groupBy("_g", F.substring("_h", 1, digits).alias("_d")).agg(F.count("*").alias("_k"))
+    upto = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy("_g").orderBy("_d"))).join(size.withColumn("_cap", cap), "_g")
+    edge = upto.where((F.col("_upto") > F.col("_cap")) & (F.col("_upto") - F.col("_k") <= F.col("_cap"))).groupBy("_g").agg(F.min("_d").alias("_cut"), F.min_by(F.col("_cap") - F.col("_upto") + F.col("_k"), "_d").alias("_rest"))
+    marked = named.withColumn("_d", F.substring("_h", 1, digits)).join(small_or_shuffled(edge), "_g", "left")
+    whole = marked.where(F.col("_cut").isNull() | (F.col("_d") < F.col("_cut"))).select(*df.columns)
+    last = marked.where(F.col("_d") == F.col("_cut")).withColumn("_i", F.row_number().over(Window.partitionBy("_g", "_d").orderBy("_h", key)))
+    return whole.unionByName(last.where(F.col("_i") <= F.col("_rest")).select(*df.columns))
+
+
 def capped_points(points: DataFrame, tile: str, key: str, presence: DataFrame, total: int, seed: str = "points") -> DataFrame:
     """Per tile at most min(n / 16, 2 * presence / tiles) points in hash order, then ``total`` of them in hash order.
 
     presence: (tile, n_presence). Both limits are what this sampling operator is for.
     """
-    tiles = presence.agg(F.sum("n_presence").alias("_all"), F.count("*").alias("_tiles"))
-    w = Window.partitionBy(tile)
-    ranked = points.withColumn("_k", F.row_number().over(w.orderBy(hash_order(key, seed), key))).withColumn("_n", F.count("*").over(w))
-    cap = F.least(F.floor(F.col("_n") / 16), F.floor(2 * F.col("_all") / F.col("_tiles")))
-    kept = ranked.crossJoin(F.broadcast(tiles)).where(F.col("_k") <= cap)  # one row
-    return kept.orderBy(hash_order(key, seed + "2"), key).limit(total).select(*points.columns)
+    tiles = presence.agg(F.sum("n_presence").alias("_cap_all"), F.count("*").alias("_cap_tiles"))
+    known = points.crossJoin(F.broadcast(tiles))  # one row
+    cap = F.least(F.floor(F.col("_n") / 16), F.floor(2 * F.col("_cap_all") / F.col("_cap_tiles")))
+    kept = written(first_by_hash(known, key, cap, [tile], seed).select(*points.columns), "capped")
+    return first_by_hash(kept, key, F.lit(total), seed=seed + "2")
 
 
 def first_valid(sources: Sequence[DataFrame], on: Sequence[str], value: str) -> DataFrame:

@@ -164,9 +164,9 @@ def segment_gradient(t: Tables) -> DataFrame:
 @query(f"WITH e AS ({_E}), h AS (SELECT id FROM e WHERE id NOT IN (SELECT down_id FROM e WHERE down_id IS NOT NULL) ORDER BY md5(id::VARCHAR || 'heads'), id LIMIT 100) SELECT id, 900000 + row_number() OVER (ORDER BY id) AS new_id FROM h")
 def headwaters_sample(t: Tables) -> DataFrame:
     """A sampling operator: 100 headwaters in hash order, with new numbers."""
-    from tidegrid.operators.tables import dense_ids, hash_order
+    from tidegrid.operators.tables import dense_ids, first_by_hash
 
-    picked = N.headwaters(_edges(t)).select("id").orderBy(hash_order("id", "heads"), "id").limit(100)
+    picked = first_by_hash(N.headwaters(_edges(t)).select("id"), "id", F.lit(100), seed="heads")
     return dense_ids(picked, ["id"], "_n").select("id", (F.col("_n") + 900000).alias("new_id"))
 
 

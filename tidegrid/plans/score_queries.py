@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
+from tidegrid.operators import matrix as X
 from tidegrid.operators import models as M
 from tidegrid.operators import scores as S
 from tidegrid.operators import series as T
@@ -86,12 +87,26 @@ def spatial_corr_filter(t: Tables) -> DataFrame:
     return rounded(rho.join(top, "variable").select("variable", "target", "rho", "n", "keep"), "rho")
 
 
-@query(f"""WITH g AS ({_MEANS}), l AS (UNPIVOT g ON {", ".join(_V)} INTO NAME variable VALUE v), k AS (SELECT variable, stddev_samp(v) / abs(avg(v)) AS cv FROM l GROUP BY ALL), p AS (SELECT *, cv >= 0.05 AS good, row_number() OVER (ORDER BY cv DESC, variable) AS place FROM k)
-SELECT variable, round(cv, 6) AS std_cv FROM p WHERE good OR (NOT EXISTS (SELECT 1 FROM p WHERE good) AND place <= 10)""")
+_TWELVE = {f"v{i:02d}": f"(l_quantity + {i * i * 3}) * (1 + {i} * l_tax)" for i in range(12)}
+_CV = f"""WITH g AS (SELECT l_suppkey, {", ".join(f"avg({e}) AS {n}" for n, e in _TWELVE.items())} FROM lineitem GROUP BY ALL), l AS (UNPIVOT g ON {", ".join(_TWELVE)} INTO NAME variable VALUE v),
+k AS (SELECT variable, mad(v) / abs(median(v)) AS mad_cv FROM l GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY mad_cv DESC, variable) AS place, count(*) FILTER (mad_cv >= {{0}}) OVER () AS good FROM k)
+SELECT variable, round(mad_cv, 6) AS mad_cv FROM p WHERE CASE WHEN good < 5 THEN place <= 10 ELSE mad_cv >= {{0}} END"""
+
+
+def _cv(t: Tables) -> DataFrame:
+    return A.robust_cv(t.lineitem.select("l_suppkey", *[F.expr(e).alias(n) for n, e in _TWELVE.items()]), "l_suppkey", list(_TWELVE))
+
+
+@query(_CV.format(0.0039))
 def cv_filter(t: Tables) -> DataFrame:
-    cv = A.robust_cv(t.lineitem, "l_suppkey", _V)
-    best = cv.agg(F.max("std_cv").alias("top"))
-    return cv.crossJoin(F.broadcast(best)).where((F.col("std_cv") >= 0.05) | (F.col("top") < 0.05)).select("variable", r6("std_cv").alias("std_cv"))
+    """Variables that vary enough between stations."""
+    return rounded(S.cv_filter(_cv(t), 0.0039).select("variable", "mad_cv"), "mad_cv")
+
+
+@query(_CV.format(0.9))
+def cv_filter_top(t: Tables) -> DataFrame:
+    """Where too few vary enough: the ten that vary most, of twelve."""
+    return rounded(S.cv_filter(_cv(t), 0.9).select("variable", "mad_cv"), "mad_cv")
 
 
 @query(f"""WITH m AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, stddev_samp(l_quantity) / avg(l_quantity) AS q, stddev_samp(l_extendedprice) / avg(l_extendedprice) AS e FROM lineitem)
@@ -101,6 +116,19 @@ def collinearity_prune(t: Tables) -> DataFrame:
     return _names(t, S.collinearity_prune(A.corr_matrix(t.lineitem, _V), cv, 0.5)).select("variable")
 
 
+_PROCESS = {"l_quantity": "size", "net": "size", "l_extendedprice": "price", "gross": "price", "l_tax": "rate", "l_discount": "rate"}
+_SIX = "SELECT l_quantity, l_quantity * (1 - l_discount) AS net, l_extendedprice, l_extendedprice * (1 + l_tax) AS gross, l_tax, l_discount FROM lineitem"
+_BEFORE = {"l_quantity": "net", "l_extendedprice": "gross", "l_tax": "l_discount"}
+
+
+@query(f"WITH x AS ({_SIX}), m AS (SELECT " + ", ".join(f"abs(corr({a}, {b})) > 0.5 AS {a}_hit, stddev_samp({a}) / avg({a}) < stddev_samp({b}) / avg({b}) AS {a}_weak" for a, b in _BEFORE.items()) + " FROM x) " + " UNION ALL ".join(f"SELECT '{a}' AS variable FROM m WHERE NOT {a}_hit OR NOT {a}_weak UNION ALL SELECT '{b}' FROM m WHERE NOT {a}_hit OR {a}_weak" for a, b in _BEFORE.items()))
+def collinearity_prune_by_process(t: Tables) -> DataFrame:
+    """Only pairs of one process are compared: of quantity and net quantity one goes, and price and gross stay apart from them."""
+    x = t.lineitem.select("l_quantity", (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("net"), "l_extendedprice", (F.col("l_extendedprice") * (1 + F.col("l_tax"))).alias("gross"), "l_tax", "l_discount")
+    cv = x.agg(*[C.ratio(F.stddev_samp(c), F.avg(c)).alias(c) for c in x.columns]).first().asDict()
+    return _names(t, S.collinearity_prune(A.corr_matrix(x, x.columns), cv, 0.5, _PROCESS)).select("variable")
+
+
 _T = [f"t{i}" for i in range(11)]
 _ELEVEN = f"SELECT {', '.join(f'avg({x}) AS {x}' for x in _X)}, {', '.join(f'quantile_cont(l_extendedprice, {p}) AS {n}' for p, n in zip(A.PROBS, _T))} FROM lineitem GROUP BY l_suppkey"
 
@@ -200,12 +228,22 @@ def station_best_predictor(t: Tables) -> DataFrame:
     return rounded(S.station_best_predictor(t.lineitem, "l_suppkey", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), "r")
 
 
-@query("""WITH m AS (SELECT abs(corr(l_quantity * l_tax, l_extendedprice)) AS prod, abs(corr(l_quantity, l_extendedprice)) AS a, abs(corr(l_tax, l_extendedprice)) AS b FROM lineitem)
-SELECT round(prod, 6) AS r_both, round(a, 6) AS r_a, round(b, 6) AS r_b, prod > 0.5 * greatest(a, b) AS keep FROM m""")
+_IPAIRS = [(a, b) for i, a in enumerate(_X) for b in _X[i + 1 :]]
+
+
+@query("WITH m AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*)::BIGINT AS n, abs(corr({a} * {b}, l_extendedprice)) AS r_both, abs(corr({a}, l_extendedprice)) AS r_a, abs(corr({b}, l_extendedprice)) AS r_b FROM lineitem" for a, b in _IPAIRS) + ") SELECT a, b, n, round(r_both, 6) AS r_both, round(r_a, 6) AS r_a, round(r_b, 6) AS r_b, r_both > 0.5 * greatest(r_a, r_b) AS keep FROM m")
 def interaction_corr(t: Tables) -> DataFrame:
-    y = "l_extendedprice"
-    m = t.lineitem.agg(F.abs(C.corr(F.col("l_quantity") * F.col("l_tax"), y)).alias("both"), F.abs(C.corr("l_quantity", y)).alias("a"), F.abs(C.corr("l_tax", y)).alias("b"))
-    return m.select(r6("both").alias("r_both"), r6("a").alias("r_a"), r6("b").alias("r_b"), (F.col("both") > 0.5 * F.greatest("a", "b")).alias("keep"))
+    """Products of all pairs of predictors against the target."""
+    return rounded(X.interactions(t.lineitem, _X, "l_extendedprice"), "r_both", "r_a", "r_b")
+
+
+_WIDE = {f"w{i:02d}": f"CASE WHEN l_orderkey % {i + 5} > 0 THEN l_quantity * {i} + l_extendedprice / {1000 + 37 * i} + l_tax * {i * i} END" for i in range(16)}
+
+
+@query("WITH w AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _WIDE.items()) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM w" for i, a in enumerate(_WIDE) for b in list(_WIDE)[i + 1 :]))
+def corr_matrix_wide(t: Tables) -> DataFrame:
+    """120 pairs with missing values, by blocked cross products."""
+    return rounded(A.corr_matrix(t.lineitem.select(*[F.expr(e).alias(n) for n, e in _WIDE.items()]), list(_WIDE)), "r")
 
 
 @query("""WITH p AS (SELECT (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey * 61 % 500)::DOUBLE AS y FROM part), o AS (SELECT unnest(range(-3, 4)) AS k), c AS (SELECT x, y, (floor(y / 10) + a.k)::BIGINT AS row, (floor(x / 10) + b.k)::BIGINT AS col FROM p, o a, o b),
