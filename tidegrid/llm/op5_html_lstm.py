@@ -1,22 +1,25 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is read into its leaf blocks (text between block-level tags) in page order. Each block is a vector: its tag path
-(tags, classes and ids on the way down, hashed), its words (hashed), its length, link share and place. A bidirectional LSTM
-reads the whole sequence of a page's blocks forwards and backwards and labels each block as main text or not, so that what
-stands before and after a block counts. Numpy only.
+A page is read into its leaf blocks (text between block-level tags) in page order. Each block is a vector: its tag path (the
+distinct tags on the way down, and the words in their classes, ids and roles that name a part of a page, hashed; its own tag
+apart), its words (hashed), its length, link share and place. A name counts once, so a path is as telling 300 elements deep as 3.
+A bidirectional LSTM reads the whole sequence of a page's blocks forwards and backwards and labels each block as main text or not,
+so that what stands before and after a block counts. Numpy only.
 
 There are no labels for pages. The network is trained on a bounded sample of the pages with labels from a structural rule
-(``teacher``; where a page names no article, ``plain_teacher`` looks at length, links and ends of sentences), and on variants of the same pages: other names for the article's
-container, and menus, notices, forms, sidebars and comments put in at places where sites have them. The model has a fixed
-size and is broadcast; pages are labelled in the tasks that read them, without a shuffle, whole.
+(``teacher``; where a page names no article, ``plain_teacher`` looks at length, links and ends of sentences), and on pages made of
+the same texts (``variants``), whose labels are known: articles with lists, tables, subheadings, definitions and quotes under
+various names or none, and menus, notices, forms, sidebars, related links and comments around and inside them. The model has a
+fixed size and is broadcast; pages are labelled in the tasks that read them, without a shuffle, whole.
 
 Defined results: null or empty html gives an empty text; text outside any tag is a block of its own; unclosed tags are closed
-as browsers do for paragraphs and list items; repeated pages are labelled alike; a null id or url stays null; a table without any running text gives empty texts; an empty table
+as browsers do for paragraphs, list items, definitions and cells; repeated pages are labelled alike; a null id or url stays null; a table without any running text gives empty texts; an empty table
 gives an empty table; further columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from bisect import bisect_left
@@ -29,23 +32,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages trained on, variants of each, blocks of all these pages (whole pages only); hidden units per direction; passes.
-SAMPLE, VARIANTS, TRAIN_BLOCKS, HIDDEN, PASSES = 240, 3, 15_360, 24, 8
-PATH_SIZE, WORD_SIZE = 64, 48
+#: Pages trained on, variants of each, blocks of all these pages (whole pages only), characters up to which a page is trained on;
+#: hidden units per direction; passes.
+SAMPLE, VARIANTS, TRAIN_BLOCKS, TRAIN_CHARS, HIDDEN, PASSES = 240, 8, 15_360, 1 << 20, 24, 10
+#: Characters of the pages that are labelled together; blocks whose vectors are made at a time.
+TOGETHER, SLICE = 4 << 20, 20_000
+PATH_SIZE, WORD_SIZE = 384, 48
 WIDTH = PATH_SIZE + WORD_SIZE + 6
 
 #: Tags that don't end a block, tags without content, and tags that end an open one of the same kind.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDS_SAME = frozenset("p li dt dd tr td th option".split())
-#: Open elements that a block's path looks back on and a closing tag can reach: pages that leave thousands open stay linear.
-DEEPEST = 256
-#: Words in tags, classes and ids that mark an article, and what isn't one.
-MAIN_NAMES = frozenset("article main content post story entry body-text maintext".split())
+#: Elements that an opening tag ends if they are open, up to the nearest element that holds them apart.
+ENDS = {"p": "p", "li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option p"}
+APART = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": "select"}
+APART_ELSE = "div section article table ul ol td th blockquote main aside nav header footer form"
+#: Tags that a block's path tells apart; others count as one.
+PATH_TAGS = frozenset(
+    "html body head title nav header footer aside main article section div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre form fieldset "
+    "legend figure figcaption details summary address select option textarea button center dialog menu dir".split()
+)
+#: Words in tags, classes and ids that mark an article, and what isn't one; the last only as tags.
+MAIN_NAMES = frozenset("article main content post story entry maintext".split())
 OTHER_NAMES = frozenset(
     "nav header footer aside form ad ads advert advertisement banner promo sponsor sponsored cookie consent notice sidebar menu navigation breadcrumb breadcrumbs "
-    "comment comments replies share social related newsletter subscribe button select textarea input head title figcaption dialog popup modal".split()
+    "comment comments replies share social related newsletter subscribe dialog popup modal".split()
 )
+OTHER_TAGS = frozenset("button select textarea input head title".split())
 
 #: Tags whose content is no text of the page; those of the second kind hold it only if they are closed.
 SILENT = frozenset("script style".split())
@@ -55,22 +68,58 @@ _STOP = re.compile(r"[>\"']")
 #: A whole tag without an angle in its attributes, as almost all are.
 _WHOLE = re.compile(r"(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"\w+")
+_SPLIT = re.compile(r"[-_.\d\s]+")
 
 
 @dataclass
 class Block:
-    """``path``: tags and names from the outermost to the innermost; ``links``: characters inside links."""
+    """``path``: the distinct tags and naming words on the way down, in order of appearance; ``links``: characters inside links; ``own``: the innermost tag."""
 
     path: tuple[str, ...]
     text: str
     links: int
+    own: str = ""
 
 
-def _attribute_names(raw: str) -> tuple[str, ...]:
+def _naming_words(raw: str) -> list[str]:
+    """Words of classes, ids and roles that name a part of a page."""
     if "=" not in raw:
-        return ()
-    return tuple(f".{w.lower()}" for m in _NAMES.finditer(raw) for w in (m[2] or m[3] or m[4] or "").split())
+        return []
+    return [w for m in _NAMES.finditer(raw) for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()) if w in MAIN_NAMES or w in OTHER_NAMES]
+
+
+class _Open:
+    """The open elements, with the place of each tag among them: every element is opened and closed once, however deep."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def last(self, tags: str) -> int:
+        return max((places[-1] for t in tags.split() if (places := self.at.get(t))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Close all elements from ``place`` on."""
+        while len(self.stack) > place:
+            self.at[self.stack.pop()[0]].pop()
+
+    def close(self, tag: str) -> None:
+        if places := self.at.get(tag):
+            self.cut(places[-1])
+
+    def open(self, tag: str, inside: str) -> None:
+        ended = self.last(ENDS.get(tag, "p"))
+        if ended > self.last(APART.get(tag, APART_ELSE)):
+            self.cut(ended)
+        above = self.stack[-1][1] if self.stack else ()
+        new = dict.fromkeys([tag if tag in PATH_TAGS else "other", *_naming_words(inside)])
+        more = tuple(x for x in new if x not in above)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, above + more if more else above))
+
+    def block(self, text: str, links: int) -> Block:
+        tag, path = self.stack[-1] if self.stack else ("", ())
+        return Block(path, text, links, tag if tag in PATH_TAGS else "")
 
 
 class _Reader:
@@ -143,11 +192,13 @@ class _Closers:
     def __init__(self, html: str):
         self.open: dict[str, list[int]] = {}
         self.close: dict[str, list[tuple[int, int]]] = {}
+        sign = 0
         for m in re.finditer(rf"<(/?)({'|'.join(sorted(SILENT | EMBEDDED))})(?=[\s/>])", html, re.I):
             if m[1]:
-                end = html.find(">", m.end(), m.end() + 64)
-                if end >= 0:
-                    self.close.setdefault(m[2].lower(), []).append((m.start(), end + 1))
+                if -1 < sign < m.end():  # the sign found last is found again, so that no part of the page is looked through twice
+                    sign = html.find(">", m.end())
+                if sign >= 0:
+                    self.close.setdefault(m[2].lower(), []).append((m.start(), sign + 1))
             else:
                 self.open.setdefault(m[2].lower(), []).append(m.start())
 
@@ -169,7 +220,7 @@ def read_blocks(html: str | None) -> list[Block]:
     blocks: list[Block] = []
     if not html:
         return blocks
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements = _Open()
     parts: list[str] = []
     links, in_link, at = 0, 0, 0
 
@@ -178,8 +229,7 @@ def read_blocks(html: str | None) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                path = tuple(x for tag, names in stack[-DEEPEST:] for x in (tag, *names) if tag not in INLINE)
-                blocks.append(Block(path, text, links))
+                blocks.append(elements.block(text, links))
             parts.clear()
         links = 0
 
@@ -204,21 +254,9 @@ def read_blocks(html: str | None) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag in VOID:
-            continue
-        inner = {"p"} if tag not in ENDS_SAME else {tag, "p"}
-        for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-            if stack[i][0] in inner:
-                del stack[i:]
-                break
-            if stack[i][0] in ("div", "section", "article", "table", "ul", "ol", "td", "blockquote"):
-                break
-        stack.append((tag, _attribute_names(inside)))
+            elements.close(tag)
+        elif tag not in VOID:
+            elements.open(tag, inside)
     if at < len(html):
         parts.append(html[at:])
     flush()
@@ -227,10 +265,7 @@ def read_blocks(html: str | None) -> list[Block]:
 
 def _kind(name: str) -> int:
     """1: an article's name, -1: another part's, 0: neither."""
-    words = re.split(r"[-_.\d]+", name.lstrip("."))
-    if any(w in OTHER_NAMES for w in words):
-        return -1
-    return int(any(w in MAIN_NAMES for w in words))
+    return -1 if name in OTHER_NAMES or name in OTHER_TAGS else int(name in MAIN_NAMES)
 
 
 def teacher(block: Block) -> int:
@@ -259,59 +294,120 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+_paths: dict[tuple[tuple[str, ...], str], np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """The path's names, the inner ones counting more."""
-    if path not in _paths:
-        if len(_paths) > 50_000:
+def _path_vector(path: tuple[str, ...], own: str) -> np.ndarray:
+    """Each name once, at three places, so that no two names share them all; the own tag once more under another name; long paths are scaled down."""
+    if (path, own) not in _paths:
+        if len(_paths) > 20_000:
             _paths.clear()
         v = np.zeros(PATH_SIZE, dtype=np.float32)
-        for back, name in enumerate(reversed(path)):
-            for w in {name, *re.split(r"[-_.]+", name.lstrip("."))}:
-                if w:
-                    h = _hash("path " + w.lstrip("."))
-                    v[h % PATH_SIZE] += (1.0 if h >> 16 & 1 else -1.0) * max(0.4, 1 - 0.1 * back)
-        _paths[path] = v
-    return _paths[path]
+        for name in (*(f"path {x}" for x in path), f"own {own}"):
+            digest = hashlib.blake2b(name.encode(), digest_size=12).digest()
+            for k in range(0, 12, 4):
+                h = int.from_bytes(digest[k : k + 4], "little")
+                v[h % PATH_SIZE] += 1.0 if h >> 31 else -1.0
+        _paths[path, own] = v / max(1.0, np.sqrt(len(path) / 8))
+    return _paths[path, own]
 
 
-def block_vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block."""
+def block_vectors(blocks: list[Block], first: int = 0, of: int | None = None) -> np.ndarray:
+    """One row per block; ``blocks`` may be a part of a page of ``of`` blocks, from its block ``first`` on."""
     out = np.zeros((len(blocks), WIDTH), dtype=np.float32)
+    of = len(blocks) if of is None else of
     for i, b in enumerate(blocks):
-        out[i, :PATH_SIZE] = _path_vector(b.path)
+        out[i, :PATH_SIZE] = _path_vector(b.path, b.own)
         words = b.text.lower().split()
         h = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
         out[i, PATH_SIZE : PATH_SIZE + WORD_SIZE] = np.bincount(h % WORD_SIZE, np.where(h >> 16 & 1, 1.0, -1.0), WORD_SIZE)[:WORD_SIZE] / np.sqrt(len(words) + 1)
         n = len(b.text)
-        out[i, -6:] = np.log1p(n) / 8, min(1.0, b.links / n), b.text[-1] in ".!?:\"”", len(words) < 4, i / len(blocks), 1.0
+        out[i, -6:] = np.log1p(n) / 8, min(1.0, b.links / n), b.text[-1] in ".!?:\"”", len(words) < 4, (first + i) / of, 1.0
     return out
 
 
+#: Paths below html and body: of articles, of what isn't one, and of wrappers that say nothing.
+ARTICLES = ("main", "article", "div content", "div post", "section story", "div entry content", "main article", "div main content", "div maintext", "article div entry")
+OTHERS = (
+    "nav ul", "div menu ul", "div navigation ul", "header", "header nav ul", "footer", "footer ul", "aside", "aside ul", "div sidebar", "div sidebar ul", "div cookie notice", "div consent",
+    "form", "form fieldset", "section comments div comment", "ol comments", "div comments", "div replies", "div related ul", "div related", "div ad", "div ads", "div advert", "div advertisement",
+    "div banner", "div promo", "div sponsor", "div sponsored", "div share ul", "div social", "div newsletter", "div subscribe form", "div breadcrumb", "ol breadcrumbs", "div popup", "div modal", "dialog", "aside table tbody tr",
+    "form button", "form select option", "div button",
+)
+WRAPPERS = ("div", "div section", "table tbody tr td", "center", "div other", "section", "")
+
+
 def variants(blocks: list[Block], labels: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
-    """The page under other names, with parts put in that aren't its text."""
-    container = [("main",), ("div", ".content"), ("div", ".post"), ("section", ".story"), ("div", ".entry-content"), ("article",)][rng.integers(6)]
+    """A page made of the texts of another: an article under one of many names or none, with all kinds of blocks in it, amid other parts."""
+    own = [b.text for b, y in zip(blocks, labels) if y][:14]
     spare = [b.text for b, y in zip(blocks, labels) if not y] or ["menu"]
-    own = [b.text for b, y in zip(blocks, labels) if y]
-    extra = [("aside", ".sidebar"), ("div", ".cookie-notice"), ("form",), ("section", ".comments", "div", ".comment"), ("div", ".related"), ("header", ".site-header"), ("ul", ".menu", "li"), ("div", ".advert"), ("footer",), ("div", ".share"), ("div", ".newsletter")]
+    pick = lambda some: some[rng.integers(len(some))]
+
+    def phrase(least: int, most: int) -> str:
+        words = pick(own).split()
+        n = int(rng.integers(least, most + 1))
+        at = int(rng.integers(0, max(1, len(words) - n)))
+        return " ".join(words[at : at + n]) or "word"
+
+    plain = rng.random() < 0.3
+    root = ("html", "body", *pick(WRAPPERS).split(), *pick(WRAPPERS).split())
+    inside = root if plain else (*root, *pick(ARTICLES).split(), *pick(WRAPPERS).split())
     out, marks = [], []
-    for b, y in zip(blocks, labels):
-        if rng.random() < 0.2:
-            where = extra[rng.integers(len(extra))]
-            inside = ("html", "body", *container) if y and rng.random() < 0.4 else ("html", "body")
-            for _ in range(rng.integers(1, 4)):
-                pool = own if own and rng.random() < 0.5 else spare
-                text = pool[rng.integers(len(pool))]
-                out.append(Block((*inside, *where, *(("p",) if rng.random() < 0.5 else ())), text, len(text) if rng.random() < 0.3 else 0))
-                marks.append(0)
-        path = b.path
-        if y:
-            cut = next((i for i, x in enumerate(path) if _kind(x) == 1), 0)
-            path = (*path[:cut], *container, *(x for x in path[cut + 1 :] if _kind(x) != 1))
-        out.append(Block(path, b.text, b.links))
+
+    def put(path: tuple[str, ...], tag: str, text: str, link: bool, y: int) -> None:
+        out.append(Block(tuple(dict.fromkeys((*path, *tag.split()))), text, len(text) if link else 0, tag.split()[-1]))
         marks.append(y)
+
+    def other(where: tuple[str, ...]) -> None:
+        """Links, sentences or labels of another part."""
+        path = (*where, *pick(OTHERS).split())
+        kind, of = rng.integers(3), "li" if path[-1] in ("ul", "ol") else "td" if path[-1] == "tr" else ""
+        if rng.random() < 0.3:
+            put(path[:-1] if of else path, pick(("h2", "h3", "h4", "p", "div")), phrase(1, 3), False, 0)
+        for _ in range(1 if rng.random() < 0.5 else int(rng.integers(2, 6))):
+            put(path, of or pick(("p", "div", "h3", "ul li", "p", "h2")), phrase(1, 4) if kind == 0 else pick(own) if kind == 1 else pick(spare), kind == 0 or rng.random() < 0.2, 0)
+
+    def links() -> None:
+        """A menu that no name marks."""
+        for _ in range(int(rng.integers(2, 8))):
+            put(root, "ul li", phrase(1, 3), True, 0)
+
+    def some_blocks() -> None:
+        """A list, table, definitions, subheading or quote of the article."""
+        kind = rng.integers(7)
+        linked = not plain and rng.random() < 0.3
+        if kind <= 1:
+            for _ in range(int(rng.integers(2, 7))):
+                put(inside, ("ul li", "ol li")[kind], phrase(1 if not plain else 4, 14), linked, 1)
+        elif kind == 2:
+            for _ in range(int(rng.integers(2, 5))):
+                for tag in ("th", "td", "td") if rng.random() < 0.5 else ("td", "td"):
+                    put(inside, f"table {'tbody ' if rng.random() < 0.5 else ''}tr {tag}", phrase(1, 5), linked and tag == "td", 1)
+        elif kind == 3:
+            for _ in range(int(rng.integers(1, 4))):
+                put(inside, "dl dt", phrase(1, 3), False, 1)
+                put(inside, "dl dd", phrase(2, 14), linked, 1)
+        elif kind <= 5:
+            put(inside, pick(("h2", "h3", "h4", "h2")), phrase(1, 8), linked and rng.random() < 0.3, 1)
+        else:
+            put(inside, pick(("blockquote p", "pre", "blockquote", "div", "figure p", "figure figcaption", "details summary")), phrase(4, 30), False, 1)
+
+    if rng.random() < 0.7:
+        put(("html", "head"), "title", pick(spare), False, 0)
+    for _ in range(int(rng.integers(0, 3))):
+        links() if plain or rng.random() < 0.3 else other(root)
+    if rng.random() < 0.8:
+        put(inside, "h1", phrase(2, 10), False, 1)
+    for k, text in enumerate(own):
+        if k and rng.random() < 0.35:
+            some_blocks()
+        if k and rng.random() < 0.25:
+            other(inside)
+        put(inside, "p" if rng.random() < 0.85 else pick(("div", "li", "section p", "td")), text, rng.random() < 0.03, 1)
+    if rng.random() < 0.3:
+        some_blocks()
+    for _ in range(int(rng.integers(0, 4))):
+        links() if rng.random() < 0.25 else other(inside if rng.random() < 0.3 else root)
     return out, marks
 
 
@@ -342,7 +438,7 @@ class BiLSTM:
         pages, steps, width = x.shape
         n, w = self.hidden, self.p[d]
         h, c = np.zeros((pages, n), np.float32), np.zeros((pages, n), np.float32)
-        inputs = x @ w[:width] + self.p[d + "0"]
+        inputs = np.concatenate([x[:, k : k + SLICE] @ w[:width] for k in range(0, max(steps, 1), SLICE)], axis=1) + self.p[d + "0"]
         out, trace = np.zeros((pages, steps, n), np.float32), []
         for t in range(steps):
             z = inputs[:, t] + h @ w[width:]
@@ -454,8 +550,9 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id"
         for b in batches:
             for spread, html in zip(b["spread"], b["html"]):
                 blocks = read_blocks(html)
-                yield pd.DataFrame({"spread": [spread], "paths": [[list(x.path) for x in blocks]], "texts": [[x.text for x in blocks]], "links": [[x.links for x in blocks]]})
+                yield pd.DataFrame({"spread": [spread], "paths": [[[x.own, *x.path] for x in blocks]], "texts": [[x.text for x in blocks]], "links": [[x.links for x in blocks]]})
 
+    plain = plain.where(F.length("html") <= TRAIN_CHARS)
     picked = plain.withColumn("spread", spread).where(F.col("spread") < min(1.0, 1.2 * sample / max(1, n) + 8 / max(1, n))).select("spread", "html")
     found = picked.mapInPandas(run, "spread double, paths array<array<string>>, texts array<string>, links array<long>").toPandas()
     found = found.sort_values("spread", kind="stable").head(sample)
@@ -465,7 +562,7 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, id_col: str = "page_id"
         if held and held + len(r.texts) > TRAIN_BLOCKS:
             continue
         held += len(r.texts)
-        blocks = [Block(tuple(p), t, int(k)) for p, t, k in zip(r.paths, r.texts, r.links)]
+        blocks = [Block(tuple(p[1:]), t, int(k), p[0]) for p, t, k in zip(r.paths, r.texts, r.links)]
         if not blocks:
             continue
         labels = [teacher(b) for b in blocks]
@@ -490,8 +587,9 @@ def extract_main_text(pages: DataFrame, model: BiLSTM | None, id_col: str = "pag
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = sent.value
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.iloc[i : i + 1000]
+            sizes = b["html"].str.len().fillna(0).cumsum().to_numpy() // TOGETHER  # pages of so many characters at a time, or one larger page
+            for i, e in zip(np.flatnonzero(np.diff(sizes, prepend=-1)), [*np.flatnonzero(np.diff(sizes)) + 1, len(b)]):
+                part = b.iloc[i:e]
                 read = [read_blocks(h) for h in part["html"]]
                 marks = net.label([block_vectors(x) for x in read]) if net else [np.zeros(len(x), bool) for x in read]
                 texts = ["\n".join(x.text for x, keep in zip(blocks, m) if keep) for blocks, m in zip(read, marks)]
