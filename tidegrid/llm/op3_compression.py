@@ -1,6 +1,7 @@
 """Quality rules by compression bands.
 
-Each text is compressed with zstandard, whole and in fixed chunks. A text whose ratio (bytes before : after) lies above
+Each text is compressed with zstandard, whole and in fixed chunks; the last chunk is moved back to end where the text ends, and
+counts as much of the text as no other chunk holds. A text whose ratio (bytes before : after) lies above
 the upper limit of its length repeats itself; one below the lower limit is noise. Limits depend on the length, because
 short texts compress less. Base counts of words, symbols, lines and repeated word windows come from the same pass.
 
@@ -29,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """(bytes below, least ratio, greatest ratio); the first band that fits a length holds. Chunk limits hold for full chunks."""
+    """(bytes below, least ratio, greatest ratio); the first band that fits a length holds. Chunks are all of one length, and have limits of their own."""
 
     whole: tuple[tuple[float, float, float], ...] = (
         (64, 0.0, 4.0),
@@ -80,22 +81,25 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_window_words(words)
 
 
-def ratios(raw: bytes, compressor, chunk_bytes: int) -> tuple[float, list[float]]:
-    """Ratio of the whole text and of each full chunk."""
+def ratios(raw: bytes, compressor, chunk_bytes: int) -> tuple[float, list[tuple[float, int]]]:
+    """Ratio of the whole text, and (ratio, bytes that only it holds) of each chunk; a text shorter than a chunk has none."""
     if not raw:
         return 0.0, []
     whole = len(raw) / len(compressor.compress(raw))
-    parts = [chunk_bytes / len(compressor.compress(raw[i : i + chunk_bytes])) for i in range(0, len(raw) - chunk_bytes + 1, chunk_bytes)]
+    parts = []
+    for i in range(0, len(raw), chunk_bytes) if len(raw) >= chunk_bytes else ():
+        at = min(i, len(raw) - chunk_bytes)
+        parts.append((chunk_bytes / len(compressor.compress(raw[at : at + chunk_bytes])), at + chunk_bytes - i))
     return whole, parts
 
 
-def verdict(n_bytes: int, whole: float, parts: list[float], bands: Bands) -> tuple[float, float, bool]:
-    """The chunk ratio farthest from its limits, the share of bad chunks, and whether the text passes."""
+def verdict(n_bytes: int, whole: float, parts: list[tuple[float, int]], bands: Bands) -> tuple[float, float, bool]:
+    """The chunk ratio farthest from its limits, the share of the text in bad chunks, and whether the text passes."""
     low, high = next((a, b) for top, a, b in bands.whole if n_bytes < top)
     if not parts:
         return whole, 0.0, low <= whole <= high
-    bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in parts) / len(parts)
-    worst = max(parts, key=lambda x: max(bands.chunk[0] / x, x / bands.chunk[1]))
+    bad = sum(n for x, n in parts if not bands.chunk[0] <= x <= bands.chunk[1]) / n_bytes
+    worst = max((x for x, _ in parts), key=lambda x: max(bands.chunk[0] / x, x / bands.chunk[1]))
     return worst, bad, low <= whole <= high and bad <= bands.bad_share
 
 
