@@ -228,13 +228,24 @@ def test_bands_equal_brute_force(spark):
     for r in op3.compression_bands(documents(spark, texts)).collect():
         raw = (texts[r.doc_id] or "").encode()
         whole = len(raw) / size(raw) if raw else 0.0
-        chunks = [4096 / size(raw[i : i + 4096]) for i in range(0, len(raw), 4096) if i + 4096 <= len(raw)]
-        bad = [x for x in chunks if x < bands.chunk[0] or x > bands.chunk[1]]
+        cuts = [raw[i : i + 4096] for i in range(0, len(raw), 4096)] if len(raw) >= 4096 else []
+        bad = sum(len(c) for c in cuts if not bands.chunk[0] <= 4096 / size(c if len(c) == 4096 else raw[-4096:]) <= bands.chunk[1])
         low, high = [(a, b) for top, a, b in bands.whole if len(raw) < top][0]
-        assert r.ratio == pytest.approx(whole) and r.bad_chunk_share == pytest.approx(len(bad) / max(1, len(chunks)))
-        assert r.kept == (not r.base_failed and low <= whole <= high and 4 * len(bad) <= len(chunks)), r.doc_id
+        assert r.ratio == pytest.approx(whole) and r.bad_chunk_share == pytest.approx(bad / max(1, len(raw)))
+        assert r.kept == (not r.base_failed and low <= whole <= high and 4 * bad <= len(raw)), r.doc_id
     assert op3.verdict(100, 3.0, [], bands)[2] and not op3.verdict(100, 3.0001, [], bands)[2]
-    assert op3.verdict(20_000, 2.0, [2.0] * 3 + [9.0], bands)[1:] == (0.25, True) and not op3.verdict(20_000, 2.0, [2.0, 9.0], bands)[2]
+    assert op3.verdict(16_000, 2.0, [(2.0, 4000)] * 3 + [(9.0, 4000)], bands)[1:] == (0.25, True) and not op3.verdict(16_000, 2.0, [(2.0, 8000), (9.0, 8000)], bands)[2]
+
+
+def test_the_end_of_a_text_is_judged_too(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(rng.choice(["river", "stone", "cloud", "walks", "green", "over", "quiet", "bridge", "lamp", "winter", "meadow", "slowly", "between", "seven", "harbour", "letters"], n))
+    noise = lambda n: " ".join("".join(chr(c) for c in rng.integers(33, 127, 9)) for _ in range(n // 10))
+    text = "".join(chr(97 + int(c)) if c < 26 else " " for c in rng.integers(0, 32, 9000))
+    plain = (prose(4000) + " " + text)[:4096]
+    bands = op3.Bands(chunk=(1.35, 60.0), whole=((float("inf"), 0.0, 99.0),))
+    got = [r.bad_chunk_share for r in op3.compression_bands(documents(spark, [plain + noise(4095)[:4090], plain + noise(600), plain, plain[:4000]]), bands=bands).collect()]
+    assert got[0] == pytest.approx(4090 / (len(plain) + 4090), abs=1e-3) and got[1] < 0.2 and got[2] == 0.0 and got[3] == 0.0
 
 
 # 4
@@ -267,6 +278,14 @@ def test_token_shards(spark, tmp_path, monkeypatch):
         ids = np.append(enc.library.encode(t or "", add_special_tokens=False).ids, 1).astype("<u4")
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    lost = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        op4.write_token_shards(lost, f"{tmp_path}/n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = op4.read_token_shards(spark, f"{tmp_path}/n").collect()
+    assert len(got) == 400 and len({r.shard for r in got}) == 4  # rows without an id don't meet in one task
     op4.write_token_shards(docs.limit(0), f"{tmp_path}/e")
     assert op4.read_token_shards(spark, f"{tmp_path}/e").count() == 0
 

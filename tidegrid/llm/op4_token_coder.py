@@ -266,8 +266,9 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         if parts:
             yield block()
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = plain.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or of none, are dealt on by the order they are read in, so that they needn't meet in one task
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = plain.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
     blocks = ordered.mapInPandas(encode, "block long, doc_ids array<long>, lengths array<long>, payload binary")
     blocks.select(F.spark_partition_id().alias("shard"), "*").write.parquet(path)
 
