@@ -171,3 +171,37 @@ def row_median(cols: Sequence[str | Column]) -> Column:
     a = F.array_sort(F.array(*[_c(x).cast("double") for x in cols]))
     n = len(cols)
     return (F.element_at(a, (n + 1) // 2) + F.element_at(a, n // 2 + 1)) / 2
+
+
+def in_latitudes(lat: str | Column, south: float = -60.0, north: float = 85.0) -> Column:
+    """True from ``south`` to ``north``, both included; NULL without a latitude."""
+    return _c(lat).between(south, north)
+
+
+def inside(x: str | Column, low: float, high: float) -> Column:
+    """1 from ``low`` to ``high``, both included, otherwise 0; 0 for NULL."""
+    return F.when(_c(x).between(low, high), 1).otherwise(0)
+
+
+def class_flags(x: str | Column, classes: dict[str, Sequence]) -> dict[str, Column]:
+    """A 0/1 column per named set of classes; NULL stays NULL."""
+    return {n: _c(x).isin(*members).cast("int") for n, members in classes.items()}
+
+
+def area_weighted(x: str | Column, area: str | Column, offset: float = 0.0) -> Column:
+    """x times the cell's area, plus an offset that keeps small values whole."""
+    return _c(x) * _c(area) + offset
+
+
+def sum_and_mean(cols: Sequence[str | Column]) -> tuple[Column, Column]:
+    """Sum and mean of columns, as of a month and the months before it; NULL if any of them is."""
+    total = _c(cols[0])
+    for x in cols[1:]:
+        total = total + _c(x)
+    return total, total / len(cols)
+
+
+def season(date: str | Column) -> Column:
+    """DJF, MAM, JJA or SON."""
+    m = F.month(_c(date))
+    return F.when(m.isNull(), None).when(m.isin(12, 1, 2), "DJF").when(m < 6, "MAM").when(m < 9, "JJA").otherwise("SON")

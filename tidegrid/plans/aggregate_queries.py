@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
+from tidegrid.operators import cells as L
 from tidegrid.operators import tables as J
 from tidegrid.plans.registry import Tables, query, r6, rounded
 
@@ -116,60 +117,51 @@ def zonal_stats(t: Tables) -> DataFrame:
 
 @query("SELECT n_regionkey, round(sum(s_acctbal), 2) AS total, count(*)::BIGINT AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL")
 def zonal_merge(t: Tables) -> DataFrame:
-    tiles = t.supplier.groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("part"), F.count("*").alias("k"))
-    return tiles.join(t.nation, tiles.s_nationkey == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.round(F.sum("part"), 2).alias("total"), F.sum("k").alias("n"))
+    tiles = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum("s_acctbal").alias("total"), F.count("*").alias("n"))
+    return L.merged_zones(tiles, t.nation, "n_nationkey", "n_regionkey", ["total", "n"]).withColumn("total", F.round("total", 2))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS area FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
 def cross_tab_area(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_returnflag <> 'N'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("area"))
+    return L.cross_tab_area(t.lineitem.where("l_returnflag <> 'N'"), "l_returnflag", "l_linestatus", "l_quantity").withColumn("area", F.round("area", 2))
 
 
 @query("SELECT p_brand, count(*)::BIGINT AS n FROM part WHERE p_size > 0 GROUP BY ALL")
 def class_histogram(t: Tables) -> DataFrame:
-    return t.part.where("p_size > 0").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return L.class_histogram(t.part, "p_brand", F.col("p_size") > 0)
 
 
 @query("SELECT c_nationkey, count(*) FILTER (c_acctbal < 0)::BIGINT AS n_nodata FROM customer GROUP BY ALL")
 def nodata_count(t: Tables) -> DataFrame:
-    value = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
-    return t.customer.groupBy("c_nationkey").agg(F.sum(value.isNull().cast("long")).alias("n_nodata"))
+    return L.nodata_count(t.customer, "c_nationkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))).drop("n")
 
 
 @query("""WITH z AS (SELECT c_nationkey, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer GROUP BY ALL), r AS (SELECT min(s_acctbal) AS rlo, max(s_acctbal) AS rhi FROM supplier)
 SELECT c_nationkey, lo, hi, lo < rlo AS below, hi > rhi AS above FROM z, r WHERE lo < rlo OR hi > rhi""")
 def range_check(t: Tables) -> DataFrame:
-    zones = t.customer.groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
-    limits = t.supplier.agg(F.min("s_acctbal").alias("rlo"), F.max("s_acctbal").alias("rhi"))
-    out = zones.crossJoin(F.broadcast(limits)).withColumns({"below": F.col("lo") < F.col("rlo"), "above": F.col("hi") > F.col("rhi")})
-    return out.where("below or above").select("c_nationkey", "lo", "hi", "below", "above")
+    return L.range_check(t.customer, "c_nationkey", "c_acctbal", t.supplier, "s_acctbal")
 
 
 @query("SELECT (user_id // 10)::BIGINT AS cell, round(median(value), 6) AS med, round(median(value * value), 6) AS med_sq FROM events GROUP BY ALL")
 def point_to_grid_median(t: Tables) -> DataFrame:
-    cell = F.floor(F.col("user_id") / 10).alias("cell")
-    return t.events.groupBy(cell).agg(r6(F.percentile("value", F.lit(0.5))).alias("med"), r6(F.percentile(F.col("value") * F.col("value"), F.lit(0.5))).alias("med_sq"))
+    v = F.col("value")
+    return rounded(L.grid_medians(t.events, F.floor(F.col("user_id") / 10), {"med": v, "med_sq": v * v}).drop("n"), "med", "med_sq")
 
 
 @query("""SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, min(o_totalprice) AS min, round(median(o_totalprice), 6) AS median, round(quantile_cont(o_totalprice, 0.1), 6) AS p10,
 round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(stddev_pop(o_totalprice), 6) AS std, count(*)::BIGINT AS nvalid FROM orders GROUP BY ALL""")
 def temporal_profile(t: Tables) -> DataFrame:
-    v = "o_totalprice"
-    q = F.percentile(v, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = t.orders.groupBy("o_custkey").agg(F.avg(v).alias("mean"), F.min(v).alias("min"), q.alias("q"), F.stddev_pop(v).alias("std"), F.count(v).alias("nvalid"))
-    out = out.select("o_custkey", "mean", "min", F.col("q")[1].alias("median"), F.col("q")[0].alias("p10"), F.col("q")[2].alias("p90"), "std", "nvalid")
-    return rounded(out, "mean", "median", "p10", "p90", "std")
+    return rounded(L.temporal_profile(t.orders, ["o_custkey"], "o_totalprice"), "mean", "median", "p10", "p90", "std")
 
 
 @query("SELECT o_custkey, month(o_orderdate)::INT AS mm, round(avg(o_totalprice), 6) AS clim FROM orders GROUP BY ALL")
 def monthly_climatology(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey", F.month("o_orderdate").alias("mm")).agg(r6(F.avg("o_totalprice")).alias("clim"))
+    return rounded(L.climatology(t.orders, ["o_custkey"], "o_orderdate", "o_totalprice").drop("n"), "clim")
 
 
 @query("SELECT o_custkey, ((dayofyear(o_orderdate) - 1) // 16)::BIGINT AS slot, round(median(o_totalprice), 6) AS composite FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL")
 def quality_composite(t: Tables) -> DataFrame:
-    slot = F.floor((F.dayofyear("o_orderdate") - 1) / 16).alias("slot")
-    return t.orders.where("o_orderstatus = 'O'").groupBy("o_custkey", slot).agg(r6(F.percentile("o_totalprice", F.lit(0.5))).alias("composite"))
+    return rounded(L.slot_composite(t.orders, ["o_custkey"], "o_orderdate", "o_totalprice", F.col("o_orderstatus") == "O").drop("n"), "composite")
 
 
 @query("""WITH q AS (SELECT o_custkey AS k, quantile_cont(o_totalprice, 0.1) AS lo, quantile_cont(o_totalprice, 0.9) AS hi, median(o_totalprice) AS m FROM orders GROUP BY ALL),
@@ -182,9 +174,7 @@ def trimmed_composite(t: Tables) -> DataFrame:
 @query("""WITH y AS (SELECT count(DISTINCT year(o_orderdate)) AS n FROM orders), c AS (SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS k FROM orders GROUP BY ALL)
 SELECT o_custkey, (k = n)::INT AS permanent FROM c, y""")
 def permanent_class(t: Tables) -> DataFrame:
-    years = t.orders.select(F.year("o_orderdate").alias("y")).distinct()
-    active = t.orders.select("o_custkey", F.year("o_orderdate").alias("y")).distinct().groupBy("o_custkey").agg(F.count("*").alias("k"))
-    return active.crossJoin(F.broadcast(years.agg(F.count("*").alias("n")))).select("o_custkey", (F.col("k") == F.col("n")).cast("int").alias("permanent"))
+    return L.permanent_class(t.orders, "o_custkey", "o_orderdate").select("o_custkey", "permanent")
 
 
 def _grid(t: Tables) -> DataFrame:
@@ -240,24 +230,20 @@ def distribution_summary(t: Tables) -> DataFrame:
 
 @query("SELECT month(o_orderdate)::INT AS mm, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, count(*)::BIGINT AS n FROM orders GROUP BY ALL")
 def seasonal_stats(t: Tables) -> DataFrame:
-    v = "o_totalprice"
-    return t.orders.groupBy(F.month("o_orderdate").alias("mm")).agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.count("*").alias("n"))
+    found = L.period_stats(t.orders, F.month("o_orderdate"), "o_totalprice")
+    return found.select(F.col("period").alias("mm"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
 
 
 @query("SELECT year(o_orderdate)::INT AS yyyy, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, count(*)::BIGINT AS n, round(stddev_samp(o_totalprice) / avg(o_totalprice), 6) AS cv FROM orders GROUP BY ALL")
 def annual_stats(t: Tables) -> DataFrame:
-    v = "o_totalprice"
-    return t.orders.groupBy(F.year("o_orderdate").alias("yyyy")).agg(
-        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("std"), F.count("*").alias("n"), r6(C.ratio(F.stddev_samp(v), F.avg(v))).alias("cv")
-    )
+    found = L.period_stats(t.orders, F.year("o_orderdate"), "o_totalprice")
+    return found.select(F.col("period").alias("yyyy"), F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n", r6("cv").alias("cv"))
 
 
 @query("""SELECT CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'DJF' WHEN month(o_orderdate) < 6 THEN 'MAM' WHEN month(o_orderdate) < 9 THEN 'JJA' ELSE 'SON' END AS season,
 round(avg(o_totalprice), 4) AS mean, count(*)::BIGINT AS n FROM orders GROUP BY ALL""")
 def season_of_year(t: Tables) -> DataFrame:
-    m = F.month("o_orderdate")
-    season = F.when(m.isin(12, 1, 2), "DJF").when(m < 6, "MAM").when(m < 9, "JJA").otherwise("SON").alias("season")
-    return t.orders.groupBy(season).agg(F.round(F.avg("o_totalprice"), 4).alias("mean"), F.count("*").alias("n"))
+    return L.period_stats(t.orders, C.season("o_orderdate"), "o_totalprice").select(F.col("period").alias("season"), F.round("mean", 4).alias("mean"), "n")
 
 
 @query("""SELECT o_custkey, c_nationkey, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std, count(*)::BIGINT AS n, min(year(o_orderdate))::INT AS first_year,

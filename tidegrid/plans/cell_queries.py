@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
+from tidegrid.operators import cells as L
 from tidegrid.operators import scores as S
-from tidegrid.operators import tables as J
 from tidegrid.plans.registry import Tables, query, r6, rounded
 
 _MISSING = "(CASE WHEN event_id % 7 = 0 THEN -9999 WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE ELSE value END)"
@@ -44,8 +44,8 @@ def unit_convert(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 100 = 7 THEN c_custkey / 10.0 ELSE c_acctbal END::DOUBLE AS lon FROM customer")
 def manual_correction(t: Tables) -> DataFrame:
-    fixes = t.customer.where("c_custkey % 100 = 7").select("c_custkey", (F.col("c_custkey") / 10.0).alias("fixed"))
-    return t.customer.join(J.small_or_shuffled(fixes), "c_custkey", "left").select("c_custkey", F.coalesce("fixed", "c_acctbal").alias("lon"))
+    fixes = t.customer.where("c_custkey % 100 = 7").select("c_custkey", (F.col("c_custkey") / 10.0).alias("c_acctbal"))
+    return L.corrected(t.customer, fixes, "c_custkey", "c_acctbal").select("c_custkey", F.col("c_acctbal").alias("lon"))
 
 
 @query("SELECT p_partkey, length(split_part(p_retailprice::VARCHAR, '.', 2))::INT AS n_decimals FROM part")
@@ -60,7 +60,7 @@ def bbox_filter(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal / 100 BETWEEN -60 AND 85")
 def lat_clip(t: Tables) -> DataFrame:
-    return t.supplier.where((F.col("s_acctbal") / 100).between(-60, 85)).select("s_suppkey", "s_acctbal")
+    return t.supplier.where(C.in_latitudes(F.col("s_acctbal") / 100)).select("s_suppkey", "s_acctbal")
 
 
 @query("SELECT c_custkey, round(CASE WHEN c_nationkey < 12 AND c_acctbal / 50 - 180 < -169 THEN c_acctbal / 50 - 180 + 360 ELSE c_acctbal / 50 - 180 END, 6) AS lon FROM customer")
@@ -75,10 +75,9 @@ SELECT 'any_quantity', l_quantity FROM lineitem WHERE l_discount > 0.02 AND l_ta
 SELECT 'any_flag', l_quantity FROM lineitem WHERE l_discount > 0.02 AND l_tax > 0.01 AND l_quantity BETWEEN 5 AND 45) GROUP BY ALL""")
 def qc_flags_filter(t: Tables) -> DataFrame:
     """All rule variants in one pass over the rows."""
-    a, b, c, d = F.col("l_discount") > 0.02, F.col("l_tax") > 0.01, F.col("l_quantity").between(5, 45), F.col("l_returnflag") == "N"
-    rules = {"base": a & b & c & d, "any_discount": b & c & d, "any_quantity": a & b & d, "any_flag": a & b & c}
-    held = F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull())
-    return t.lineitem.select("l_quantity", F.explode(held).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+    conditions = {"tax": F.col("l_tax") > 0.01, "discount": F.col("l_discount") > 0.02, "quantity": F.col("l_quantity").between(5, 45), "flag": F.col("l_returnflag") == "N"}
+    rows = L.by_rules(t.lineitem.select("l_quantity", "l_tax", "l_discount", "l_returnflag"), L.relaxed_rules(conditions, base=["tax"]))
+    return rows.groupBy("rule").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
 _SIX = "l_quantity, l_discount * 100, l_tax * 100, l_extendedprice / 1000, l_linenumber, l_suppkey % 50"
@@ -94,32 +93,32 @@ def trimmed_mean_of_k(t: Tables) -> DataFrame:
 WHERE value > 0 AND value < 30 GROUP BY ALL""")
 def range_keep_percentile(t: Tables) -> DataFrame:
     three = t.lineitem.select("l_quantity", (F.col("l_discount") * 100).alias("d100"), (F.col("l_tax") * 100).alias("t100"))
-    return three.unpivot([], ["l_quantity", "d100", "t100"], "variable", "value").where("value > 0 and value < 30").groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s"))
+    return L.range_keep(three, three.columns, 0, 30).groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("s"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 6) AS lx, round(ln(l_quantity), 6) AS ly, round(abs(l_extendedprice - l_quantity), 6) AS d FROM lineitem WHERE l_extendedprice > 1000 AND l_quantity > 10")
 def log_positive_pairs(t: Tables) -> DataFrame:
-    kept = t.lineitem.where("l_extendedprice > 1000 and l_quantity > 10")
-    return kept.select("l_orderkey", "l_linenumber", r6(F.log("l_extendedprice")).alias("lx"), r6(F.log("l_quantity")).alias("ly"), r6(F.abs(F.col("l_extendedprice") - F.col("l_quantity"))).alias("d"))
+    kept = L.log_positive_pairs(t.lineitem, "l_extendedprice", "l_quantity", 1000, 10)
+    return kept.select("l_orderkey", "l_linenumber", r6("log_a").alias("lx"), r6("log_b").alias("ly"), r6("diff").alias("d"))
 
 
 @query("SELECT p_partkey, (p_size = 1)::INT AS c1, (p_size IN (2, 3))::INT AS c2_3, (p_size = 50)::INT AS c50 FROM part")
 def class_binarize(t: Tables) -> DataFrame:
-    s = F.col("p_size")
-    return t.part.select("p_partkey", (s == 1).cast("int").alias("c1"), s.isin(2, 3).cast("int").alias("c2_3"), (s == 50).cast("int").alias("c50"))
+    flags = C.class_flags("p_size", {"c1": [1], "c2_3": [2, 3], "c50": [50]})
+    return t.part.select("p_partkey", *[c.alias(n) for n, c in flags.items()])
 
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice BETWEEN 1200 AND 1600 THEN 1 ELSE 0 END AS inside FROM part")
 def threshold_mask(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.when(F.col("p_retailprice").between(1200, 1600), 1).otherwise(0).alias("inside"))
+    return t.part.select("p_partkey", C.inside("p_retailprice", 1200, 1600).alias("inside"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN o_orderstatus = 'F' OR p_size < 10 OR o_totalprice > 300000 THEN NULL ELSE l_quantity END AS v
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey""")
 def apply_masks(t: Tables) -> DataFrame:
     j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t.part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    hit = (F.col("o_orderstatus") == "F") | (F.col("p_size") < 10) | (F.col("o_totalprice") > 300000)
-    return j.select("l_orderkey", "l_linenumber", F.when(~F.coalesce(hit, F.lit(False)), F.col("l_quantity")).alias("v"))
+    masked = L.apply_masks(j, "l_quantity", [F.col("o_orderstatus") == "F", F.col("p_size") < 10, F.col("o_totalprice") > 300000])
+    return masked.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("v"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN r IS NULL THEN 'missing' WHEN r > 1.2 THEN 'larger' WHEN r < 0.8 THEN 'smaller' ELSE 'similar' END AS kind
@@ -137,14 +136,14 @@ def pct_difference_band(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, round((a + 2 * b) / 3, 6) AS v FROM (SELECT p_partkey, p_retailprice AS a FROM part) JOIN (SELECT l_partkey, avg(l_quantity) AS b FROM lineitem GROUP BY ALL) ON p_partkey = l_partkey")
 def cell_expr(t: Tables) -> DataFrame:
     """Layers joined on the cell, then a user's formula as SQL text; NULL propagates."""
-    a = t.part.select("p_partkey", F.col("p_retailprice").alias("a"))
-    b = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("b"))
-    return a.join(b, "p_partkey").select("p_partkey", r6(F.expr("(a + 2 * b) / 3")).alias("v"))
+    a = t.part.select("p_partkey", F.col("p_retailprice").alias("value"))
+    b = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_quantity").alias("value"))
+    return rounded(L.cell_expr({"a": a, "b": b}, ["p_partkey"], "(a + 2 * b) / 3", "v"), "v")
 
 
 @query("SELECT l_partkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) AS v FROM lineitem GROUP BY ALL")
 def depth_weighted_mean(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_partkey").agg(r6(F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / F.sum("l_quantity")).alias("v"))
+    return L.weighted_mean(t.lineitem, ["l_partkey"], "l_extendedprice", "l_quantity").select("l_partkey", r6("mean").alias("v"))
 
 
 @query("SELECT p_partkey, round(least(1, greatest(0, (p_retailprice - 1000) / 500)), 6) AS v FROM part")
@@ -171,14 +170,14 @@ def normalized_difference(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_quantity + 10, 4) AS v FROM lineitem")
 def area_weight(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * F.col("l_quantity") + 10, 4).alias("v"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(C.area_weighted("l_extendedprice", "l_quantity", 10), 4).alias("v"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS volume, sum(l_quantity) AS area FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, round(ln(volume / area * l_quantity), 6) AS v FROM lineitem JOIN s ON k = l_orderkey""")
 def volume_share(t: Tables) -> DataFrame:
-    whole = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("volume"), F.sum("l_quantity").alias("area"))
-    return t.lineitem.join(whole, "l_orderkey").select("l_orderkey", "l_linenumber", r6(F.log(F.col("volume") / F.col("area") * F.col("l_quantity"))).alias("v"))
+    shares = L.volume_share(t.lineitem, "l_orderkey", "l_extendedprice", "l_quantity")
+    return shares.select("l_orderkey", "l_linenumber", r6("log_share").alias("v"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(floor(l_tax * 100), 0), 6) AS norm, round(l_extendedprice / nullif(floor(l_tax * 100), 0) * floor(l_tax * 100), 4) AS back FROM lineitem")
@@ -190,8 +189,8 @@ def area_normalize(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax + l_discount, 6) AS ppt_sum, round((l_quantity + l_tax + l_discount) / 3, 6) AS ppt_avg FROM lineitem")
 def sum_avg_lags(t: Tables) -> DataFrame:
-    s = F.col("l_quantity") + F.col("l_tax") + F.col("l_discount")
-    return t.lineitem.select("l_orderkey", "l_linenumber", r6(s).alias("ppt_sum"), r6(s / 3).alias("ppt_avg"))
+    total, mean = C.sum_and_mean(["l_quantity", "l_tax", "l_discount"])
+    return t.lineitem.select("l_orderkey", "l_linenumber", r6(total).alias("ppt_sum"), r6(mean).alias("ppt_avg"))
 
 
 @query("""SELECT c_custkey, floor((c_acctbal + 1000) / 250)::BIGINT AS col, floor(c_nationkey / 2.5)::BIGINT AS row,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
+from tidegrid.operators import cells as L
 from tidegrid.operators import space as P
 from tidegrid.operators import tables as J
 from tidegrid.plans.registry import Tables, query, r6, rounded
@@ -28,7 +29,7 @@ def _monthly(df: DataFrame, key: str, date: str) -> list:
 def composite_key_join(t: Tables) -> DataFrame:
     a = t.orders.groupBy(*_monthly(t.orders, "o_custkey", "o_orderdate")).agg(F.round(F.sum("o_totalprice"), 2).alias("total")).select("k", "mm", "total")
     b = t.events.groupBy(*_monthly(t.events, "user_id", "ts")).agg(r6(F.sum("value")).alias("v")).select("k", "mm", "v")
-    return a.join(b, ["k", "mm"]).groupBy("k", "mm").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"), F.round(F.sum("v"), 4).alias("v"))
+    return L.keyed_join(a, b, ["k", "mm"]).groupBy("k", "mm").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total"), F.round(F.sum("v"), 4).alias("v"))
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_extendedprice FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_quantity > 10) a
@@ -36,7 +37,7 @@ JOIN (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FRO
 def multi_key_merge(t: Tables) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     x, y = t.lineitem.where("l_quantity > 10").select(*keys, "l_quantity"), t.lineitem.where("l_tax > 0.02").select(*keys, "l_extendedprice")
-    return x.join(y, keys).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return L.keyed_join(x, y, keys).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.operators import cells as L
 from tidegrid.operators import space as P
 from tidegrid.operators import tables as J
 from tidegrid.plans.registry import Tables, query
@@ -13,8 +14,7 @@ from tidegrid.plans.registry import Tables, query
 @query("SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) = 1")
 def top1_per_group(t: Tables) -> DataFrame:
     by = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("q"))
-    best = by.groupBy("l_suppkey").agg(F.max_by(F.struct("l_partkey", "q"), F.struct("q", -F.col("l_partkey"))).alias("s"))
-    return best.select("l_suppkey", "s.l_partkey", "s.q")
+    return L.top_per_group(by, ["l_suppkey"], "q", ["l_partkey"])
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey")
@@ -112,14 +112,15 @@ def wide_to_long_months(t: Tables) -> DataFrame:
 @query("""SELECT o_custkey, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS f, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS o, round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS p,
 greatest(round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2), round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2), round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2)) AS top FROM orders GROUP BY ALL""")
 def long_to_wide(t: Tables) -> DataFrame:
-    wide = t.orders.groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.round(F.sum("o_totalprice"), 2))
-    return wide.select("o_custkey", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"), F.greatest("F", "O", "P").alias("top"))
+    wide = L.long_to_wide(t.orders, ["o_custkey"], "o_orderstatus", ["F", "O", "P"], "o_totalprice")
+    two = [F.round(c, 2) for c in ("F", "O", "P")]
+    return wide.select("o_custkey", *[c.alias(n) for c, n in zip(two, "fop")], F.greatest(*two).alias("top"))
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS v, 1 AS presence FROM customer WHERE c_acctbal > 0 UNION ALL SELECT s_suppkey, -9999.0::DOUBLE, 0 FROM supplier")
 def presence_absence_table(t: Tables) -> DataFrame:
-    there = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.lit(1).alias("presence"))
-    return there.unionByName(t.supplier.select(F.col("s_suppkey").alias("id"), F.lit(-9999.0).alias("v"), F.lit(0).alias("presence")))
+    there = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
+    return L.presence_absence(there, t.supplier.select(F.col("s_suppkey").alias("id")), ["id", "v"], {"v": -9999.0})
 
 
 @query("SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::BIGINT AS code FROM orders")
