@@ -558,6 +558,31 @@ def test_toxicity(spark):
     assert op7.score_toxicity(docs.limit(0), model, F.lit(False)).count() == 0
 
 
+def test_words_in_parts_and_in_machine_tokens():
+    """Cut words are found where their parts make a toxic word and the lattice joins them; other neighbours stay apart."""
+    chars = characters()
+    model = op7.ToxicityModel(chars, {"=idiot": 5.0, "=moron": 4.0, "^idio": 1.0, "=river": -3.0}, -2.0)
+    assert model.toxic == {"idiot", "moron"} and model.features("what an idi ot you are") == {"=idiot", "^idio"}
+    assert model.features("an i diot. and a mo ro n!") == {"=idiot", "^idio", "=moron"}
+    for clean in ("the idi and ot", "riv er runs", "mo re on", "id iom", "", None, "idi", "m o"):
+        assert model.features(clean) == set(), clean
+    assert model.cut_words("idi ot idi ot".split()) == ["idi ot", "idi ot"] and model.cut_words(["idiot"]) == [] and model.cut_words("id i ot".split()) == ["id i ot"]
+    wary = op7.ToxicityModel(chars, model.weights, -2.0, frozenset({"ot", "mo"}))
+    assert wary.features("what an idi ot. and id iot") == {"=idiot", "^idio"} and wary.cut_words("an idi ot. mo ron".split()) == []
+    for token in ("name=1d10t", "https://x.org/1d10t?a=b", "1d10t2024", "me@1d10t.org", "a=b/m0r0n"):
+        assert model.features(token) & {"=idiot", "=moron"}, token
+    for token in ("4111111111111111", "key=AKIA0123456789", "https://x.org/path?q=1", "2024-01-02"):
+        assert model.features(token) == set(), token
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        model.features("i d " * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)
+
+
 # 8
 
 
