@@ -92,6 +92,18 @@ def test_mix_meets_its_targets(spark):
     assert sum(taken.values()) == int(1.5 * sum(sizes.values()))
 
 
+def test_many_sources_join_by_shuffling(spark, monkeypatch):
+    docs = documents(spark, mixed_rows(120))
+    few = sorted((tuple(r) for r in op11.mix_sources(docs).collect()), key=str)
+    monkeypatch.setattr(op11, "FEW_SOURCES", 0)
+    assert sorted((tuple(r) for r in op11.mix_sources(docs).collect()), key=str) == few
+    each = documents(spark, [(i, "word " * (i % 9), f"site{i:04d}") for i in range(300)])  # as many sources as documents
+    sizes = {f"site{i:04d}": i % 9 for i in range(300)}
+    want = level_targets(sizes, (3, 1, 2), 1.5, 2)
+    got = op11.mix_sources(each).collect()
+    assert all(r.target == pytest.approx(want[f"site{r.doc_id:04d}"]) and abs(r.taken - r.target) <= 8 for r in got) and sum(r.taken for r in got) == int(1.5 * sum(sizes.values()))
+
+
 def test_mix_order_serves_sources_evenly(spark):
     """At every place in the mix, each source has had its share of what was served, up to a part on either side."""
     base, parts = op11.mix_schedule(documents(spark, mixed_rows()), part_words=32)
