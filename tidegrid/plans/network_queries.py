@@ -84,8 +84,8 @@ def stream_order(t: Tables) -> DataFrame:
     return N.shreve_order(e).join(topo, "id")
 
 
-def _strahler_sql(rounds: int = 14) -> str:
-    """Headwaters cut off round by round: enough rounds for 2**14 headwaters."""
+def _strahler_sql(rounds: int = 40) -> str:
+    """Headwaters cut off round by round: every round leaves at most half of them, so these are enough for 2**39 headwaters."""
     parts = [_WALK.replace("w AS (", "w AS MATERIALIZED (", 1), "r1 AS (SELECT id FROM e)"]
     for k in range(1, rounds + 1):
         parts.append(f"h{k} AS (SELECT id FROM r{k} WHERE id NOT IN (SELECT down_id FROM e WHERE down_id IS NOT NULL AND id IN (SELECT id FROM r{k})))")
