@@ -410,6 +410,14 @@ def test_headwater_lengths_and_rises(spark):
         assert (r.nearest, r.farthest) == (near[0], far[0]) and (r.nearest_rise, r.farthest_rise) == (height[near[1]] - height[r.id], height[far[1]] - height[r.id])
 
 
+def test_clumps_of_a_long_winding_region(spark):
+    """A snake whose way back to its smallest cell is longer than 200 steps, beside single cells and one without a value."""
+    snake = [(r, c) for r in range(61) for c in range(9) if r % 2 == 0 or c == (8 if r % 4 == 1 else 0)]
+    cells = [(r, c, 1) for r, c in snake] + [(100, 0, 1), (100, 2, 1), (101, 1, None)]
+    got = {(x.row, x.col): tuple(x.clump) for x in N.connected_clumps(spark.createDataFrame(cells, "row long, col long, v int"), "v").collect()}
+    assert got == dict.fromkeys(snake, (0, 0)) | {(100, 0): (100, 0), (100, 2): (100, 2), (101, 1): (101, 1)}
+
+
 def test_clumps_of_large_regions_spread_over_keys(spark, monkeypatch):
     monkeypatch.setattr(N, "CLUMP_ROWS", 7)
     cells = [(r, c, int((r // 3 + c // 4) % 2 == 0)) for r in range(9) for c in range(12)]

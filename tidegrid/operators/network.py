@@ -17,7 +17,7 @@ from tidegrid.operators.running import running_sums
 from tidegrid.session import written
 
 MOST_ROUNDS = 40
-#: Cells of one region that meet in one key of a join.
+#: Cells of one region that may meet in one key of a join.
 CLUMP_ROWS = 65_536
 
 
@@ -242,27 +242,43 @@ def segment_gradient(edges: DataFrame, elevation: str, length: str) -> DataFrame
 def connected_clumps(cells: DataFrame, value: str) -> DataFrame:
     """(row, col, value, clump): regions of 8-connected cells of equal value, named by their smallest cell.
 
-    Neighbour edges, then min-label hooking with pointer jumping; rounds are logarithmic in a region's size in practice.
+    Contraction: each round every region hooks onto its smallest neighbour, if that is smaller or if none hooks onto the region
+    (the neighbour has then hooked onto a smaller one still, so there are no cycles and ends are smallest); hooks are
+    followed by pointer doubling to their ends, the regions of the next round. Every region with neighbours hooks or is hooked
+    onto, so a round leaves at most half of them, however long and winding they are.
     """
     node = F.struct("row", "col")
     near = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
     grid = cells.select("row", "col", value)
     shifted = grid.select(F.col("row").alias("r0"), F.col("col").alias("c0"), value, F.explode(near).alias("d")).select("r0", "c0", value, (F.col("r0") + F.col("d.dr")).alias("row"), (F.col("c0") + F.col("d.dc")).alias("col"))
     pairs = shifted.join(grid, ["row", "col", value]).select(F.struct(F.col("r0").alias("row"), F.col("c0").alias("col")).alias("u"), node.alias("v"))
-    edges = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), "clump-edges")
-    labels = written(grid.select(node.alias("n"), node.alias("label"), F.lit(1).cast("long").alias("slots")), "clumps")
-    slot = F.pmod(F.xxhash64("n"), F.col("slots"))
-    for _ in range(200):
-        heard = edges.join(labels.select(F.col("n").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        hooked = labels.join(heard, labels.n == heard.u, "left").select("n", "label", "slots", slot.alias("slot"), F.least("label", F.coalesce("heard", "label")).alias("new"))
-        # the best label that any member of a label's group heard, for the whole group; a large group is spread over slots
-        best = hooked.groupBy("label").agg(F.min("new").alias("best"), F.max("slots").alias("_s"), F.count("*").alias("_n"))
-        best = best.select("label", "best", F.ceil(F.col("_n") / CLUMP_ROWS).alias("slots"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)).alias("slot"))
-        new = written(hooked.drop("slots").join(best, ["label", "slot"]).select("n", F.col("best").alias("label"), "slots", (F.col("best") != F.col("label")).alias("changed")), "clumps")
-        labels = new.select("n", "label", "slots")
-        if new.where("changed").isEmpty():
-            return grid.join(labels.select("n.row", "n.col", "label"), ["row", "col"]).select("row", "col", value, F.col("label").alias("clump"))
-    raise RuntimeError("clumps didn't settle")
+    edges, ends = written(pairs.where("u != v"), "clump-edges"), []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v"))
+        least = written(least, "clump-hooks")
+        hooked = least.where("v < id").select(F.col("v").alias("id")).distinct().withColumn("_hooked", F.lit(True))
+        hooks = least.join(hooked, "id", "left").select("id", F.when((F.col("v") < F.col("id")) | F.col("_hooked").isNull(), F.col("v")).alias("down_id"))
+        ends.append(outlets(hooks).select("id", F.col("outlet").alias("end")))
+        of = lambda c: ends[-1].select(F.col("id").alias(c), F.col("end").alias(f"_{c}"))
+        edges = edges.join(of("u"), "u").select(F.col("_u").alias("u"), "v").where("u != v").join(of("v"), "v").select("u", F.col("_v").alias("v")).where("u != v")
+        edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "clump-edges")
+    labels = None
+    for found in reversed(ends):  # the ends of the last round are clumps; those of each round before are looked up in the rounds after
+        labels = found.select("id", F.col("end").alias("label")) if labels is None else _relabelled(found, labels)
+    if labels is None:
+        return grid.select("row", "col", value, node.alias("clump"))
+    named = labels.select("id.row", "id.col", "label")
+    return grid.join(named, ["row", "col"], "left").select("row", "col", value, F.coalesce("label", node).alias("clump"))
+
+
+def _relabelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of (id, end): the label of the end, or the end itself if it has none. Ends of very many rows are looked up in a broadcast."""
+    large = found.groupBy("end").agg(F.count("*").alias("_n")).where(F.col("_n") > CLUMP_ROWS).select("end")
+    large = written(large.join(labels.withColumnRenamed("id", "end"), "end", "left"), "clumps")  # a row per CLUMP_ROWS cells at most
+    rest = found.join(F.broadcast(large), "end", "left_anti").join(labels.withColumnRenamed("id", "end"), "end", "left")
+    every = found.join(F.broadcast(large), "end").unionByName(rest)
+    return written(every.select("id", F.coalesce("label", "end").alias("label")), "clumps")
 
 
 def grow_fill(cells: DataFrame, value: str, reach: int, how: str = "nearest") -> DataFrame:
