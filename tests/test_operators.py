@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
+from tidegrid.operators import bands as B
 from tidegrid.operators import matrix as X2
 from tidegrid.operators import models as M
 from tidegrid.operators import network as N
@@ -140,6 +141,36 @@ def test_band_correlations_equal_numpy(spark):
     assert got.keys() == want.keys() and all(got[k] == (len(v), pytest.approx(np.mean(v))) for k, v in want.items())
 
 
+def test_band_correlations_by_blocks(spark, monkeypatch):
+    """Blocks and tiles of a few stations: every pair is met once, complete and gappy, flat and at shared places, on the plane and the sphere."""
+    monkeypatch.setattr(B, "BLOCK", 7)
+    monkeypatch.setattr(B, "TILE", 3)
+    rng = np.random.default_rng(9)
+    at = np.column_stack([rng.integers(0, 12, 60) / 4 + 178.5, rng.integers(0, 8, 60) / 4 + 59.0])
+    at[:, 0] = np.where(at[:, 0] > 180, at[:, 0] - 360, at[:, 0])
+    v = rng.normal(size=(60, 10))
+    v[rng.random((60, 10)) < 0.4] = np.nan
+    v[::3] = rng.normal(size=(20, 10))
+    v[6], v[7] = 5.0, np.where(np.isnan(v[7]), np.nan, 0.1)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "s long, lon double, lat double")
+    series = spark.createDataFrame([(i, m, float(v[i, m])) for i in range(60) for m in range(10) if not np.isnan(v[i, m])], "s long, m int, v double")
+    for places, reach in ((at, 1.2), (at, 60_000.0)):
+        want = {}
+        for a in range(60):
+            for b in range(a + 1, 60):
+                d = np.hypot(*(places[a] - places[b])) if reach < 10 else B.arc_metres(*places[a][:, None], *places[b][:, None])[0, 0]
+                both = ~np.isnan(v[a]) & ~np.isnan(v[b])
+                if d < reach and both.sum() >= 3:
+                    flat = np.ptp(v[a, both]) == 0 or np.ptp(v[b, both]) == 0
+                    want.setdefault(int(d // (reach / 3)), []).append(np.nan if flat else np.corrcoef(v[a, both], v[b, both])[0, 1])
+        if reach < 10:
+            got = J.band_correlations(points.select("s", F.col("lon").alias("x"), F.col("lat").alias("y")), series, "s", "m", "v", reach, reach / 3)
+        else:
+            got = P.band_correlations_on_sphere(points, series, "s", "m", "v", [reach / 3, 2 * reach / 3, reach])
+        got = {r.band: (r.n_pairs, r.mean_r) for r in got.collect()}
+        assert got.keys() == want.keys() and all(got[k] == (len(r), pytest.approx(np.nanmean(r))) for k, r in want.items())
+
+
 def test_block_mode_ties_to_smaller(spark):
     df = spark.createDataFrame([(0, 0, 5), (0, 1, 3), (1, 0, 5), (1, 1, 3)], "row int, col int, v int")
     assert rows(A.block_aggregate(df, 2, "v", "mode")) == [(0, 0, 3)]

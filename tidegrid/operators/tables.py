@@ -6,8 +6,10 @@ to the planner, which broadcasts by measured size and otherwise shuffles, with s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,26 +135,23 @@ def near_pairs(points: DataFrame, key: str, reach: float) -> DataFrame:
 def band_correlations(points: DataFrame, series: DataFrame, key: str, month: str, value: str, reach: float, width: float, least: int = 3) -> DataFrame:
     """(band, n_pairs, mean_r): mean Pearson correlation of the series of stations less than ``reach`` apart, per ``width`` of distance.
 
-    ``series`` has one row per station and month (a whole number). A station's months travel as one array over the calendar of
-    the series, so that what is shuffled grows with the pairs and not with pairs times months; a pair's months are laid side by
-    side and correlated in one task. Pairs with fewer than ``least`` months in common are left out; a pair without variance
-    counts as a pair and not in the mean.
+    ``series`` has one row per station and month (a whole number). Stations meet in blocks, whose pairs are correlated by matrix
+    products (``bands``): no row per pair is made. Pairs with fewer than ``least`` months in common are left out; a pair without
+    variance counts as a pair and not in the mean.
     """
-    pairs = near_pairs(points, key, reach).select("a", "b", F.floor(F.col("d") / width).alias("band"))
-    return pair_correlations(pairs, series, key, month, value, least).groupBy("band").agg(F.count("*").alias("n_pairs"), F.avg("r").alias("mean_r"))
-
-
-def pair_correlations(pairs: DataFrame, series: DataFrame, key: str, month: str, value: str, least: int = 3) -> DataFrame:
-    """(a, b, band, r, n) of the given pairs (a, b, band) with at least ``least`` months in common; r is NULL without variance."""
-    given = series.where(F.col(month).isNotNull())
-    span = given.agg(F.min(month).alias("_lo"), F.max(month).alias("_hi"))  # one row
-    held = given.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(month, value))).alias("_s")).crossJoin(F.broadcast(span))
-    held = held.select(key, F.transform(F.sequence("_lo", "_hi"), lambda m: F.try_element_at("_s", m)).alias("_v"))
-    one, two = held.select(F.col(key).alias("a"), F.col("_v").alias("_x")), held.select(F.col(key).alias("b"), F.col("_v").alias("_y"))
-    both = pairs.join(one, "a").join(two, "b")
-    each = both.select("a", "b", "band", F.inline(F.arrays_zip("_x", "_y"))).where("_x is not null and _y is not null")
-    each = each.groupBy("a", "b", "band").agg(C.corr("_x", "_y").alias("r"), F.count("*").alias("n"))
-    return each.where(F.col("n") >= least)
+    from tidegrid.operators import bands as B
+
+    cell = lambda c: F.floor(F.col(c) / reach)
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+
+    def around(cells: DataFrame) -> DataFrame:
+        rows = cells.select("_row", "_bin", F.explode(F.transform(steps, lambda k: F.col("_row") + k)).alias("_row2"))
+        return rows.select("*", F.explode(F.transform(steps, lambda k: F.col("_bin") + k)).alias("_bin2"))
+
+    number = math.ceil(reach / width)
+    band_of = lambda d: np.where(d < reach, np.floor(d / width), number)
+    found = B.band_moments(points.select(key, "x", "y"), [cell("y"), cell("x")], around, series, key, month, value, B.plane, band_of, number, least)
+    return found.select("band", "n_pairs", "mean_r")
 
 
 def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
