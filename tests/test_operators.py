@@ -171,6 +171,35 @@ def test_band_correlations_by_blocks(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k] == (len(r), pytest.approx(np.nanmean(r))) for k, r in want.items())
 
 
+def test_snapping_in_rounds_of_growing_reach(spark, monkeypatch):
+    """As brute force, however often the radius is halved: crowded anchors, shared places, ties, points without a position."""
+    rng = np.random.default_rng(11)
+    p = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 60, (80, 2)) / 2)] + [(900, None, 1.0)]
+    a = [(i, float(x), float(y), int(w)) for i, (x, y, w) in enumerate(np.column_stack([rng.integers(0, 40, (70, 2)) / 2, rng.integers(0, 6, 70)]))]
+    points, anchors = spark.createDataFrame(p, "id long, x double, y double"), spark.createDataFrame(a, "anchor_id long, ax double, ay double, weight int")
+    def wanted(d):
+        near = [[(-((w >= 1) + (w >= 3)), d(x, y, ax, ay), k) for k, ax, ay, w in a if w >= 1 and d(x, y, ax, ay) <= d(0, 0, 4, 0)] if x is not None else [] for _, x, y in p]
+        return {q[0]: (min(n)[2], -min(n)[0]) if n else (None, None) for q, n in zip(p, near)}
+    arc = lambda x, y, x2, y2: float(B.arc_metres(*[np.array([v], dtype=float) for v in (x, y, x2, y2)])[0, 0])
+    globe = anchors.withColumnsRenamed({"ax": "lon", "ay": "lat"})
+    for halved in (None, 5):
+        if halved:
+            monkeypatch.setattr(J, "crowding", lambda *_: {1: halved, 2: halved})
+            monkeypatch.setattr(P, "crowding", lambda *_: {1: halved, 2: halved})
+        plane = J.nearest_snap(points, anchors, 4.0, [1, 3], "id").collect()
+        assert {r.id: (r.anchor_id, r.level) for r in plane} == wanted(lambda x, y, x2, y2: float(np.hypot(x - x2, y - y2)))
+        sphere = P.snap_on_sphere(points.withColumnsRenamed({"x": "lon", "y": "lat"}), globe, arc(0, 0, 4, 0), [1, 3], "id").collect()
+        assert {r.id: (r.anchor_id, r.level) for r in sphere} == wanted(arc)
+        out = P.outside_buffer_on_sphere(points.withColumnsRenamed({"x": "lon", "y": "lat"}), globe.where("weight >= 1"), arc(0, 0, 4, 0)).collect()
+        assert {r.id for r in out} == {k for k, v in wanted(arc).items() if v[0] is None}
+
+
+def test_sums_in_extents_of_shared_places(spark):
+    points = spark.createDataFrame([(1.0, 1.0)] * 3 + [(4.0, 1.0)], "x double, y double")
+    extents = spark.createDataFrame([(1, 0.0, 3.0, 0.0, 3.0), (2, 0.0, 3.0, 0.0, 3.0), (3, 0.0, 9.0, 0.0, 9.0), (4, 1.0, 1.0, 0.0, 3.0)], "tile long, x0 double, x1 double, y0 double, y1 double")
+    assert sorted(rows(P.sums_in_extents(points, extents, 2.0, F.col("x") + F.col("y")))) == [(1, 3, 6.0), (2, 3, 6.0), (3, 4, 11.0)]
+
+
 def test_block_mode_ties_to_smaller(spark):
     df = spark.createDataFrame([(0, 0, 5), (0, 1, 3), (1, 0, 5), (1, 1, 3)], "row int, col int, v int")
     assert rows(A.block_aggregate(df, 2, "v", "mode")) == [(0, 0, 3)]

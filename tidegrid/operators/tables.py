@@ -7,7 +7,7 @@ to the planner, which broadcasts by measured size and otherwise shuffles, with s
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -61,22 +61,60 @@ def overlap(left: DataFrame, right: DataFrame, on: Sequence[str] = ("row", "col"
     return left.join(right, list(on))
 
 
-def nearest_snap(points: DataFrame, anchors: DataFrame, radius: float, thresholds: Sequence[float], id_col: str) -> DataFrame:
-    """Each point's anchor: the highest threshold that any anchor within ``radius`` meets, then the nearest, then the smallest id.
+def crowding(spots: DataFrame, bins: Sequence[Column], level: str) -> dict[int, int]:
+    """Per level, how often a radius is halved so that the bins around a point hold some 32 spots, where spots are as crowded as they mostly are."""
+    held = spots.groupBy(level, *[b.alias(f"_b{i}") for i, b in enumerate(bins)]).agg(F.count("*").alias("_n"))
+    mean = held.groupBy(level).agg((F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).alias("_m")).collect()  # one row per level
+    return {r[0]: min(20, max(0, math.ceil(math.log(max(1.0, 9 * r["_m"] / 32), 4)))) for r in mean}
+
+
+def nearest_in_rounds(places: DataFrame, at: Sequence[str], spots: DataFrame, radius: float, near: Callable[[DataFrame, DataFrame, float], DataFrame], halvings: dict[int, int]) -> DataFrame:
+    """(at, anchor_id, d, level) of the places (columns ``at``, a row each) with a spot (anchor_id, level) within ``radius``: the highest level, then the nearest, then the smallest id.
 
-    One pass: anchors are binned by ``radius`` and looked up in the nine bins around a point; thresholds are levels of the
-    ordering, not rounds. points: x, y; anchors: anchor_id, ax, ay, weight. Points without an anchor keep NULL.
+    Level by level, a place asks within a small reach first and within twice that if nothing was there: what lies within a reach is
+    all seen, so the first answer is the nearest. Where spots are dense, few of them are looked at, whatever the radius.
     """
-    b = lambda c: F.floor(F.col(c) / radius)
+    found, left = None, written(places, "places")
+    for level in sorted(halvings, reverse=True):
+        some = spots.where(F.col("level") == level)
+        for k in range(halvings[level], -1, -1):
+            hit = near(left, some, radius / 2**k).groupBy(*at).agg(F.min_by(F.struct("anchor_id", "d", "level"), F.struct("d", "anchor_id")).alias("_s"))
+            hit = written(hit, "nearest")
+            found = hit if found is None else found.unionByName(hit)
+            left = written(left.join(hit, list(at), "left_anti"), "places")
+        if left.isEmpty():
+            break
+    return found.select(*at, "_s.*") if found is not None else places.select(*at, *[F.lit(None).cast(t).alias(c) for c, t in (("anchor_id", spots.schema["anchor_id"].dataType), ("d", "double"), ("level", "int"))]).where(F.lit(False))
+
+
+def near_on_plane(points: DataFrame, spots: DataFrame, reach: float) -> DataFrame:
+    """Rows of ``points`` (x, y) and ``spots`` (ax, ay) at most ``reach`` apart, with their distance d."""
+    b = lambda c: F.floor(F.col(c) / reach)
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = points.select(id_col, "x", "y", b("x").alias("bx"), b("y").alias("by"))
-    near = near.select("*", F.explode(steps).alias("dx")).select("*", F.explode(steps).alias("dy")).withColumns({"bx": F.col("bx") + F.col("dx"), "by": F.col("by") + F.col("dy")})
-    binned = anchors.select("anchor_id", "ax", "ay", "weight", b("ax").alias("bx"), b("ay").alias("by"))
+    near = points.select("*", F.explode(F.transform(steps, lambda k: b("x") + k)).alias("_bx"))
+    near = near.select("*", F.explode(F.transform(steps, lambda k: b("y") + k)).alias("_by"))
     d = F.sqrt(F.pow(F.col("x") - F.col("ax"), 2) + F.pow(F.col("y") - F.col("ay"), 2))
+    return near.join(spots.withColumns({"_bx": b("ax"), "_by": b("ay")}), ["_bx", "_by"]).withColumn("d", d).where(F.col("d") <= reach).drop("_bx", "_by")
+
+
+def levelled(anchors: DataFrame, at: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """(at, level, anchor_id): anchors that meet a threshold, the smallest id of a place and level."""
     level = F.size(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("weight") >= t))
-    found = near.join(binned, ["bx", "by"]).withColumn("d", d).withColumn("level", level).where((F.col("d") <= radius) & (F.col("level") > 0))
-    best = found.groupBy(id_col).agg(F.min_by(F.struct("anchor_id", "d", "level"), F.struct(-F.col("level"), "d", "anchor_id")).alias("s"))
-    return points.join(best.select(id_col, F.col("s.anchor_id").alias("anchor_id"), F.col("s.d").alias("distance"), F.col("s.level").alias("level")), id_col, "left")
+    there = anchors.where(" and ".join(f"{c} is not null" for c in at))
+    return written(there.withColumn("level", level).where("level > 0").groupBy(*at, "level").agg(F.min("anchor_id").alias("anchor_id")), "spots")
+
+
+def nearest_snap(points: DataFrame, anchors: DataFrame, radius: float, thresholds: Sequence[float], id_col: str) -> DataFrame:
+    """Each point's anchor: the highest threshold that any anchor within ``radius`` meets, then the nearest, then the smallest id.
+
+    Places are asked once, however many points share them, in rounds of growing reach (``nearest_in_rounds``). points: x, y;
+    anchors: anchor_id, ax, ay, weight. Points without an anchor keep NULL.
+    """
+    spots = levelled(anchors, ["ax", "ay"], thresholds)
+    halvings = crowding(spots, [F.floor(F.col("ax") / radius), F.floor(F.col("ay") / radius)], "level")
+    places = points.select("x", "y").where("x is not null and y is not null").distinct()
+    best = nearest_in_rounds(places, ["x", "y"], spots, radius, near_on_plane, halvings)
+    return points.join(best.withColumnRenamed("d", "distance"), ["x", "y"], "left").select(*points.columns, "anchor_id", "distance", "level")
 
 
 def outside_buffer(points: DataFrame, presence: DataFrame, radius: float) -> DataFrame:
