@@ -206,5 +206,5 @@ def point_in_tile_extents(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     tiles = t.supplier.select(k.alias("tile"), (k * 97 % 900).cast("double").alias("x0"), (k * 97 % 900 + k * 13 % 7 * 40).cast("double").alias("x1"), (k * 31 % 900).cast("double").alias("y0"), (k * 31 % 900 + 25 * (1 + k % 9)).cast("double").alias("y1"))
     points = t.part.select((F.col("p_partkey") * 7919 % 1000).cast("double").alias("x"), (F.col("p_partkey") * 104729 % 1000).cast("double").alias("y"))
-    found = P.points_in_extents(points, tiles, 50.0).groupBy("tile").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x") + F.col("y")), 2).alias("total"))
+    found = P.sums_in_extents(points, tiles, 50.0, F.col("x") + F.col("y")).withColumn("total", F.round("total", 2))
     return tiles.select("tile").join(found, "tile", "left").select("tile", F.coalesce("n", F.lit(0)).alias("n"), "total")
