@@ -542,6 +542,14 @@ def toxic_corpus(n=400):
     return texts, labels
 
 
+def test_toxicity_is_learned_from_all_labelled_rows(spark, monkeypatch):
+    """Eight rows among 18,000 hold a word: just enough for the test of words, so none of them may be left out; tasks hand on counts in parts."""
+    monkeypatch.setattr(op7, "COUNTED", 50)
+    every = spark.range(18_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "concat('river stone n', translate(cast(id as string), '0123456789', 'abcdefghij'), if(id % 2 = 1 and id < 16, ' grubfoot', '')) as text")
+    model = op7.fit_toxicity_model(every.select("doc_id", "text"), every.select("doc_id", "toxic"), F.lit(True))
+    assert model.weights["=grubfoot"] > 0 and "=river" not in model.weights
+
+
 def test_toxicity(spark):
     texts, labels = toxic_corpus()
     docs = documents(spark, [*texts, None, "", "1d10t you m0r0n"])
