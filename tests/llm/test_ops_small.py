@@ -550,6 +550,25 @@ def test_toxicity_is_learned_from_all_labelled_rows(spark, monkeypatch):
     assert model.weights["=grubfoot"] > 0 and "=river" not in model.weights
 
 
+def test_toxicity_moves_one_text_per_copy_and_looks_for_more_features_if_need_be(spark, monkeypatch):
+    """Only what may be chosen crosses to the labels, each text once per class; the model is the same however few features are looked for at first."""
+    texts, labels = toxic_corpus()
+    docs = documents(spark, [*texts, *texts[:50], None, None, ""])
+    docs = docs.unionByName(docs.limit(5))  # repeated rows
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate([*labels, *[1 - y for y in labels[:20]], *labels[20:50], 0, 0, 0])], "doc_id long, toxic int")
+    rows, counts = op7.labelled_texts(docs, marks, F.lit(True))
+    want = {(t, y) for t, y in zip([*texts, *texts[:50], None, None, ""], [r.toxic for r in marks.orderBy("doc_id").collect()])}
+    got = [(r.text, r.toxic) for r in rows.collect()]
+    assert set(got) == want and len(got) == len(want) and counts == {y: sum(1 for _, z in want if z == y) for y in (0, 1)}
+    taken = op7.taken_places(spark.range(100).select(F.col("id").alias("doc_id")), 18)
+    left = {r.id for r in op7.with_place_taken(spark.range(3000), ["id"], taken, 18).collect()}
+    assert left >= set(range(100)) and len(left) < 150
+    whole = op7.fit_toxicity_model(docs, marks, F.lit(True))
+    monkeypatch.setattr(op7, "CANDIDATES", 1)
+    few = op7.fit_toxicity_model(docs, marks, F.lit(True))
+    assert few.weights == whole.weights and len(few.weights) > 4 and few.bias == whole.bias
+
+
 def test_toxicity(spark):
     texts, labels = toxic_corpus()
     docs = documents(spark, [*texts, None, "", "1d10t you m0r0n"])
