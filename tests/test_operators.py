@@ -338,6 +338,21 @@ def grown(x, y, w, depth):
     return lambda q: np.where(q[:, j] <= c, a(q), b(q))
 
 
+def test_rows_with_equal_features_are_fitted_as_one(spark, monkeypatch):
+    """Forests and searches see different vectors (per fold and block), not rows; the search's error is that of all rows."""
+    df = spark.range(6000).selectExpr("id % 300 as g", "cast(id % 2 as double) as a", "cast(id % 5 as int) as b", "cast(id % 2 * 10 + id % 7 as double) as y")
+    fitted, sizes = M.fitted_trees, []
+    monkeypatch.setattr(M, "fitted_trees", lambda rows, *a: (sizes.append(rows.count()), fitted(rows, *a))[1])
+    M.train_forest(df, ["a", "b"], "y", "g", trees=2, depth=2)
+    assert sizes == [10]
+    monkeypatch.setattr(M, "BLOCKS", 4)
+    found = M.grid_search_forest(df, ["a"], "y", "g", depths=(2,), trees=(3,))
+    assert found.avgMetrics == pytest.approx([2.0], rel=0.01)  # the deviation of 0 ... 6
+    monkeypatch.setattr(M.CrossValidator, "fit", lambda self, cells: cells)
+    cells = M.grid_search_forest(df, ["a"], "y", "g", depths=(2,), trees=(3,)).toPandas()
+    assert len(cells) <= 3 * 4 * 2 and cells.weight.sum() == 6000
+
+
 def test_forest_equals_numpy_trees_on_the_same_draws(spark):
     rng = np.random.default_rng(4)
     n, trees = 160, 12
