@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import columns as C
+from tidegrid.operators.tables import small_or_shuffled
 from tidegrid.session import written
 
 #: The eleven quantile columns and their probabilities.
@@ -76,12 +77,13 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """(keys, q): exact quantiles with linear interpolation per key, as an array in the order of ``probs``; NULLs don't count.
 
-    For whole columns and large groups; ``percentile`` would merge a group's distinct values in one task.
+    For whole columns and large groups; ``percentile`` would merge a group's distinct values in one task. The sizes of few keys
+    are sent to all tasks: a shuffle by key would bring a key's values together.
     """
     ranked = ordered_counts(df, keys, value)
     ranked = written(ranked.withColumn("_v", F.col("_v").cast("double")), "ranked")
     total = ranked.groupBy(*keys).agg(F.max("_upto").alias("_all"))
-    rows = joined_on_keys(ranked, total, keys) if keys else ranked.crossJoin(F.broadcast(total))  # one row
+    rows = joined_on_keys(ranked, small_or_shuffled(total), keys) if keys else ranked.crossJoin(F.broadcast(total))  # one row
     if len(probs) > 32 and all(p == i / (len(probs) - 1) for i, p in enumerate(probs)):
         return _even_quantiles(rows, keys, len(probs) - 1)
     found = []
