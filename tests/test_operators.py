@@ -338,6 +338,18 @@ def grown(x, y, w, depth):
     return lambda q: np.where(q[:, j] <= c, a(q), b(q))
 
 
+def test_group_ranks_and_quantiles_stay_in_bounds(spark, monkeypatch):
+    """Ranks inside groups are spread by their rows; the values of few keys aren't brought together by a shuffle on the key."""
+    df = spark.range(1000).selectExpr("id % 50 as g", "cast(id * 7 % 31 as double) as x", "cast(id * id % 29 as double) as y")
+    want = {r.g: (r.rho, r.n) for r in A.grouped_spearman(df, ["g"], "x", "y", large=True).collect()}
+    monkeypatch.setattr(A, "RANKED_AT_ONCE", 100)
+    got = A.grouped_spearman(df, ["g"], "x", "y")
+    assert got.rdd.getNumPartitions() == 11
+    assert {r.g: (pytest.approx(r.rho), r.n) for r in got.collect()} == want
+    q = A.exact_quantiles(df.selectExpr("g % 2 as k", "x"), ["k"], "x", (0.5,))
+    assert "BroadcastHashJoin" in q._jdf.queryExecution().executedPlan().toString() and q.count() == 2
+
+
 def test_rows_with_equal_features_are_fitted_as_one(spark, monkeypatch):
     """Forests and searches see different vectors (per fold and block), not rows; the search's error is that of all rows."""
     df = spark.range(6000).selectExpr("id % 300 as g", "cast(id % 2 as double) as a", "cast(id % 5 as int) as b", "cast(id % 2 * 10 + id % 7 as double) as y")

@@ -20,6 +20,8 @@ QUANTILES = ("QMIN", "Q10", "Q20", "Q30", "Q40", "Q50", "Q60", "Q70", "Q80", "Q9
 PROBS = tuple(i / 10 for i in range(11))
 #: Aggregates of one stage beyond which a matrix is summed by blocks; rows of a zone up to which its percentiles are taken in one task.
 MANY_PAIRS, SMALL_ZONE = 100, 200_000
+#: Rows of whole groups that a task ranks at a time, on average.
+RANKED_AT_ONCE = 250_000
 
 
 def monthly_quantiles(df: DataFrame, station: str, date: str, value: str, min_obs: int = 1) -> DataFrame:
@@ -164,12 +166,17 @@ def grouped_average_rank(group: Sequence[str], value: str) -> Column:
 
 
 def grouped_spearman(df: DataFrame, group: Sequence[str], x: str, y: str, large: bool = False) -> DataFrame:
-    """rho and n per group; ``large``: for few groups of any size, whose rows must not meet in one task."""
+    """rho and n per group; ``large``: for few groups of any size, whose rows must not meet in one task.
+
+    Groups of bounded size are dealt to as many tasks as their rows need, so that a task's memory doesn't grow with the table.
+    """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if large:
         both = both.select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
         ranked = average_ranks(average_ranks(both, "_x", "_rx", group), "_y", "_ry", group)
     else:
+        both = both.select(*dict.fromkeys([*group, x, y]))
+        both = both.repartition(both.count() // RANKED_AT_ONCE + 1, *group)
         ranked = both.withColumn("_rx", grouped_average_rank(group, x)).withColumn("_ry", grouped_average_rank(group, y))
     return ranked.groupBy(*group).agg(C.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
