@@ -651,6 +651,31 @@ def test_lag_search_equals_numpy_where_targets_are_missing(spark):
     assert same["x1", "x1", 0] == pytest.approx(1.0)
 
 
+def test_lag_search_moves_no_single_values(spark, monkeypatch):
+    """Ranks of few values are sent to the rows: only the window by station and the merging of sums shuffle. Shuffled ranks give the same, in blocks too."""
+    df = spark.range(3000).selectExpr("id % 30 AS s", "id div 30 AS m", "cast(id * 7 % 11 AS double) AS x1", "if(id % 6 = 0, null, cast(id * 5 % 13 AS double)) AS x2", "if(id % 5 = 0, double('nan'), id * 37 % 101) AS y1", "cast(id * id % 23 AS double) AS y2")
+    values = lambda found: {(r.variable, r.target, r.lag): (r.n, pytest.approx(r.rho, abs=1e-9)) for r in found.collect()}
+    search = lambda: X2.lagged_correlations(df, "s", "m", ["x1", "x2"], ["y1", "y2"], (0, 1))
+    found = search()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+    want = {k: (n, rho.expected) for k, (n, rho) in values(found).items()}
+    assert len(want) == 8
+    monkeypatch.setattr(X2, "small_or_shuffled", lambda lookup: lookup)
+    assert want == values(search())
+    monkeypatch.setattr(X2, "FEW_COLUMNS", 1)
+    assert want == values(search())
+
+
+def test_middle_rows_give_the_median(spark):
+    import pandas as pd
+
+    rows_ = [("a", 3.0), ("a", 1.0), ("a", None), ("b", 4.0), ("b", 1.0), ("b", 1.0), ("b", 9.0), ("b", None), ("c", None), (None, 5.0), (None, 6.0), (None, 6.0), ("d", 2.0)]
+    df = spark.createDataFrame(rows_, "k string, v double").repartition(3)
+    got = {r.k: (r.m, r.n) for r in A.with_middle(df, ["k"], "v", "mid").groupBy("k").agg(F.avg("mid").alias("m"), F.count("*").alias("n")).collect()}
+    want = pd.DataFrame(rows_, columns=["k", "v"]).groupby("k", dropna=False).v.agg(["median", "size"])
+    assert got == {(None if pd.isna(k) else k): (None if pd.isna(m) else m, n) for k, m, n in want.itertuples()}
+
+
 def test_interactions_equal_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(3, 1, (200, 3))

@@ -34,6 +34,17 @@ def monthly_quantiles(df: DataFrame, station: str, date: str, value: str, min_ob
     return found.where(F.col("n_obs") >= min_obs).select(station, "yyyy", "mm", "n_obs", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)])
 
 
+def with_middle(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ``value`` on the row in the middle of its group (on both, if the values are even in number), NULL elsewhere.
+
+    So ``avg(out)`` is a group's exact median beside other aggregates of ``keys``, after one sort of the rows: many small groups need no
+    table of values each.
+    """
+    w = Window.partitionBy(*keys)
+    placed = df.withColumns({"_i": 2 * F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())), "_n": F.count(value).over(w)})
+    return placed.withColumn(out, F.when(F.col("_i").between(F.col("_n"), F.col("_n") + 2), F.col(value))).drop("_i", "_n")
+
+
 def approx_monthly_quantiles(df: DataFrame, station: str, date: str, value: str, accuracy: int = 10_000) -> DataFrame:
     """The same from a sketch of bounded size, for groups of any size."""
     q = F.percentile_approx(value, list(PROBS), accuracy)

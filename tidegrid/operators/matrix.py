@@ -7,19 +7,23 @@ both values are given, as ``corr`` does; NaN counts as a missing value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions import columns as C
 from tidegrid.operators.aggregates import ordered_counts
-from tidegrid.operators.series import calendar_lags
+from tidegrid.operators.running import running_sums
+from tidegrid.operators.tables import small_or_shuffled
 from tidegrid.session import ship_package, written
 
+#: Columns up to which ranks come back by a join per column.
+FEW_COLUMNS = 8
 MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy")
 
 
@@ -117,6 +121,35 @@ def ranked_arrays(rows: DataFrame) -> DataFrame:
     return entries.select("key", F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.try_element_at("_m", i)).alias("v"))
 
 
+def value_ranks(counts: Mapping[str, DataFrame], slots: int = 1) -> DataFrame:
+    """(i, x, r0, r1 ...): average ranks of every column's values (x, n0, n1 ...), distinct or not, per slot: a set of rows that counts them.
+
+    ``i`` is the column's place; a slot without rows of a value has no rank for it. All columns go through one sort of their distinct values.
+    """
+    n = [f"n{s}" for s in range(slots)]
+    each = [c.where("x is not null").groupBy("x").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in n]).select(F.lit(i).alias("i"), "x", *n) for i, c in enumerate(counts.values())]
+    upto = running_sums(reduce(DataFrame.union, each), "i", ["x"], n, ["x"])
+    return written(upto.select("i", "x", *[F.when(F.col(m) > 0, F.col(f"{m}_upto") - (F.col(m) - 1) / 2).alias(f"r{s}") for s, m in enumerate(n)]), "ranks")
+
+
+def with_ranks(rows: DataFrame, ranks: DataFrame, cols: Sequence[str], slots: int = 1) -> DataFrame:
+    """``rows`` with the ranks of ``value_ranks`` as <col>_r0, <col>_r1 ...; missing values have none.
+
+    Ranks of few distinct values are sent to all tasks, so the rows stay where they are; only columns of many cost a shuffle.
+    """
+    for i, c in enumerate(cols):
+        one = small_or_shuffled(ranks.where(F.col("i") == i).select(F.col("x").alias("_v"), *[F.col(f"r{s}").alias(f"{c}_r{s}") for s in range(slots)]))
+        spread = F.when(F.col(c).isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)) + 1).otherwise(0)  # missing values must not meet in one task
+        rows = rows.join(one, [F.col(c) == F.col("_v"), spread == F.col("_v").isNull().cast("long")], "left").drop("_v")
+    return rows
+
+
+def _given(c: str) -> Column:
+    """A column as double; NaN is missing."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def many_rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r, n): Spearman's correlation of every pair, with the ranks over all rows of each column."""
     rows = df.select(F.lit(0).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
@@ -170,22 +203,33 @@ def _classes(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
 def lagged_correlations(df: DataFrame, key: str, month_idx: str, xs: Sequence[str], ys: Sequence[str], lags: Sequence[int] = (0, 1, 2, 3)) -> DataFrame:
     """(variable, target, lag, rho, n): Spearman's rho over all stations' months of each variable at each lag with each target.
 
-    Ranks are those among the months where both are given. Variables at a lag that are given in the same months share them, and so do
-    targets: a value is ranked once per class of the other side, and not once per pair. With all variables and targets of a month
-    given together, what is shuffled grows with lags times (variables + targets).
+    Ranks are those among the months where both are given. Variables that are given in the same months share them, and so do targets.
+    A value is ranked where it stands, once for every lag and class of the other side (a slot), and its ranks are lagged: what is sorted are
+    the distinct values of the variables and targets themselves. Many variables or targets go in blocks.
     """
-    wide, lagged = df.select(key, month_idx, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*xs, *ys])]), {}
-    for n, x in enumerate(xs):
-        for k in lags:
-            lagged[f"_x{n}_{k}"] = (x, k)
-        wide = calendar_lags(wide.withColumn(f"_x{n}_", F.col(x)), key, month_idx, f"_x{n}_", lags)
-    targets = {f"_y{n}": y for n, y in enumerate(ys)}
-    wide = wide.select(*[(F.when(~F.isnan(c), F.col(c))).alias(c) for c in lagged], *[F.when(~F.isnan(y), F.col(y)).alias(n) for n, y in targets.items()], F.monotonically_increasing_id().alias("_row"))
-    wide = written(wide, "lagged")
-    pairs = [(a, b) for a in _classes(wide, list(lagged)).values() for b in _classes(wide, list(targets)).values()]
-    each = [F.when(F.col(a[0]).isNotNull() & F.col(b[0]).isNotNull(), F.struct(F.lit(k).alias("key"), F.array(*a, *b).alias("v"))) for k, (a, b) in enumerate(pairs)]
-    rows = wide.select(F.explode(F.array_compact(F.array(*each))).alias("s")).select("s.*")
-    found = merged_correlations(array_moments(ranked_arrays(rows)), ["key", "i", "j"])
-    names = [(k, i, len(a) + j, *lagged[x], targets[y]) for k, (a, b) in enumerate(pairs) for i, x in enumerate(a) for j, y in enumerate(b)]
+    if max(len(xs), len(ys)) > FEW_COLUMNS:
+        blocks = lambda v: [v[i : i + FEW_COLUMNS] for i in range(0, len(v), FEW_COLUMNS)]
+        return reduce(DataFrame.union, [lagged_correlations(df, key, month_idx, x, y, lags) for x in blocks(xs) for y in blocks(ys)])
+    of = {f"_x{n}": x for n, x in enumerate(xs)} | {f"_y{n}": y for n, y in enumerate(ys)}
+    own_x, own_y = list(of)[: len(xs)], list(of)[len(xs) :]
+    raw = written(df.select(F.col(key).alias("_k"), F.col(month_idx).alias("_m"), *[_given(c).alias(o) for o, c in of.items()], F.monotonically_increasing_id().alias("_row")), "months")
+    in_a, in_b = list(_classes(raw, own_x).values()), list(_classes(raw, own_y).values())
+    width = max(len(in_a), len(in_b))
+    slots = len(lags) * width
+    w = Window.partitionBy("_k").orderBy("_m")
+    at = lambda c, k: F.max(c).over(w.rangeBetween(-k, -k))
+    first = ~F.lag(F.struct("_m")).over(w).eqNullSafe(F.struct("_m"))  # of rows of one month one gives the month's value
+    counted = {f"{a[0]}_n{q * width + p}": F.when(first, F.count(b[0]).over(w.rangeBetween(k, k))).otherwise(0) for a in in_a for p, b in enumerate(in_b) for q, k in enumerate(lags)}
+    counted |= {f"{b[0]}_n{q * width + p}": (F.col(b[0]).isNotNull() & at(a[0], k).isNotNull()).cast("long") for b in in_b for p, a in enumerate(in_a) for q, k in enumerate(lags)}
+    rows = written(raw.select("_k", "_m", *[at(x, 0).alias(x) for x in own_x], *own_y, *[c.alias(n) for n, c in counted.items()]), "lagged")
+    leads = {c: one[0] for one in (*in_a, *in_b) for c in one}
+    weight = lambda c, s: F.col(f"{leads[c]}_n{s}") if f"{leads[c]}_n{s}" in counted else F.lit(0)
+    ranks = value_ranks({c: rows.select(F.col(c).alias("x"), *[weight(c, s).alias(f"n{s}") for s in range(slots)]) for c in of}, slots)
+    ranked = with_ranks(rows, ranks, list(of), slots)
+    pairs = [(a, b, k, f"r{q * width + p}", f"r{q * width + o}", f"{b[0]}_n{q * width + o}") for o, a in enumerate(in_a) for p, b in enumerate(in_b) for q, k in enumerate(lags)]
+    shown = [F.when(F.col(there) > 0, F.struct(F.lit(n).alias("key"), F.array(*[at(f"{x}_{rx}", k) for x in a], *[F.col(f"{y}_{ry}") for y in b]).alias("v"))) for n, (a, b, k, rx, ry, there) in enumerate(pairs)]
+    arrays = ranked.select(F.array(*shown).alias("s")).select(F.explode(F.array_compact("s")).alias("s")).select("s.*")
+    found = merged_correlations(array_moments(arrays), ["key", "i", "j"])
+    names = [(n, i, len(a) + j, of[x], k, of[y]) for n, (a, b, k, *_) in enumerate(pairs) for i, x in enumerate(a) for j, y in enumerate(b)]
     lookup = df.sparkSession.createDataFrame(names, "key int, i int, j int, variable string, lag int, target string")  # one row per pair of columns
     return found.join(F.broadcast(lookup), ["key", "i", "j"]).select("variable", "target", "lag", F.col("r").alias("rho"), "n")

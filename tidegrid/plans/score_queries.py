@@ -53,7 +53,8 @@ z AS (SELECT *, row_number() OVER (PARTITION BY variable, target ORDER BY abs(rh
 
 def _best_lags(t: Tables) -> DataFrame:
     p = "l_extendedprice"
-    s = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), C.months("l_shipdate").alias("m")).agg(*[F.round(F.sum(x), 4).alias(x) for x in _X], F.min(p).alias("qmin"), r6(F.percentile(p, F.lit(0.5))).alias("q50"), F.max(p).alias("qmax"))
+    rows = A.with_middle(t.lineitem.select(F.col("l_suppkey").alias("k"), C.months("l_shipdate").alias("m"), *_X, p), ["k", "m"], p, "middle")
+    s = rows.groupBy("k", "m").agg(*[F.round(F.sum(x), 4).alias(x) for x in _X], F.min(p).alias("qmin"), r6(F.avg("middle")).alias("q50"), F.max(p).alias("qmax"))
     return T.best_lags(s, "k", "m", _X, _Y)
 
 
