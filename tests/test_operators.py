@@ -676,6 +676,22 @@ def test_middle_rows_give_the_median(spark):
     assert got == {(None if pd.isna(k) else k): (None if pd.isna(m) else m, n) for k, m, n in want.itertuples()}
 
 
+def test_ranks_of_few_columns_come_to_their_rows(spark, monkeypatch):
+    """No row is shuffled for ranks of few values; ranks of many values come by shuffled joins, with the same results."""
+    import pandas as pd
+
+    names = ["a", "b", "c"]
+    df = spark.range(2000).selectExpr("cast(id * 7 % 11 AS double) AS a", "if(id % 3 = 0, null, cast(id * 5 % 977 AS double)) AS b", "if(id % 7 = 0, double('nan'), cast(id * id % 89 AS double)) AS c").repartition(3)
+    want = pd.DataFrame([tuple(r) for r in df.collect()], columns=names).astype(float).rank().corr()
+    near = lambda found: {(r.a, r.b): r.r for r in found.collect()} == {(a, b): pytest.approx(want.loc[a, b], abs=1e-9) for a, b in (("a", "b"), ("a", "c"), ("b", "c"))}
+    found = A.rank_matrix(df, names)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert near(found)
+    monkeypatch.setattr(X2, "small_or_shuffled", lambda lookup: lookup)
+    assert near(A.rank_matrix(df, names))
+    assert all(r.r is None for r in A.rank_matrix(df.limit(0), names).collect())
+
+
 def test_interactions_equal_numpy(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(3, 1, (200, 3))

@@ -152,8 +152,14 @@ def _given(c: str) -> Column:
 
 def many_rank_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r, n): Spearman's correlation of every pair, with the ranks over all rows of each column."""
-    rows = df.select(F.lit(0).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-    return _named(merged_correlations(array_moments(ranked_arrays(rows)), ["i", "j"]), cols)
+    if len(cols) > FEW_COLUMNS:
+        ranked = ranked_arrays(df.select(F.lit(0).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v")))
+    else:
+        own = [f"_c{i}" for i in range(len(cols))]
+        rows = written(df.select(*[_given(c).alias(o) for c, o in zip(cols, own)]), "columns")
+        ranks = value_ranks({o: rows.select(F.col(o).alias("x"), F.lit(1).alias("n0")) for o in own})
+        ranked = with_ranks(rows, ranks, own).select(F.lit(0).alias("key"), F.array(*[f"{o}_r0" for o in own]).alias("v"))
+    return _named(merged_correlations(array_moments(ranked), ["i", "j"]), cols)
 
 
 def interactions(df: DataFrame, predictors: Sequence[str], target: str, share: float = 0.5) -> DataFrame:
