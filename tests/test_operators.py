@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid import plans
 from tidegrid.functions import columns as C
 from tidegrid.operators import aggregates as A
 from tidegrid.operators import bands as B
@@ -171,6 +173,40 @@ def test_band_correlations_by_blocks(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k] == (len(r), pytest.approx(np.nanmean(r))) for k, r in want.items())
 
 
+@pytest.mark.parametrize("block", [7, 8192])
+def test_band_correlations_of_all_pairs(spark, monkeypatch, block):
+    """Without a reach no pair is left out, however far apart; stations without a finite position have no pairs."""
+    monkeypatch.setattr(B, "BLOCK", block)
+    monkeypatch.setattr(B, "TILE", 16)
+    rng = np.random.default_rng(12)
+    at = np.vstack([rng.uniform(-5, 5, (30, 2)), rng.integers(90, 93, (10, 2)), [[-300.0, 40.0]]])
+    v = rng.normal(1e4, 1.0, size=(41, 9))
+    v[rng.random((41, 9)) < 0.3] = np.nan
+    v[::4] = rng.normal(size=(11, 9))
+    v[5] = 3.0
+    lost = [(50, float("nan"), 1.0), (51, 1.0, float("inf")), (52, None, 1.0)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + lost, "s long, x double, y double")
+    series = [(i, m, float(v[i, m])) for i in range(41) for m in range(9) if not np.isnan(v[i, m])] + [(k, m, float(m)) for k, *_ in lost for m in range(9)]
+    want = {}
+    for a in range(41):
+        for b in range(a + 1, 41):
+            both = ~np.isnan(v[a]) & ~np.isnan(v[b])
+            if both.sum() >= 3:
+                want.setdefault(int(np.hypot(*(at[a] - at[b])) // 4), []).append(np.nan if 5 in (a, b) else np.corrcoef(v[a, both], v[b, both])[0, 1])
+    series = spark.createDataFrame(series, "s long, m int, v double")
+    got = {r.band: (r.n_pairs, r.mean_r) for r in J.band_correlations(points, series, "s", "m", "v", None, 4.0).collect()}
+    assert max(got) > 90 and got.keys() == want.keys() and sum(n for n, _ in got.values()) == sum(map(len, want.values()))
+    assert all(got[k] == (len(r), pytest.approx(np.nanmean(r)) if np.isfinite(r).any() else None) for k, r in want.items())
+    assert J.band_correlations(points.limit(0), series, "s", "m", "v", None, 4.0).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_distance_band_pairs_are_all_pairs(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    got = plans.QUERIES["distance_band_pairs"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(r.n_pairs for r in got) == n * (n - 1) // 2 and max(r.band for r in got) > 20
+
+
 def test_snapping_in_rounds_of_growing_reach(spark, monkeypatch):
     """As brute force, however often the radius is halved: crowded anchors, shared places, ties, points without a position."""
     rng = np.random.default_rng(11)

@@ -170,15 +170,23 @@ def near_pairs(points: DataFrame, key: str, reach: float) -> DataFrame:
     return binned.join(other, ["bx", "by"]).where("a < b").select("a", "b", d.alias("d")).where(F.col("d") < reach)
 
 
-def band_correlations(points: DataFrame, series: DataFrame, key: str, month: str, value: str, reach: float, width: float, least: int = 3) -> DataFrame:
-    """(band, n_pairs, mean_r): mean Pearson correlation of the series of stations less than ``reach`` apart, per ``width`` of distance.
+def band_correlations(points: DataFrame, series: DataFrame, key: str, month: str, value: str, reach: float | None, width: float, least: int = 3) -> DataFrame:
+    """(band, n_pairs, mean_r): mean Pearson correlation of the series of stations less than ``reach`` apart (None: of all pairs), per ``width`` of distance.
 
     ``series`` has one row per station and month (a whole number). Stations meet in blocks, whose pairs are correlated by matrix
     products (``bands``): no row per pair is made. Pairs with fewer than ``least`` months in common are left out; a pair without
-    variance counts as a pair and not in the mean.
+    variance counts as a pair and not in the mean. Stations without a finite position have no distance and no pairs.
     """
     from tidegrid.operators import bands as B
 
+    points = points.select(key, *[F.col(c).cast("double").alias(c) for c in ("x", "y")]).where("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    if reach is None:
+        ends = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()  # one row
+        dx, dy = (ends[i + 1] - ends[i] if ends[i] is not None else 0.0 for i in (0, 2))
+        number = int(np.floor(np.sqrt(dx * dx + dy * dy) / width)) + 1
+        every = lambda cells: cells.select("_row", "_bin", F.col("_row").alias("_row2"), F.col("_bin").alias("_bin2"))
+        found = B.band_moments(points, [F.lit(0), F.lit(0)], every, series, key, month, value, B.plane, lambda d: np.floor(d / width), number, least)
+        return found.select("band", "n_pairs", "mean_r")
     cell = lambda c: F.floor(F.col(c) / reach)
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
 
@@ -188,7 +196,7 @@ def band_correlations(points: DataFrame, series: DataFrame, key: str, month: str
 
     number = math.ceil(reach / width)
     band_of = lambda d: np.where(d < reach, np.floor(d / width), number)
-    found = B.band_moments(points.select(key, "x", "y"), [cell("y"), cell("x")], around, series, key, month, value, B.plane, band_of, number, least)
+    found = B.band_moments(points, [cell("y"), cell("x")], around, series, key, month, value, B.plane, band_of, number, least)
     return found.select("band", "n_pairs", "mean_r")
 
 
