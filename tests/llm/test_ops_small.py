@@ -550,6 +550,35 @@ def test_toxicity_is_learned_from_all_labelled_rows(spark, monkeypatch):
     assert model.weights["=grubfoot"] > 0 and "=river" not in model.weights
 
 
+def test_toxicity_leaves_out_no_feature_and_no_word(spark):
+    """4,500 features and 61,000 words: all features are kept, words of three clean rows are known, and the character model counts all words, also those of one row."""
+    from collections import Counter
+
+    syllables = [c + v for c in "bdfgklmn" for v in "aeiou"]
+    word = lambda i: "".join(syllables[i // 40**k % 40] for k in range(3))
+    many, toxic = [word(i) for i in range(61_000)], [f"z{word(7 * i)}" for i in range(4_500)]
+    texts = [" ".join([*many, f"end{word(i)}"]) for i in range(4)] + [" ".join([*toxic, "idiot", f"end{word(i)}"]) for i in range(4, 8)]
+    texts += [" ".join(["river", "stone", f"end{word(i)}", *(["idi"] if i < 11 else []), *(["quux"] if i == 12 else [])]) for i in range(8, 30)]
+    labels = [int(4 <= i < 8) for i in range(30)]
+    model = op7.fit_toxicity_model(documents(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"), F.lit(True))
+    assert {f"={w}" for w in [*toxic, "idiot"]} <= model.weights.keys() and "idiot" in model.toxic
+    assert model.known & {"idi", "ot", "river"} == {"idi"} and model.cut_words("an idi ot".split()) == [] and model.cut_words("an id iot".split()) == ["id iot"]
+    assert model.chars.counts == op7.CharModel.fit(Counter(w for t in texts for w in t.split())).counts and model.chars.counts["quux"] == 1
+
+
+def test_character_counts_equal_brute_force():
+    from collections import Counter
+
+    words, want = Counter({"idiot": 3, "a": 2, "stone": 1, "": 5}), Counter()
+    for w, n in words.items():
+        s = "^" * op7.CONTEXT + w + "^"
+        for i in range(op7.CONTEXT, len(s)):
+            for k in range(op7.CONTEXT + 1):
+                want[s[i - k : i + 1]] += n
+                want[s[i - k : i] + "\0"] += n
+    assert op7.CharModel.fit(words).counts == want
+
+
 def test_toxicity_moves_one_text_per_copy_and_looks_for_more_features_if_need_be(spark, monkeypatch):
     """Only what may be chosen crosses to the labels, each text once per class; the model is the same however few features are looked for at first."""
     texts, labels = toxic_corpus()
